@@ -22,11 +22,15 @@ STOP_LIST = ", ".join(_quote(w) for w in S.STOP_WORDS)
 # Shared CTE bodies.
 # ---------------------------------------------------------------------------
 COMMITS = """
+lp AS (
+  SELECT l_orderkey, l_linenumber,
+         CASE WHEN l_returnflag = 'N' THEN '' ELSE 'f/' || CAST(l_partkey AS VARCHAR) END AS new_path
+  FROM lineitem
+),
 li AS (
   SELECT l_orderkey, count(*) AS n_lines,
-         string_agg(CASE WHEN l_returnflag = 'N' THEN NULL
-                         ELSE 'f/' || CAST(l_partkey AS VARCHAR) END, ',' ORDER BY l_linenumber) AS files
-  FROM lineitem GROUP BY l_orderkey
+         string_agg(NULLIF(new_path, ''), ',' ORDER BY l_linenumber, new_path) AS files
+  FROM lp GROUP BY l_orderkey
 ),
 commits AS (
   SELECT CAST(o.o_orderkey AS VARCHAR) AS commit_hash,

@@ -68,8 +68,9 @@ def classify_ndjson(
     key_ok: Column = F.lit(True)
     for k in required:
         key_ok = key_ok & truthy(F.col("_rec")[k])
+    line = F.col(LINE_COL)
     reason = (
-        F.when(raw.isNull() | (F.btrim(raw, F.lit(_WHITESPACE)) == F.lit("")), F.lit("blank"))
+        F.when(line.isNull() | (F.btrim(line, F.lit(_WHITESPACE)) == F.lit("")), F.lit("blank"))
         .when(F.col("_rec").isNull() | F.col("_rec")[CORRUPT_COL].isNotNull(), F.lit("malformed"))
         .when(~key_ok, F.lit("missing_key"))
     )
