@@ -256,7 +256,8 @@ SQL["commits_normalised"] = f"WITH {COMMITS} SELECT {COMMIT_COLS} FROM commits"
 SQL["commits_from_ndjson"] = SQL["commits_normalised"]
 SQL["commits_latest_by_hash"] = """
 WITH v AS (
-  SELECT l_orderkey * 100 + l_linenumber AS seq,
+  SELECT ((l_orderkey * 100 + l_linenumber) * 2 + CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) * 4
+         + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 WHEN 'R' THEN 2 ELSE 3 END AS seq,
          'p' || CAST(l_partkey AS VARCHAR) || '-s' || CAST(l_suppkey AS VARCHAR) AS commit_hash,
          'flag-' || l_returnflag AS repo_name,
          'Supplier#' || CAST(l_suppkey AS VARCHAR) AS author_name,

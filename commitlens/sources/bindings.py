@@ -127,10 +127,20 @@ def commits_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def commit_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commit records where a hash repeats: one version per line item, keyed
-    by (part, supplier), ordered by ``seq`` = (order key, line number)."""
+    by (part, supplier), ordered by ``seq`` = (order key, line number, line
+    status, return flag) packed into one integer. Line items that tie on all
+    four yield identical records, so last-write-wins is deterministic."""
     li = table(spark, sf_dir, "lineitem")
+    line = F.col("l_orderkey") * F.lit(100) + F.col("l_linenumber")
+    status = F.when(F.col("l_linestatus") == F.lit("O"), F.lit(1)).otherwise(F.lit(0))
+    flag = (
+        F.when(F.col("l_returnflag") == F.lit("A"), F.lit(0))
+        .when(F.col("l_returnflag") == F.lit("N"), F.lit(1))
+        .when(F.col("l_returnflag") == F.lit("R"), F.lit(2))
+        .otherwise(F.lit(3))
+    )
     return li.select(
-        (F.col("l_orderkey") * F.lit(100) + F.col("l_linenumber")).cast("bigint").alias("seq"),
+        ((line * F.lit(2) + status) * F.lit(4) + flag).cast("bigint").alias("seq"),
         F.concat(
             F.lit("p"), F.col("l_partkey").cast("string"), F.lit("-s"), F.col("l_suppkey").cast("string")
         ).alias("commit"),
