@@ -75,7 +75,10 @@ def with_report_columns(
     total). Apply to an already limited frame."""
     groups = [] if partition_by is None else ([partition_by] if isinstance(partition_by, str) else list(partition_by))
     w = Window.partitionBy(*groups)
-    out = df.withColumn("bar_length", bar_length(value, F.max(value).over(w), width))
+    out = df.withColumn("_max", F.max(value).over(w))
     if share:
-        out = out.withColumn("share_of_top", share_percent(value, F.sum(value).over(w)))
-    return out
+        out = out.withColumn("_total", F.sum(value).over(w))
+    out = out.withColumn("bar_length", bar_length(value, "_max", width))
+    if share:
+        out = out.withColumn("share_of_top", share_percent(value, "_total"))
+    return out.drop("_max", "_total")
