@@ -49,9 +49,22 @@ def commits_by_repo(commits: DataFrame, order: str | Sequence[str] | None = None
     )
 
 
-def author_counts(commits: DataFrame) -> DataFrame:
-    """Commit count per (repo, author): +1 per record given, so duplicates
-    in raw input count again (the load-time counter semantics)."""
+def author_counts(
+    commits: DataFrame, count_mode: str = "records", order: str | Sequence[str] | None = None
+) -> DataFrame:
+    """Commit count per (repo, author).
+
+    ``count_mode="records"``: +1 per record given, so a repeated hash counts
+    again (the load-time counter semantics). ``"distinct"``: count the
+    snapshot instead, i.e. one record per hash, the last by ``order``."""
+    if count_mode not in ("records", "distinct"):
+        raise ValueError("count_mode must be 'records' or 'distinct'")
+    if count_mode == "distinct":
+        if order is None:
+            raise ValueError("count_mode='distinct' needs the order column(s)")
+        order_cols = [order] if isinstance(order, str) else list(order)
+        slim = commits.select("commit_hash", "repo_name", "author_name", *order_cols)
+        commits = latest_by_key(slim, ["commit_hash"], order)
     return commits.groupBy("repo_name", "author_name").agg(
         F.count(F.lit(1)).cast("bigint").alias("commit_count")
     )
@@ -69,9 +82,14 @@ def language_bytes(languages: DataFrame) -> DataFrame:
     return languages.groupBy("name").agg(F.sum("bytes").cast("bigint").alias("total_bytes"))
 
 
-def loaded_repos(commits: DataFrame) -> DataFrame:
-    """Distinct repositories that have commits."""
-    return commits.select("repo_name").distinct()
+def loaded_repos(commits: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+    """Distinct repositories that have commits. With ``prior`` (an earlier
+    ``repos_loaded``) the set is sticky: repositories whose commits were all
+    deleted stay listed, as in the source stores where it never shrinks."""
+    repos = commits.select("repo_name")
+    if prior is not None:
+        repos = repos.unionByName(prior.select("repo_name"))
+    return repos.distinct()
 
 
 def with_tier(repos: DataFrame) -> DataFrame:

@@ -21,6 +21,12 @@ def lookup(commits: DataFrame, keys: DataFrame, key: str = "commit_hash") -> Dat
     return out.withColumn("found", F.coalesce(F.col("found"), F.lit(False)))
 
 
+def read_record(commits: DataFrame, commit_hash: str) -> DataFrame:
+    """The record with this hash (no row when absent). The key predicate is
+    pushed to the scan."""
+    return commits.where(F.col("commit_hash") == F.lit(commit_hash))
+
+
 def lookup_existing(commits: DataFrame, keys: DataFrame, key: str = "commit_hash") -> DataFrame:
     """Only the records whose key is requested (semi join)."""
     return commits.join(keys.select(key), key, "left_semi")

@@ -155,3 +155,17 @@ def reload_license_counts(spark: SparkSession, raw_licenses: DataFrame, mode: st
     )
     assert first and second
     return spark.read.parquet(second["license_counts"])
+
+
+def load_and_count(spark: SparkSession, **raw: DataFrame) -> DataFrame:
+    """Run a refresh load of the given raw inputs into a new work folder and
+    return (table_name, row_count) for every table written, read back from
+    storage."""
+    out = work_dir(spark, "load-all")
+    paths = load_all(spark, out, **raw)
+    counts = None
+    for name in sorted(paths):
+        c = spark.read.parquet(paths[name]).agg(F.count(F.lit(1)).cast("bigint").alias("row_count"))
+        c = c.select(F.lit(name).alias("table_name"), "row_count")
+        counts = c if counts is None else counts.unionByName(c)
+    return counts

@@ -463,3 +463,42 @@ SELECT author_name, commit_count, rank, {_bar('commit_count', S.BAR_WIDTH_CONTRI
 SQL["stream_author_counts"] = SQL["author_counts"]
 SQL["stream_language_bytes"] = SQL["language_bytes"]
 SQL["stream_upsert"] = SQL["commits_latest_by_hash"]
+
+SQL["commits_keep_nulls"] = f"""WITH {COMMITS}
+SELECT commit_hash, repo_name, author_name, author_email, committer_name, subject,
+       CASE WHEN message = '' THEN NULL ELSE message END AS message, tree, files_changed, num_files_changed
+FROM commits"""
+
+_VERSIONS = """
+v AS (
+  SELECT ((l_orderkey * 100 + l_linenumber) * 2 + CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) * 4
+         + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 WHEN 'R' THEN 2 ELSE 3 END AS seq,
+         'p' || CAST(l_partkey AS VARCHAR) || '-s' || CAST(l_suppkey AS VARCHAR) AS commit_hash,
+         'flag-' || l_returnflag AS repo_name,
+         'Supplier#' || CAST(l_suppkey AS VARCHAR) AS author_name
+  FROM lineitem)"""
+SQL["author_counts_versions"] = f"""WITH {_VERSIONS.strip()}
+SELECT repo_name, author_name, CAST(count(*) AS BIGINT) AS commit_count FROM v GROUP BY ALL"""
+SQL["author_counts_snapshot"] = f"""WITH {_VERSIONS.strip()},
+latest AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY commit_hash ORDER BY seq DESC) = 1)
+SELECT repo_name, author_name, CAST(count(*) AS BIGINT) AS commit_count FROM latest GROUP BY ALL"""
+SQL["read_record"] = f"WITH {COMMITS} SELECT {COMMIT_COLS} FROM commits WHERE commit_hash = '1'"
+SQL["repos_loaded_after_purge"] = f"""WITH {COMMITS}
+SELECT DISTINCT repo_name FROM commits WHERE repo_name <> '3-MEDIUM'"""
+SQL["repos_loaded_sticky"] = f"WITH {COMMITS} SELECT DISTINCT repo_name FROM commits"
+SQL["load_all_tables"] = f"""WITH {COMMITS},
+r AS ({REPOS_DOCS}),
+lic AS ({LICENSES_PARTS}),
+l AS ({LANGUAGES})
+SELECT table_name, CAST(row_count AS BIGINT) AS row_count FROM (
+  SELECT 'commits' AS table_name, count(*) AS row_count FROM commits
+  UNION ALL SELECT 'commits_by_repo', count(*) FROM commits
+  UNION ALL SELECT 'author_counts', count(*) FROM author_counts
+  UNION ALL SELECT 'repos_loaded', count(DISTINCT repo_name) FROM commits
+  UNION ALL SELECT 'repos', count(*) FROM r WHERE repo_name IS NOT NULL AND repo_name <> ''
+  UNION ALL SELECT 'repos_by_tier', count(*) FROM (SELECT DISTINCT {_tier('watch_count')}, watch_count, repo_name FROM r)
+  UNION ALL SELECT 'tier_counts', count(DISTINCT {_tier('watch_count')}) FROM r
+  UNION ALL SELECT 'licenses', count(*) FROM lic WHERE repo_name IS NOT NULL AND repo_name <> ''
+                                                   AND license IS NOT NULL AND license <> ''
+  UNION ALL SELECT 'license_counts', count(DISTINCT license) FROM lic WHERE license IS NOT NULL AND license <> ''
+  UNION ALL SELECT 'language_bytes', count(DISTINCT name) FROM l)"""

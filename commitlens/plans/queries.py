@@ -98,6 +98,50 @@ def q_commits_from_ndjson(spark, sf):
     return render_commits(NM.normalise_commits(J.accepted(classified)))
 
 
+def q_commits_keep_nulls(spark, sf):
+    lines = B.commit_lines(spark, sf, explicit_nulls=True)
+    classified = J.classify_ndjson(lines, S.RAW_COMMIT, ["commit", "repo_name"])
+    return render_commits(NM.normalise_commits(J.accepted(classified, keep_line=True), nulls="keep"))
+
+
+def q_author_counts_versions(spark, sf):
+    return D.author_counts(NM.normalise_commits(B.commit_versions(spark, sf), keep=["seq"]))
+
+
+def q_author_counts_snapshot(spark, sf):
+    versions = NM.normalise_commits(B.commit_versions(spark, sf), keep=["seq"])
+    return D.author_counts(versions, count_mode="distinct", order="seq")
+
+
+def q_read_record(spark, sf):
+    return render_commits(L.read_record(B.commits_table(spark, sf), "1"))
+
+
+def _purged(spark, sf):
+    base = B.commits_table(spark, sf)
+    return base, CH.apply_deletes(base, B.purge_changes(spark, sf))
+
+
+def q_repos_loaded_after_purge(spark, sf):
+    _, res = _purged(spark, sf)
+    return D.loaded_repos(res.snapshot)
+
+
+def q_repos_loaded_sticky(spark, sf):
+    base, res = _purged(spark, sf)
+    return D.loaded_repos(res.snapshot, prior=D.loaded_repos(base))
+
+
+def q_load_all_tables(spark, sf):
+    return LD.load_and_count(
+        spark,
+        raw_commits=B.raw_commits(spark, sf),
+        raw_repos=B.raw_repos_documents(spark, sf),
+        raw_licenses=B.raw_licenses_parts(spark, sf),
+        raw_languages=B.raw_languages(spark, sf),
+    )
+
+
 def q_commits_latest_by_hash(spark, sf):
     versions = NM.normalise_commits(B.commit_versions(spark, sf), keep=["seq"])
     return render_commits(D.commits_latest_by_hash(versions, "seq"))

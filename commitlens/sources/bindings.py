@@ -297,11 +297,13 @@ def repo_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(line.alias("value"))
 
 
-def commit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Commit NDJSON lines: every raw commit record rendered with to_json
-    (absent objects are omitted keys, as in the source files)."""
+def commit_lines(spark: SparkSession, sf_dir: str, explicit_nulls: bool = False) -> DataFrame:
+    """Commit NDJSON lines: every raw commit record rendered with to_json.
+    By default a NULL field is an omitted key; ``explicit_nulls=True`` writes
+    it as a JSON null instead."""
     raw = raw_commits(spark, sf_dir)
-    return raw.select(F.to_json(F.struct(*raw.columns)).alias("value"))
+    opts = {"ignoreNullFields": "false"} if explicit_nulls else {}
+    return raw.select(F.to_json(F.struct(*raw.columns), opts).alias("value"))
 
 
 # ---------------------------------------------------------------------------
@@ -418,3 +420,10 @@ def lookup_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("absent-"), F.col("o_orderkey").cast("string")).alias("commit_hash")
     )
     return present.unionByName(absent)
+
+
+def purge_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deletes of every commit of the medium-priority repository."""
+    o = _orders(spark, sf_dir).where(F.col("o_orderpriority") == F.lit("3-MEDIUM"))
+    key = F.col("o_orderkey")
+    return _change(o, key * 10 + 1, "delete", key.cast("string"))

@@ -78,9 +78,11 @@ def classify_ndjson(
     return parsed.select(*passthrough, *fields, F.col(LINE_COL), reason.alias(REASON_COL))
 
 
-def accepted(classified: DataFrame) -> DataFrame:
-    """Accepted records of a classified frame, without the bookkeeping columns."""
-    return classified.where(F.col(REASON_COL).isNull()).drop(REASON_COL, LINE_COL)
+def accepted(classified: DataFrame, keep_line: bool = False) -> DataFrame:
+    """Accepted records of a classified frame, without the bookkeeping
+    columns (``keep_line=True`` keeps the raw line as ``_line``)."""
+    out = classified.where(F.col(REASON_COL).isNull()).drop(REASON_COL)
+    return out if keep_line else out.drop(LINE_COL)
 
 
 def rejected(classified: DataFrame) -> DataFrame:

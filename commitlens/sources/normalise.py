@@ -3,7 +3,7 @@ uses native expressions only, and never shuffles."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from commitlens import schemas as S
@@ -21,23 +21,52 @@ def _keep(df: DataFrame, extra: list[str] | None) -> list[str]:
     return [c for c in (extra or []) if c in df.columns]
 
 
-def normalise_commits(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def _has_key(json_text: Column, key: str) -> Column:
+    """The JSON object text has ``key`` (even with a null value)."""
+    keys = F.json_object_keys(json_text)
+    return F.coalesce(F.array_contains(keys, F.lit(key)), F.lit(False))
+
+
+def _defaulted(value: Column, default: str, nulls: str, object_text: Column | None, key: str) -> Column:
+    """``obj.get(key, default)``: with ``nulls="default"`` a NULL value and an
+    absent key both give the default; with ``nulls="keep"`` an explicit JSON
+    null stays NULL and only an absent key (or absent object) defaults."""
+    if nulls == "default":
+        return default_if_null(value, default)
+    present = F.lit(False) if object_text is None else _has_key(object_text, key)
+    return F.when(value.isNotNull(), value).when(present, F.lit(None).cast("string")).otherwise(F.lit(default))
+
+
+def normalise_commits(raw: DataFrame, keep: list[str] | None = None, nulls: str = "default") -> DataFrame:
     """Commit records with a non-empty hash and repo, flattened to the
-    canonical ``commits`` schema. Absent and NULL fields take the defaults
-    (``unknown`` for names, empty text otherwise); ``files_changed`` holds the
-    non-empty new paths and ``num_files_changed`` counts every entry of the
-    changed-files array. ``keep`` names extra columns to carry (e.g. ``seq``)."""
+    canonical ``commits`` schema. Absent fields take the defaults (``unknown``
+    for names, empty text otherwise); ``files_changed`` holds the non-empty
+    new paths and ``num_files_changed`` counts every entry of the
+    changed-files array. ``keep`` names extra columns to carry (e.g. ``seq``).
+
+    ``nulls="default"`` also defaults explicit JSON nulls. ``nulls="keep"``
+    keeps them NULL, which needs the raw line (``_line``, kept by
+    ``classify_ndjson``) to tell an absent key from a null one."""
+    if nulls not in ("default", "keep"):
+        raise ValueError("nulls must be 'default' or 'keep'")
     author, committer = F.col("author"), F.col("committer")
+    line = author_text = committer_text = None
+    if nulls == "keep":
+        if "_line" not in raw.columns:
+            raise ValueError("nulls='keep' needs the raw line column _line")
+        line = F.col("_line")
+        author_text = F.get_json_object(line, "$.author")
+        committer_text = F.get_json_object(line, "$.committer")
     return raw.where(truthy("commit") & truthy("repo_name")).select(
         *_keep(raw, keep),
         F.col("commit").alias("commit_hash"),
         F.col("repo_name"),
-        default_if_null(author["name"], S.DEFAULT_NAME).alias("author_name"),
-        default_if_null(author["email"], S.DEFAULT_TEXT).alias("author_email"),
-        default_if_null(committer["name"], S.DEFAULT_NAME).alias("committer_name"),
-        default_if_null("subject", S.DEFAULT_TEXT).alias("subject"),
-        default_if_null("message", S.DEFAULT_TEXT).alias("message"),
-        default_if_null("tree", S.DEFAULT_TEXT).alias("tree"),
+        _defaulted(author["name"], S.DEFAULT_NAME, nulls, author_text, "name").alias("author_name"),
+        _defaulted(author["email"], S.DEFAULT_TEXT, nulls, author_text, "email").alias("author_email"),
+        _defaulted(committer["name"], S.DEFAULT_NAME, nulls, committer_text, "name").alias("committer_name"),
+        _defaulted(F.col("subject"), S.DEFAULT_TEXT, nulls, line, "subject").alias("subject"),
+        _defaulted(F.col("message"), S.DEFAULT_TEXT, nulls, line, "message").alias("message"),
+        _defaulted(F.col("tree"), S.DEFAULT_TEXT, nulls, line, "tree").alias("tree"),
         new_paths("difference").alias("files_changed"),
         array_length("difference").alias("num_files_changed"),
     )

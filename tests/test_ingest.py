@@ -101,3 +101,25 @@ def test_languages_unnest(spark):
     langs = NM.unnest_languages(raw)
     assert rows(langs, "name", "bytes") == [("C", 5), ("C", 10), ("D", 0)]
     assert rows(D.language_bytes(langs)) == [("C", 15), ("D", 0)]
+
+
+def test_explicit_null_kept_only_on_request(spark):
+    lines = ['{"commit":"c3","repo_name":"r","author":{"name":null},"difference":null,"subject":null}',
+             '{"commit":"c2","repo_name":"r","author":null}',
+             '{"commit":"c1","repo_name":"r","author":{"email":"e"},"committer":{"name":null}}']
+    acc = J.accepted(J.classify_ndjson(lines_df(spark, lines), S.RAW_COMMIT, ["commit", "repo_name"]),
+                     keep_line=True)
+    keep = {r.commit_hash: r for r in NM.normalise_commits(acc, nulls="keep").collect()}
+    assert keep["c3"].author_name is None and keep["c3"].subject is None and keep["c3"].message == ""
+    assert keep["c2"].author_name == "unknown"
+    assert keep["c1"].author_name == "unknown" and keep["c1"].committer_name is None
+    default = {r.commit_hash: r for r in NM.normalise_commits(acc).collect()}
+    assert default["c3"].author_name == "unknown" and default["c1"].committer_name == "unknown"
+
+
+def test_count_modes(spark):
+    lines = [C1, C1.replace("Fix it", "again"), C1.replace('"c1"', '"c9"')]
+    recs = NM.normalise_commits(J.accepted(J.classify_ndjson(lines_df(spark, lines), S.RAW_COMMIT,
+                                                             ["commit", "repo_name"])), keep=["seq"])
+    assert rows(D.author_counts(recs)) == [("r", "A", 3)]
+    assert rows(D.author_counts(recs, count_mode="distinct", order="seq")) == [("r", "A", 2)]
