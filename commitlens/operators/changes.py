@@ -154,7 +154,10 @@ def apply_updates(base: DataFrame, changes: DataFrame) -> ChangeResult:
     flagged = flagged.withColumn("status", update_status(F.col("field"), F.col("_exists"), F.col("value")))
     status = flagged.select("seq", "op", "commit_hash", "status")
 
-    ok = flagged.where(F.col("status") == F.lit("updated"))
+    # Field and value checks need no snapshot; the existence check is the
+    # left join below (updates of absent keys find no row), so the snapshot
+    # is scanned once.
+    ok = u.where(update_status(F.col("field"), F.lit(True), F.col("value")) == F.lit("updated"))
     aggs = []
     for f in S.UPDATABLE_FIELDS:
         is_f = F.col("field") == F.lit(f)

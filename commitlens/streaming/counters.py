@@ -3,13 +3,16 @@ upsert.
 
 * Counters: NDJSON files are read as a text stream, classified and
   normalised with the batch functions, aggregated with ``groupBy().agg()``
-  (state = one row per key) and written in ``complete`` mode through
-  ``foreachBatch``, which overwrites the sink folder with the full counter
-  table: replaying a micro-batch after a failure rewrites the same result.
+  (state = one row per key) in ``update`` mode; ``foreachBatch`` writes the
+  changed totals of micro-batch N to ``batch_id=N`` and the counter table is
+  the latest total per key over that log.
 * Upsert: every micro-batch is reduced to the last version per hash and
-  merged with the previous snapshot version (last ``seq`` wins, regardless of
-  arrival order); version N is written to ``v=N`` from ``v=N-1``, so a
-  replayed batch rewrites the same folder.
+  appended as ``batch_id=N``; the snapshot is the greatest ``seq`` per hash
+  over the log, whatever the arrival order.
+
+Both sinks overwrite only their own ``batch_id`` folder, so replaying a
+micro-batch after a failure rewrites the same result, and a micro-batch
+costs in proportion to its own size, not to the table's.
 
 ``trigger(availableNow=True)`` processes everything present in bounded
 micro-batches (``maxFilesPerTrigger``) and stops. The data has no event time,
@@ -39,34 +42,59 @@ def text_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int
     )
 
 
+def read_counter_log(spark: SparkSession, out_dir: str, keys: list[str]) -> DataFrame:
+    """The current counter table of an update log: per key, the total written
+    by the latest micro-batch (a partial ``max_by`` over the log)."""
+    log = spark.read.parquet(out_dir)
+    cols = [c for c in log.columns if c not in keys and c != "batch_id"]
+    latest = log.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("_v"))
+    return latest.select(*keys, *[F.col("_v")[c].alias(c) for c in cols])
+
+
 def stream_counts(
     spark: SparkSession,
     source_dir: str,
     schema: T.StructType,
     required: list[str],
     derive: Callable[[DataFrame], DataFrame],
+    keys: list[str],
     out_dir: str,
     checkpoint_dir: str,
     max_files_per_trigger: int = 1,
 ) -> DataFrame:
     """Run a counter stream to completion over the files present and return
-    the counter table written by the last micro-batch."""
+    the current counter table.
+
+    The aggregate runs in ``update`` mode: each micro-batch emits only the
+    keys whose totals changed, written to ``out_dir/batch_id=N`` (overwrite,
+    so a replayed batch rewrites the same folder). The table is the latest
+    total per key over that log."""
     lines = text_stream(spark, source_dir, max_files_per_trigger)
     records = J.accepted(J.classify_ndjson(lines, schema, required))
     counts = derive(records)
+    ran = {"n": 0}
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out_dir)
+        batch.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+        ran["n"] += 1
 
     q = (
-        counts.writeStream.outputMode("complete")
+        counts.writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint_dir)
         .trigger(availableNow=True)
         .foreachBatch(sink)
         .start()
     )
     q.awaitTermination()
-    return spark.read.parquet(out_dir)
+    if ran["n"] == 0:
+        return spark.createDataFrame([], counts.schema)
+    return read_counter_log(spark, out_dir, keys)
+
+
+def read_upsert_log(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The snapshot of an upsert log: the greatest ``seq`` per hash over all
+    micro-batches, whatever order they arrived in."""
+    return D.latest_by_key(spark.read.parquet(out_dir).drop("batch_id"), ["commit_hash"], "seq")
 
 
 def stream_upsert(
@@ -77,31 +105,34 @@ def stream_upsert(
     max_files_per_trigger: int = 1,
 ) -> DataFrame:
     """Stream commit records with a ``seq`` field into a snapshot keyed by
-    hash; returns the final snapshot (with ``seq``)."""
+    hash; returns the snapshot (with ``seq``).
+
+    Each micro-batch is reduced to its last version per hash and appended
+    to ``out_dir/batch_id=N`` (overwrite of that folder: idempotent on
+    replay), so a batch costs in proportion to its own size; the snapshot is
+    the last version per hash over the log."""
     schema = T.StructType(list(S.RAW_COMMIT.fields) + [T.StructField("seq", T.LongType())])
     lines = text_stream(spark, source_dir, max_files_per_trigger)
     records = NM.normalise_commits(J.accepted(J.classify_ndjson(lines, schema, ["commit", "repo_name"])), keep=["seq"])
-    last = {"id": -1}
+    ran = {"n": 0}
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        latest = D.latest_by_key(batch, ["commit_hash"], "seq")
-        if batch_id > 0:
-            prev = spark.read.parquet(f"{out_dir}/v={batch_id - 1}")
-            latest = D.latest_by_key(prev.unionByName(latest), ["commit_hash"], "seq")
-        latest.write.mode("overwrite").parquet(f"{out_dir}/v={batch_id}")
-        last["id"] = batch_id
+    def append(batch: DataFrame, batch_id: int) -> None:
+        D.latest_by_key(batch, ["commit_hash"], "seq").write.mode("overwrite").parquet(
+            f"{out_dir}/batch_id={batch_id}"
+        )
+        ran["n"] += 1
 
     q = (
         records.writeStream.outputMode("append")
         .option("checkpointLocation", checkpoint_dir)
         .trigger(availableNow=True)
-        .foreachBatch(merge)
+        .foreachBatch(append)
         .start()
     )
     q.awaitTermination()
-    if last["id"] < 0:
-        return spark.createDataFrame([], T.StructType([T.StructField("seq", T.LongType())] + list(S.COMMITS.fields)))
-    return spark.read.parquet(f"{out_dir}/v={last['id']}")
+    if ran["n"] == 0:
+        return spark.createDataFrame([], records.schema)
+    return read_upsert_log(spark, out_dir)
 
 
 def _stage_lines(spark: SparkSession, lines: DataFrame, purpose: str) -> tuple[str, str, str]:
@@ -117,7 +148,7 @@ def stream_author_counts_from(spark: SparkSession, lines: DataFrame, max_files_p
     return stream_counts(
         spark, src, S.RAW_COMMIT, ["commit", "repo_name"],
         lambda recs: D.author_counts(NM.normalise_commits(recs)),
-        out, cp, max_files_per_trigger,
+        ["repo_name", "author_name"], out, cp, max_files_per_trigger,
     )
 
 
@@ -126,7 +157,7 @@ def stream_language_bytes_from(spark: SparkSession, lines: DataFrame, max_files_
     return stream_counts(
         spark, src, S.RAW_LANGUAGE, [],
         lambda recs: D.language_bytes(NM.unnest_languages(recs)),
-        out, cp, max_files_per_trigger,
+        ["name"], out, cp, max_files_per_trigger,
     )
 
 
