@@ -20,6 +20,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread_narrow_scan(df: DataFrame) -> DataFrame:
+    """Round-robin a scan over the session's cores when it yields fewer read
+    tasks than cores (the fixture tables are single-row-group files, so the
+    whole per-row pipeline after the scan would run in one task). A scan of a
+    large input has at least that many splits and is returned unchanged, so
+    no shuffle is added at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
+def scan(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
+    """The named columns of a table, spread over the cores if the scan is
+    narrower than the cluster (see :func:`spread_narrow_scan`)."""
+    return spread_narrow_scan(table(spark, sf_dir, name).select(*cols))
+
+
 # ---------------------------------------------------------------------------
 # Commits: orders are commits, the order priority is the repository, the
 # customer is the author and the order's line items are the changed files.
@@ -31,7 +49,7 @@ def _changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries array is one record's changed-file list, so its size is that of a
     single input record; consumers that need only the count never build it
     (Catalyst prunes the unused collect_list out of the aggregate)."""
-    li = table(spark, sf_dir, "lineitem").select(
+    li = scan(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag", "l_partkey").select(
         "l_orderkey",
         "l_linenumber",
         F.when(F.col("l_returnflag") == F.lit("N"), F.lit(""))
@@ -45,9 +63,7 @@ def _changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _commit_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"
-    )
+    orders = scan(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
     files = _changed_files(spark, sf_dir)
     return orders.join(files, orders.o_orderkey == files.l_orderkey, "left").join(
@@ -130,7 +146,8 @@ def commit_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     by (part, supplier), ordered by ``seq`` = (order key, line number, line
     status, return flag) packed into one integer. Line items that tie on all
     four yield identical records, so last-write-wins is deterministic."""
-    li = table(spark, sf_dir, "lineitem")
+    li = scan(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+              "l_returnflag", "l_linestatus")
     line = F.col("l_orderkey") * F.lit(100) + F.col("l_linenumber")
     status = F.when(F.col("l_linestatus") == F.lit("O"), F.lit(1)).otherwise(F.lit(0))
     flag = (
@@ -264,11 +281,11 @@ def raw_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commit-subject text: every document text."""
-    return table(spark, sf_dir, "documents").select(F.col("text").alias("subject"))
+    return scan(spark, sf_dir, "documents", "text").select(F.col("text").alias("subject"))
 
 
 def conversation_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select(F.col("text").alias("subject"))
+    return scan(spark, sf_dir, "conversations", "text").select(F.col("text").alias("subject"))
 
 
 
