@@ -11,6 +11,8 @@ a new folder and never overwrites a folder it reads in the same plan.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,12 +86,18 @@ def _layout(name: str, df: DataFrame):
     return df.write
 
 
-def write_tables(tables: dict[str, DataFrame], out_dir: str) -> dict[str, str]:
-    paths = {}
-    for name, df in tables.items():
-        path = f"{out_dir}/{name}"
-        _layout(name, df).mode("overwrite").parquet(path)
-        paths[name] = path
+def write_tables(tables: dict[str, DataFrame], out_dir: str, parallel_jobs: int = 4) -> dict[str, str]:
+    """Write every table under ``out_dir``. The tables are independent, so
+    their write jobs are submitted from a few driver threads at once and
+    share the cluster instead of running one after another."""
+    paths = {name: f"{out_dir}/{name}" for name in tables}
+
+    def write(name: str) -> None:
+        _layout(name, tables[name]).mode("overwrite").parquet(paths[name])
+
+    with ThreadPoolExecutor(max_workers=max(1, parallel_jobs)) as pool:
+        for done in [pool.submit(write, name) for name in tables]:
+            done.result()
     return paths
 
 

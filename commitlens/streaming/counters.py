@@ -143,7 +143,7 @@ def _stage_lines(spark: SparkSession, lines: DataFrame, purpose: str) -> tuple[s
     return f"{base}/source", f"{base}/sink", f"{base}/checkpoint"
 
 
-def stream_author_counts_from(spark: SparkSession, lines: DataFrame, max_files_per_trigger: int = 2) -> DataFrame:
+def stream_author_counts_from(spark: SparkSession, lines: DataFrame, max_files_per_trigger: int = 4) -> DataFrame:
     src, out, cp = _stage_lines(spark, lines, "stream-authors")
     return stream_counts(
         spark, src, S.RAW_COMMIT, ["commit", "repo_name"],
@@ -152,7 +152,7 @@ def stream_author_counts_from(spark: SparkSession, lines: DataFrame, max_files_p
     )
 
 
-def stream_language_bytes_from(spark: SparkSession, lines: DataFrame, max_files_per_trigger: int = 2) -> DataFrame:
+def stream_language_bytes_from(spark: SparkSession, lines: DataFrame, max_files_per_trigger: int = 4) -> DataFrame:
     src, out, cp = _stage_lines(spark, lines, "stream-languages")
     return stream_counts(
         spark, src, S.RAW_LANGUAGE, [],
@@ -161,6 +161,6 @@ def stream_language_bytes_from(spark: SparkSession, lines: DataFrame, max_files_
     )
 
 
-def stream_upsert_from(spark: SparkSession, lines: DataFrame, max_files_per_trigger: int = 2) -> DataFrame:
+def stream_upsert_from(spark: SparkSession, lines: DataFrame, max_files_per_trigger: int = 4) -> DataFrame:
     src, out, cp = _stage_lines(spark, lines, "stream-upsert")
     return stream_upsert(spark, src, out, cp, max_files_per_trigger).drop("seq")
