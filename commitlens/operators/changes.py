@@ -6,8 +6,8 @@ status row per change; callers write the snapshot to a new path. Within a
 batch, changes to the same key follow ``seq`` order: the first create of an
 absent key wins (``if_absent``) or the last one does (``upsert``); later
 deletes of an already deleted key are ``not_found``; updates of the same
-field keep the last value. A mixed batch is applied phase by phase
-(creates, then updates, then deletes).
+field keep the last value. A mixed batch (:func:`apply_sequential`) is
+applied exactly as one change after another.
 
 Per-key reductions are ``groupBy().agg(min/max_by)`` (partial aggregates), so
 a key that holds a third of the batch is reduced map-side; the key joins
@@ -209,13 +209,8 @@ def apply_deletes(base: DataFrame, changes: DataFrame) -> ChangeResult:
 
 
 def apply_changes(base: DataFrame, changes: DataFrame, create_mode: str = "if_absent") -> ChangeResult:
-    """Apply a mixed batch phase by phase: creates, updates, deletes."""
-    created = apply_creates(base, changes, create_mode)
-    updated = apply_updates(created.snapshot, changes)
-    deleted = apply_deletes(updated.snapshot, changes)
-    status = created.status.unionByName(updated.status).unionByName(deleted.status)
-    deltas = created.deltas.unionByName(deleted.deltas)
-    return ChangeResult(deleted.snapshot, status, deltas)
+    """Apply a mixed batch in ``seq`` order (see :func:`apply_sequential`)."""
+    return apply_sequential(base, changes, create_mode)
 
 
 def merge_counter_deltas(
@@ -227,3 +222,166 @@ def merge_counter_deltas(
     keys = list(keys)
     both = counts.select(*keys, value).unionByName(deltas.select(*keys, value))
     return both.groupBy(*keys).agg(F.sum(value).cast("bigint").alias(value))
+
+
+# ---------------------------------------------------------------------------
+# Exact sequential semantics for mixed batches.
+# ---------------------------------------------------------------------------
+def _existence_before(ops: DataFrame, base: DataFrame, chunk: int) -> DataFrame:
+    """For every change, whether its key exists just before it is applied.
+
+    Only creates and deletes change existence: after a valid create the key
+    exists (created or already there), after a delete it does not. So the
+    existence before a change is the effect of the last create/delete before
+    it, else whether the snapshot has the key. That "last before" is a prefix
+    scan per key, done in two levels so no task ever holds a whole key:
+    seq chunks of ``chunk`` values summarise their last effect (partial
+    aggregate), a window over one key's chunk summaries carries the effect
+    into each chunk, and a window over one (key, chunk) — at most ``chunk``
+    rows — resolves each change."""
+    from pyspark.sql import Window
+
+    effect = F.when(F.col("_sets"), F.col("_effect"))
+    tagged = ops.withColumn("_chunk", F.floor(F.col("seq") / F.lit(chunk)).cast("bigint"))
+    # every (key, chunk) holding a change gets a summary row (NULL when the
+    # chunk has no create/delete) so each change finds its chunk's entry
+    summary = tagged.groupBy("commit_hash", "_chunk").agg(
+        F.max_by(F.col("_effect"), F.when(F.col("_sets"), F.col("seq"))).alias("_chunk_last")
+    )
+    carried = summary.withColumn(
+        "_entering",
+        F.last("_chunk_last", ignorenulls=True).over(
+            Window.partitionBy("commit_hash").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        ),
+    ).select("commit_hash", "_chunk", "_entering")
+    within = Window.partitionBy("commit_hash", "_chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    resolved = (
+        tagged.withColumn("_prev_in_chunk", F.last(effect, ignorenulls=True).over(within))
+        .join(carried, ["commit_hash", "_chunk"], "left")
+        .join(_keys(base), "commit_hash", "left")
+    )
+    before = F.coalesce(F.col("_prev_in_chunk"), F.col("_entering"), F.col("_exists").isNotNull())
+    return resolved.withColumn("_exists_before", before).drop("_prev_in_chunk", "_entering", "_chunk")
+
+
+def apply_sequential(
+    base: DataFrame, changes: DataFrame, create_mode: str = "if_absent", chunk: int = 1 << 16
+) -> ChangeResult:
+    """Apply a mixed batch of creates, updates and deletes exactly as if one
+    change after another in ``seq`` order (``seq`` unique in the batch).
+
+    Statuses follow the single-change rules against the state at that point.
+    The final record of a key is the last record set by a successful create
+    (or the snapshot's record when none), with the successful updates that
+    follow it; a key whose last create/delete is a delete is gone. ``deltas``
+    are exact counter changes (the final snapshot's counts minus the
+    original's), so merged counters always equal recomputed ones."""
+    if create_mode not in ("if_absent", "upsert"):
+        raise ValueError("create_mode must be 'if_absent' or 'upsert'")
+    ch = changes.select(
+        "seq",
+        "op",
+        _strip("commit_hash").alias("commit_hash"),
+        "field",
+        "value",
+        _strip("repo_name").alias("repo_name"),
+        _strip("author_name").alias("author_name"),
+        "subject",
+        "message",
+    )
+    is_create, is_delete, is_update = (F.col("op") == F.lit(x) for x in ("create", "delete", "update"))
+    valid_create = is_create & truthy("repo_name") & truthy("author_name") & truthy("commit_hash")
+    ops = ch.withColumn("_sets", F.coalesce(valid_create | is_delete, F.lit(False))).withColumn(
+        "_effect", valid_create
+    )
+    ops = _existence_before(ops, base, chunk)
+    before = F.col("_exists_before")
+    status = (
+        F.when(is_create & ~valid_create, F.lit("invalid"))
+        .when(is_create & before & F.lit(create_mode == "if_absent"), F.lit("duplicate"))
+        .when(is_create, F.lit("created"))
+        .when(is_delete & before, F.lit("deleted"))
+        .when(is_delete, F.lit("not_found"))
+        .when(is_update, update_status(F.col("field"), F.when(before, F.lit(True)), F.col("value")))
+        .otherwise(F.lit("invalid_op"))
+    )
+    ops = ops.withColumn("status", status)
+    status_df = ops.select("seq", "op", "commit_hash", "status")
+
+    # per key: final existence, the last record-setting change (a created
+    # create, or a deleted delete which clears the record)
+    resets = ops.where(F.col("status").isin("created", "deleted"))
+    payload = F.struct(
+        F.col("seq").alias("seq"),
+        (F.col("status") == F.lit("created")).alias("is_create"),
+        "repo_name", "author_name", "subject", "message",
+    )
+    per_key = ops.groupBy("commit_hash").agg(
+        F.max_by(F.col("_effect"), F.when(F.col("_sets"), F.col("seq"))).alias("_final_effect")
+    )
+    anchors = resets.groupBy("commit_hash").agg(F.max_by(payload, F.col("seq")).alias("_anchor"))
+    upd = ops.where(F.col("status") == F.lit("updated")).join(
+        anchors.select("commit_hash", F.col("_anchor.seq").alias("_anchor_seq")), "commit_hash", "left"
+    )
+    upd = upd.where(F.col("_anchor_seq").isNull() | (F.col("seq") > F.col("_anchor_seq")))
+    aggs = []
+    for f in S.UPDATABLE_FIELDS:
+        is_f = F.col("field") == F.lit(f)
+        aggs.append(F.max_by(F.when(is_f, F.col("value")), F.when(is_f, F.col("seq"))).alias(f"_new_{f}"))
+        aggs.append(F.bool_or(is_f).alias(f"_set_{f}"))
+    pivot = upd.groupBy("commit_hash").agg(*aggs)
+    summary = per_key.join(anchors, "commit_hash", "left").join(pivot, "commit_hash", "left")
+
+    old = base.select(*[F.col(c).alias(f"_old_{c}") for c in S.COMMIT_COLUMNS])
+    joined = old.join(summary, old["_old_commit_hash"] == summary["commit_hash"], "full_outer")
+    key = F.coalesce(F.col("_old_commit_hash"), F.col("commit_hash"))
+    anchored_new = F.coalesce(F.col("_anchor.is_create"), F.lit(False))
+    exists_final = F.coalesce(F.col("_final_effect"), F.col("_old_commit_hash").isNotNull())
+
+    def start(name: str) -> Column:
+        """Value before the trailing updates: the created record or the old one."""
+        new_vals = {
+            "commit_hash": key,
+            "repo_name": F.col("_anchor.repo_name"),
+            "author_name": F.col("_anchor.author_name"),
+            "author_email": F.lit(S.DEFAULT_TEXT),
+            "committer_name": F.col("_anchor.author_name"),
+            "subject": F.coalesce(F.col("_anchor.subject"), F.lit(S.DEFAULT_TEXT)),
+            "message": F.coalesce(F.col("_anchor.message"), F.lit(S.DEFAULT_TEXT)),
+            "tree": F.lit(S.DEFAULT_TEXT),
+            "files_changed": F.array().cast("array<string>"),
+            "num_files_changed": F.lit(0).cast("bigint"),
+        }
+        return F.when(anchored_new, new_vals[name]).otherwise(F.col(f"_old_{name}"))
+
+    cols = []
+    for name in S.COMMIT_COLUMNS:
+        v = start(name)
+        if name in S.UPDATABLE_FIELDS:
+            new = F.col(f"_new_{name}")
+            if name in S.INTEGER_FIELDS:
+                new = strict_long(new)
+            v = F.when(F.coalesce(F.col(f"_set_{name}"), F.lit(False)), new).otherwise(v)
+        cols.append(v.alias(name))
+    final = joined.where(exists_final).select(*cols)
+
+    touched = joined.where(F.col("commit_hash").isNotNull())
+    before_row = F.when(
+        F.col("_old_commit_hash").isNotNull(),
+        F.struct(F.col("_old_repo_name").alias("repo_name"), F.col("_old_author_name").alias("author_name"),
+                 F.lit(-1).cast("bigint").alias("commit_count")),
+    )
+    after_cols = {c: v for c, v in zip(S.COMMIT_COLUMNS, cols)}
+    after_row = F.when(
+        exists_final,
+        F.struct(after_cols["repo_name"].alias("repo_name"), after_cols["author_name"].alias("author_name"),
+                 F.lit(1).cast("bigint").alias("commit_count")),
+    )
+    moves = touched.select(F.explode(F.filter(F.array(before_row, after_row), lambda x: x.isNotNull())).alias("m"))
+    deltas = (
+        moves.select("m.*")
+        .groupBy("repo_name", "author_name")
+        .agg(F.sum("commit_count").cast("bigint").alias("commit_count"))
+        .where(F.col("commit_count") != F.lit(0))
+    )
+    return ChangeResult(final, status_df, deltas)

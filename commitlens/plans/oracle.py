@@ -502,3 +502,121 @@ SELECT table_name, CAST(row_count AS BIGINT) AS row_count FROM (
                                                    AND license IS NOT NULL AND license <> ''
   UNION ALL SELECT 'license_counts', count(DISTINCT license) FROM lic WHERE license IS NOT NULL AND license <> ''
   UNION ALL SELECT 'language_bytes', count(DISTINCT name) FROM l)"""
+
+MIXED = """
+mk AS (SELECT o_orderkey AS k, o_custkey AS cust, o_orderpriority AS prio, o_orderstatus AS st FROM orders),
+ops AS (
+  SELECT k * 10 + 1 AS seq, 'delete' AS op, CAST(k AS VARCHAR) AS commit_hash, NULL AS field, NULL AS value,
+         NULL AS repo_name, NULL AS author_name, NULL AS subject FROM mk WHERE prio = '1-URGENT' AND st = 'O'
+  UNION ALL SELECT k * 10 + 2, 'create', CAST(k AS VARCHAR), NULL, NULL, prio, 'Author#' || CAST(cust AS VARCHAR),
+         'Recreated ' || CAST(k AS VARCHAR) FROM mk WHERE prio = '1-URGENT' AND st = 'O'
+  UNION ALL SELECT k * 10 + 3, 'update', CAST(k AS VARCHAR), 'subject', 'after ' || CAST(k AS VARCHAR), NULL, NULL, NULL
+         FROM mk WHERE prio = '1-URGENT' AND st = 'O'
+  UNION ALL SELECT k * 10 + 1, 'update', CAST(k AS VARCHAR), 'author_name', 'Temp', NULL, NULL, NULL
+         FROM mk WHERE prio = '2-HIGH' AND st = 'F'
+  UNION ALL SELECT k * 10 + 2, 'delete', CAST(k AS VARCHAR), NULL, NULL, NULL, NULL, NULL
+         FROM mk WHERE prio = '2-HIGH' AND st = 'F'
+  UNION ALL SELECT k * 10 + 1, 'create', 'mix-' || CAST(k AS VARCHAR), NULL, NULL, prio, 'New#' || CAST(cust AS VARCHAR), 'new'
+         FROM mk WHERE prio = '3-MEDIUM' AND st = 'O'
+  UNION ALL SELECT k * 10 + 2, 'update', 'mix-' || CAST(k AS VARCHAR), 'subject', 'edited', NULL, NULL, NULL
+         FROM mk WHERE prio = '3-MEDIUM' AND st = 'O'
+  UNION ALL SELECT k * 10 + 3, 'delete', 'mix-' || CAST(k AS VARCHAR), NULL, NULL, NULL, NULL, NULL
+         FROM mk WHERE prio = '3-MEDIUM' AND st = 'O'
+  UNION ALL SELECT k * 10 + 4, 'update', 'mix-' || CAST(k AS VARCHAR), 'tree', 'T', NULL, NULL, NULL
+         FROM mk WHERE prio = '3-MEDIUM' AND st = 'O'
+  UNION ALL SELECT k * 10 + 5, 'create', 'mix-' || CAST(k AS VARCHAR), NULL, NULL, prio, 'Again#' || CAST(cust AS VARCHAR), 'again'
+         FROM mk WHERE prio = '3-MEDIUM' AND st = 'O'
+  UNION ALL SELECT k * 10 + 1, 'create', CAST(k AS VARCHAR), NULL, NULL, prio, 'Dup', 'dup'
+         FROM mk WHERE prio = '4-NOT SPECIFIED' AND st = 'P'
+  UNION ALL SELECT k * 10 + 2, 'update', CAST(k AS VARCHAR), 'num_files_changed', 'x', NULL, NULL, NULL
+         FROM mk WHERE prio = '4-NOT SPECIFIED' AND st = 'P'
+  UNION ALL SELECT k * 10 + 3, 'update', CAST(k AS VARCHAR), 'tree', 'T', NULL, NULL, NULL
+         FROM mk WHERE prio = '4-NOT SPECIFIED' AND st = 'P'
+  UNION ALL SELECT k * 10 + 4, 'delete', 'gone-' || CAST(k AS VARCHAR), NULL, NULL, NULL, NULL, NULL
+         FROM mk WHERE prio = '4-NOT SPECIFIED' AND st = 'P'
+  UNION ALL SELECT k * 10 + 1, 'update', CAST(k AS VARCHAR), 'bogus', '1', NULL, NULL, NULL
+         FROM mk WHERE prio = '5-LOW' AND st = 'F'
+  UNION ALL SELECT k * 10 + 2, 'create', 'blank-' || CAST(k AS VARCHAR), NULL, NULL, prio, '  ', 'blank'
+         FROM mk WHERE prio = '5-LOW' AND st = 'F'
+),
+t AS (
+  SELECT *,
+         op = 'create' AND coalesce(trim(repo_name), '') <> '' AND coalesce(trim(author_name), '') <> '' AS valid,
+         CASE WHEN op = 'create' AND coalesce(trim(repo_name), '') <> '' AND coalesce(trim(author_name), '') <> ''
+              THEN TRUE WHEN op = 'delete' THEN FALSE END AS eff
+  FROM ops
+),
+e AS (
+  SELECT t.*,
+         coalesce(last_value(eff IGNORE NULLS) OVER (PARTITION BY commit_hash ORDER BY seq
+                                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                  commit_hash IN (SELECT commit_hash FROM commits)) AS before
+  FROM t
+),
+st AS (
+  SELECT *,
+         CASE WHEN op = 'create' AND NOT valid THEN 'invalid'
+              WHEN op = 'create' AND before THEN 'duplicate'
+              WHEN op = 'create' THEN 'created'
+              WHEN op = 'delete' AND before THEN 'deleted'
+              WHEN op = 'delete' THEN 'not_found'
+              WHEN field NOT IN ('repo_name', 'author_name', 'author_email', 'committer_name',
+                                 'subject', 'message', 'tree', 'num_files_changed') THEN 'invalid_field'
+              WHEN NOT before THEN 'not_found'
+              WHEN field = 'num_files_changed' AND TRY_CAST(value AS BIGINT) IS NULL THEN 'invalid_value'
+              ELSE 'updated' END AS status
+  FROM e
+)"""
+
+_MIXED_FINAL = f"""WITH {COMMITS}, {MIXED.strip()},
+fin AS (SELECT commit_hash, arg_max(eff, seq) AS exists_final FROM st WHERE eff IS NOT NULL GROUP BY commit_hash),
+anc AS (SELECT * FROM st WHERE status IN ('created', 'deleted')
+        QUALIFY row_number() OVER (PARTITION BY commit_hash ORDER BY seq DESC) = 1),
+upd AS (SELECT s.* FROM st s LEFT JOIN anc a ON a.commit_hash = s.commit_hash
+        WHERE s.status = 'updated' AND (a.seq IS NULL OR s.seq > a.seq)
+        QUALIFY row_number() OVER (PARTITION BY s.commit_hash, s.field ORDER BY s.seq DESC) = 1),
+p AS (SELECT commit_hash,
+             max(CASE WHEN field = 'subject' THEN value END) AS subject,
+             max(CASE WHEN field = 'author_name' THEN value END) AS author_name,
+             max(CASE WHEN field = 'tree' THEN value END) AS tree,
+             max(CASE WHEN field = 'num_files_changed' THEN value END) AS nfc,
+             bool_or(field = 'subject') AS set_subject, bool_or(field = 'author_name') AS set_author,
+             bool_or(field = 'tree') AS set_tree, bool_or(field = 'num_files_changed') AS set_nfc
+      FROM upd GROUP BY commit_hash),
+keys AS (SELECT commit_hash FROM commits UNION SELECT commit_hash FROM st),
+j AS (
+  SELECT k.commit_hash,
+         coalesce(f.exists_final, c.commit_hash IS NOT NULL) AS exists_final,
+         coalesce(a.op = 'create', FALSE) AS anchored,
+         c.repo_name AS o_repo, c.author_name AS o_author, c.author_email AS o_email,
+         c.committer_name AS o_committer, c.subject AS o_subject, c.message AS o_message, c.tree AS o_tree,
+         c.files_changed AS o_files, c.num_files_changed AS o_nfc,
+         trim(a.repo_name) AS a_repo, trim(a.author_name) AS a_author, a.subject AS a_subject,
+         p.subject AS p_subject, p.author_name AS p_author, p.tree AS p_tree, p.nfc AS p_nfc,
+         coalesce(p.set_subject, FALSE) AS set_subject, coalesce(p.set_author, FALSE) AS set_author,
+         coalesce(p.set_tree, FALSE) AS set_tree, coalesce(p.set_nfc, FALSE) AS set_nfc
+  FROM keys k LEFT JOIN commits c ON c.commit_hash = k.commit_hash
+  LEFT JOIN fin f ON f.commit_hash = k.commit_hash
+  LEFT JOIN anc a ON a.commit_hash = k.commit_hash
+  LEFT JOIN p ON p.commit_hash = k.commit_hash
+),
+final AS (
+  SELECT commit_hash,
+         CASE WHEN anchored THEN a_repo ELSE o_repo END AS repo_name,
+         CASE WHEN set_author THEN p_author WHEN anchored THEN a_author ELSE o_author END AS author_name,
+         CASE WHEN anchored THEN '' ELSE o_email END AS author_email,
+         CASE WHEN anchored THEN a_author ELSE o_committer END AS committer_name,
+         CASE WHEN set_subject THEN p_subject WHEN anchored THEN coalesce(a_subject, '') ELSE o_subject END AS subject,
+         CASE WHEN anchored THEN '' ELSE o_message END AS message,
+         CASE WHEN set_tree THEN p_tree WHEN anchored THEN '' ELSE o_tree END AS tree,
+         CASE WHEN anchored THEN '' ELSE o_files END AS files_changed,
+         CASE WHEN set_nfc THEN CAST(p_nfc AS BIGINT) WHEN anchored THEN CAST(0 AS BIGINT) ELSE o_nfc END
+           AS num_files_changed
+  FROM j WHERE exists_final
+)"""
+
+SQL["mixed_changes"] = f"""WITH {COMMITS}, {MIXED.strip()}
+SELECT seq, op, commit_hash, status FROM st"""
+SQL["mixed_changes_snapshot"] = f"{_MIXED_FINAL} SELECT {COMMIT_COLS} FROM final"
+SQL["mixed_changes_counts"] = f"""{_MIXED_FINAL}
+SELECT repo_name, author_name, CAST(count(*) AS BIGINT) AS commit_count FROM final GROUP BY ALL"""

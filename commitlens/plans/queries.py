@@ -337,6 +337,24 @@ def q_delete_batch_snapshot(spark, sf):
     return render_commits(CH.apply_deletes(B.commits_table(spark, sf), B.delete_changes(spark, sf)).snapshot)
 
 
+def _mixed(spark, sf):
+    return CH.apply_changes(B.commits_table(spark, sf), B.mixed_changes(spark, sf), "if_absent")
+
+
+def q_mixed_changes(spark, sf):
+    return _mixed(spark, sf).status
+
+
+def q_mixed_changes_snapshot(spark, sf):
+    return render_commits(_mixed(spark, sf).snapshot)
+
+
+def q_mixed_changes_counts(spark, sf):
+    base = B.commits_table(spark, sf)
+    res = CH.apply_changes(base, B.mixed_changes(spark, sf), "if_absent")
+    return CH.merge_counter_deltas(D.author_counts(base), res.deltas).where(F.col("commit_count") > F.lit(0))
+
+
 def _after_changes(spark, sf):
     base = B.commits_table(spark, sf)
     batch = B.create_changes(spark, sf).unionByName(B.delete_changes(spark, sf))

@@ -444,3 +444,48 @@ def purge_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _orders(spark, sf_dir).where(F.col("o_orderpriority") == F.lit("3-MEDIUM"))
     key = F.col("o_orderkey")
     return _change(o, key * 10 + 1, "delete", key.cast("string"))
+
+
+def mixed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mixed batch where one key sees several changes in order:
+    urgent open orders are deleted, re-created and edited; high finished
+    orders are edited then deleted; medium open orders get a new key that is
+    created, edited, deleted, edited again (missing) and created again;
+    pending not-specified orders get a duplicate create, a bad integer, a
+    valid edit and a delete of a missing key; low finished orders get a
+    disallowed field and a create with a blank author."""
+    o = _orders(spark, sf_dir)
+    key, prio, st, cust = F.col("o_orderkey"), F.col("o_orderpriority"), F.col("o_orderstatus"), F.col("o_custkey")
+    k = key.cast("string")
+    mix = F.concat(F.lit("mix-"), k)
+    urgent = o.where((prio == F.lit("1-URGENT")) & (st == F.lit("O")))
+    high = o.where((prio == F.lit("2-HIGH")) & (st == F.lit("F")))
+    medium = o.where((prio == F.lit("3-MEDIUM")) & (st == F.lit("O")))
+    pending = o.where((prio == F.lit("4-NOT SPECIFIED")) & (st == F.lit("P")))
+    low = o.where((prio == F.lit("5-LOW")) & (st == F.lit("F")))
+    parts = [
+        _change(urgent, key * 10 + 1, "delete", k),
+        _change(urgent, key * 10 + 2, "create", k, repo=prio,
+                author=F.concat(F.lit("Author#"), cust.cast("string")), subject=F.concat(F.lit("Recreated "), k)),
+        _change(urgent, key * 10 + 3, "update", k, F.lit("subject"), F.concat(F.lit("after "), k)),
+        _change(high, key * 10 + 1, "update", k, F.lit("author_name"), F.lit("Temp")),
+        _change(high, key * 10 + 2, "delete", k),
+        _change(medium, key * 10 + 1, "create", mix, repo=prio,
+                author=F.concat(F.lit("New#"), cust.cast("string")), subject=F.lit("new")),
+        _change(medium, key * 10 + 2, "update", mix, F.lit("subject"), F.lit("edited")),
+        _change(medium, key * 10 + 3, "delete", mix),
+        _change(medium, key * 10 + 4, "update", mix, F.lit("tree"), F.lit("T")),
+        _change(medium, key * 10 + 5, "create", mix, repo=prio,
+                author=F.concat(F.lit("Again#"), cust.cast("string")), subject=F.lit("again")),
+        _change(pending, key * 10 + 1, "create", k, repo=prio, author=F.lit("Dup"), subject=F.lit("dup")),
+        _change(pending, key * 10 + 2, "update", k, F.lit("num_files_changed"), F.lit("x")),
+        _change(pending, key * 10 + 3, "update", k, F.lit("tree"), F.lit("T")),
+        _change(pending, key * 10 + 4, "delete", F.concat(F.lit("gone-"), k)),
+        _change(low, key * 10 + 1, "update", k, F.lit("bogus"), F.lit("1")),
+        _change(low, key * 10 + 2, "create", F.concat(F.lit("blank-"), k), repo=prio, author=F.lit("  "),
+                subject=F.lit("blank")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
