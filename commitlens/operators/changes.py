@@ -308,29 +308,32 @@ def apply_sequential(
     ops = ops.withColumn("status", status)
     status_df = ops.select("seq", "op", "commit_hash", "status")
 
-    # per key: final existence, the last record-setting change (a created
-    # create, or a deleted delete which clears the record)
-    resets = ops.where(F.col("status").isin("created", "deleted"))
+    # One pass per key: final existence (last create/delete), the anchor
+    # (last successful create, or a successful delete, which clears the
+    # record) and per field the last successful update. An update survives
+    # into the final record only if it comes after the anchor, and the last
+    # update of a field decides that for the field, so no second pass over
+    # the changes is needed.
+    reset = F.col("status").isin("created", "deleted")
     payload = F.struct(
         F.col("seq").alias("seq"),
         (F.col("status") == F.lit("created")).alias("is_create"),
         "repo_name", "author_name", "subject", "message",
     )
-    per_key = ops.groupBy("commit_hash").agg(
-        F.max_by(F.col("_effect"), F.when(F.col("_sets"), F.col("seq"))).alias("_final_effect")
-    )
-    anchors = resets.groupBy("commit_hash").agg(F.max_by(payload, F.col("seq")).alias("_anchor"))
-    upd = ops.where(F.col("status") == F.lit("updated")).join(
-        anchors.select("commit_hash", F.col("_anchor.seq").alias("_anchor_seq")), "commit_hash", "left"
-    )
-    upd = upd.where(F.col("_anchor_seq").isNull() | (F.col("seq") > F.col("_anchor_seq")))
-    aggs = []
+    aggs = [
+        F.max_by(F.col("_effect"), F.when(F.col("_sets"), F.col("seq"))).alias("_final_effect"),
+        F.max_by(F.when(reset, payload), F.when(reset, F.col("seq"))).alias("_anchor"),
+    ]
     for f in S.UPDATABLE_FIELDS:
-        is_f = F.col("field") == F.lit(f)
-        aggs.append(F.max_by(F.when(is_f, F.col("value")), F.when(is_f, F.col("seq"))).alias(f"_new_{f}"))
-        aggs.append(F.bool_or(is_f).alias(f"_set_{f}"))
-    pivot = upd.groupBy("commit_hash").agg(*aggs)
-    summary = per_key.join(anchors, "commit_hash", "left").join(pivot, "commit_hash", "left")
+        upd_f = (F.col("status") == F.lit("updated")) & (F.col("field") == F.lit(f))
+        aggs.append(F.max_by(F.when(upd_f, F.col("value")), F.when(upd_f, F.col("seq"))).alias(f"_new_{f}"))
+        aggs.append(F.max(F.when(upd_f, F.col("seq"))).alias(f"_seq_{f}"))
+    summary = ops.groupBy("commit_hash").agg(*aggs)
+    after_anchor = {
+        f: F.col(f"_seq_{f}").isNotNull()
+        & (F.col("_anchor").isNull() | (F.col(f"_seq_{f}") > F.col("_anchor.seq")))
+        for f in S.UPDATABLE_FIELDS
+    }
 
     old = base.select(*[F.col(c).alias(f"_old_{c}") for c in S.COMMIT_COLUMNS])
     joined = old.join(summary, old["_old_commit_hash"] == summary["commit_hash"], "full_outer")
@@ -361,7 +364,7 @@ def apply_sequential(
             new = F.col(f"_new_{name}")
             if name in S.INTEGER_FIELDS:
                 new = strict_long(new)
-            v = F.when(F.coalesce(F.col(f"_set_{name}"), F.lit(False)), new).otherwise(v)
+            v = F.when(F.coalesce(after_anchor[name], F.lit(False)), new).otherwise(v)
         cols.append(v.alias(name))
     final = joined.where(exists_final).select(*cols)
 

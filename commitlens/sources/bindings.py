@@ -327,25 +327,33 @@ def commit_lines(spark: SparkSession, sf_dir: str, explicit_nulls: bool = False)
 # Change batches (seq, op, commit_hash, field, value, repo_name, author_name,
 # subject, message) derived from orders.
 # ---------------------------------------------------------------------------
-def _change(df: DataFrame, seq, op, key, field=None, value=None, repo=None, author=None, subject=None) -> DataFrame:
+def _changes_from(o: DataFrame, specs: list[tuple]) -> DataFrame:
+    """Changes generated from one scan of ``o``: each spec is
+    ``(condition, seq, op, key, field, value, repo, author, subject)``; a row
+    emits one change per spec whose condition holds (explode of a filtered
+    array, no union of scans)."""
     none = F.lit(None).cast("string")
-    return df.select(
-        seq.cast("bigint").alias("seq"),
-        F.lit(op).alias("op"),
-        key.alias("commit_hash"),
-        (field if field is not None else none).alias("field"),
-        (value if value is not None else none).alias("value"),
-        (repo if repo is not None else none).alias("repo_name"),
-        (author if author is not None else none).alias("author_name"),
-        (subject if subject is not None else none).alias("subject"),
-        none.alias("message"),
-    )
+
+    def change(seq, op, key, field, value, repo, author, subject):
+        return F.struct(
+            seq.cast("bigint").alias("seq"),
+            F.lit(op).alias("op"),
+            key.alias("commit_hash"),
+            (field if field is not None else none).alias("field"),
+            (value if value is not None else none).alias("value"),
+            (repo if repo is not None else none).alias("repo_name"),
+            (author if author is not None else none).alias("author_name"),
+            (subject if subject is not None else none).alias("subject"),
+            none.alias("message"),
+        )
+
+    items = [F.when(cond, change(*rest)) for cond, *rest in specs]
+    emitted = F.filter(F.array(*items), lambda c: c.isNotNull())
+    return o.select(F.inline(emitted))
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"
-    )
+    return scan(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
 
 
 def create_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -354,26 +362,18 @@ def create_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     low-priority orders create their new hash twice."""
     o = _orders(spark, sf_dir)
     key, prio, st = F.col("o_orderkey"), F.col("o_orderpriority"), F.col("o_orderstatus")
-    new_key = F.concat(F.lit("new-"), key.cast("string"))
+    k = key.cast("string")
+    new_key = F.concat(F.lit("new-"), k)
     author = F.concat(F.lit("Author#"), F.col("o_custkey").cast("string"))
-    existing = _change(
-        o.where((prio == F.lit("1-URGENT")) & (st == F.lit("O"))),
-        key * 10 + 1, "create", key.cast("string"),
-        repo=prio, author=author, subject=F.concat(F.lit("Recreate "), key.cast("string")),
-    )
-    fresh = _change(
-        o.where(prio == F.lit("5-LOW")),
-        key * 10 + 2, "create", new_key,
-        repo=prio,
-        author=F.when(st == F.lit("P"), F.lit("   ")).otherwise(author),
-        subject=F.concat(F.lit("Create "), key.cast("string")),
-    )
-    again = _change(
-        o.where((prio == F.lit("5-LOW")) & (st == F.lit("F"))),
-        key * 10 + 7, "create", new_key,
-        repo=prio, author=F.lit("Second Author"), subject=F.concat(F.lit("Create again "), key.cast("string")),
-    )
-    return existing.unionByName(fresh).unionByName(again)
+    low = prio == F.lit("5-LOW")
+    return _changes_from(o, [
+        ((prio == F.lit("1-URGENT")) & (st == F.lit("O")), key * 10 + 1, "create", k, None, None,
+         prio, author, F.concat(F.lit("Recreate "), k)),
+        (low, key * 10 + 2, "create", new_key, None, None,
+         prio, F.when(st == F.lit("P"), F.lit("   ")).otherwise(author), F.concat(F.lit("Create "), k)),
+        (low & (st == F.lit("F")), key * 10 + 7, "create", new_key, None, None,
+         prio, F.lit("Second Author"), F.concat(F.lit("Create again "), k)),
+    ])
 
 
 def update_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -385,28 +385,22 @@ def update_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, prio, st = F.col("o_orderkey"), F.col("o_orderpriority"), F.col("o_orderstatus")
     k = key.cast("string")
     missing = F.concat(F.lit("missing-"), k)
-    parts = [
-        _change(o.where((prio == F.lit("2-HIGH")) & (st == F.lit("O"))), key * 10 + 1, "update", k,
-                F.lit("subject"), F.concat(F.lit("edited "), k)),
-        _change(o.where((prio == F.lit("2-HIGH")) & (st == F.lit("O"))), key * 10 + 2, "update", k,
-                F.lit("subject"), F.concat(F.lit("edited twice "), k)),
-        _change(o.where((prio == F.lit("3-MEDIUM")) & (st == F.lit("F"))), key * 10 + 3, "update", k,
-                F.lit("num_files_changed"), F.lit("7")),
-        _change(o.where((prio == F.lit("3-MEDIUM")) & (st == F.lit("O"))), key * 10 + 4, "update", k,
-                F.lit("num_files_changed"), F.lit("seven")),
-        _change(o.where((prio == F.lit("4-NOT SPECIFIED")) & (st == F.lit("P"))), key * 10 + 5, "update", k,
-                F.lit("commit_hash"), F.lit("x")),
-        _change(o.where((prio == F.lit("5-LOW")) & (st == F.lit("P"))), key * 10 + 6, "update", missing,
-                F.lit("subject"), F.lit("nobody")),
-        _change(o.where((prio == F.lit("5-LOW")) & (st == F.lit("F"))), key * 10 + 7, "update", missing,
-                F.lit("bogus"), F.lit("1")),
-        _change(o.where((prio == F.lit("1-URGENT")) & (st == F.lit("F"))), key * 10 + 8, "update", k,
-                F.lit("author_name"), F.lit("Renamed Author")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    lit = F.lit
+
+    def at(p, s_):
+        return (prio == lit(p)) & (st == lit(s_))
+
+    return _changes_from(o, [
+        (at("2-HIGH", "O"), key * 10 + 1, "update", k, lit("subject"), F.concat(lit("edited "), k), None, None, None),
+        (at("2-HIGH", "O"), key * 10 + 2, "update", k, lit("subject"), F.concat(lit("edited twice "), k),
+         None, None, None),
+        (at("3-MEDIUM", "F"), key * 10 + 3, "update", k, lit("num_files_changed"), lit("7"), None, None, None),
+        (at("3-MEDIUM", "O"), key * 10 + 4, "update", k, lit("num_files_changed"), lit("seven"), None, None, None),
+        (at("4-NOT SPECIFIED", "P"), key * 10 + 5, "update", k, lit("commit_hash"), lit("x"), None, None, None),
+        (at("5-LOW", "P"), key * 10 + 6, "update", missing, lit("subject"), lit("nobody"), None, None, None),
+        (at("5-LOW", "F"), key * 10 + 7, "update", missing, lit("bogus"), lit("1"), None, None, None),
+        (at("1-URGENT", "F"), key * 10 + 8, "update", k, lit("author_name"), lit("Renamed Author"), None, None, None),
+    ])
 
 
 def delete_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -415,15 +409,13 @@ def delete_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _orders(spark, sf_dir)
     key, prio, st = F.col("o_orderkey"), F.col("o_orderpriority"), F.col("o_orderstatus")
     k = key.cast("string")
-    doomed = o.where((prio == F.lit("4-NOT SPECIFIED")) & (st == F.lit("F")))
-    return (
-        _change(doomed, key * 10 + 1, "delete", k)
-        .unionByName(_change(doomed, key * 10 + 2, "delete", k))
-        .unionByName(
-            _change(o.where((prio == F.lit("1-URGENT")) & (st == F.lit("P"))), key * 10 + 3, "delete",
-                    F.concat(F.lit("missing-"), k))
-        )
-    )
+    doomed = (prio == F.lit("4-NOT SPECIFIED")) & (st == F.lit("F"))
+    return _changes_from(o, [
+        (doomed, key * 10 + 1, "delete", k, None, None, None, None, None),
+        (doomed, key * 10 + 2, "delete", k, None, None, None, None, None),
+        ((prio == F.lit("1-URGENT")) & (st == F.lit("P")), key * 10 + 3, "delete", F.concat(F.lit("missing-"), k),
+         None, None, None, None, None),
+    ])
 
 
 def lookup_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -441,9 +433,12 @@ def lookup_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def purge_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deletes of every commit of the medium-priority repository."""
-    o = _orders(spark, sf_dir).where(F.col("o_orderpriority") == F.lit("3-MEDIUM"))
+    o = _orders(spark, sf_dir)
     key = F.col("o_orderkey")
-    return _change(o, key * 10 + 1, "delete", key.cast("string"))
+    return _changes_from(o, [
+        (F.col("o_orderpriority") == F.lit("3-MEDIUM"), key * 10 + 1, "delete", key.cast("string"),
+         None, None, None, None, None),
+    ])
 
 
 def mixed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -458,34 +453,29 @@ def mixed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, prio, st, cust = F.col("o_orderkey"), F.col("o_orderpriority"), F.col("o_orderstatus"), F.col("o_custkey")
     k = key.cast("string")
     mix = F.concat(F.lit("mix-"), k)
-    urgent = o.where((prio == F.lit("1-URGENT")) & (st == F.lit("O")))
-    high = o.where((prio == F.lit("2-HIGH")) & (st == F.lit("F")))
-    medium = o.where((prio == F.lit("3-MEDIUM")) & (st == F.lit("O")))
-    pending = o.where((prio == F.lit("4-NOT SPECIFIED")) & (st == F.lit("P")))
-    low = o.where((prio == F.lit("5-LOW")) & (st == F.lit("F")))
-    parts = [
-        _change(urgent, key * 10 + 1, "delete", k),
-        _change(urgent, key * 10 + 2, "create", k, repo=prio,
-                author=F.concat(F.lit("Author#"), cust.cast("string")), subject=F.concat(F.lit("Recreated "), k)),
-        _change(urgent, key * 10 + 3, "update", k, F.lit("subject"), F.concat(F.lit("after "), k)),
-        _change(high, key * 10 + 1, "update", k, F.lit("author_name"), F.lit("Temp")),
-        _change(high, key * 10 + 2, "delete", k),
-        _change(medium, key * 10 + 1, "create", mix, repo=prio,
-                author=F.concat(F.lit("New#"), cust.cast("string")), subject=F.lit("new")),
-        _change(medium, key * 10 + 2, "update", mix, F.lit("subject"), F.lit("edited")),
-        _change(medium, key * 10 + 3, "delete", mix),
-        _change(medium, key * 10 + 4, "update", mix, F.lit("tree"), F.lit("T")),
-        _change(medium, key * 10 + 5, "create", mix, repo=prio,
-                author=F.concat(F.lit("Again#"), cust.cast("string")), subject=F.lit("again")),
-        _change(pending, key * 10 + 1, "create", k, repo=prio, author=F.lit("Dup"), subject=F.lit("dup")),
-        _change(pending, key * 10 + 2, "update", k, F.lit("num_files_changed"), F.lit("x")),
-        _change(pending, key * 10 + 3, "update", k, F.lit("tree"), F.lit("T")),
-        _change(pending, key * 10 + 4, "delete", F.concat(F.lit("gone-"), k)),
-        _change(low, key * 10 + 1, "update", k, F.lit("bogus"), F.lit("1")),
-        _change(low, key * 10 + 2, "create", F.concat(F.lit("blank-"), k), repo=prio, author=F.lit("  "),
-                subject=F.lit("blank")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    urgent = (prio == F.lit("1-URGENT")) & (st == F.lit("O"))
+    high = (prio == F.lit("2-HIGH")) & (st == F.lit("F"))
+    medium = (prio == F.lit("3-MEDIUM")) & (st == F.lit("O"))
+    pending = (prio == F.lit("4-NOT SPECIFIED")) & (st == F.lit("P"))
+    low = (prio == F.lit("5-LOW")) & (st == F.lit("F"))
+    lit = F.lit
+    return _changes_from(o, [
+        (urgent, key * 10 + 1, "delete", k, None, None, None, None, None),
+        (urgent, key * 10 + 2, "create", k, None, None, prio,
+         F.concat(lit("Author#"), cust.cast("string")), F.concat(lit("Recreated "), k)),
+        (urgent, key * 10 + 3, "update", k, lit("subject"), F.concat(lit("after "), k), None, None, None),
+        (high, key * 10 + 1, "update", k, lit("author_name"), lit("Temp"), None, None, None),
+        (high, key * 10 + 2, "delete", k, None, None, None, None, None),
+        (medium, key * 10 + 1, "create", mix, None, None, prio, F.concat(lit("New#"), cust.cast("string")), lit("new")),
+        (medium, key * 10 + 2, "update", mix, lit("subject"), lit("edited"), None, None, None),
+        (medium, key * 10 + 3, "delete", mix, None, None, None, None, None),
+        (medium, key * 10 + 4, "update", mix, lit("tree"), lit("T"), None, None, None),
+        (medium, key * 10 + 5, "create", mix, None, None, prio, F.concat(lit("Again#"), cust.cast("string")),
+         lit("again")),
+        (pending, key * 10 + 1, "create", k, None, None, prio, lit("Dup"), lit("dup")),
+        (pending, key * 10 + 2, "update", k, lit("num_files_changed"), lit("x"), None, None, None),
+        (pending, key * 10 + 3, "update", k, lit("tree"), lit("T"), None, None, None),
+        (pending, key * 10 + 4, "delete", F.concat(lit("gone-"), k), None, None, None, None, None),
+        (low, key * 10 + 1, "update", k, lit("bogus"), lit("1"), None, None, None),
+        (low, key * 10 + 2, "create", F.concat(lit("blank-"), k), None, None, prio, lit("  "), lit("blank")),
+    ])
