@@ -7,6 +7,7 @@ from commitlens.functions.scalars import (  # noqa: F401
     bucket_label,
     code_point_length,
     default_if_null,
+    json_text,
     lenient_long,
     new_paths,
     preview,

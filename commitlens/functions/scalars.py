@@ -118,3 +118,9 @@ def share_percent(value: str | Column, total: str | Column) -> Column:
 def preview(col: str | Column, n: int) -> Column:
     """First n characters, the display truncation of the text reports."""
     return F.substring(_c(col), 1, n)
+
+
+def json_text(col: str | Column) -> Column:
+    """JSON text of a value (an array becomes ``["a","b"]``), the form a
+    key-value store keeps a list field in."""
+    return F.to_json(_c(col))

@@ -620,3 +620,17 @@ SELECT seq, op, commit_hash, status FROM st"""
 SQL["mixed_changes_snapshot"] = f"{_MIXED_FINAL} SELECT {COMMIT_COLS} FROM final"
 SQL["mixed_changes_counts"] = f"""{_MIXED_FINAL}
 SELECT repo_name, author_name, CAST(count(*) AS BIGINT) AS commit_count FROM final GROUP BY ALL"""
+
+SQL["commit_hash_records"] = """
+WITH lp AS (
+  SELECT l_orderkey, l_linenumber,
+         CASE WHEN l_returnflag = 'N' THEN '' ELSE 'f/' || CAST(l_partkey AS VARCHAR) END AS new_path
+  FROM lineitem),
+f AS (SELECT l_orderkey, count(*) AS n,
+             list(new_path ORDER BY l_linenumber, new_path) FILTER (WHERE new_path <> '') AS files
+      FROM lp GROUP BY l_orderkey)
+SELECT CAST(o.o_orderkey AS VARCHAR) AS commit_hash, o.o_orderpriority AS repo_name,
+       CASE WHEN o.o_orderstatus = 'P' THEN 'unknown' ELSE coalesce(c.c_name, 'unknown') END AS author_name,
+       coalesce(CAST(to_json(f.files) AS VARCHAR), '[]') AS files_changed,
+       CAST(coalesce(f.n, 0) AS BIGINT) AS num_files_changed
+FROM orders o LEFT JOIN f ON f.l_orderkey = o.o_orderkey LEFT JOIN customer c ON c.c_custkey = o.o_custkey"""

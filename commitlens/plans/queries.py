@@ -98,6 +98,14 @@ def q_commits_from_ndjson(spark, sf):
     return render_commits(NM.normalise_commits(J.accepted(classified)))
 
 
+def q_commit_hash_records(spark, sf):
+    from commitlens.functions import json_text
+
+    c = B.commits_table(spark, sf)
+    return c.select("commit_hash", "repo_name", "author_name",
+                    json_text("files_changed").alias("files_changed"), "num_files_changed")
+
+
 def q_commits_keep_nulls(spark, sf):
     lines = B.commit_lines(spark, sf, explicit_nulls=True)
     classified = J.classify_ndjson(lines, S.RAW_COMMIT, ["commit", "repo_name"])

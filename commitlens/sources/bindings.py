@@ -26,10 +26,12 @@ def spread_narrow_scan(df: DataFrame) -> DataFrame:
     whole per-row pipeline after the scan would run in one task). A scan of a
     large input has at least that many splits and is returned unchanged, so
     no shuffle is added at scale."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        narrow = df.rdd.getNumPartitions() < cores
+    except Exception:  # no RDD view (e.g. a Spark Connect session): leave as is
         return df
-    return df.repartition(cores)
+    return df.repartition(cores) if narrow else df
 
 
 def scan(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
