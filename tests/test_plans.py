@@ -63,3 +63,54 @@ def test_count_only_consumers_do_not_build_file_arrays(spark):
         assert "collect_list" not in p
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def _no_aqe(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+
+
+def _aqe(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_last_write_wins_reduces_before_shuffle(spark):
+    _no_aqe(spark)
+    try:
+        p = plan(queries()["commits_latest_by_hash"](spark, SF_SMALL))
+        # the plan prints top-down: the partial aggregate sits below the
+        # exchange, so a hot hash leaves each task as one row
+        assert "partial_max_by" in p and p.rfind("Exchange hashpartitioning") < p.rfind("partial_max_by")
+    finally:
+        _aqe(spark)
+
+
+def test_zero_fill_broadcasts_only_the_bounded_counts(spark):
+    _no_aqe(spark)
+    try:
+        p = plan(queries()["watch_tiers_dense"](spark, SF_SMALL))
+        assert "BroadcastHashJoin" in p and "LeftOuter, BuildRight" in p
+    finally:
+        _aqe(spark)
+
+
+def test_sequential_batch_never_windows_a_whole_key(spark):
+    from commitlens.operators import changes as CH
+
+    _no_aqe(spark)
+    try:
+        res = CH.apply_changes(B.commits_table(spark, SF_SMALL), B.mixed_changes(spark, SF_SMALL))
+        p = plan(res.status)
+        # the per-change window is partitioned by (key, chunk), not by key alone
+        assert "windowspecdefinition(commit_hash#" in p and "_chunk#" in p
+        assert "partial_max_by" in p
+    finally:
+        _aqe(spark)
+
+
+def test_spread_is_a_no_op_for_wide_scans(spark):
+    from commitlens.sources.bindings import spread_narrow_scan
+
+    wide = spark.range(0, 1000, numPartitions=spark.sparkContext.defaultParallelism)
+    assert spread_narrow_scan(wide) is wide
+    narrow = spark.range(0, 1000, numPartitions=1)
+    assert spread_narrow_scan(narrow).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
