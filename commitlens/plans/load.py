@@ -177,3 +177,57 @@ def load_and_count(spark: SparkSession, **raw: DataFrame) -> DataFrame:
         c = c.select(F.lit(name).alias("table_name"), "row_count")
         counts = c if counts is None else counts.unionByName(c)
     return counts
+
+
+# Source files of a load folder and what each holds (fixed names).
+SOURCE_FILES = {
+    "commits": "Sample_Commits.json",
+    "repos": "Sample_Repos.json",
+    "licenses": "Licenses.json",
+    "languages": "Languages.json",
+}
+
+
+def load_from_files(
+    spark: SparkSession, in_dir: str, out_dir: str, mode: str = "refresh", prior_dir: str | None = None
+) -> dict[str, str]:
+    """Load the NDJSON source files of ``in_dir`` (any that exist) into the
+    canonical and derived tables under ``out_dir``, plus a ``rejects`` table
+    (source, outcome, line_count) accounting for every line read.
+
+    Commit records carry their file order (``line_order``), so a hash that
+    repeats keeps its last line."""
+    import os
+
+    from commitlens import schemas as S
+    from commitlens.sources import ndjson as J
+
+    specs = {
+        "commits": (S.RAW_COMMIT, ["commit", "repo_name"]),
+        "repos": (S.RAW_REPO, ["repo_name"]),
+        "licenses": (S.RAW_LICENSE, []),
+        "languages": (S.RAW_LANGUAGE, []),
+    }
+    raw: dict[str, DataFrame] = {}
+    rejects = None
+    for name, (schema, required) in specs.items():
+        path = f"{in_dir.rstrip('/')}/{SOURCE_FILES[name]}"
+        if "://" not in path and not os.path.exists(path):
+            continue
+        classified = J.read_ndjson(spark, path, schema, required)
+        recs = J.accepted(classified)
+        if name == "commits":
+            recs = recs.withColumnRenamed("line_order", "seq")
+        raw[name] = recs
+        counts = J.reject_counts(classified).select(F.lit(name).alias("source"), "*")
+        rejects = counts if rejects is None else rejects.unionByName(counts)
+    paths = load_all(
+        spark, out_dir,
+        raw_commits=raw.get("commits"), raw_repos=raw.get("repos"),
+        raw_licenses=raw.get("licenses"), raw_languages=raw.get("languages"),
+        mode=mode, prior_dir=prior_dir,
+    )
+    if rejects is not None:
+        rejects.write.mode("overwrite").parquet(f"{out_dir}/rejects")
+        paths["rejects"] = f"{out_dir}/rejects"
+    return paths

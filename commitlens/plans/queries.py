@@ -19,9 +19,8 @@ from commitlens.operators import derive as D
 from commitlens.operators import histograms as H
 from commitlens.operators import lookup as L
 from commitlens.operators import names as N
-from commitlens.operators import ranking as R
-from commitlens.operators import text as TX
 from commitlens.plans import load as LD
+from commitlens.plans import reports as RP
 from commitlens.sources import bindings as B
 from commitlens.sources import ndjson as J
 from commitlens.sources import normalise as NM
@@ -45,11 +44,11 @@ def render_commits(df: DataFrame) -> DataFrame:
 
 # --- words -------------------------------------------------------------
 def q_top_words(spark, sf):
-    return TX.top_words(B.subjects(spark, sf), "subject")
+    return RP.word_report(B.subjects(spark, sf))
 
 
 def q_top_words_conversations(spark, sf):
-    return TX.top_words(B.conversation_subjects(spark, sf), "subject")
+    return RP.word_report(B.conversation_subjects(spark, sf))
 
 
 # --- contributors ------------------------------------------------------
@@ -58,9 +57,7 @@ def _author_counts(spark, sf):
 
 
 def _contributors(counts, repo, ties, positive_only):
-    in_repo = counts.where(F.col("repo_name") == F.lit(repo)).select("author_name", "commit_count")
-    top = R.top_k(in_repo, "commit_count", "author_name", S.TOP_CONTRIBUTORS, ties=ties, positive_only=positive_only)
-    return R.with_report_columns(top, "commit_count", S.BAR_WIDTH_CONTRIBUTORS)
+    return RP.commit_activity(counts, repo, S.TOP_CONTRIBUTORS, ties=ties, positive_only=positive_only)
 
 
 def q_top_contributors_redis(spark, sf):
@@ -72,9 +69,7 @@ def q_top_contributors_cassandra(spark, sf):
 
 
 def q_top_contributors_per_repo(spark, sf):
-    top = R.top_k(_author_counts(spark, sf), "commit_count", "author_name", S.TOP_CONTRIBUTORS,
-                  partition_by="repo_name")
-    return R.with_report_columns(top, "commit_count", S.BAR_WIDTH_CONTRIBUTORS, partition_by="repo_name")
+    return RP.commit_activity_all(_author_counts(spark, sf))
 
 
 def q_author_counts(spark, sf):
@@ -182,9 +177,7 @@ def q_licenses_accept_counts(spark, sf):
 
 
 def _license_report(raw, ties, positive_only):
-    counts = D.license_counts(NM.normalise_licenses(raw))
-    top = R.top_k(counts, "repo_count", "license_name", S.TOP_LICENSES, ties=ties, positive_only=positive_only)
-    return R.with_report_columns(top, "repo_count", S.BAR_WIDTH_LICENSES, share=True)
+    return RP.license_report(D.license_counts(NM.normalise_licenses(raw)), ties=ties, positive_only=positive_only)
 
 
 def q_top_licenses_redis(spark, sf):
@@ -217,8 +210,7 @@ def q_language_bytes(spark, sf):
 
 
 def q_top_languages(spark, sf):
-    return R.top_k(D.language_bytes(NM.unnest_languages(B.raw_languages(spark, sf))),
-                   "total_bytes", "name", S.TOP_LANGUAGES, ties="desc")
+    return RP.language_report(D.language_bytes(NM.unnest_languages(B.raw_languages(spark, sf))))
 
 
 # --- watch counts ------------------------------------------------------
