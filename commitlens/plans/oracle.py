@@ -634,3 +634,14 @@ SELECT CAST(o.o_orderkey AS VARCHAR) AS commit_hash, o.o_orderpriority AS repo_n
        coalesce(CAST(to_json(f.files) AS VARCHAR), '[]') AS files_changed,
        CAST(coalesce(f.n, 0) AS BIGINT) AS num_files_changed
 FROM orders o LEFT JOIN f ON f.l_orderkey = o.o_orderkey LEFT JOIN customer c ON c.c_custkey = o.o_custkey"""
+
+SQL["file_load_rejects"] = """
+WITH o AS (
+  SELECT CASE WHEN c_mktsegment = 'BUILDING' THEN 'blank'
+              WHEN c_mktsegment = 'AUTOMOBILE' THEN 'malformed'
+              WHEN c_mktsegment = 'FURNITURE' AND c_nationkey < 5 THEN 'missing_key'
+              ELSE 'accepted' END AS outcome
+  FROM customer),
+d AS (SELECT * FROM (VALUES ('accepted'), ('blank'), ('malformed'), ('missing_key')) AS t(outcome))
+SELECT 'repos' AS source, d.outcome, CAST(count(o.outcome) AS BIGINT) AS line_count
+FROM d LEFT JOIN o ON o.outcome = d.outcome GROUP BY d.outcome"""

@@ -167,6 +167,15 @@ def q_ingest_reject_counts(spark, sf):
     return J.reject_counts(_repo_classified(spark, sf))
 
 
+def q_file_load_rejects(spark, sf):
+    from commitlens.session import work_dir
+
+    base = work_dir(spark, "file-load")
+    B.repo_lines(spark, sf).write.mode("overwrite").text(f"{base}/in/{LD.SOURCE_FILES['repos']}")
+    paths = LD.load_from_files(spark, f"{base}/in", f"{base}/out")
+    return spark.read.parquet(paths["rejects"])
+
+
 # --- licenses ----------------------------------------------------------
 def q_licenses_rows(spark, sf):
     return NM.normalise_licenses(B.raw_licenses_parts(spark, sf), require_repo=True)

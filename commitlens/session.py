@@ -28,6 +28,31 @@ DEFAULT_CONF = {
 }
 
 
+def cluster_conf(total_cores: int) -> dict[str, str]:
+    """Settings for a large cluster (e.g. 1000 executors over ~100 TB).
+
+    * shuffle partitions: about 3 per core, so a stage runs in ~3 waves and
+      every partition stays well below executor memory; AQE coalesces the
+      small ones after each stage, so a small query does not pay for them;
+    * input splits of 256 MB: fewer, larger scan tasks for wide parquet;
+    * skew join: a partition 5x the median and over 256 MB is split, so a
+      key holding a third of the rows does not land in one task;
+    * broadcast only below 64 MB, decided by Spark's size estimate or, with
+      AQE, the measured shuffle size."""
+    return {
+        "spark.sql.shuffle.partitions": str(max(200, 3 * total_cores)),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
+        "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 * 1024 * 1024),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    }
+
+
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "commitlens", **conf) -> SparkSession:
     b = SparkSession.builder.master(master).appName(app)
     settings = dict(DEFAULT_CONF)
