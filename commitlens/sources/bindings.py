@@ -20,18 +20,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread_narrow_scan(df: DataFrame) -> DataFrame:
-    """Round-robin a scan over the session's cores when it yields fewer read
-    tasks than cores (the fixture tables are single-row-group files, so the
-    whole per-row pipeline after the scan would run in one task). A scan of a
-    large input has at least that many splits and is returned unchanged, so
-    no shuffle is added at scale."""
+# Largest input (Spark's plan-size estimate of the projected scan) that may
+# be round-robin spread; anything larger is never reshuffled.
+SPREAD_MAX_BYTES = 512 * 1024 * 1024
+
+
+def spread_narrow_scan(df: DataFrame, max_bytes: int = SPREAD_MAX_BYTES) -> DataFrame:
+    """Round-robin a small scan over the session's cores when it yields fewer
+    read tasks than cores. The fixture tables are single-row-group files, so
+    the whole per-row pipeline after their scan would otherwise run in one
+    task. Only inputs whose estimated size is at most ``max_bytes`` qualify,
+    so the added shuffle is bounded; a large input keeps its own splits and
+    is returned unchanged."""
     try:
         cores = df.sparkSession.sparkContext.defaultParallelism
-        narrow = df.rdd.getNumPartitions() < cores
-    except Exception:  # no RDD view (e.g. a Spark Connect session): leave as is
+        if df.rdd.getNumPartitions() >= cores:
+            return df
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # no RDD/plan view (e.g. a Spark Connect session): leave as is
         return df
-    return df.repartition(cores) if narrow else df
+    return df.repartition(cores) if size <= max_bytes else df
 
 
 def scan(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:

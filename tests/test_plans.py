@@ -114,3 +114,5 @@ def test_spread_is_a_no_op_for_wide_scans(spark):
     assert spread_narrow_scan(wide) is wide
     narrow = spark.range(0, 1000, numPartitions=1)
     assert spread_narrow_scan(narrow).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    # a narrow scan above the size bound is never reshuffled
+    assert spread_narrow_scan(narrow, max_bytes=10) is narrow
