@@ -88,3 +88,10 @@ def test_delta_merge_equals_recompute(spark):
     merged = CH.merge_counter_deltas(D.author_counts(base), res.deltas).where(F.col("commit_count") > 0)
     recomputed = D.author_counts(res.snapshot)
     assert merged.exceptAll(recomputed).count() == 0 and recomputed.exceptAll(merged).count() == 0
+
+
+def test_repos_loaded_sticky_after_delete(spark):
+    base = base_df(spark)
+    res = CH.apply_deletes(base, changes_df(spark, [dict(op="delete", commit_hash="c1")]))
+    assert D.loaded_repos(res.snapshot).count() == 0
+    assert rows(D.loaded_repos(res.snapshot, prior=D.loaded_repos(base))) == [("r",)]

@@ -92,3 +92,23 @@ def test_name_stats_empty_and_lengths(spark):
     assert (st.min_length, st.max_length, st.total) == (1, 4, 3)
     assert [r.repo_name for r in N.longest_names(df, 2).orderBy("rank").collect()] == ["abcd", "a\U0001F600b"]
     assert [r.repo_name for r in N.shortest_names(df, 1).collect()] == ["x"]
+
+
+def test_author_search_is_unicode_case_insensitive_regex(spark):
+    from commitlens import schemas as S
+    from commitlens.operators import lookup as L
+
+    recs = [(h, "r", a, "", a, "s", "", "", [], 0) for h, a in
+            [("h1", "Élodie"), ("h2", "élodie"), ("h3", "Bob"), ("h4", "bobby"), ("h5", "Eve")]]
+    commits = spark.createDataFrame(recs, S.COMMITS)
+    assert [r.commit_hash for r in L.search_author(commits, "ÉLO").collect()] == ["h1", "h2"]
+    # the text is a pattern, matched anywhere in the name; first n by hash
+    assert [r.commit_hash for r in L.search_author(commits, "^bob", n=1).collect()] == ["h3"]
+    with pytest.raises(ValueError):
+        L.search_author(commits, "x", n=0)
+
+
+def test_average_is_a_raw_double(spark):
+    df = repos_df(spark, [("ab", 1), ("abcd", 1), ("a", 1), ("abcdefg", 1)])
+    st = N.name_stats(df).collect()[0]
+    assert st.avg_length == 3.5 and isinstance(st.avg_length, float)
