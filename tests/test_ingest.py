@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from commitlens import schemas as S
 from commitlens.operators import derive as D
