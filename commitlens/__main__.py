@@ -36,9 +36,11 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = build_session(args.master)
     if args.cmd == "load":
-        paths = LD.load_from_files(spark, args.in_dir, args.out_dir, args.mode, args.prior)
+        written: dict = {}
+        paths = LD.load_from_files(spark, args.in_dir, args.out_dir, args.mode, args.prior, metrics=written)
         for name in sorted(paths):
-            print(f"{name}: {paths[name]}")
+            rows = f" ({written[name]:,} rows)" if name in written else ""
+            print(f"{name}: {paths[name]}{rows}")
         if "rejects" in paths:
             spark.read.parquet(paths["rejects"]).orderBy("source", "outcome").show(truncate=False)
         return 0

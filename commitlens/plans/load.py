@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from commitlens.operators import derive as D
@@ -70,34 +70,46 @@ def derive_tables(
     return out
 
 
-def _layout(name: str, df: DataFrame):
-    """Physical layout per table: the tier table is partitioned by tier and
-    sorted by (watch_count DESC, repo) inside files; the per-repo copy is
-    range-partitioned on (repo, hash) so a hot repository spreads over many
-    files while each file stays sorted (min/max skipping for one-repo reads)."""
+def _layout(name: str, df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Physical layout per table, as (frame to write, partition columns):
+    the tier table is partitioned by tier and sorted by (watch_count DESC,
+    repo) inside files; the per-repo copy is range-partitioned on (repo,
+    hash) so a hot repository spreads over many files while each file stays
+    sorted (min/max skipping for one-repo reads)."""
     if name == "repos_by_tier":
-        return df.sortWithinPartitions("watch_tier", F.col("watch_count").desc(), "repo_name").write.partitionBy(
-            "watch_tier"
-        )
+        return df.sortWithinPartitions("watch_tier", F.col("watch_count").desc(), "repo_name"), ["watch_tier"]
     if name == "commits_by_repo":
-        return df.repartitionByRange("repo_name", "commit_hash").sortWithinPartitions(
-            "repo_name", "commit_hash"
-        ).write
-    return df.write
+        return df.repartitionByRange("repo_name", "commit_hash").sortWithinPartitions("repo_name", "commit_hash"), []
+    return df, []
 
 
-def write_tables(tables: dict[str, DataFrame], out_dir: str, parallel_jobs: int = 4) -> dict[str, str]:
+def write_tables(
+    tables: dict[str, DataFrame], out_dir: str, parallel_jobs: int = 4, metrics: dict | None = None
+) -> dict[str, str]:
     """Write every table under ``out_dir``. The tables are independent, so
     their write jobs are submitted from a few driver threads at once and
-    share the cluster instead of running one after another."""
+    share the cluster instead of running one after another.
+
+    If ``metrics`` is a dict it receives ``{table: rows_written}``, observed
+    on the writes themselves (``DataFrame.observe``): the load summary costs
+    no second pass over the data."""
     paths = {name: f"{out_dir}/{name}" for name in tables}
+    observations = {}
 
     def write(name: str) -> None:
-        _layout(name, tables[name]).mode("overwrite").parquet(paths[name])
+        df, partition_cols = _layout(name, tables[name])
+        if metrics is not None:
+            # observed above the layout, so a range partitioner's sampling
+            # pass is not counted
+            observations[name] = Observation(f"load_{name}")
+            df = df.observe(observations[name], F.count(F.lit(1)).alias("rows"))
+        df.write.partitionBy(*partition_cols).mode("overwrite").parquet(paths[name])
 
     with ThreadPoolExecutor(max_workers=max(1, parallel_jobs)) as pool:
         for done in [pool.submit(write, name) for name in tables]:
             done.result()
+    if metrics is not None:
+        metrics.update({name: int(obs.get["rows"]) for name, obs in observations.items()})
     return paths
 
 
@@ -134,9 +146,11 @@ def load_all(
     raw_languages: DataFrame | None = None,
     mode: str = "refresh",
     prior_dir: str | None = None,
+    metrics: dict | None = None,
 ) -> dict[str, str]:
     """Normalise the given raw inputs, derive every table and write them.
-    Returns table name -> path."""
+    Returns table name -> path; ``metrics`` (a dict) receives the rows
+    written per table."""
     if mode not in ("refresh", "accumulate"):
         raise ValueError("mode must be 'refresh' or 'accumulate'")
     tables = derive_tables(
@@ -149,7 +163,7 @@ def load_all(
         if prior_dir is None:
             raise ValueError("accumulate needs prior_dir")
         tables = accumulate(spark, prior_dir, tables)
-    return write_tables(tables, out_dir)
+    return write_tables(tables, out_dir, metrics=metrics)
 
 
 def reload_license_counts(spark: SparkSession, raw_licenses: DataFrame, mode: str) -> DataFrame:
@@ -189,7 +203,8 @@ SOURCE_FILES = {
 
 
 def load_from_files(
-    spark: SparkSession, in_dir: str, out_dir: str, mode: str = "refresh", prior_dir: str | None = None
+    spark: SparkSession, in_dir: str, out_dir: str, mode: str = "refresh", prior_dir: str | None = None,
+    metrics: dict | None = None,
 ) -> dict[str, str]:
     """Load the NDJSON source files of ``in_dir`` (any that exist) into the
     canonical and derived tables under ``out_dir``, plus a ``rejects`` table
@@ -225,7 +240,7 @@ def load_from_files(
         spark, out_dir,
         raw_commits=raw.get("commits"), raw_repos=raw.get("repos"),
         raw_licenses=raw.get("licenses"), raw_languages=raw.get("languages"),
-        mode=mode, prior_dir=prior_dir,
+        mode=mode, prior_dir=prior_dir, metrics=metrics,
     )
     if rejects is not None:
         rejects.write.mode("overwrite").parquet(f"{out_dir}/rejects")

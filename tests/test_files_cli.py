@@ -23,7 +23,10 @@ def _write_sources(spark, folder):
 def test_load_from_files_matches_batch_tables(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     _write_sources(spark, src)
-    paths = LD.load_from_files(spark, src, out)
+    written = {}
+    paths = LD.load_from_files(spark, src, out, metrics=written)
+    for name, n in written.items():  # observed on the write = read back
+        assert spark.read.parquet(paths[name]).count() == n
     commits = spark.read.parquet(paths["commits"])
     want = B.commits_table(spark, SF_SMALL)
     got = commits.select(*want.columns)
