@@ -29,6 +29,18 @@ REJECT_REASONS = ["blank", "malformed", "missing_key"]
 # Characters a line is stripped of before the blank test.
 _WHITESPACE = " \t\r\n\x0b\x0c"
 
+# Strict JSON, as a standard JSON decoder reads it: no single-quoted
+# strings, comments, unquoted names or leading zeros (NaN/Infinity allowed).
+JSON_OPTIONS = {
+    "mode": "PERMISSIVE",
+    "columnNameOfCorruptRecord": CORRUPT_COL,
+    "allowSingleQuotes": "false",
+    "allowComments": "false",
+    "allowUnquotedFieldNames": "false",
+    "allowNumericLeadingZeros": "false",
+    "allowNonNumericNumbers": "true",
+}
+
 
 def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Lines of text files as ``value`` plus a ``line_order`` struct that
@@ -59,11 +71,7 @@ def classify_ndjson(
     raw line (``_line``) and a reject reason (``_reason``, NULL if accepted)."""
     passthrough = [c for c in lines.columns if c != value_col]
     raw = F.col(value_col)
-    rec = F.from_json(
-        raw,
-        with_corrupt(schema),
-        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT_COL},
-    )
+    rec = F.from_json(raw, with_corrupt(schema), JSON_OPTIONS)
     parsed = lines.select(*passthrough, raw.alias(LINE_COL), rec.alias("_rec"))
     key_ok: Column = F.lit(True)
     for k in required:
