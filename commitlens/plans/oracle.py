@@ -645,3 +645,14 @@ WITH o AS (
 d AS (SELECT * FROM (VALUES ('accepted'), ('blank'), ('malformed'), ('missing_key')) AS t(outcome))
 SELECT 'repos' AS source, d.outcome, CAST(count(o.outcome) AS BIGINT) AS line_count
 FROM d LEFT JOIN o ON o.outcome = d.outcome GROUP BY d.outcome"""
+
+SQL["top_words_commits"] = f"""
+WITH {COMMITS},
+w AS (SELECT unnest(string_split(lower(subject), ' ')) AS word FROM commits),
+c AS (SELECT word, CAST(count(*) AS BIGINT) AS word_count FROM w
+      WHERE word NOT IN ({STOP_LIST}) AND regexp_matches(word, '^[^\\n]{{3,}}\\n?$')
+      GROUP BY word),
+t AS (SELECT word, word_count,
+             CAST(row_number() OVER (ORDER BY word_count DESC, word ASC) AS BIGINT) AS rank
+      FROM c QUALIFY rank <= {S.TOP_WORDS})
+SELECT word, word_count, rank, {_bar('word_count', S.BAR_WIDTH_WORDS)} AS bar_length FROM t"""

@@ -47,6 +47,10 @@ def q_top_words(spark, sf):
     return RP.word_report(B.subjects(spark, sf))
 
 
+def q_top_words_commits(spark, sf):
+    return RP.word_report(B.commits_table(spark, sf))
+
+
 def q_top_words_conversations(spark, sf):
     return RP.word_report(B.conversation_subjects(spark, sf))
 
