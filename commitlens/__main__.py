@@ -1,6 +1,10 @@
 """Command line: load NDJSON source files into tables, then print reports.
 
     python -m commitlens load --in data/ --out tables/ [--mode refresh|accumulate --prior old/]
+    python -m commitlens apply --tables tables/ --changes changes.json --out tables2/ [--mode if_absent|upsert]
+    python -m commitlens read --tables tables/ --hash H
+    python -m commitlens list --tables tables/ --repo R [--top N]
+    python -m commitlens search --tables tables/ --author PATTERN [--top N]
     python -m commitlens report words|activity|licenses|languages|watch|tiers|names|repos \
         --tables tables/ [--repo NAME] [--top N] [--ties asc|desc]
 
@@ -25,6 +29,18 @@ def main(argv: list[str] | None = None) -> int:
     ld.add_argument("--out", dest="out_dir", required=True)
     ld.add_argument("--mode", default="refresh", choices=["refresh", "accumulate"])
     ld.add_argument("--prior", default=None)
+    chg = sub.add_parser("apply")
+    chg.add_argument("--tables", required=True)
+    chg.add_argument("--changes", required=True)
+    chg.add_argument("--out", dest="out_dir", required=True)
+    chg.add_argument("--mode", default="if_absent", choices=["if_absent", "upsert"])
+    for name in ("read", "list", "search"):
+        rec = sub.add_parser(name)
+        rec.add_argument("--tables", required=True)
+        rec.add_argument("--hash", default=None)
+        rec.add_argument("--repo", default=None)
+        rec.add_argument("--author", default=None)
+        rec.add_argument("--top", type=int, default=10)
     rp = sub.add_parser("report")
     rp.add_argument("name", choices=["words", "activity", "licenses", "languages", "watch", "tiers", "names", "repos"])
     rp.add_argument("--tables", required=True)
@@ -45,9 +61,34 @@ def main(argv: list[str] | None = None) -> int:
             spark.read.parquet(paths["rejects"]).orderBy("source", "outcome").show(truncate=False)
         return 0
 
+    if args.cmd == "apply":
+        written: dict = {}
+        paths = LD.apply_change_file(spark, args.tables, args.changes, args.out_dir, args.mode, metrics=written)
+        for name in sorted(paths):
+            print(f"{name}: {paths[name]} ({written.get(name, 0):,} rows)")
+        status = spark.read.parquet(paths["change_status"])
+        status.groupBy("op", "status").count().orderBy("op", "status").show(truncate=False)
+        return 0
+
     def t(name):
         return spark.read.parquet(f"{args.tables.rstrip('/')}/{name}")
 
+    if args.cmd in ("read", "list", "search"):
+        from pyspark.sql import functions as F
+
+        from commitlens.operators import lookup as L
+
+        commits = t("commits")
+        if args.cmd == "read":
+            out = L.read_record(commits, args.hash).withColumn("files_changed", F.to_json("files_changed"))
+        elif args.cmd == "list":
+            out = L.list_by_repo(commits, args.repo, args.top)
+        else:
+            out = L.search_author(commits, args.author, args.top).select(
+                "commit_hash", "repo_name", "author_name", "subject")
+        out.show(args.top, truncate=False)
+        return 0
+
     kw = {} if args.top is None else {"n": args.top}
     if args.ties:
         kw["ties"] = args.ties

@@ -246,3 +246,36 @@ def load_from_files(
         rejects.write.mode("overwrite").parquet(f"{out_dir}/rejects")
         paths["rejects"] = f"{out_dir}/rejects"
     return paths
+
+
+def apply_change_file(
+    spark: SparkSession,
+    tables_dir: str,
+    changes_path: str,
+    out_dir: str,
+    create_mode: str = "if_absent",
+    metrics: dict | None = None,
+) -> dict[str, str]:
+    """Apply an NDJSON change batch (fields of ``schemas.CHANGES``; ``seq``
+    orders the changes) to the commits snapshot under ``tables_dir`` and
+    write a new table folder ``out_dir``: the new ``commits`` snapshot, its
+    recomputed ``commits_by_repo``, ``author_counts`` and ``repos_loaded``,
+    the per-change ``change_status`` and the ``change_rejects`` line counts.
+    The old folder is only read, never overwritten."""
+    from commitlens import schemas as S
+    from commitlens.operators import changes as CH
+    from commitlens.sources import ndjson as J
+
+    base = spark.read.parquet(f"{tables_dir.rstrip('/')}/commits")
+    classified = J.read_ndjson(spark, changes_path, S.CHANGES, ["op"])
+    batch = J.accepted(classified).drop("line_order")
+    res = CH.apply_changes(base, batch, create_mode)
+    tables = {
+        "commits": res.snapshot,
+        "commits_by_repo": D.commits_by_repo(res.snapshot),
+        "author_counts": D.author_counts(res.snapshot),
+        "repos_loaded": D.loaded_repos(res.snapshot),
+        "change_status": res.status,
+        "change_rejects": J.reject_counts(classified),
+    }
+    return write_tables(tables, out_dir, metrics=metrics)

@@ -62,3 +62,34 @@ def test_cli_load_and_reports(spark, tmp_path, capsys):
     assert main(["report", "activity", "--tables", out, "--repo", "1-URGENT", "--ties", "desc", "--top", "3"]) == 0
     shown = capsys.readouterr().out
     assert "word_count" in shown and "watch_tier" in shown and "1-URGENT" in shown
+
+
+def test_cli_change_file_and_record_commands(spark, tmp_path, capsys):
+    import json
+
+    src, out, out2 = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "out2")
+    _write_sources(spark, src)
+    assert main(["load", "--in", src, "--out", out]) == 0
+    changes = [
+        {"seq": 1, "op": "create", "commit_hash": "new-1", "repo_name": "9-NEW", "author_name": "Ann", "subject": "hi"},
+        {"seq": 2, "op": "update", "commit_hash": "new-1", "field": "subject", "value": "hello"},
+        {"seq": 3, "op": "delete", "commit_hash": "1"},
+        {"seq": 4, "op": "delete", "commit_hash": "1"},
+        {"seq": 5, "op": "update", "commit_hash": "new-1", "field": "bogus", "value": "x"},
+    ]
+    path = tmp_path / "changes.json"
+    path.write_text("\n".join(json.dumps(c) for c in changes) + "\nnot json\n")
+    assert main(["apply", "--tables", out, "--changes", str(path), "--out", out2]) == 0
+    status = {r.seq: r.status for r in spark.read.parquet(f"{out2}/change_status").collect()}
+    assert status == {1: "created", 2: "updated", 3: "deleted", 4: "not_found", 5: "invalid_field"}
+    snap = spark.read.parquet(f"{out2}/commits")
+    assert snap.where("commit_hash = '1'").count() == 0
+    assert snap.where("commit_hash = 'new-1'").collect()[0].subject == "hello"
+    assert spark.read.parquet(f"{out2}/repos_loaded").where("repo_name = '9-NEW'").count() == 1
+    rejects = {r.outcome: r.line_count for r in spark.read.parquet(f"{out2}/change_rejects").collect()}
+    assert rejects["malformed"] == 1 and rejects["accepted"] == 5
+    assert main(["read", "--tables", out2, "--hash", "new-1"]) == 0
+    assert main(["list", "--tables", out2, "--repo", "2-HIGH", "--top", "3"]) == 0
+    assert main(["search", "--tables", out2, "--author", "customer#0000000[0-4]"]) == 0
+    shown = capsys.readouterr().out
+    assert "hello" in shown and "created" in shown
