@@ -270,12 +270,17 @@ def apply_change_file(
     classified = J.read_ndjson(spark, changes_path, S.CHANGES, ["op"])
     batch = J.accepted(classified).drop("line_order")
     res = CH.apply_changes(base, batch, create_mode)
-    tables = {
-        "commits": res.snapshot,
-        "commits_by_repo": D.commits_by_repo(res.snapshot),
-        "author_counts": D.author_counts(res.snapshot),
-        "repos_loaded": D.loaded_repos(res.snapshot),
-        "change_status": res.status,
-        "change_rejects": J.reject_counts(classified),
+    # The snapshot is written first and the derived tables are read from it:
+    # the change pipeline runs once and the written table cuts the lineage.
+    paths = write_tables(
+        {"commits": res.snapshot, "change_status": res.status, "change_rejects": J.reject_counts(classified)},
+        out_dir, metrics=metrics,
+    )
+    snapshot = spark.read.parquet(paths["commits"])
+    derived = {
+        "commits_by_repo": D.commits_by_repo(snapshot),
+        "author_counts": D.author_counts(snapshot),
+        "repos_loaded": D.loaded_repos(snapshot),
     }
-    return write_tables(tables, out_dir, metrics=metrics)
+    paths.update(write_tables(derived, out_dir, metrics=metrics))
+    return paths

@@ -656,3 +656,5 @@ t AS (SELECT word, word_count,
              CAST(row_number() OVER (ORDER BY word_count DESC, word ASC) AS BIGINT) AS rank
       FROM c QUALIFY rank <= {S.TOP_WORDS})
 SELECT word, word_count, rank, {_bar('word_count', S.BAR_WIDTH_WORDS)} AS bar_length FROM t"""
+
+SQL["change_file_status"] = SQL["mixed_changes"]

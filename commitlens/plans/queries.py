@@ -358,6 +358,19 @@ def q_mixed_changes(spark, sf):
     return _mixed(spark, sf).status
 
 
+def q_change_file_status(spark, sf):
+    from commitlens.session import work_dir
+
+    base = work_dir(spark, "change-file")
+    B.commits_table(spark, sf).write.mode("overwrite").parquet(f"{base}/tables/commits")
+    batch = B.mixed_changes(spark, sf)
+    batch.select(F.to_json(F.struct(*batch.columns)).alias("value")).write.mode("overwrite").text(
+        f"{base}/changes"
+    )
+    paths = LD.apply_change_file(spark, f"{base}/tables", f"{base}/changes", f"{base}/out")
+    return spark.read.parquet(paths["change_status"])
+
+
 def q_mixed_changes_snapshot(spark, sf):
     return render_commits(_mixed(spark, sf).snapshot)
 
