@@ -264,18 +264,14 @@ def _existence_before(ops: DataFrame, base: DataFrame, chunk: int) -> DataFrame:
     return resolved.withColumn("_exists_before", before).drop("_prev_in_chunk", "_entering", "_chunk")
 
 
-def apply_sequential(
+def sequence_changes(
     base: DataFrame, changes: DataFrame, create_mode: str = "if_absent", chunk: int = 1 << 16
-) -> ChangeResult:
-    """Apply a mixed batch of creates, updates and deletes exactly as if one
-    change after another in ``seq`` order (``seq`` unique in the batch).
-
-    Statuses follow the single-change rules against the state at that point.
-    The final record of a key is the last record set by a successful create
-    (or the snapshot's record when none), with the successful updates that
-    follow it; a key whose last create/delete is a delete is gone. ``deltas``
-    are exact counter changes (the final snapshot's counts minus the
-    original's), so merged counters always equal recomputed ones."""
+) -> DataFrame:
+    """Every change of a mixed batch with its status, as if the changes were
+    applied one after another in ``seq`` order (``seq`` unique in the batch).
+    The result keeps what :func:`finalize_sequence` needs (the change fields
+    and the ``_sets`` / ``_effect`` flags), so it can be written once and
+    finished from storage."""
     if create_mode not in ("if_absent", "upsert"):
         raise ValueError("create_mode must be 'if_absent' or 'upsert'")
     ch = changes.select(
@@ -305,9 +301,12 @@ def apply_sequential(
         .when(is_update, update_status(F.col("field"), F.when(before, F.lit(True)), F.col("value")))
         .otherwise(F.lit("invalid_op"))
     )
-    ops = ops.withColumn("status", status)
-    status_df = ops.select("seq", "op", "commit_hash", "status")
+    return ops.withColumn("status", status).drop("_exists_before", "_exists")
+
 
+def finalize_sequence(base: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The new snapshot and the exact counter deltas of a sequenced batch
+    (the output of :func:`sequence_changes`)."""
     # One pass per key: final existence (last create/delete), the anchor
     # (last successful create, or a successful delete, which clears the
     # record) and per field the last successful update. An update survives
@@ -387,4 +386,21 @@ def apply_sequential(
         .agg(F.sum("commit_count").cast("bigint").alias("commit_count"))
         .where(F.col("commit_count") != F.lit(0))
     )
-    return ChangeResult(final, status_df, deltas)
+    return final, deltas
+
+
+def apply_sequential(
+    base: DataFrame, changes: DataFrame, create_mode: str = "if_absent", chunk: int = 1 << 16
+) -> ChangeResult:
+    """Apply a mixed batch of creates, updates and deletes exactly as if one
+    change after another in ``seq`` order (``seq`` unique in the batch).
+
+    Statuses follow the single-change rules against the state at that point.
+    The final record of a key is the last record set by a successful create
+    (or the snapshot's record when none), with the successful updates that
+    follow it; a key whose last create/delete is a delete is gone. ``deltas``
+    are exact counter changes (the final snapshot's counts minus the
+    original's), so merged counters always equal recomputed ones."""
+    ops = sequence_changes(base, changes, create_mode, chunk)
+    snapshot, deltas = finalize_sequence(base, ops)
+    return ChangeResult(snapshot, ops.select("seq", "op", "commit_hash", "status"), deltas)

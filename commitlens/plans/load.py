@@ -260,7 +260,8 @@ def apply_change_file(
     orders the changes) to the commits snapshot under ``tables_dir`` and
     write a new table folder ``out_dir``: the new ``commits`` snapshot, its
     recomputed ``commits_by_repo``, ``author_counts`` and ``repos_loaded``,
-    the per-change ``change_status`` and the ``change_rejects`` line counts.
+    the per-change ``change_status`` (and the fuller ``change_log``) and the
+    ``change_rejects`` line counts.
     The old folder is only read, never overwritten."""
     from commitlens import schemas as S
     from commitlens.operators import changes as CH
@@ -269,13 +270,18 @@ def apply_change_file(
     base = spark.read.parquet(f"{tables_dir.rstrip('/')}/commits")
     classified = J.read_ndjson(spark, changes_path, S.CHANGES, ["op"])
     batch = J.accepted(classified).drop("line_order")
-    res = CH.apply_changes(base, batch, create_mode)
-    # The snapshot is written first and the derived tables are read from it:
-    # the change pipeline runs once and the written table cuts the lineage.
-    paths = write_tables(
-        {"commits": res.snapshot, "change_status": res.status, "change_rejects": J.reject_counts(classified)},
+    # The sequenced changes are written once (they are the size of the
+    # batch); the snapshot is finished from that table, and the derived
+    # tables from the written snapshot, so no step recomputes an earlier one
+    # and each written table cuts the lineage.
+    ops = CH.sequence_changes(base, batch, create_mode)
+    paths = write_tables({"change_log": ops, "change_rejects": J.reject_counts(classified)}, out_dir, metrics=metrics)
+    log = spark.read.parquet(paths["change_log"])
+    snapshot_df, _ = CH.finalize_sequence(base, log)
+    paths.update(write_tables(
+        {"commits": snapshot_df, "change_status": log.select("seq", "op", "commit_hash", "status")},
         out_dir, metrics=metrics,
-    )
+    ))
     snapshot = spark.read.parquet(paths["commits"])
     derived = {
         "commits_by_repo": D.commits_by_repo(snapshot),
