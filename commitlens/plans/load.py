@@ -75,11 +75,17 @@ def _layout(name: str, df: DataFrame) -> tuple[DataFrame, list[str]]:
     the tier table is partitioned by tier and sorted by (watch_count DESC,
     repo) inside files; the per-repo copy is range-partitioned on (repo,
     hash) so a hot repository spreads over many files while each file stays
-    sorted (min/max skipping for one-repo reads)."""
+    sorted (min/max skipping for one-repo reads); the snapshot is
+    range-partitioned and sorted on hash (min/max skipping for reads by
+    hash)."""
     if name == "repos_by_tier":
         return df.sortWithinPartitions("watch_tier", F.col("watch_count").desc(), "repo_name"), ["watch_tier"]
     if name == "commits_by_repo":
         return df.repartitionByRange("repo_name", "commit_hash").sortWithinPartitions("repo_name", "commit_hash"), []
+    if name == "commits":
+        # disjoint sorted hash ranges per file: a point read by hash is
+        # answered from one file, the others skipped by min/max statistics
+        return df.repartitionByRange("commit_hash").sortWithinPartitions("commit_hash"), []
     return df, []
 
 

@@ -93,3 +93,22 @@ def test_cli_change_file_and_record_commands(spark, tmp_path, capsys):
     assert main(["search", "--tables", out2, "--author", "customer#0000000[0-4]"]) == 0
     shown = capsys.readouterr().out
     assert "hello" in shown and "created" in shown
+
+
+def test_stored_snapshot_files_hold_disjoint_hash_ranges(spark, tmp_path):
+    out = str(tmp_path / "out")
+    # small input: keep the range partitions apart so several files exist
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        paths = LD.load_all(spark, out, raw_commits=B.raw_commits(spark, SF_SMALL))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    snap = spark.read.parquet(paths["commits"])
+    ranges = sorted(
+        (r.lo, r.hi) for r in snap.groupBy(F.input_file_name().alias("f"))
+        .agg(F.min("commit_hash").alias("lo"), F.max("commit_hash").alias("hi")).collect()
+    )
+    assert len(ranges) > 1
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+    plan = snap.where(F.col("commit_hash") == "1")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(commit_hash,1)" in plan
