@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from commitlens.llm import decontaminate, quality
+from commitlens.llm import decontaminate, jaccard_join, quality
 
 QUERIES = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
