@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from commitlens.llm import decontaminate, jaccard_join, quality
+from commitlens.llm import decontaminate, jaccard_join, quality, secrets
 
 QUERIES = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
+    "op9_secret_scan": secrets.op9_secret_scan,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
