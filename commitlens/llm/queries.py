@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from commitlens.llm import decontaminate, jaccard_join, quality, secrets
+from commitlens.llm import decontaminate, jaccard_join, quality, secrets, sentencepiece
 
 QUERIES = {
+    "op1_sentencepiece": sentencepiece.op1_sentencepiece,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op9_secret_scan": secrets.op9_secret_scan,
