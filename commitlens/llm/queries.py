@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from commitlens.llm import decontaminate, jaccard_join, quality, secrets, sentencepiece, token_counts
+from commitlens.llm import decontaminate, jaccard_join, quality, secrets, sentencepiece, token_counts, warc
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece.op1_sentencepiece,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op5_warc": warc.op5_warc,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_secret_scan": secrets.op9_secret_scan,
@@ -15,4 +16,5 @@ QUERIES = {
 
 SQL = {
     "op3_decontaminate": decontaminate.OP3_SQL,
+    "op5_warc": warc.OP5_SQL,
 }
