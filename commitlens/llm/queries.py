@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from commitlens.llm import decontaminate, jaccard_join, quality, secrets, sentencepiece, token_counts, warc
+from commitlens.llm import decontaminate, html_text, jaccard_join, quality, secrets, sentencepiece, token_counts, warc
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece.op1_sentencepiece,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op5_warc": warc.op5_warc,
+    "op6_html_text": html_text.op6_html_text,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_secret_scan": secrets.op9_secret_scan,
