@@ -19,8 +19,8 @@ this order and only as far as needed until the guarantees add up to H + 1:
 
 The levels are nested, so of two sets the one with the lower level finds the
 other's index entries, and no pair is lost. Nothing is capped: entries shared
-by at most ``small`` sets give pairs, each verified exactly once on the whole
-sets; larger ones are cut into blocks, and each pair of blocks is verified as
+by at most ``small`` sets give pairs; a parity sketch drops those that differ too much (it bounds
+their differences from below), the others are verified once on the whole sets; larger ones are cut into blocks, and each pair of blocks is verified as
 a whole (a product of membership matrices) and returns a spanning forest of
 its links, never all pairs. Components then follow from the links.
 
@@ -166,6 +166,21 @@ def forest(sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
     return out
 
 
+def parity_sketch(members: np.ndarray) -> np.ndarray:
+    """One bit per bucket of hashes, 2 to 4 buckets per member: whether an
+    odd number of members falls into it. Each bit in which two sets differ is
+    a difference of the sets, so the sketch bounds them from below."""
+    bits = 1 << max(6, (2 * len(members) - 1).bit_length())
+    return np.packbits(np.bincount((members >> np.uint64(24)).astype(np.int64) & (bits - 1), minlength=bits) & 1)
+
+
+def least_differences(x: np.ndarray, y: np.ndarray) -> int:
+    """From two sketches; the longer one is folded to the other's buckets."""
+    n = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(v.reshape(-1, n), axis=0) for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def set_size_column(text_col: str, size: int = SHINGLE):
     return F.pandas_udf(lambda raws: raws.map(lambda r: len(shingle_set(r, size))).astype("int64"), "bigint")(utf8(text_col))
 
@@ -207,23 +222,35 @@ def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     many = shared.where(F.col("n") > small).distinct()
 
     wanted = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(many.select("id")).distinct(), "wanted")
-    sets = own.join(broadcast_if_small(wanted, wanted.count(), BROADCAST_IDS), "id", "left_semi") \
-        .select("id", F.pandas_udf(lambda raws: raws.map(lambda r: shingle_set(r, size).tobytes()), "binary")("raw").alias("members")) \
-        .dropDuplicates(["id"])
-    sets = materialise(sets, "sets")
+    def describe(raws: pd.Series) -> pd.DataFrame:
+        members = [shingle_set(r, size) for r in raws]
+        return pd.DataFrame({"n": [len(m) for m in members], "members": [m.tobytes() for m in members], "sketch": [parity_sketch(m).tobytes() for m in members]})
+
+    sets = materialise(own.join(broadcast_if_small(wanted, wanted.count(), BROADCAST_IDS), "id", "left_semi").select(
+        "id", F.pandas_udf(describe, "n bigint, members binary, sketch binary")("raw").alias("s")).select("id", "s.*"), "sets")
+
+    def side(end, *columns):
+        return sets.select(F.col("id").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in columns])
+
+    def prune(batches):
+        for batch in batches:
+            keep = [(100 + threshold) * least_differences(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) <= (100 - threshold) * (n + m)
+                    for x, y, n, m in zip(batch["a_sketch"], batch["b_sketch"], batch["a_n"], batch["b_n"])]
+            yield batch.loc[keep, ["a", "b"]]
 
     def verify(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch["x"], batch["y"]):
+            for x, y in zip(batch["a_members"], batch["b_members"]):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 keep.append(linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), threshold))
             yield batch.loc[keep, ["a", "b"]]
 
-    side = lambda key, value: sets.select(F.col("id").alias(key), F.col("members").alias(value))
-    near = lambda x, y: 100 * F.least(x, y) >= threshold * F.greatest(x, y)
-    found = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(near(F.length("x"), F.length("y"))) \
-        .mapInPandas(verify, f"a {id_type}, b {id_type}")
+    link = f"a {id_type}, b {id_type}"
+    close = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b") \
+        .where(100 * F.least("a_n", "b_n") >= threshold * F.greatest("a_n", "b_n")).mapInPandas(prune, link)
+    close = materialise(close, "close")
+    found = close.join(side("a", "members"), "a").join(side("b", "members"), "b").mapInPandas(verify, link)
 
     def verify_block(group: pd.DataFrame) -> pd.DataFrame:
         ids = group["id"].tolist()
@@ -234,7 +261,7 @@ def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     dealt = many.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id"), "parts")) \
         .select("sig", "id", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("other")) \
         .select("sig", "id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    blocks = dealt.join(sets, "id").groupBy("sig", "i", "j").applyInPandas(verify_block, f"a {id_type}, b {id_type}")
+    blocks = dealt.join(sets.select("id", "members"), "id").groupBy("sig", "i", "j").applyInPandas(verify_block, link)
     return found.union(blocks)
 
 
