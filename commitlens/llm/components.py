@@ -42,4 +42,4 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         state = tuple(mark)
         edges = materialise(ordered(_small_star(ordered(_large_star(edges)))), "links")
     ids = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return ids.union(edges.select("v", "v").distinct())
+    return materialise(ids.union(edges.select("v", "v").distinct()), "components")

@@ -20,7 +20,8 @@ this order and only as far as needed until the guarantees add up to H + 1:
 The levels are nested, so of two sets the one with the lower level finds the
 other's index entries, and no pair is lost. Nothing is capped: entries shared
 by at most ``small`` sets give pairs; a parity sketch drops those that differ too much (it bounds
-their differences from below), the others are verified once on the whole sets; larger ones are cut into blocks, and each pair of blocks is verified as
+their differences from below); of the others, one pair of each document is
+verified on the whole sets, then all those between documents not yet connected; larger ones are cut into blocks, and each pair of blocks is verified as
 a whole (a product of membership matrices) and returns a spanning forest of
 its links, never all pairs. Components then follow from the links.
 
@@ -40,6 +41,7 @@ import bisect
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -224,10 +226,11 @@ def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     wanted = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(many.select("id")).distinct(), "wanted")
     def describe(raws: pd.Series) -> pd.DataFrame:
         members = [shingle_set(r, size) for r in raws]
-        return pd.DataFrame({"n": [len(m) for m in members], "members": [m.tobytes() for m in members], "sketch": [parity_sketch(m).tobytes() for m in members]})
+        pack = zstandard.ZstdCompressor(level=3).compress
+        return pd.DataFrame({"n": [len(m) for m in members], "packed": [pack(r) for r in raws], "sketch": [parity_sketch(m).tobytes() for m in members]})
 
     sets = materialise(own.join(broadcast_if_small(wanted, wanted.count(), BROADCAST_IDS), "id", "left_semi").select(
-        "id", F.pandas_udf(describe, "n bigint, members binary, sketch binary")("raw").alias("s")).select("id", "s.*"), "sets")
+        "id", F.pandas_udf(describe, "n bigint, packed binary, sketch binary")("raw").alias("s")).select("id", "s.*"), "sets")
 
     def side(end, *columns):
         return sets.select(F.col("id").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in columns])
@@ -238,30 +241,41 @@ def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     for x, y, n, m in zip(batch["a_sketch"], batch["b_sketch"], batch["a_n"], batch["b_n"])]
             yield batch.loc[keep, ["a", "b"]]
 
+    def members(packed) -> np.ndarray:  # a packed text is a third of its hashes
+        return shingle_set(zstandard.ZstdDecompressor().decompress(packed), size)
+
     def verify(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch["a_members"], batch["b_members"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch["a_packed"], batch["b_packed"]):
+                x, y = members(x), members(y)
                 keep.append(linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), threshold))
             yield batch.loc[keep, ["a", "b"]]
 
+    def verified(some: DataFrame) -> DataFrame:
+        return some.join(side("a", "packed"), "a").join(side("b", "packed"), "b").mapInPandas(verify, link)
+
     link = f"a {id_type}, b {id_type}"
     close = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b") \
         .where(100 * F.least("a_n", "b_n") >= threshold * F.greatest("a_n", "b_n")).mapInPandas(prune, link)
     close = materialise(close, "close")
-    found = close.join(side("a", "members"), "a").join(side("b", "members"), "b").mapInPandas(verify, link)
+    # one pair of each document first; then only pairs that this has not connected
+    first = connected_components(verified(close.groupBy("b").agg(F.min("a").alias("a"))))
+    group = lambda end: first.select(F.col("id").alias(end), F.col("component").alias(f"{end}_group"))
+    rest = close.join(group("a"), "a", "left").join(group("b"), "b", "left") \
+        .where(F.coalesce("a_group", "a") != F.coalesce("b_group", "b")).select("a", "b")
+    found = first.select(F.col("id").alias("a"), F.col("component").alias("b")).union(verified(rest))
 
     def verify_block(group: pd.DataFrame) -> pd.DataFrame:
         ids = group["id"].tolist()
-        tree = forest([np.frombuffer(m, np.uint64) for m in group["members"]], threshold)
+        tree = forest([members(m) for m in group["packed"]], threshold)
         return pd.DataFrame([(ids[i], ids[j]) for i, j in tree], columns=["a", "b"])
 
     parts = F.ceil(F.col("n") / block)
     dealt = many.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id"), "parts")) \
         .select("sig", "id", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("other")) \
         .select("sig", "id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    blocks = dealt.join(sets.select("id", "members"), "id").groupBy("sig", "i", "j").applyInPandas(verify_block, link)
+    blocks = dealt.join(sets.select("id", "packed"), "id").groupBy("sig", "i", "j").applyInPandas(verify_block, link)
     return found.union(blocks)
 
 
@@ -270,7 +284,6 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, component) of every document that is linked to another one."""
     same = materialise(copies(docs, id_col, text_col), "copies")
     groups = connected_components(similarity_links(docs, id_col, text_col, size, threshold, without=same))
-    groups = materialise(groups, "groups")
     roots = same.join(groups.withColumnRenamed("id", "rep"), "rep", "left") \
         .select("id", F.coalesce("component", "rep").alias("component"))
     return groups.union(roots)

@@ -220,26 +220,28 @@ def lattice_paths(found: DataFrame, pieces: Pieces) -> DataFrame:
     spark = found.sparkSession
     kind = "piece string, id int, rank int, before array<int>, after array<int>"
     pieces_table = F.broadcast(spark.createDataFrame(pieces.rows(), kind))
-    own = found.repartition("unit").groupBy("unit").agg(F.collect_list(F.struct("batch", "number")).alias("uses"))
-    use = "array<struct<batch:bigint,number:int>>"
-    # the first element carries the uses and meets the empty piece
-    parts = own.select("unit", F.explode(F.expr(f"""concat(
-        array(named_struct('s', -1, 'sub', '', 'uses', uses)),
-        flatten(transform(sequence(0, length(unit) - 2), s -> transform(sequence(2, least({pieces.longest}, length(unit) - s)), n ->
-            named_struct('s', s, 'sub', substring(unit, s + 1, n), 'uses', cast(null AS {use}))))))""")).alias("x")).select("unit", "x.*")
-    edge = F.when(F.col("id") >= 0, F.struct((F.col("s") + F.length("sub")).alias("e"), "s", "id", "rank", "before", "after"))
+    # the edges of a task take about thirty times the room of its units
+    partitions = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = found.repartition(partitions, "unit").groupBy("unit").agg(F.collect_list(F.struct("batch", "number")).alias("uses"))
+    # substring k: start k div m, length 2 + k % m; row -1 carries the uses and meets the empty piece
+    m, size = f"least({pieces.longest - 1}, length(unit) - 1)", "length(unit)"
+    parts = own.select("unit", "uses", F.expr(f"explode(sequence(-1, ({size} - 1) * {m} - 1))").alias("k")) \
+        .withColumn("s", F.expr(f"cast(k div {m} AS int)")).withColumn("n", F.expr(f"2 + k % {m}")) \
+        .where(f"k = -1 OR s + n <= {size}") \
+        .select("unit", "k", "s", "n", F.expr("if(k = -1, '', substring(unit, s + 1, n))").alias("sub"), F.expr("if(k = -1, uses, null)").alias("uses"))
+    edge = F.when(F.col("k") >= 0, F.struct((F.col("s") + F.col("n")).alias("e"), "s", "id", "rank", "before", "after"))
     edges = parts.join(pieces_table, F.col("sub") == F.col("piece")).groupBy("unit").agg(
         F.collect_list(edge).alias("edges"), F.first("uses", ignorenulls=True).alias("uses"))
-    paths = edges.select("uses", F.expr(f"""element_at(aggregate(
-        sequence(1, length(unit)),
+    steps = edges.select("uses", "edges", F.expr(f"""sort_array(concat(edges, transform(sequence(1, length(unit)), i ->
+        named_struct('e', i, 's', i - 1, 'id', -1, 'rank', {NEVER}, 'before', cast(array() AS array<int>), 'after', array({NEVER})))))""").alias("steps"))
+    # best[i]: last piece (its suffixes) and path of the encoding of the first i characters
+    paths = steps.select("uses", F.expr("""element_at(aggregate(steps,
         array(named_struct('after', cast(array() AS array<int>), 'path', cast(array() AS array<int>))),
-        (best, i) -> concat(best, array(coalesce(
-            get(transform(filter(edges, t -> t.e = i AND (t.s = 0 OR NOT exists(edges, x -> x.s < t.s AND x.e > t.s
-                    AND coalesce(get(get(best, t.s).after, t.s - x.s - 1), 0) > x.rank
-                    AND coalesce(get(t.before, x.e - t.s - 1), 0) >= x.rank))),
-                t -> named_struct('after', t.after, 'path', concat(get(best, t.s).path, array(t.id)))), 0),
-            named_struct('after', array({NEVER}), 'path', concat(get(best, i - 1).path, array(-1)))
-        )))), -1).path""").alias("path"))
+        (best, t) -> if(size(best) <= t.e AND (t.id < 0 OR t.s = 0 OR NOT exists(edges, x -> x.s < t.s AND x.e > t.s
+                AND coalesce(get(get(best, t.s).after, t.s - x.s - 1), 0) > x.rank
+                AND coalesce(get(t.before, x.e - t.s - 1), 0) >= x.rank)),
+            concat(best, array(named_struct('after', t.after, 'path', concat(get(best, t.s).path, array(t.id))))),
+            best)), -1).path""").alias("path"))
     return paths.select(F.explode("uses").alias("use"), "path").select("use.batch", "use.number", "path")
 
 
