@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from commitlens.llm import chat, decontaminate, html_text, jaccard_join, quality, secrets, sentencepiece, token_counts, warc
+from commitlens.llm import chat, decontaminate, html_text, jaccard_join, licenses, quality, secrets, sentencepiece, token_counts, warc
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece.op1_sentencepiece,
     "op2_chat_format": chat.op2_chat_format,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_license_scan": licenses.op4_license_scan,
     "op5_warc": warc.op5_warc,
     "op6_html_text": html_text.op6_html_text,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,

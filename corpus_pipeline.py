@@ -1,11 +1,18 @@
-"""Corpus cleaning: quality rules, near duplicates, decontamination, secrets,
-tokens. Each stage is written as Parquet and reread as the next one's input."""
+"""Corpus cleaning: quality rules, near duplicates, benchmark decontamination,
+secrets, tokens.
+
+Each stage is written as Parquet under the shared folder and reread as the next
+one's input, so a lost executor costs its own tasks only. The first four
+return the columns of documents: rows go, and secrets are replaced in the
+text. The last one adds the token ids and the text they decode to.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from commitlens.llm import decontaminate, quality
+from commitlens.llm import decontaminate, jaccard_join, quality, secrets, sentencepiece
 from commitlens.llm.common import materialise, table
 
 
@@ -14,17 +21,44 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+#: Near duplicates: five words and a similarity of 0.8 or more.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents, that with the smallest id stays."""
+    return jaccard_join.keep_one(docs, size=NEAR_WORDS, threshold=NEAR_PERCENT)
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents contaminated by the benchmark go."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced by a mark."""
+    return secrets.redact_secrets(docs)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of each document, their number, and whether they decode
+    to its text."""
+    done = sentencepiece.decode(sentencepiece.encode(docs.select("doc_id", "lang", "source", "text")))
+    plain = F.translate(F.coalesce("text", F.lit("")), sentencepiece.MARK, " ")
+    return done.select("doc_id", "lang", "source", "tokens", F.size("tokens").cast("bigint").alias("n_tokens"),
+                       (F.col("decoded") == plain).alias("round_trip"))
+
+
 STAGES = [
     ("quality_rules", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
     ("decontamination", decontamination_stage),
+    ("secrets", secret_stage),
+    ("tokens", token_stage),
 ]
 
-#: SQL can't express the stages with trained models; see tests/llm.
+#: SQL can't express a trained tagger or a tokenizer; tests/llm holds the
+#: result against a brute-force version.
 ORACLE_SQL = None
 
 
