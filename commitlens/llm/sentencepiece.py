@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding through a relational lattice.
 
 Encoding. A text is cut into units no piece crosses (a word with the white
-space mark before it, runs of marks, line breaks). The distinct units of each
+space marks before it, line breaks). The distinct units of each
 batch of documents go through Spark:
 
 1. shuffle by unit, so that a unit is looked at once in the whole corpus;
@@ -28,8 +28,8 @@ A single character is an edge everywhere and is taken if no piece is
 admitted; characters without a piece become their bytes.
 
 Units longer than ``MAX_UNIT`` characters (not words) take the same
-recurrence in Python, where a step costs the same at any length; so do runs of
-white space marks, whose pieces all have one score, by plain merging.
+recurrence in Python, where a step costs the same at any length; so do units
+with several white space marks, whose pieces share one score and merge last.
 
 Edge cases. Null or empty text: no tokens. The mark U+2581 in a text counts as
 a space, as in the library. Repeated rows give repeated results, all other
@@ -136,13 +136,23 @@ class Pieces:
         return not any(r and v and (x := self.rank.get(unit[j - n:j + k])) and r > x and v >= x
                        for n, r in enumerate(right, 1) for k, v in enumerate(left, 1))
 
+    def run_of_marks(self, n: int) -> list[int]:
+        """Whole pieces of the greatest length first, if they follow one another."""
+        most = max(len(p) for p in self.ids if not p.strip(MARK))
+        plain = lambda k: [p[0] for p in self.merge([(MARK, None, None)] * k)]
+        blocks = max(0, n // most - 1) if plain(2 * most) == [MARK * most] * 2 else 0
+        return [self.ids[p] for p in [MARK * most] * blocks + plain(n - blocks * most)]
+
     def long_unit(self, unit: str) -> list[int]:
-        """The recurrence of the fold, for units of any length."""
-        if not unit.strip(MARK):
-            out = []
-            for i in range(0, len(unit), 4096):
-                out += [self.ids[p[0]] for p in self.merge([(c, None, None) for c in unit[i:i + 4096]])]
-            return out
+        """The recurrence of the fold, for units of any length. Marks before
+        the last one merge after everything else, with it if it is left over."""
+        marks = len(unit) - len(unit.lstrip(MARK))
+        if marks == len(unit):
+            return self.run_of_marks(marks)
+        if marks > 1:
+            word = self.long_unit(unit[marks - 1:])
+            alone = word[0] == self.ids[MARK]
+            return self.run_of_marks(marks - 1 + alone) + word[alone:]
         last = [0]
         for e in range(1, len(unit) + 1):
             last.append(next((s for s in range(max(0, e - self.longest), e - 1)
@@ -155,7 +165,7 @@ class Pieces:
         return [i for p in reversed(out) for i in p]
 
 
-SPLIT = re.compile(f"{MARK}+(?={MARK}[^{MARK}\n])|{MARK}+(?=\n|\\Z)|{MARK}?[^{MARK}\n]+|\n")
+SPLIT = re.compile(f"{MARK}+(?=\n|\\Z)|{MARK}*[^{MARK}\n]+|\n")
 
 
 def units(text: str) -> list[str]:
@@ -212,7 +222,7 @@ def distinct_units(texts) -> dict[str, int]:
 
 
 def in_lattice(unit: str) -> bool:
-    return 1 < len(unit) <= MAX_UNIT and unit.strip(MARK) != ""
+    return 1 < len(unit) <= MAX_UNIT and not unit.startswith(2 * MARK)
 
 
 def lattice_paths(found: DataFrame, pieces: Pieces) -> DataFrame:
@@ -315,7 +325,7 @@ def decode_column(tokens_col: str = "tokens", path: str | None = None):
     def one(ids):
         if ids is None:
             return None
-        out = b"".join(text[i] for i in ids if i is not None and i == i and 0 <= i < len(text)).decode("utf-8", "replace")
+        out = b"".join(text[int(i)] for i in ids if i is not None and i == i and 0 <= i < len(text)).decode("utf-8", "replace")
         return out[1:] if out.startswith(" ") else out
 
     return F.pandas_udf(lambda s: s.map(one), "string")(F.col(f"`{tokens_col}`"))
