@@ -11,8 +11,9 @@ batch of documents go through Spark:
 4. group the edges by unit (the same partitioning, no further shuffle);
 5. fold Viterbi over the end positions with ``aggregate``.
 
-The pieces found go back to their batch, which travels as one compressed row,
-and are put together there (the two meet by a hash of the batch's texts). A batch holds at most ``BATCH_BYTES`` of text (or
+The pieces found go back to their batch, packed per task and batch; the batch
+itself travels as one compressed row, and the texts are put together there (the
+two meet by a hash of the batch's texts). A batch holds at most ``BATCH_BYTES`` of text (or
 one longer document), so no task holds more than that, and the rows of a unit
 are at most one per batch.
 
@@ -40,6 +41,7 @@ no rows. Unknown or null ids decode to nothing.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -226,33 +228,83 @@ def in_lattice(unit: str) -> bool:
 
 
 def lattice_paths(found: DataFrame, pieces: Pieces) -> DataFrame:
-    """(batch, number, path) from (batch, number, unit)."""
+    """(uses, path) of each distinct unit, from (batch, number, unit):
+    where it is used, and the pieces of its encoding (-1: a character)."""
     spark = found.sparkSession
     kind = "piece string, id int, rank int, before array<int>, after array<int>"
     pieces_table = F.broadcast(spark.createDataFrame(pieces.rows(), kind))
     # the edges of a task take about thirty times the room of its units
     partitions = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = found.repartition(partitions, "unit").groupBy("unit").agg(F.collect_list(F.struct("batch", "number")).alias("uses"))
-    # substring k: start k div m, length 2 + k % m; row -1 carries the uses and meets the empty piece
+    # substring k: by its end, then longest first; row -1 carries the uses and meets the empty piece
     m, size = f"least({pieces.longest - 1}, length(unit) - 1)", "length(unit)"
     parts = own.select("unit", "uses", F.expr(f"explode(sequence(-1, ({size} - 1) * {m} - 1))").alias("k")) \
-        .withColumn("s", F.expr(f"cast(k div {m} AS int)")).withColumn("n", F.expr(f"2 + k % {m}")) \
-        .where(f"k = -1 OR s + n <= {size}") \
-        .select("unit", "k", "s", "n", F.expr("if(k = -1, '', substring(unit, s + 1, n))").alias("sub"), F.expr("if(k = -1, uses, null)").alias("uses"))
-    edge = F.when(F.col("k") >= 0, F.struct((F.col("s") + F.col("n")).alias("e"), "s", "id", "rank", "before", "after"))
+        .withColumn("e", F.expr(f"cast(2 + k div {m} AS int)")).withColumn("n", F.expr(f"{m} + 1 - k % {m}")) \
+        .where("k = -1 OR n <= e") \
+        .select("unit", "k", "e", "n", F.expr("if(k = -1, '', substring(unit, e - n + 1, n))").alias("sub"), F.expr("if(k = -1, uses, null)").alias("uses"))
+    edge = F.when(F.col("k") >= 0, F.struct("e", (F.col("e") - F.col("n")).alias("s"), "id", "rank", "before", "after"))
     edges = parts.join(pieces_table, F.col("sub") == F.col("piece")).groupBy("unit").agg(
-        F.collect_list(edge).alias("edges"), F.first("uses", ignorenulls=True).alias("uses"))
-    steps = edges.select("uses", "edges", F.expr(f"""sort_array(concat(edges, transform(sequence(1, length(unit)), i ->
-        named_struct('e', i, 's', i - 1, 'id', -1, 'rank', {NEVER}, 'before', cast(array() AS array<int>), 'after', array({NEVER})))))""").alias("steps"))
-    # best[i]: last piece (its suffixes) and path of the encoding of the first i characters
-    paths = steps.select("uses", F.expr("""element_at(aggregate(steps,
+        F.sort_array(F.collect_list(edge)).alias("edges"), F.first("uses", ignorenulls=True).alias("uses"))
+    # best[i]: last piece (its suffixes) and path of the encoding of the first i characters;
+    # where no edge that ends at i was admitted, it is a character
+    fill = lambda best, upto: (
+        f"if(size({best}) > {upto}, {best}, aggregate(sequence(size({best}), {upto}), {best}, (b, i) -> "
+        f"concat(b, array(named_struct('after', array({NEVER}), 'path', concat(get(b, i - 1).path, array(-1)))))))")
+    return edges.select("uses", F.expr(f"""aggregate(edges,
         array(named_struct('after', cast(array() AS array<int>), 'path', cast(array() AS array<int>))),
-        (best, t) -> if(size(best) <= t.e AND (t.id < 0 OR t.s = 0 OR NOT exists(edges, x -> x.s < t.s AND x.e > t.s
-                AND coalesce(get(get(best, t.s).after, t.s - x.s - 1), 0) > x.rank
-                AND coalesce(get(t.before, x.e - t.s - 1), 0) >= x.rank)),
-            concat(best, array(named_struct('after', t.after, 'path', concat(get(best, t.s).path, array(t.id))))),
-            best)), -1).path""").alias("path"))
-    return paths.select(F.explode("uses").alias("use"), "path").select("use.batch", "use.number", "path")
+        (best, t) -> if(size(best) > t.e, best, get(transform(array({fill('best', 't.e - 1')}), known ->
+            if(t.s = 0 OR NOT exists(edges, x -> x.s < t.s AND x.e > t.s
+                    AND coalesce(get(get(known, t.s).after, t.s - x.s - 1), 0) > x.rank
+                    AND coalesce(get(t.before, x.e - t.s - 1), 0) >= x.rank),
+                concat(known, array(named_struct('after', t.after, 'path', concat(get(known, t.s).path, array(t.id))))),
+                known)), 0)),
+        best -> element_at({fill('best', 'length(unit)')}, -1).path)""").alias("path"))
+
+
+def pack_paths(rows):
+    """One compressed row per batch from the units of a task: their numbers
+    (differences), the lengths of their paths, and the paths."""
+    import zstandard
+
+    batches, numbers, owners, lengths, pieces, at = [], [], [], [], [], 0
+    for batch in rows:
+        uses, paths = batch["uses"], batch["path"]
+        flat = uses.flatten()
+        batches.append(flat.field("batch").to_numpy())
+        numbers.append(flat.field("number").to_numpy())
+        owners.append(at + np.repeat(np.arange(len(batch)), np.diff(uses.offsets.to_numpy())))
+        lengths.append(np.diff(paths.offsets.to_numpy()))
+        pieces.append(paths.flatten().to_numpy())
+        at += len(batch)
+    if not at:
+        return
+    batches, numbers, owners, lengths, pieces = map(np.concatenate, (batches, numbers, owners, lengths, pieces))
+    starts = np.cumsum(lengths) - lengths
+    order = np.lexsort((numbers, batches))
+    cuts = np.flatnonzero(np.diff(batches[order])) + 1
+    for own in np.split(order, cuts):
+        n = lengths[owners[own]]
+        ids = pieces[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[owners[own]], n)]
+        arrays = (np.diff(numbers[own], prepend=0).astype("<i4"), n.astype("<u1"), ids.astype("<i4"))
+        data = len(own).to_bytes(8, "little") + b"".join(a.tobytes() for a in arrays)
+        yield pa.RecordBatch.from_arrays([pa.array(batches[own[:1]], pa.int64()), pa.array([False]), pa.array([zstandard.ZstdCompressor(level=3).compress(data)], pa.binary())],
+                                         ["batch", "texts", "data"])
+
+
+def unpack_paths(data: bytes):
+    """(number, path) of the units of a packed row."""
+    import zstandard
+
+    data = zstandard.ZstdDecompressor().decompress(data)
+    n = int.from_bytes(data[:8], "little")
+    numbers = np.cumsum(np.frombuffer(data, "<i4", n, 8)).tolist()
+    lengths = np.frombuffer(data, "<u1", n, 8 + 4 * n)
+    ids = np.frombuffer(data, "<i4", -1, 8 + 5 * n).tolist()
+    ends = np.cumsum(lengths, dtype=np.int64).tolist()
+    start = 0
+    for number, end in zip(numbers, ends):
+        yield number, ids[start:end]
+        start = end
 
 
 def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -276,9 +328,8 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, batch.schema) as out:
                 out.write_table(batch)
-            blob = zstandard.ZstdCompressor(level=6).compress(sink.getvalue().to_pybytes())
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([None], pa.int32()), pa.array([None], pa.list_(pa.int32())),
-                                              pa.array([blob], pa.binary())], ["batch", "number", "path", "blob"])
+            blob = zstandard.ZstdCompressor(level=9).compress(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([True]), pa.array([blob], pa.binary())], ["batch", "texts", "data"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("tokens", T.ArrayType(T.IntegerType()))])
 
@@ -286,7 +337,8 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
         """The batch of a key; more than one if their texts are the same."""
         import zstandard
 
-        blobs = [b for b in group["blob"].to_pylist() if b is not None]
+        rows = list(zip(group["texts"].to_pylist(), group["data"].to_pylist()))
+        blobs = [data for is_texts, data in rows if is_texts]
         batches = [pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(b)).read_all() for b in blobs]
         if not batches:
             raise RuntimeError("the two scans of the input differ")
@@ -294,15 +346,15 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
         numbers = distinct_units(texts)
         ids: list = [None] * len(numbers)
         names = list(numbers)
-        for n, path in zip(group["number"].to_pylist(), group["path"].to_pylist()):
-            if n is not None:
-                ids[n] = pieces.spell(names[n], path)
+        for is_texts, data in rows:
+            for n, found in () if is_texts else unpack_paths(data):
+                ids[n] = pieces.spell(names[n], found) if -1 in found else found
         for n, u in enumerate(names):
             if not in_lattice(u):
                 ids[n] = pieces.character(u) if len(u) == 1 else pieces.long_unit(u)
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         starts = np.concatenate(([0], np.cumsum(lengths)))[:-1]
-        flat = np.fromiter((i for p in ids for i in p), np.int32, int(lengths.sum()))
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum()))
         out, ends = [], [0]
         for t in texts:
             own = np.fromiter(map(numbers.__getitem__, units(t)) if t else (), np.int64)
@@ -313,9 +365,9 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
         tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*out, np.empty(0, np.int32)])))
         return pa.concat_tables([b.append_column("tokens", tokens) for b in batches])
 
+    kind = "batch bigint, texts boolean, data binary"
     paths = lattice_paths(docs.select(text_col).mapInArrow(list_units, "batch bigint, number int, unit string"), pieces)
-    blobs = docs.select(*columns).mapInArrow(pack, "batch bigint, number int, path array<int>, blob binary")
-    return paths.withColumn("blob", F.lit(None).cast("binary")).union(blobs).groupBy("batch").applyInArrow(assemble, schema)
+    return paths.mapInArrow(pack_paths, kind).union(docs.select(*columns).mapInArrow(pack, kind)).groupBy("batch").applyInArrow(assemble, schema)
 
 
 def decode_column(tokens_col: str = "tokens", path: str | None = None):
