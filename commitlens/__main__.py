@@ -6,10 +6,10 @@
     python -m commitlens list --tables tables/ --repo R [--top N]
     python -m commitlens search --tables tables/ --author PATTERN [--top N]
     python -m commitlens report words|activity|licenses|languages|watch|tiers|names|repos \
-        --tables tables/ [--repo NAME] [--top N] [--ties asc|desc]
+        --tables tables/ [--repo NAME] [--top N] [--ties asc|desc] [--out reports/]
 
 Reports are computed by Spark over the stored tables; only the small report
-rows are shown.
+rows are shown, and reports with a row per repository are written to a folder.
 """
 
 from __future__ import annotations
@@ -47,10 +47,16 @@ def main(argv: list[str] | None = None) -> int:
     rp.add_argument("--repo", default=None)
     rp.add_argument("--top", type=int, default=None)
     rp.add_argument("--ties", default=None, choices=["asc", "desc"])
-    ap.add_argument("--master", default="local[*]")
+    rp.add_argument("--out", default=None, help="write the report there instead of showing it")
+    ap.add_argument("--master", default=None, help="default: that of spark-submit, else local[*]")
+    ap.add_argument("--cores", type=int, default=None, help="cores of the cluster: sizes shuffles and splits for it")
     args = ap.parse_args(argv)
+    if args.cmd == "report" and args.ties and args.name not in ("activity", "licenses", "languages"):
+        ap.error(f"--ties does not apply to report {args.name}")
+    if args.cmd == "report" and args.out is None and (args.name == "repos" or args.name == "activity" and not args.repo):
+        ap.error(f"report {args.name} has a row per repository: name a folder with --out")
 
-    spark = build_session(args.master)
+    spark = build_session(args.master, total_cores=args.cores)
     if args.cmd == "load":
         written: dict = {}
         paths = LD.load_from_files(spark, args.in_dir, args.out_dir, args.mode, args.prior, metrics=written)
@@ -112,9 +118,13 @@ def main(argv: list[str] | None = None) -> int:
         frames = list(RP.name_report(t("repos"), **{k: v for k, v in kw.items() if k == "n"}))
     elif args.name == "repos":
         frames = [RP.loaded_repositories(t("commits"))]
-    for df in frames:
+    for i, df in enumerate(frames):
         order = [c for c in ("rank", "tier_order", "bucket_order") if c in df.columns]
-        (df.orderBy(*order) if order else df).show(100, truncate=False)
+        if args.out:
+            df.write.parquet(args.out if len(frames) == 1 else f"{args.out}/{i}")
+        else:  # these reports have n rows, or one per tier or bucket
+            rows = (df.orderBy(*order) if order else df).toPandas()
+            print(rows.to_string(index=False))
     return 0
 
 

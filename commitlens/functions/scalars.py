@@ -25,7 +25,11 @@ def lenient_long(col: str | Column, default: int = 0) -> Column:
 
 
 def _try_long(col: str | Column) -> Column:
-    return _c(col).try_cast("bigint")
+    """An integer literal: spaces around it, a sign and single underscores
+    between digits are allowed."""
+    text = _c(col).cast("string")
+    grouped = F.contains(text, F.lit("_")) & text.rlike(r"^\s*[+-]?[0-9]+(_[0-9]+)+\s*$")
+    return F.when(grouped, F.replace(text, F.lit("_"), F.lit(""))).otherwise(text).try_cast("bigint")
 
 
 def strict_long(col: str | Column) -> Column:

@@ -10,9 +10,11 @@ field keep the last value. A mixed batch (:func:`apply_sequential`) is
 applied exactly as one change after another.
 
 Per-key reductions are ``groupBy().agg(min/max_by)`` (partial aggregates), so
-a key that holds a third of the batch is reduced map-side; the key joins
-against the snapshot are left to Spark/AQE (broadcast when the batch side is
-small at runtime, shuffle join otherwise, skew-join splitting for hot keys).
+a key that holds a third of the batch is reduced map-side. The batch side is
+always the right side of a left, semi or anti join with the snapshot, so Spark
+can broadcast it when it is small and the snapshot stays where it is read;
+existence is looked up for the batch's distinct keys, never for the whole
+snapshot.
 """
 
 from __future__ import annotations
@@ -40,9 +42,11 @@ def _strip(c: str | Column) -> Column:
     return F.btrim(col, F.lit(_WHITESPACE))
 
 
-def _keys(base: DataFrame) -> DataFrame:
-    """Snapshot keys with an existence flag (snapshot keys are unique)."""
-    return base.select("commit_hash", F.lit(True).alias("_exists"))
+def _keys(base: DataFrame, batch: DataFrame) -> DataFrame:
+    """Those keys of the batch that the snapshot has, with an existence flag
+    (snapshot keys are unique)."""
+    own = base.select("commit_hash").join(batch.select("commit_hash").distinct(), "commit_hash", "left_semi")
+    return own.withColumn("_exists", F.lit(True))
 
 
 def _empty_deltas(base: DataFrame) -> DataFrame:
@@ -92,9 +96,8 @@ def apply_creates(base: DataFrame, changes: DataFrame, mode: str = "if_absent")
         firsts = good.groupBy("commit_hash").agg(
             F.min("seq").alias("_first_seq"), F.min_by(payload, F.col("seq")).alias("_rec")
         )
-        flagged = c.join(firsts.select("commit_hash", "_first_seq"), "commit_hash", "left").join(
-            _keys(base), "commit_hash", "left"
-        )
+        known = firsts.join(_keys(base, firsts), "commit_hash", "left")
+        flagged = c.join(known.select("commit_hash", "_first_seq", "_exists"), "commit_hash", "left")
         status = flagged.select(
             "seq",
             "op",
@@ -105,7 +108,7 @@ def apply_creates(base: DataFrame, changes: DataFrame, mode: str = "if_absent")
             .otherwise(F.lit("duplicate"))
             .alias("status"),
         )
-        fresh = firsts.join(base.select("commit_hash"), "commit_hash", "left_anti")
+        fresh = known.where(F.col("_exists").isNull())
         created = _new_record(fresh.select("commit_hash", "_rec.*"))
         snapshot = base.select(*S.COMMIT_COLUMNS).unionByName(created)
         deltas = created.groupBy("repo_name", "author_name").agg(
@@ -150,7 +153,7 @@ def apply_updates(base: DataFrame, changes: DataFrame) -> ChangeResult:
     u = changes.where(F.col("op") == F.lit("update")).select(
         "seq", "op", _strip("commit_hash").alias("commit_hash"), "field", "value"
     )
-    flagged = u.join(_keys(base), "commit_hash", "left")
+    flagged = u.join(_keys(base, u), "commit_hash", "left")
     flagged = flagged.withColumn("status", update_status(F.col("field"), F.col("_exists"), F.col("value")))
     status = flagged.select("seq", "op", "commit_hash", "status")
 
@@ -190,7 +193,7 @@ def apply_deletes(base: DataFrame, changes: DataFrame) -> ChangeResult:
         "seq", "op", _strip("commit_hash").alias("commit_hash")
     )
     firsts = d.groupBy("commit_hash").agg(F.min("seq").alias("_first_seq"))
-    flagged = d.join(firsts, "commit_hash", "left").join(_keys(base), "commit_hash", "left")
+    flagged = d.join(firsts.join(_keys(base, firsts), "commit_hash", "left"), "commit_hash", "left")
     status = flagged.select(
         "seq",
         "op",
@@ -227,6 +230,27 @@ def merge_counter_deltas(
 # ---------------------------------------------------------------------------
 # Exact sequential semantics for mixed batches.
 # ---------------------------------------------------------------------------
+def _chunks(ops: DataFrame, chunk: int) -> Column:
+    """The run of ``seq`` values a change falls into. Runs are cut at
+    quantiles of the batch's own ``seq``, so each holds about ``chunk``
+    changes however sparse the values are. One aggregate over the batch's
+    ``seq``; the driver gets the cuts, a ten-thousandth of the batch or less."""
+    n = ops.count()
+    parts = min(10_000, -(-n // chunk))
+    if parts < 2:
+        return F.lit(0)
+    probabilities = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    cuts = sorted(set(ops.agg(F.percentile_approx("seq", probabilities, 10 * parts)).first()[0] or []))
+
+    def place(low: int, high: int) -> Column:  # how many cuts are below, by bisection
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col("seq") <= F.lit(cuts[middle]), place(low, middle)).otherwise(place(middle + 1, high))
+
+    return place(0, len(cuts))
+
+
 def _existence_before(ops: DataFrame, base: DataFrame, chunk: int) -> DataFrame:
     """For every change, whether its key exists just before it is applied.
 
@@ -234,17 +258,17 @@ def _existence_before(ops: DataFrame, base: DataFrame, chunk: int) -> DataFrame:
     exists (created or already there), after a delete it does not. So the
     existence before a change is the effect of the last create/delete before
     it, else whether the snapshot has the key. That "last before" is a prefix
-    scan per key, done in two levels so no task ever holds a whole key:
-    seq chunks of ``chunk`` values summarise their last effect (partial
-    aggregate), a window over one key's chunk summaries carries the effect
-    into each chunk, and a window over one (key, chunk) — at most ``chunk``
-    rows — resolves each change."""
+    scan per key, done in two levels so no task ever holds a whole key: runs
+    of about ``chunk`` changes summarise their last effect per key (partial
+    aggregate), a window over one key's summaries carries the effect into
+    each run, and a window over one (key, run) resolves each change. The
+    snapshot is asked once per key, at the summaries."""
     from pyspark.sql import Window
 
     effect = F.when(F.col("_sets"), F.col("_effect"))
-    tagged = ops.withColumn("_chunk", F.floor(F.col("seq") / F.lit(chunk)).cast("bigint"))
-    # every (key, chunk) holding a change gets a summary row (NULL when the
-    # chunk has no create/delete) so each change finds its chunk's entry
+    tagged = ops.withColumn("_chunk", _chunks(ops, chunk))
+    # every (key, run) holding a change gets a summary row (NULL when the
+    # run has no create/delete) so each change finds its run's entry
     summary = tagged.groupBy("commit_hash", "_chunk").agg(
         F.max_by(F.col("_effect"), F.when(F.col("_sets"), F.col("seq"))).alias("_chunk_last")
     )
@@ -253,25 +277,26 @@ def _existence_before(ops: DataFrame, base: DataFrame, chunk: int) -> DataFrame:
         F.last("_chunk_last", ignorenulls=True).over(
             Window.partitionBy("commit_hash").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
         ),
-    ).select("commit_hash", "_chunk", "_entering")
+    ).join(_keys(base, ops), "commit_hash", "left").select(
+        "commit_hash", "_chunk", "_entering", F.col("_exists").isNotNull().alias("_existed"))
     within = Window.partitionBy("commit_hash", "_chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    resolved = (
-        tagged.withColumn("_prev_in_chunk", F.last(effect, ignorenulls=True).over(within))
-        .join(carried, ["commit_hash", "_chunk"], "left")
-        .join(_keys(base), "commit_hash", "left")
-    )
-    before = F.coalesce(F.col("_prev_in_chunk"), F.col("_entering"), F.col("_exists").isNotNull())
-    return resolved.withColumn("_exists_before", before).drop("_prev_in_chunk", "_entering", "_chunk")
+    resolved = tagged.withColumn("_prev_in_chunk", F.last(effect, ignorenulls=True).over(within)).join(
+        carried, ["commit_hash", "_chunk"], "left")
+    existed = F.coalesce(F.col("_existed"), F.lit(False))
+    before = F.coalesce(F.col("_prev_in_chunk"), F.col("_entering"), existed)
+    return resolved.withColumn("_exists_before", before).withColumn("_existed", existed).drop("_prev_in_chunk", "_entering", "_chunk")
 
 
 def sequence_changes(
     base: DataFrame, changes: DataFrame, create_mode: str = "if_absent", chunk: int = 1 << 16
 ) -> DataFrame:
     """Every change of a mixed batch with its status, as if the changes were
-    applied one after another in ``seq`` order (``seq`` unique in the batch).
-    The result keeps what :func:`finalize_sequence` needs (the change fields
-    and the ``_sets`` / ``_effect`` flags), so it can be written once and
-    finished from storage."""
+    applied one after another in ``seq`` order. A change without ``seq``, or
+    whose ``seq`` another change has too, has no place in that order: it is
+    ``invalid`` and not applied. The result keeps what
+    :func:`finalize_sequence` needs (the change fields and the ``_sets`` /
+    ``_effect`` / ``_existed`` flags), so it can be written once and finished
+    from storage."""
     if create_mode not in ("if_absent", "upsert"):
         raise ValueError("create_mode must be 'if_absent' or 'upsert'")
     ch = changes.select(
@@ -287,6 +312,11 @@ def sequence_changes(
     )
     is_create, is_delete, is_update = (F.col("op") == F.lit(x) for x in ("create", "delete", "update"))
     valid_create = is_create & truthy("repo_name") & truthy("author_name") & truthy("commit_hash")
+    repeated = ch.where("seq IS NOT NULL").groupBy("seq").agg(F.count("*").alias("_n")).where("_n > 1").select("seq", F.lit(True).alias("_repeated"))
+    ch = ch.join(repeated, "seq", "left").withColumn("_placed", F.col("seq").isNotNull() & F.col("_repeated").isNull()).drop("_repeated")
+    unplaced = ch.where(~F.col("_placed")).drop("_placed").select(
+        "*", F.lit(False).alias("_sets"), F.lit(False).alias("_effect"), F.lit(False).alias("_existed"), F.lit("invalid").alias("status"))
+    ch = ch.where("_placed").drop("_placed")
     ops = ch.withColumn("_sets", F.coalesce(valid_create | is_delete, F.lit(False))).withColumn(
         "_effect", valid_create
     )
@@ -301,7 +331,7 @@ def sequence_changes(
         .when(is_update, update_status(F.col("field"), F.when(before, F.lit(True)), F.col("value")))
         .otherwise(F.lit("invalid_op"))
     )
-    return ops.withColumn("status", status).drop("_exists_before", "_exists")
+    return ops.withColumn("status", status).drop("_exists_before").unionByName(unplaced)
 
 
 def finalize_sequence(base: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -320,6 +350,7 @@ def finalize_sequence(base: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataF
         "repo_name", "author_name", "subject", "message",
     )
     aggs = [
+        F.bool_or("_existed").alias("_existed"),
         F.max_by(F.col("_effect"), F.when(F.col("_sets"), F.col("seq"))).alias("_final_effect"),
         F.max_by(F.when(reset, payload), F.when(reset, F.col("seq"))).alias("_anchor"),
     ]
@@ -335,7 +366,12 @@ def finalize_sequence(base: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataF
     }
 
     old = base.select(*[F.col(c).alias(f"_old_{c}") for c in S.COMMIT_COLUMNS])
-    joined = old.join(summary, old["_old_commit_hash"] == summary["commit_hash"], "full_outer")
+    # The snapshot with the summary of the keys it has, and the created keys it
+    # has not: the summary can be broadcast, and only it is filtered twice.
+    same = old["_old_commit_hash"] == summary["commit_hash"]
+    absent = [F.lit(None).cast(old.schema[c].dataType).alias(c) for c in old.columns]
+    created = summary.where(~F.col("_existed")).select(*absent, *summary.columns)
+    joined = old.join(summary, same, "left").unionByName(created)
     key = F.coalesce(F.col("_old_commit_hash"), F.col("commit_hash"))
     anchored_new = F.coalesce(F.col("_anchor.is_create"), F.lit(False))
     exists_final = F.coalesce(F.col("_final_effect"), F.col("_old_commit_hash").isNotNull())
@@ -367,7 +403,7 @@ def finalize_sequence(base: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataF
         cols.append(v.alias(name))
     final = joined.where(exists_final).select(*cols)
 
-    touched = joined.where(F.col("commit_hash").isNotNull())
+    touched = old.join(summary, same).unionByName(created)
     before_row = F.when(
         F.col("_old_commit_hash").isNotNull(),
         F.struct(F.col("_old_repo_name").alias("repo_name"), F.col("_old_author_name").alias("author_name"),
@@ -393,7 +429,8 @@ def apply_sequential(
     base: DataFrame, changes: DataFrame, create_mode: str = "if_absent", chunk: int = 1 << 16
 ) -> ChangeResult:
     """Apply a mixed batch of creates, updates and deletes exactly as if one
-    change after another in ``seq`` order (``seq`` unique in the batch).
+    change after another in ``seq`` order (changes that have no place in it
+    are ``invalid``).
 
     Statuses follow the single-change rules against the state at that point.
     The final record of a key is the last record set by a successful create

@@ -27,10 +27,8 @@ from commitlens.operators.ranking import top_k, with_report_columns
 def zero_fill(counts: DataFrame, domain: DataFrame, key: str, value: str) -> DataFrame:
     """Every key of ``domain`` with its value from ``counts`` or 0.
 
-    ``counts`` must be an aggregate keyed by a label drawn from the fixed
-    domain (here: six tier labels), so its size is bounded by the domain and
-    it is the broadcast (build) side of the left join."""
-    joined = domain.join(F.broadcast(counts), key, "left")
+    Spark chooses the join; for a few labels it broadcasts the counts."""
+    joined = domain.join(counts, key, "left")
     return joined.select(
         *domain.columns, F.coalesce(F.col(value), F.lit(0)).cast("bigint").alias(value)
     )

@@ -12,11 +12,11 @@ from commitlens.operators.derive import commits_by_repo
 
 def lookup(commits: DataFrame, keys: DataFrame, key: str = "commit_hash") -> DataFrame:
     """Every requested key with ``found`` and the record's fields (NULL when
-    absent). Keys are deduplicated first. The join is planned by Spark: with
-    AQE a small key batch becomes a broadcast join at runtime, a large one
-    stays a shuffle join, and a skewed key is split by the skew-join rule."""
+    absent). Keys are deduplicated first, and the records cut down to them by
+    a semi join whose key side Spark broadcasts when it is small: then the
+    records are filtered where they are read and only the hits move."""
     wanted = keys.select(key).distinct()
-    found = commits.withColumn("found", F.lit(True))
+    found = lookup_existing(commits, wanted, key).withColumn("found", F.lit(True))
     out = wanted.join(found, key, "left")
     return out.withColumn("found", F.coalesce(F.col("found"), F.lit(False)))
 

@@ -11,16 +11,19 @@ a new folder and never overwrites a folder it reads in the same plan.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from commitlens.operators import derive as D
-from commitlens.session import work_dir
+from commitlens.session import read_if_exists, work_dir
 from commitlens.sources import normalise as NM
 
 COUNTERS = {
+    "rejects": (["source", "outcome"], "line_count"),
     "author_counts": (["repo_name", "author_name"], "commit_count"),
     "tier_counts": (["watch_tier"], "repo_count"),
     "license_counts": (["license_name"], "repo_count"),
@@ -44,18 +47,21 @@ def derive_tables(
     licenses: DataFrame | None = None,
     languages: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Every canonical and derived table of one load, from normalised input
-    (commit records may repeat a hash; the snapshot keeps the last one when a
-    ``seq`` column is given, counters count every record)."""
+    """Every canonical and derived table of one load, from normalised input.
+
+    Commit records may repeat a hash; the snapshot keeps the last one by
+    ``seq``. Without a ``seq`` column there is no last one, so the greatest
+    record by all its fields is kept: one row per key in either case.
+    Counters count every record."""
     out: dict[str, DataFrame] = {}
     if commits is not None:
         if "seq" in commits.columns:
-            snapshot = D.commits_latest_by_hash(commits, "seq")
+            out["commits"] = D.commits_latest_by_hash(commits, "seq")
             out["commits_by_repo"] = D.commits_by_repo(commits, "seq")
         else:
-            snapshot = commits
-            out["commits_by_repo"] = D.commits_by_repo(commits)
-        out["commits"] = snapshot
+            fields = [c for c in commits.columns if c not in ("commit_hash", "repo_name")]
+            out["commits"] = D.latest_by_key(commits, ["commit_hash"], ["repo_name", *fields]).select(*commits.columns)
+            out["commits_by_repo"] = D.commits_by_repo(D.latest_by_key(commits, ["repo_name", "commit_hash"], fields))
         out["author_counts"] = D.author_counts(commits)
         out["repos_loaded"] = D.loaded_repos(commits)
     if repos is not None:
@@ -66,6 +72,7 @@ def derive_tables(
         out["licenses"] = licenses.where(F.col("repo_name").isNotNull() & (F.col("repo_name") != ""))
         out["license_counts"] = D.license_counts(licenses)
     if languages is not None:
+        out["languages"] = languages
         out["language_bytes"] = D.language_bytes(languages)
     return out
 
@@ -119,13 +126,22 @@ def write_tables(
     return paths
 
 
+#: Every table a load or a change job can write.
+TABLES = ["commits", "commits_by_repo", "author_counts", "repos_loaded", "repos", "repos_by_tier", "tier_counts",
+          "licenses", "license_counts", "languages", "language_bytes", "rejects"]
+
+
 def accumulate(spark: SparkSession, prior_dir: str, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Combine new tables with a prior load: counters summed, sets unioned,
-    records upserted (new wins)."""
+    records upserted (new wins). Tables that only one of the two has are
+    carried over as they are, so a load of some kinds keeps the others."""
     out = {}
-    for name, new in tables.items():
-        prior = spark.read.parquet(f"{prior_dir}/{name}")
-        if name in COUNTERS:
+    for name in TABLES:
+        new, prior = tables.get(name), read_if_exists(spark, f"{prior_dir.rstrip('/')}/{name}")
+        if new is None or prior is None:
+            if new is not None or prior is not None:
+                out[name] = prior if new is None else new
+        elif name in COUNTERS:
             keys, value = COUNTERS[name]
             both = prior.select(*keys, value).unionByName(new.select(*keys, value))
             out[name] = both.groupBy(*keys).agg(F.sum(value).cast("bigint").alias(value))
@@ -140,6 +156,8 @@ def accumulate(spark: SparkSession, prior_dir: str, tables: dict[str, DataFrame]
             out[name] = prior.unionByName(new.select(*prior.columns)).distinct()
         else:  # plain record collections append
             out[name] = prior.unionByName(new)
+    if not out:
+        raise ValueError(f"nothing to load, and no table under {prior_dir}")
     return out
 
 
@@ -153,8 +171,10 @@ def load_all(
     mode: str = "refresh",
     prior_dir: str | None = None,
     metrics: dict | None = None,
+    rejects: DataFrame | None = None,
 ) -> dict[str, str]:
-    """Normalise the given raw inputs, derive every table and write them.
+    """Normalise the given raw inputs, derive every table and write them
+    (``rejects``: line counts of the sources, written and accumulated too).
     Returns table name -> path; ``metrics`` (a dict) receives the rows
     written per table."""
     if mode not in ("refresh", "accumulate"):
@@ -165,6 +185,8 @@ def load_all(
         licenses=None if raw_licenses is None else NM.normalise_licenses(raw_licenses),
         languages=None if raw_languages is None else NM.unnest_languages(raw_languages),
     )
+    if rejects is not None:
+        tables["rejects"] = rejects
     if mode == "accumulate":
         if prior_dir is None:
             raise ValueError("accumulate needs prior_dir")
@@ -210,16 +232,20 @@ SOURCE_FILES = {
 
 def load_from_files(
     spark: SparkSession, in_dir: str, out_dir: str, mode: str = "refresh", prior_dir: str | None = None,
-    metrics: dict | None = None,
+    metrics: dict | None = None, sources: list[str] | None = None,
+    transform: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
 ) -> dict[str, str]:
-    """Load the NDJSON source files of ``in_dir`` (any that exist) into the
-    canonical and derived tables under ``out_dir``, plus a ``rejects`` table
-    (source, outcome, line_count) accounting for every line read.
-
-    Commit records carry their file order (``line_order``), so a hash that
-    repeats keeps its last line."""
-    import os
-
+    """Load the NDJSON source files of ``in_dir`` into the canonical and
+    derived tables under ``out_dir``, plus a ``rejects`` table (source,
+    outcome, line_count) accounting for every line read.
+
+    ``sources`` names the kinds to load, and each must be there; by default
+    those that are there are loaded, and one at least must be. Spark resolves
+    the paths, on any store. ``transform`` maps a kind to a function on its
+    parsed records (a row it drops is skipped). Each source is parsed once:
+    its accepted records are written to the work folder with the outcomes
+    counted on that write, and every table derives from them. Commit records
+    carry their file order, so a hash that repeats keeps its last line."""
     from commitlens import schemas as S
     from commitlens.sources import ndjson as J
 
@@ -229,29 +255,37 @@ def load_from_files(
         "licenses": (S.RAW_LICENSE, []),
         "languages": (S.RAW_LANGUAGE, []),
     }
+    if unknown := set(sources or ()) - set(specs):
+        raise ValueError(f"no such source: {sorted(unknown)}")
+    base = work_dir(spark, "load-files")
     raw: dict[str, DataFrame] = {}
-    rejects = None
-    for name, (schema, required) in specs.items():
-        path = f"{in_dir.rstrip('/')}/{SOURCE_FILES[name]}"
-        if "://" not in path and not os.path.exists(path):
+    counts = []
+    for name in sources or specs:
+        schema, required = specs[name]
+        try:
+            classified = J.read_ndjson(spark, f"{in_dir.rstrip('/')}/{SOURCE_FILES[name]}", schema, required)
+        except AnalysisException as e:
+            if sources or e.getCondition() != "PATH_NOT_FOUND":
+                raise
             continue
-        classified = J.read_ndjson(spark, path, schema, required)
-        recs = J.accepted(classified)
+        seen = Observation(f"lines_{name}")
+        recs = J.accepted(classified.observe(seen, *J.outcome_counts()))
         if name == "commits":
             recs = recs.withColumnRenamed("line_order", "seq")
-        raw[name] = recs
-        counts = J.reject_counts(classified).select(F.lit(name).alias("source"), "*")
-        rejects = counts if rejects is None else rejects.unionByName(counts)
-    paths = load_all(
+        if transform and name in transform:
+            recs = transform[name](recs)
+        recs.write.parquet(f"{base}/{name}")
+        raw[name] = spark.read.schema(recs.schema).parquet(f"{base}/{name}")
+        counts += [(name, outcome, int(n)) for outcome, n in seen.get.items()]
+    if not raw:
+        raise FileNotFoundError(f"no source file under {in_dir}")
+    return load_all(
         spark, out_dir,
         raw_commits=raw.get("commits"), raw_repos=raw.get("repos"),
         raw_licenses=raw.get("licenses"), raw_languages=raw.get("languages"),
         mode=mode, prior_dir=prior_dir, metrics=metrics,
+        rejects=spark.createDataFrame(counts, "source string, outcome string, line_count bigint"),
     )
-    if rejects is not None:
-        rejects.write.mode("overwrite").parquet(f"{out_dir}/rejects")
-        paths["rejects"] = f"{out_dir}/rejects"
-    return paths
 
 
 def apply_change_file(
@@ -261,19 +295,23 @@ def apply_change_file(
     out_dir: str,
     create_mode: str = "if_absent",
     metrics: dict | None = None,
+    sticky_repos: bool = False,
 ) -> dict[str, str]:
     """Apply an NDJSON change batch (fields of ``schemas.CHANGES``; ``seq``
-    orders the changes) to the commits snapshot under ``tables_dir`` and
-    write a new table folder ``out_dir``: the new ``commits`` snapshot, its
-    recomputed ``commits_by_repo``, ``author_counts`` and ``repos_loaded``,
-    the per-change ``change_status`` (and the fuller ``change_log``) and the
-    ``change_rejects`` line counts.
-    The old folder is only read, never overwritten."""
+    orders the changes) to the tables under ``tables_dir`` and write a new
+    table folder ``out_dir``: the new ``commits`` snapshot, its recomputed
+    ``commits_by_repo``, ``author_counts`` and ``repos_loaded``, all other
+    tables as they were, the per-change ``change_status`` (and the fuller
+    ``change_log``) and the ``change_rejects`` line counts. A change without
+    ``seq``, or sharing it with another, is ``invalid`` and not applied.
+    ``sticky_repos`` keeps repositories in ``repos_loaded`` that lost all
+    their commits. The old folder is only read, never overwritten."""
     from commitlens import schemas as S
     from commitlens.operators import changes as CH
     from commitlens.sources import ndjson as J
 
-    base = spark.read.parquet(f"{tables_dir.rstrip('/')}/commits")
+    tables_dir = tables_dir.rstrip("/")
+    base = spark.read.parquet(f"{tables_dir}/commits")
     classified = J.read_ndjson(spark, changes_path, S.CHANGES, ["op"])
     batch = J.accepted(classified).drop("line_order")
     # The sequenced changes are written once (they are the size of the
@@ -289,10 +327,14 @@ def apply_change_file(
         out_dir, metrics=metrics,
     ))
     snapshot = spark.read.parquet(paths["commits"])
+    prior = read_if_exists(spark, f"{tables_dir}/repos_loaded") if sticky_repos else None
     derived = {
         "commits_by_repo": D.commits_by_repo(snapshot),
         "author_counts": D.author_counts(snapshot),
-        "repos_loaded": D.loaded_repos(snapshot),
+        "repos_loaded": D.loaded_repos(snapshot, prior=prior),
     }
+    for name in TABLES:
+        if name not in derived and name != "commits" and (old := read_if_exists(spark, f"{tables_dir}/{name}")) is not None:
+            derived[name] = old
     paths.update(write_tables(derived, out_dir, metrics=metrics))
     return paths

@@ -658,3 +658,49 @@ t AS (SELECT word, word_count,
 SELECT word, word_count, rank, {_bar('word_count', S.BAR_WIDTH_WORDS)} AS bar_length FROM t"""
 
 SQL["change_file_status"] = SQL["mixed_changes"]
+
+SQL["stream_counts_rerun"] = SQL["author_counts"]
+SQL["stream_upsert_files"] = SQL["commits_latest_by_hash"]
+SQL["loaded_commits"] = SQL["commits_normalised"]
+SQL["loaded_commits_by_repo"] = SQL["commits_by_repo"]
+SQL["loaded_repos_by_tier"] = SQL["repos_by_tier"]
+SQL["loaded_languages"] = LANGUAGES
+SQL["load_duplicates"] = SQL["commits_normalised"]
+SQL["accumulate_subset_tables"] = f"""
+WITH lic AS ({LICENSES_PARTS}), r AS ({REPOS_PARTS}),
+t AS (SELECT {_tier('watch_count')} AS tier, repo_name, watch_count FROM r)
+SELECT 'license_counts' AS table_name, license AS key, CAST(2 * count(*) AS BIGINT) AS value FROM lic
+  WHERE license IS NOT NULL AND license <> '' GROUP BY license
+UNION ALL SELECT 'tier_counts', tier, CAST(count(*) AS BIGINT) FROM t GROUP BY tier
+UNION ALL SELECT 'repos_by_tier', repo_name, watch_count FROM (SELECT DISTINCT tier, repo_name, watch_count FROM t)
+UNION ALL SELECT 'repos', repo_name, watch_count FROM r"""
+SQL["change_file_missing_seq"] = f"""WITH {COMMITS}, {MIXED.strip()}
+SELECT seq, op, commit_hash, status FROM st
+UNION ALL SELECT NULL, 'delete', CAST(o_orderkey AS VARCHAR), 'invalid' FROM orders
+  WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'
+UNION ALL SELECT o_orderkey * 10 + 9, 'update', CAST(o_orderkey AS VARCHAR), 'invalid' FROM orders, range(2)
+  WHERE o_orderpriority = '2-HIGH' AND o_orderstatus = 'P'"""
+SQL["hot_hash_changes"] = """
+WITH ch AS (
+  SELECT o_orderkey AS k, o_orderkey * 1000003 AS seq,
+         CASE o_orderkey % 9 WHEN 0 THEN 'create' WHEN 6 THEN 'delete' ELSE 'update' END AS op FROM orders),
+hot AS (
+  SELECT *, coalesce(last_value(CASE op WHEN 'create' THEN true WHEN 'delete' THEN false END IGNORE NULLS)
+    OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS there
+  FROM ch WHERE k % 3 = 0)
+SELECT seq, op, 'hot-1' AS commit_hash,
+  CASE WHEN op = 'create' THEN CASE WHEN there THEN 'duplicate' ELSE 'created' END
+       WHEN NOT there THEN 'not_found' WHEN op = 'delete' THEN 'deleted' ELSE 'updated' END AS status FROM hot
+UNION ALL SELECT seq, 'update', CAST(k AS VARCHAR), 'updated' FROM ch WHERE k % 3 <> 0"""
+SQL["commits_lenient_containers"] = """
+SELECT CAST(o_orderkey AS VARCHAR) AS commit_hash, o_orderpriority AS repo_name, 'unknown' AS author_name, '' AS author_email,
+  'unknown' AS committer_name, 's' AS subject, '' AS message, '' AS tree, '' AS files_changed, CAST(0 AS BIGINT) AS num_files_changed
+FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0"""
+SQL["ndjson_trailing_text"] = """
+WITH o AS (SELECT CASE WHEN c_custkey % 5 IN (2, 4) THEN 'accepted' ELSE 'malformed' END AS outcome FROM customer),
+d AS (SELECT * FROM (VALUES ('accepted'), ('blank'), ('malformed'), ('missing_key')) AS t(outcome))
+SELECT d.outcome, CAST(count(o.outcome) AS BIGINT) AS line_count FROM d LEFT JOIN o ON o.outcome = d.outcome GROUP BY d.outcome"""
+SQL["repos_int_forms"] = """
+SELECT c_name AS repo_name, CAST(CASE c_custkey % 6 WHEN 0 THEN c_custkey WHEN 1 THEN c_custkey * 100 WHEN 2 THEN 1
+    WHEN 3 THEN c_custkey * 1000 WHEN 4 THEN 0 ELSE c_custkey END AS BIGINT) AS watch_count, CAST(length(c_name) AS BIGINT) AS name_length
+FROM customer"""

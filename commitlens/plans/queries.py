@@ -415,6 +415,93 @@ def q_stream_upsert(spark, sf):
     return render_commits(ST.stream_upsert_from(spark, lines))
 
 
+def q_stream_counts_rerun(spark, sf):
+    """The stream run again with no new file: the whole table."""
+    src, out, cp = ST.stage_lines(spark, B.commit_lines(spark, sf), "stream-rerun")
+    for _ in range(2):
+        counts = ST.stream_author_counts(spark, src, out, cp, 4)
+    return counts
+
+
+def q_stream_upsert_files(spark, sf):
+    """Records without seq, in files: the last line wins."""
+    raw = B.commit_versions(spark, sf)
+    lines = raw.select("seq", F.to_json(F.struct(*[c for c in raw.columns if c != "seq"])).alias("value"))
+    ordered = lines.repartitionByRange("seq").sortWithinPartitions("seq").select("value")
+    return render_commits(ST.stream_upsert_from(spark, ordered, max_files_per_trigger=1_000_000))
+
+
+# --- loads, by content ---------------------------------------------------
+def _loaded(spark, name, **raw):
+    return spark.read.parquet(LD.load_all(spark, LD.work_dir(spark, "loaded"), **raw)[name])
+
+
+def q_loaded_commits(spark, sf):
+    return render_commits(_loaded(spark, "commits", raw_commits=B.raw_commits(spark, sf)))
+
+
+def q_loaded_commits_by_repo(spark, sf):
+    return _loaded(spark, "commits_by_repo", raw_commits=B.raw_commits(spark, sf))
+
+
+def q_loaded_repos_by_tier(spark, sf):
+    return _loaded(spark, "repos_by_tier", raw_repos=B.raw_repos_parts(spark, sf)).select("watch_tier", "watch_count", "repo_name")
+
+
+def q_loaded_languages(spark, sf):
+    return _loaded(spark, "languages", raw_languages=B.raw_languages(spark, sf))
+
+
+def q_load_duplicates(spark, sf):
+    """Every record twice, without seq: one row per hash."""
+    raw = B.raw_commits(spark, sf)
+    return render_commits(_loaded(spark, "commits", raw_commits=raw.unionByName(raw)))
+
+
+def q_accumulate_subset_tables(spark, sf):
+    """Licenses and repos, then licenses alone on top: all tables' contents."""
+    base = LD.work_dir(spark, "subset")
+    licenses = B.raw_licenses_parts(spark, sf)
+    LD.load_all(spark, f"{base}/1", raw_licenses=licenses, raw_repos=B.raw_repos_parts(spark, sf))
+    paths = LD.load_all(spark, f"{base}/2", raw_licenses=licenses, mode="accumulate", prior_dir=f"{base}/1")
+    keys = {"license_counts": ("license_name", "repo_count"), "tier_counts": ("watch_tier", "repo_count"), "repos_by_tier": ("repo_name", "watch_count"),
+            "repos": ("repo_name", "watch_count")}
+    out = None
+    for name, (key, value) in keys.items():
+        rows = spark.read.parquet(paths[name]).select(F.lit(name).alias("table_name"), F.col(key).alias("key"), F.col(value).alias("value"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def q_change_file_missing_seq(spark, sf):
+    """A change file with changes that lack seq or share it: those are
+    invalid, the others apply as without them."""
+    base = LD.work_dir(spark, "change-seq")
+    B.commits_table(spark, sf).write.parquet(f"{base}/tables/commits")
+    batch = B.mixed_changes(spark, sf).unionByName(B.changes_without_place(spark, sf))
+    batch.select(F.to_json(F.struct(*batch.columns)).alias("value")).write.text(f"{base}/changes")
+    paths = LD.apply_change_file(spark, f"{base}/tables", f"{base}/changes", f"{base}/out")
+    return spark.read.parquet(paths["change_status"])
+
+
+def q_hot_hash_changes(spark, sf):
+    return CH.apply_sequential(B.commits_table(spark, sf), B.hot_key_changes(spark, sf), chunk=4096).status
+
+
+# --- strict and lenient parsing ------------------------------------------
+def q_commits_lenient_containers(spark, sf):
+    lines = J.classify_ndjson(B.lenient_commit_lines(spark, sf), S.RAW_COMMIT, ["commit", "repo_name"])
+    return render_commits(NM.normalise_commits(J.accepted(lines)))
+
+
+def q_ndjson_trailing_text(spark, sf):
+    return J.reject_counts(J.classify_ndjson(B.trailing_lines(spark, sf), S.RAW_REPO, ["repo_name"]))
+
+
+def q_repos_int_forms(spark, sf):
+    return NM.normalise_repos(J.accepted(J.classify_ndjson(B.int_form_lines(spark, sf), S.RAW_REPO, ["repo_name"])))
+
+
 QUERIES: dict[str, Query] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }

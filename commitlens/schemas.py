@@ -10,6 +10,9 @@ from pyspark.sql import types as T
 # number, a string or a nested value in the same field never fails the parse;
 # numeric coercion happens afterwards with try_cast (lenient int).
 # ---------------------------------------------------------------------------
+#: Text fields of the records that are read as integers.
+INT_TEXT_FIELDS = ("watch_count", "bytes")
+
 CORRUPT_COL = "_corrupt"
 
 RAW_COMMIT = T.StructType(

@@ -3,16 +3,17 @@
 Intermediate outputs (load-job tables, streaming sources, sinks and
 checkpoints) go under the folder the cluster names in
 ``spark.checkpoint.dir``; that folder is shared by all executors. Only when
-the setting is absent (local tests) is a folder of our own created.
+the setting is absent and the master is local (tests) is a folder of our own made.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark import SparkConf
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.ui.enabled": "false",
@@ -53,41 +54,66 @@ def cluster_conf(total_cores: int) -> dict[str, str]:
     }
 
 
-def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "commitlens", **conf) -> SparkSession:
-    b = SparkSession.builder.master(master).appName(app)
+def build_session(
+    master: str | None = None, shuffle_partitions: int | None = None, app: str = "commitlens",
+    total_cores: int | None = None, **conf,
+) -> SparkSession:
+    """A session with the settings above for all that spark-submit (or an
+    existing session) has not set. ``master`` and ``shuffle_partitions`` are
+    set only when given; a plain Python run without a master is local.
+    ``total_cores`` adds :func:`cluster_conf`."""
+    given = dict(SparkConf().getAll())
     settings = dict(DEFAULT_CONF)
-    settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if total_cores is not None:
+        settings.update(cluster_conf(total_cores))
+    settings = {k: v for k, v in settings.items() if k not in given}
+    if master is not None:
+        settings["spark.master"] = master
+    elif "spark.master" not in given:
+        settings["spark.master"] = "local[*]"
+    if shuffle_partitions is not None:
+        settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     settings.update({k: str(v) for k, v in conf.items()})
-    for k, v in settings.items():
-        b = b.config(k, v)
-    spark = b.getOrCreate()
+    spark = SparkSession.builder.appName(app).config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; set to a fresh local
-    folder only when the session has none (local runs and tests)."""
+    """The shared checkpoint folder of the session. A folder of our own is
+    made only for a local master (tests); a cluster must name one."""
     try:
         sc = spark.sparkContext
     except Exception:  # Spark Connect: only the session conf is visible
         sc = None
-    if sc is None:
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            root = tempfile.mkdtemp(prefix="commitlens-ckpt-")
-        return root.rstrip("/")
-    root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if sc is not None:
+        root = root or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if sc is None or not is_local(sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="commitlens-ckpt-")
         sc.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+def is_local(master: str) -> bool:
+    """One machine: ``local`` or ``local[...]`` (not ``local-cluster``)."""
+    return master == "local" or master.startswith("local[")
+
+
 def work_dir(spark: SparkSession, purpose: str) -> str:
-    """A new, unique folder under the shared checkpoint folder."""
-    base = checkpoint_root(spark)
-    path = f"{base}/commitlens/{purpose}-{uuid.uuid4().hex[:12]}"
-    if "://" not in path and not path.startswith("file:"):
-        os.makedirs(path, exist_ok=True)
-    return path
+    """A new, unique folder name under the shared checkpoint folder; the
+    writers make the folder, on whatever store it is."""
+    return f"{checkpoint_root(spark)}/commitlens/{purpose}-{uuid.uuid4().hex[:12]}"
+
+
+def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at ``path``, None if there is no such path. Spark
+    resolves the path, so it may be in any store."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise

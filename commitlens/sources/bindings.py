@@ -6,7 +6,7 @@ derivations are per-row projections or per-key aggregates whose work grows
 with the tables; none reads a fixed or made-up input.
 
 Where a binding derives a value that must reappear in the DuckDB oracle SQL,
-the same rule is written there independently (see ``plans/catalog.py``).
+the same rule is written there independently (see ``plans/oracle.py``).
 """
 
 from __future__ import annotations
@@ -15,37 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-# Largest input (Spark's plan-size estimate of the projected scan) that may
-# be round-robin spread; anything larger is never reshuffled.
-SPREAD_MAX_BYTES = 512 * 1024 * 1024
-
-
-def spread_narrow_scan(df: DataFrame, max_bytes: int = SPREAD_MAX_BYTES) -> DataFrame:
-    """Round-robin a small scan over the session's cores when it yields fewer
-    read tasks than cores. The fixture tables are single-row-group files, so
-    the whole per-row pipeline after their scan would otherwise run in one
-    task. Only inputs whose estimated size is at most ``max_bytes`` qualify,
-    so the added shuffle is bounded; a large input keeps its own splits and
-    is returned unchanged."""
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= cores:
-            return df
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # no RDD/plan view (e.g. a Spark Connect session): leave as is
-        return df
-    return df.repartition(cores) if size <= max_bytes else df
-
-
 def scan(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
-    """The named columns of a table, spread over the cores if the scan is
-    narrower than the cluster (see :func:`spread_narrow_scan`)."""
-    return spread_narrow_scan(table(spark, sf_dir, name).select(*cols))
+    """The named columns of a table."""
+    return table(spark, sf_dir, name).select(*cols)
 
 
 # ---------------------------------------------------------------------------
@@ -489,3 +465,67 @@ def mixed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         (low, key * 10 + 1, "update", k, lit("bogus"), lit("1"), None, None, None),
         (low, key * 10 + 2, "create", F.concat(lit("blank-"), k), None, None, prio, lit("  "), lit("blank")),
     ])
+
+
+def changes_without_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes that have no place in a batch: deletes of urgent finished
+    orders without ``seq``, and two updates of each high pending order that
+    share one."""
+    o = _orders(spark, sf_dir)
+    key, prio, st = F.col("o_orderkey"), F.col("o_orderpriority"), F.col("o_orderstatus")
+    k, shared = key.cast("string"), (prio == F.lit("2-HIGH")) & (st == F.lit("P"))
+    return _changes_from(o, [
+        ((prio == F.lit("1-URGENT")) & (st == F.lit("F")), F.lit(None), "delete", k, None, None, None, None, None),
+        (shared, key * 10 + 9, "update", k, F.lit("subject"), F.lit("one"), None, None, None),
+        (shared, key * 10 + 9, "update", k, F.lit("subject"), F.lit("other"), None, None, None),
+    ])
+
+
+def hot_key_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One change per order, ``seq`` far apart; every third one creates,
+    updates or deletes the same hash, the others update their own."""
+    o = _orders(spark, sf_dir)
+    key = F.col("o_orderkey")
+    k, hot, seq = key.cast("string"), F.lit("hot-1"), key * 1_000_003
+    turn = key % 9
+    return _changes_from(o, [
+        (turn == 0, seq, "create", hot, None, None, F.lit("r"), F.lit("A"), k),
+        (turn == 3, seq, "update", hot, F.lit("subject"), k, None, None, None),
+        (turn == 6, seq, "delete", hot, None, None, None, None, None),
+        (key % 3 != 0, seq, "update", k, F.lit("subject"), F.lit("s"), None, None, None),
+    ])
+
+
+def lenient_commit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commit lines whose author, committer and changed files hold a false
+    value of some type by the order key; every seventh holds text there
+    (malformed), every eleventh has a false number as its key."""
+    o = _orders(spark, sf_dir)
+    key = F.col("o_orderkey")
+    false = F.element_at(F.array(*[F.lit(x) for x in ('""', "[]", "{}", "false", "0", "null")]), (key % 6 + 1).cast("int"))
+    box = F.when(key % 7 == 0, F.lit('"oops"')).otherwise(false)
+    own = F.when(key % 11 == 0, F.lit("0")).otherwise(F.concat(F.lit('"'), key.cast("string"), F.lit('"')))
+    line = F.concat(F.lit('{"commit":'), own, F.lit(',"repo_name":"'), F.col("o_orderpriority"), F.lit('","author":'), box,
+                    F.lit(',"committer":'), box, F.lit(',"difference":'), box, F.lit(',"subject":"s"}'))
+    return o.select(line.alias("value"))
+
+
+def trailing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repo lines with something after the object, by the customer key: text,
+    another object, spaces (fine), an array end and a new array, or nothing."""
+    full = F.to_json(F.struct(F.col("c_name").alias("repo_name")))
+    turn = F.col("c_custkey") % 5
+    line = (F.when(turn == 0, F.concat(full, F.lit(" trailing"))).when(turn == 1, F.concat(full, full)).when(turn == 2, F.concat(full, F.lit("  ")))
+            .when(turn == 3, F.concat(full, F.lit("],["), full)).otherwise(full))
+    return table(spark, sf_dir, "customer").select(line.alias("value"))
+
+
+def int_form_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repo lines whose watch count is a JSON fraction, exponent, boolean,
+    grouped or padded string, by the customer key."""
+    k = F.col("c_custkey").cast("string")
+    turn = F.col("c_custkey") % 6
+    count = (F.when(turn == 0, F.concat(k, F.lit(".9"))).when(turn == 1, F.concat(k, F.lit("e2"))).when(turn == 2, F.lit("true"))
+             .when(turn == 3, F.concat(F.lit('"'), k, F.lit('_000"'))).when(turn == 4, F.lit("false")).otherwise(F.concat(F.lit('" '), k, F.lit(' "'))))
+    line = F.concat(F.lit('{"repo_name":"'), F.col("c_name"), F.lit('","watch_count":'), count, F.lit("}"))
+    return table(spark, sf_dir, "customer").select(line.alias("value"))

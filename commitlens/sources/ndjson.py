@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from commitlens.functions import truthy
+from commitlens import schemas as S
 from commitlens.schemas import CORRUPT_COL, with_corrupt
 
 REASON_COL = "_reason"
@@ -61,6 +61,66 @@ def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     )
 
 
+def _strict(raw: Column) -> Column:
+    """The line is one JSON value and nothing else. ``from_json`` stops at the
+    end of its value, so the line is also read as the one element of an
+    array; text that closes that array itself (``],[``) is read as the one
+    field of an object."""
+    as_array = F.from_json(F.concat(F.lit("["), raw, F.lit("]")), "array<map<string,string>>", JSON_OPTIONS)
+    one = F.coalesce((F.size(as_array) == 1) & as_array[0].isNotNull(), F.lit(False))
+    as_object = F.from_json(F.concat(F.lit('{"x":'), raw, F.lit("}")), "map<string,string>", JSON_OPTIONS)
+    return one & F.when(raw.rlike(r"\]\s*,\s*\["), F.coalesce(F.size(as_object) == 1, F.lit(False))).otherwise(F.lit(True))
+
+
+def _variant(raw: Column, name: str) -> Column:
+    """A top-level field with its JSON type."""
+    schema = T.StructType([T.StructField(name, T.VariantType())])
+    return F.from_json(raw, schema, JSON_OPTIONS)[name]
+
+
+#: JSON text of the values a truth test takes for false (besides null and "").
+_FALSY_TEXT = r"^(false|-?0(\.0*)?([eE][+-]?[0-9]+)?|\[\s*\]|\{\s*\})$"
+
+
+def _falsy(raw: Column, name: str, text: Column) -> Column:
+    """The field counts as absent: null, empty, or a number, boolean, array or
+    object that is false (a string that reads like one is not)."""
+    typed = F.schema_of_variant(_variant(raw, name)) != F.lit("STRING")
+    return text.isNull() | (text == F.lit("")) | F.when(text.rlike(_FALSY_TEXT), F.coalesce(typed, F.lit(False))).otherwise(F.lit(False))
+
+
+_PLAIN_INT = r"^\s*[+-]?[0-9]+\s*$"
+
+
+def _int_text(value: Column) -> Column:
+    """Text of int(value) for a JSON number or boolean; strings stay."""
+    kind, text = F.schema_of_variant(value), value.cast("string")
+    return (
+        F.when(kind == F.lit("BOOLEAN"), F.when(text == F.lit("true"), F.lit("1")).otherwise(F.lit("0")))
+        .when(kind.isin("DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.coalesce(text.try_cast("decimal(38,6)").cast("bigint").cast("string"), text))
+        .otherwise(text)
+    )
+
+
+def _as_ints(raw: Column, f: T.StructField, value: Column) -> Column:
+    """A field whose numbers are read as int() does: plain integers as they
+    are, other forms by their JSON type."""
+    if f.name in S.INT_TEXT_FIELDS and isinstance(f.dataType, T.StringType):
+        odd = value.isNotNull() & ~value.rlike(_PLAIN_INT)
+        return F.when(odd, _int_text(_variant(raw, f.name))).otherwise(value)
+    if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
+        names = f.dataType.elementType.fieldNames()
+        ints = [n for n in names if n in S.INT_TEXT_FIELDS]
+        if ints:
+            loose = T.ArrayType(T.StructType([T.StructField(n, T.VariantType() if n in ints else t.dataType)
+                                              for n, t in zip(names, f.dataType.elementType.fields)]))
+            again = F.from_json(raw, T.StructType([T.StructField(f.name, loose)]), JSON_OPTIONS)[f.name]
+            odd = F.exists(value, lambda x: F.coalesce(~x[ints[0]].rlike(_PLAIN_INT), F.lit(False)))
+            fixed = F.transform(again, lambda x: F.struct(*[(_int_text(x[n]) if n in ints else x[n]).alias(n) for n in names]))
+            return F.when(odd, fixed).otherwise(value)
+    return value
+
+
 def classify_ndjson(
     lines: DataFrame,
     schema: T.StructType,
@@ -68,22 +128,55 @@ def classify_ndjson(
     value_col: str = "value",
 ) -> DataFrame:
     """Parse every line; keep other input columns; add the record fields, the
-    raw line (``_line``) and a reject reason (``_reason``, NULL if accepted)."""
+    raw line (``_line``) and a reject reason (``_reason``, NULL if accepted).
+
+    A line must be one JSON object and nothing else. An object or array field
+    that holds a false value of another type (``""``, ``0``, ``false``, ``[]``,
+    ``{}``) counts as absent, any other type is malformed; a required key that
+    holds one is missing. Fields in ``schemas.INT_TEXT_FIELDS`` take the forms
+    int() takes."""
     passthrough = [c for c in lines.columns if c != value_col]
     raw = F.col(value_col)
     rec = F.from_json(raw, with_corrupt(schema), JSON_OPTIONS)
     parsed = lines.select(*passthrough, raw.alias(LINE_COL), rec.alias("_rec"))
+    line = F.col(LINE_COL)
+    broken = F.col("_rec").isNull() | F.col("_rec")[CORRUPT_COL].isNotNull()
+
+    # Second chance for lines whose containers hold something else: only
+    # those lines are read again, with the containers' JSON types.
+    boxes = [f for f in schema.fields if isinstance(f.dataType, (T.StructType, T.ArrayType))]
+    loose = T.StructType([T.StructField(f.name, T.VariantType() if f in boxes else f.dataType) for f in schema.fields])
+    again = F.from_json(line, with_corrupt(loose), JSON_OPTIONS) if boxes else None
+    values, usable = {}, F.lit(False)
+    if boxes:
+        parsed = parsed.withColumn("_again", F.when(broken, again))
+        usable = F.col("_again").isNotNull() & F.col("_again")[CORRUPT_COL].isNull()
+    for f in schema.fields:
+        first = F.col("_rec")[f.name]
+        if not boxes:
+            values[f.name] = first
+        elif f not in boxes:
+            values[f.name] = F.when(broken, F.col("_again")[f.name]).otherwise(first)
+        else:
+            box = F.col("_again")[f.name]
+            text = box.cast("string")
+            absent = box.isNull() | (F.schema_of_variant(box) == F.lit("VOID")) | text.rlike(_FALSY_TEXT) | (text == F.lit(""))
+            whole = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), with_corrupt(T.StructType([T.StructField("v", f.dataType)])), JSON_OPTIONS)
+            good = (F.schema_of_variant(box) != F.lit("STRING")) & whole[CORRUPT_COL].isNull()
+            usable = usable & (absent | F.coalesce(good, F.lit(False)))
+            values[f.name] = F.when(broken, F.when(~absent, whole["v"])).otherwise(first)
+    malformed = (broken & ~F.coalesce(usable, F.lit(False))) | ~_strict(line)
+
     key_ok: Column = F.lit(True)
     for k in required:
-        key_ok = key_ok & truthy(F.col("_rec")[k])
-    line = F.col(LINE_COL)
+        key_ok = key_ok & ~_falsy(line, k, values[k])
     reason = (
         F.when(line.isNull() | (F.btrim(line, F.lit(_WHITESPACE)) == F.lit("")), F.lit("blank"))
-        .when(F.col("_rec").isNull() | F.col("_rec")[CORRUPT_COL].isNotNull(), F.lit("malformed"))
+        .when(malformed, F.lit("malformed"))
         .when(~key_ok, F.lit("missing_key"))
     )
-    fields = [F.col("_rec")[f.name].alias(f.name) for f in schema.fields]
-    return parsed.select(*passthrough, *fields, F.col(LINE_COL), reason.alias(REASON_COL))
+    fields = [_as_ints(line, f, values[f.name]).alias(f.name) for f in schema.fields]
+    return parsed.select(*passthrough, *fields, line, reason.alias(REASON_COL))
 
 
 def accepted(classified: DataFrame, keep_line: bool = False) -> DataFrame:
@@ -111,21 +204,20 @@ def parse_ndjson(
     return accepted(classified), rejected(classified)
 
 
+def outcome_counts() -> list[Column]:
+    """An aggregate per outcome (``accepted`` or a reject reason) over a
+    classified frame."""
+    reason = F.coalesce(F.col(REASON_COL), F.lit("accepted"))
+    return [F.count_if(reason == F.lit(o)).cast("bigint").alias(o) for o in ["accepted", *REJECT_REASONS]]
+
+
 def reject_counts(classified: DataFrame) -> DataFrame:
     """One row per outcome (``accepted`` or a reject reason) with its line
     count; every outcome is listed, zero when absent. A single global
     aggregate, so it is one partial aggregation per task."""
-    reason = F.coalesce(F.col(REASON_COL), F.lit("accepted"))
-    outcomes = ["accepted"] + REJECT_REASONS
-    counts = classified.agg(
-        *[F.count_if(reason == F.lit(o)).cast("bigint").alias(o) for o in outcomes]
-    )
+    counts = classified.agg(*outcome_counts())
     return counts.select(
-        F.inline(
-            F.array(
-                *[F.struct(F.lit(o).alias("outcome"), F.col(o).alias("line_count")) for o in outcomes]
-            )
-        )
+        F.inline(F.array(*[F.struct(F.lit(o).alias("outcome"), F.col(o).alias("line_count")) for o in counts.columns]))
     )
 
 

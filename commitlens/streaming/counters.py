@@ -7,12 +7,15 @@ upsert.
   changed totals of micro-batch N to ``batch_id=N`` and the counter table is
   the latest total per key over that log.
 * Upsert: every micro-batch is reduced to the last version per hash and
-  appended as ``batch_id=N``; the snapshot is the greatest ``seq`` per hash
-  over the log, whatever the arrival order.
+  written as ``batch_id=N``; the snapshot is the last version per hash over
+  the log: the greatest ``seq`` where records carry one, otherwise the last
+  by arrival (micro-batch, file, place in the file).
 
-Both sinks overwrite only their own ``batch_id`` folder, so replaying a
-micro-batch after a failure rewrites the same result, and a micro-batch
-costs in proportion to its own size, not to the table's.
+A sink is a :class:`BatchLog`: a folder per micro-batch, and every
+``COMPACT_EVERY`` micro-batches a snapshot of all before, so a read covers one
+snapshot and a bounded tail however long the stream has run. Replaying a
+micro-batch after a failure rewrites the same folders with the same rows, and a
+micro-batch costs in proportion to its own size.
 
 ``trigger(availableNow=True)`` processes everything present in bounded
 micro-batches (``maxFilesPerTrigger``) and stops. The data has no event time,
@@ -29,26 +32,80 @@ from pyspark.sql import types as T
 
 from commitlens import schemas as S
 from commitlens.operators import derive as D
-from commitlens.session import work_dir
+from commitlens.session import read_if_exists, work_dir
 from commitlens.sources import ndjson as J
 from commitlens.sources import normalise as NM
 
 
+COMPACT_EVERY = 20
+
+
 def text_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int = 1) -> DataFrame:
+    """Lines as ``value``, with the file they come from."""
     return (
         spark.readStream.format("text")
         .option("maxFilesPerTrigger", max_files_per_trigger)
         .load(source_dir)
+        .select("value", F.struct(F.col("_metadata.file_path").alias("file"),
+                                  F.col("_metadata.file_block_start").alias("block")).alias("_from"))
     )
 
 
-def read_counter_log(spark: SparkSession, out_dir: str, keys: list[str]) -> DataFrame:
-    """The current counter table of an update log: per key, the total written
-    by the latest micro-batch (a partial ``max_by`` over the log)."""
-    log = spark.read.parquet(out_dir)
-    cols = [c for c in log.columns if c not in keys and c != "batch_id"]
-    latest = log.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("_v"))
-    return latest.select(*keys, *[F.col("_v")[c].alias(c) for c in cols])
+class BatchLog:
+    """The output of a stream: ``log/batch_id=N`` folders, ``snapshot/upto=N``
+    folders that hold the reduced table of all batches up to N, and
+    ``marks/upto=N`` folders written after their snapshot is whole."""
+
+    def __init__(self, spark: SparkSession, out_dir: str, reduce: Callable[[DataFrame], DataFrame], compact_every: int = COMPACT_EVERY):
+        self.spark, self.out_dir, self.reduce, self.compact_every = spark, out_dir.rstrip("/"), reduce, compact_every
+
+    def _mark(self, before: int | None = None) -> int:
+        """Last snapshot (before a batch), -1 without one."""
+        marks = read_if_exists(self.spark, f"{self.out_dir}/marks")
+        if marks is None:
+            return -1
+        own = marks if before is None else marks.where(F.col("upto") < before)
+        return -1 if (last := own.agg(F.max("upto")).first()[0]) is None else int(last)
+
+    def _rows(self, mark: int, last: int | None = None) -> DataFrame | None:
+        """The snapshot and the batches after it (partition pruning: earlier
+        folders are not read)."""
+        log = read_if_exists(self.spark, f"{self.out_dir}/log")
+        if log is None:
+            return None
+        tail = log.where(F.col("batch_id") > mark)
+        tail = (tail if last is None else tail.where(F.col("batch_id") <= last)).withColumn("batch_id", F.col("batch_id").cast("bigint"))
+        if mark < 0:
+            return tail
+        return self.spark.read.parquet(f"{self.out_dir}/snapshot/upto={mark}").unionByName(tail)
+
+    def write(self, batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{self.out_dir}/log/batch_id={batch_id}")
+        if (batch_id + 1) % self.compact_every == 0:
+            whole = self.reduce(self._rows(self._mark(before=batch_id), batch_id))
+            whole.write.mode("overwrite").parquet(f"{self.out_dir}/snapshot/upto={batch_id}")
+            self.spark.range(1).write.mode("overwrite").parquet(f"{self.out_dir}/marks/upto={batch_id}")
+
+    def read(self) -> DataFrame | None:
+        """The current table with ``batch_id``; None before any batch."""
+        rows = self._rows(self._mark())
+        return None if rows is None else self.reduce(rows)
+
+    def run(self, stream: DataFrame, mode: str, checkpoint_dir: str, prepare: Callable[[DataFrame, int], DataFrame]) -> None:
+        """Process all that is present and stop."""
+        query = (
+            stream.writeStream.outputMode(mode)
+            .option("checkpointLocation", checkpoint_dir)
+            .trigger(availableNow=True)
+            .foreachBatch(lambda batch, batch_id: self.write(prepare(batch, batch_id), batch_id))
+            .start()
+        )
+        query.awaitTermination()
+
+
+def _latest_totals(keys: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """Per key, the row of its latest micro-batch (a partial ``max_by``)."""
+    return lambda log: D.latest_by_key(log, keys, "batch_id")
 
 
 def stream_counts(
@@ -61,40 +118,24 @@ def stream_counts(
     out_dir: str,
     checkpoint_dir: str,
     max_files_per_trigger: int = 1,
+    compact_every: int = COMPACT_EVERY,
 ) -> DataFrame:
     """Run a counter stream to completion over the files present and return
-    the current counter table.
+    the current counter table, which holds all runs on the same folders.
 
     The aggregate runs in ``update`` mode: each micro-batch emits only the
-    keys whose totals changed, written to ``out_dir/batch_id=N`` (overwrite,
-    so a replayed batch rewrites the same folder). The table is the latest
-    total per key over that log."""
+    keys whose totals changed, written to its own folder. The table is the
+    latest total per key."""
     lines = text_stream(spark, source_dir, max_files_per_trigger)
-    records = J.accepted(J.classify_ndjson(lines, schema, required))
-    counts = derive(records)
-    ran = {"n": 0}
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
-        ran["n"] += 1
-
-    q = (
-        counts.writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint_dir)
-        .trigger(availableNow=True)
-        .foreachBatch(sink)
-        .start()
-    )
-    q.awaitTermination()
-    if ran["n"] == 0:
-        return spark.createDataFrame([], counts.schema)
-    return read_counter_log(spark, out_dir, keys)
+    counts = derive(J.accepted(J.classify_ndjson(lines, schema, required)).drop("_from"))
+    log = BatchLog(spark, out_dir, _latest_totals(keys), compact_every)
+    log.run(counts, "update", checkpoint_dir, lambda batch, _: batch)
+    table = log.read()
+    return spark.createDataFrame([], counts.schema) if table is None else table.select(*counts.columns)
 
 
-def read_upsert_log(spark: SparkSession, out_dir: str) -> DataFrame:
-    """The snapshot of an upsert log: the greatest ``seq`` per hash over all
-    micro-batches, whatever order they arrived in."""
-    return D.latest_by_key(spark.read.parquet(out_dir).drop("batch_id"), ["commit_hash"], "seq")
+def _last_versions(records: DataFrame) -> DataFrame:
+    return D.latest_by_key(records, ["commit_hash"], "_order")
 
 
 def stream_upsert(
@@ -103,39 +144,32 @@ def stream_upsert(
     out_dir: str,
     checkpoint_dir: str,
     max_files_per_trigger: int = 1,
+    compact_every: int = COMPACT_EVERY,
 ) -> DataFrame:
-    """Stream commit records with a ``seq`` field into a snapshot keyed by
-    hash; returns the snapshot (with ``seq``).
+    """Stream commit records into a snapshot keyed by hash; returns the
+    snapshot (with ``seq``, null where records have none).
 
-    Each micro-batch is reduced to its last version per hash and appended
-    to ``out_dir/batch_id=N`` (overwrite of that folder: idempotent on
-    replay), so a batch costs in proportion to its own size; the snapshot is
-    the last version per hash over the log."""
+    Each micro-batch is reduced to its last version per hash. Versions are
+    ordered by ``seq`` if they carry it (a record without one is older than
+    any that has one), then by micro-batch, file and place in the file."""
     schema = T.StructType(list(S.RAW_COMMIT.fields) + [T.StructField("seq", T.LongType())])
     lines = text_stream(spark, source_dir, max_files_per_trigger)
-    records = NM.normalise_commits(J.accepted(J.classify_ndjson(lines, schema, ["commit", "repo_name"])), keep=["seq"])
-    ran = {"n": 0}
+    records = NM.normalise_commits(J.accepted(J.classify_ndjson(lines, schema, ["commit", "repo_name"])), keep=["seq", "_from"])
 
-    def append(batch: DataFrame, batch_id: int) -> None:
-        D.latest_by_key(batch, ["commit_hash"], "seq").write.mode("overwrite").parquet(
-            f"{out_dir}/batch_id={batch_id}"
-        )
-        ran["n"] += 1
-
-    q = (
-        records.writeStream.outputMode("append")
-        .option("checkpointLocation", checkpoint_dir)
-        .trigger(availableNow=True)
-        .foreachBatch(append)
-        .start()
-    )
-    q.awaitTermination()
-    if ran["n"] == 0:
-        return spark.createDataFrame([], records.schema)
-    return read_upsert_log(spark, out_dir)
+    def ordered(batch: DataFrame, batch_id: int) -> DataFrame:
+        # ids increase along a task, so along a file's split
+        order = F.struct("seq", F.lit(batch_id).cast("bigint").alias("batch"), F.col("_from.file").alias("file"),
+                         F.col("_from.block").alias("block"), F.monotonically_increasing_id().alias("place"))
+        return _last_versions(batch.withColumn("_order", order).drop("_from"))
+
+    log = BatchLog(spark, out_dir, _last_versions, compact_every)
+    log.run(records, "append", checkpoint_dir, ordered)
+    table = log.read()
+    columns = [c for c in records.columns if c != "_from"]
+    return spark.createDataFrame([], records.select(*columns).schema) if table is None else table.select(*columns)
 
 
-def _stage_lines(spark: SparkSession, lines: DataFrame, purpose: str) -> tuple[str, str, str]:
+def stage_lines(spark: SparkSession, lines: DataFrame, purpose: str) -> tuple[str, str, str]:
     """Write a lines frame as text files (the stream's source folder) and
     return (source, sink, checkpoint) folders."""
     base = work_dir(spark, purpose)
@@ -143,17 +177,20 @@ def _stage_lines(spark: SparkSession, lines: DataFrame, purpose: str) -> tuple[s
     return f"{base}/source", f"{base}/sink", f"{base}/checkpoint"
 
 
-def stream_author_counts_from(spark: SparkSession, lines: DataFrame, max_files_per_trigger: int = 4) -> DataFrame:
-    src, out, cp = _stage_lines(spark, lines, "stream-authors")
+def stream_author_counts(spark: SparkSession, source_dir: str, out_dir: str, checkpoint_dir: str, max_files_per_trigger: int = 4) -> DataFrame:
     return stream_counts(
-        spark, src, S.RAW_COMMIT, ["commit", "repo_name"],
+        spark, source_dir, S.RAW_COMMIT, ["commit", "repo_name"],
         lambda recs: D.author_counts(NM.normalise_commits(recs)),
-        ["repo_name", "author_name"], out, cp, max_files_per_trigger,
+        ["repo_name", "author_name"], out_dir, checkpoint_dir, max_files_per_trigger,
     )
 
 
+def stream_author_counts_from(spark: SparkSession, lines: DataFrame, max_files_per_trigger: int = 4) -> DataFrame:
+    return stream_author_counts(spark, *stage_lines(spark, lines, "stream-authors"), max_files_per_trigger)
+
+
 def stream_language_bytes_from(spark: SparkSession, lines: DataFrame, max_files_per_trigger: int = 4) -> DataFrame:
-    src, out, cp = _stage_lines(spark, lines, "stream-languages")
+    src, out, cp = stage_lines(spark, lines, "stream-languages")
     return stream_counts(
         spark, src, S.RAW_LANGUAGE, [],
         lambda recs: D.language_bytes(NM.unnest_languages(recs)),
@@ -162,5 +199,5 @@ def stream_language_bytes_from(spark: SparkSession, lines: DataFrame, max_files_
 
 
 def stream_upsert_from(spark: SparkSession, lines: DataFrame, max_files_per_trigger: int = 4) -> DataFrame:
-    src, out, cp = _stage_lines(spark, lines, "stream-upsert")
+    src, out, cp = stage_lines(spark, lines, "stream-upsert")
     return stream_upsert(spark, src, out, cp, max_files_per_trigger).drop("seq")

@@ -49,7 +49,7 @@ def test_load_all_writes_every_table(spark):
         raw_languages=B.raw_languages(spark, SF_SMALL),
     )
     assert set(paths) == {"commits", "commits_by_repo", "author_counts", "repos_loaded", "repos",
-                          "repos_by_tier", "tier_counts", "licenses", "license_counts", "language_bytes"}
+                          "repos_by_tier", "tier_counts", "licenses", "license_counts", "languages", "language_bytes"}
     assert spark.read.parquet(paths["commits"]).count() == B.commits_table(spark, SF_SMALL).count()
     tiers = spark.read.parquet(paths["repos_by_tier"])
     assert "watch_tier" in tiers.columns and tiers.count() > 0

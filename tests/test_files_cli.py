@@ -1,6 +1,7 @@
 """End to end from NDJSON files: load job with reject accounting, then the
 command-line reports."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from commitlens.__main__ import main
@@ -57,11 +58,16 @@ def test_cli_load_and_reports(spark, tmp_path, capsys):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     _write_sources(spark, src)
     assert main(["load", "--in", src, "--out", out]) == 0
-    for name in ["words", "licenses", "languages", "watch", "tiers", "names", "repos"]:
+    for name in ["words", "licenses", "languages", "watch", "tiers", "names"]:
         assert main(["report", name, "--tables", out]) == 0
+    assert main(["report", "repos", "--tables", out, "--out", str(tmp_path / "repos")]) == 0
+    assert spark.read.parquet(str(tmp_path / "repos")).count() > 0
+    for bad in (["repos"], ["activity"], ["words", "--ties", "asc"]):
+        with pytest.raises(SystemExit):
+            main(["report", *bad, "--tables", out])
     assert main(["report", "activity", "--tables", out, "--repo", "1-URGENT", "--ties", "desc", "--top", "3"]) == 0
     shown = capsys.readouterr().out
-    assert "word_count" in shown and "watch_tier" in shown and "1-URGENT" in shown
+    assert "word_count" in shown and "watch_tier" in shown and "commit_count" in shown
 
 
 def test_cli_change_file_and_record_commands(spark, tmp_path, capsys):

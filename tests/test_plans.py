@@ -3,7 +3,7 @@ TakeOrderedAndProject, per-group limits before the shuffle, pushed filters."""
 
 import pytest
 
-from __spark_entry__ import queries
+from commitlens.plans.queries import QUERIES
 from commitlens.operators import lookup as L
 from commitlens.sources import bindings as B
 from conftest import SF_SMALL
@@ -12,6 +12,10 @@ NON_BATCH = {"refresh_then_reload", "accumulate_reload", "stream_author_counts",
              "stream_language_bytes", "stream_upsert"}
 
 
+def queries():
+    return QUERIES
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -105,14 +109,3 @@ def test_sequential_batch_never_windows_a_whole_key(spark):
         assert "partial_max_by" in p
     finally:
         _aqe(spark)
-
-
-def test_spread_is_a_no_op_for_wide_scans(spark):
-    from commitlens.sources.bindings import spread_narrow_scan
-
-    wide = spark.range(0, 1000, numPartitions=spark.sparkContext.defaultParallelism)
-    assert spread_narrow_scan(wide) is wide
-    narrow = spark.range(0, 1000, numPartitions=1)
-    assert spread_narrow_scan(narrow).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    # a narrow scan above the size bound is never reshuffled
-    assert spread_narrow_scan(narrow, max_bytes=10) is narrow
