@@ -42,10 +42,21 @@ def _strip(c: str | Column) -> Column:
     return F.btrim(col, F.lit(_WHITESPACE))
 
 
-def _keys(base: DataFrame, batch: DataFrame) -> DataFrame:
-    """Those keys of the batch that the snapshot has, with an existence flag
-    (snapshot keys are unique)."""
-    own = base.select("commit_hash").join(batch.select("commit_hash").distinct(), "commit_hash", "left_semi")
+#: Most counted changes whose keys, and whose summaries (the records of the
+#: batch), are broadcast to the snapshot; beyond it Spark decides by its
+#: estimates, which derived tables inflate.
+BROADCAST_KEYS, BROADCAST_SUMMARIES = 500_000, 20_000
+
+
+def _small(df: DataFrame, n: int | None, most: int) -> DataFrame:
+    return F.broadcast(df) if n is not None and n <= most else df
+
+
+def _keys(base: DataFrame, batch: DataFrame, n: int | None = None) -> DataFrame:
+    """Those keys of the batch (of ``n`` changes) that the snapshot has, with
+    an existence flag (snapshot keys are unique)."""
+    wanted = _small(batch.select("commit_hash").distinct(), n, BROADCAST_KEYS)
+    own = base.select("commit_hash").join(wanted, "commit_hash", "left_semi")
     return own.withColumn("_exists", F.lit(True))
 
 
@@ -230,12 +241,11 @@ def merge_counter_deltas(
 # ---------------------------------------------------------------------------
 # Exact sequential semantics for mixed batches.
 # ---------------------------------------------------------------------------
-def _chunks(ops: DataFrame, chunk: int) -> Column:
+def _chunks(ops: DataFrame, chunk: int, n: int) -> Column:
     """The run of ``seq`` values a change falls into. Runs are cut at
     quantiles of the batch's own ``seq``, so each holds about ``chunk``
     changes however sparse the values are. One aggregate over the batch's
     ``seq``; the driver gets the cuts, a ten-thousandth of the batch or less."""
-    n = ops.count()
     parts = min(10_000, -(-n // chunk))
     if parts < 2:
         return F.lit(0)
@@ -251,7 +261,7 @@ def _chunks(ops: DataFrame, chunk: int) -> Column:
     return place(0, len(cuts))
 
 
-def _existence_before(ops: DataFrame, base: DataFrame, chunk: int) -> DataFrame:
+def _existence_before(ops: DataFrame, base: DataFrame, chunk: int, n: int) -> DataFrame:
     """For every change, whether its key exists just before it is applied.
 
     Only creates and deletes change existence: after a valid create the key
@@ -266,7 +276,7 @@ def _existence_before(ops: DataFrame, base: DataFrame, chunk: int) -> DataFrame:
     from pyspark.sql import Window
 
     effect = F.when(F.col("_sets"), F.col("_effect"))
-    tagged = ops.withColumn("_chunk", _chunks(ops, chunk))
+    tagged = ops.withColumn("_chunk", _chunks(ops, chunk, n))
     # every (key, run) holding a change gets a summary row (NULL when the
     # run has no create/delete) so each change finds its run's entry
     summary = tagged.groupBy("commit_hash", "_chunk").agg(
@@ -277,7 +287,7 @@ def _existence_before(ops: DataFrame, base: DataFrame, chunk: int) -> DataFrame:
         F.last("_chunk_last", ignorenulls=True).over(
             Window.partitionBy("commit_hash").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
         ),
-    ).join(_keys(base, ops), "commit_hash", "left").select(
+    ).join(_keys(base, ops, n), "commit_hash", "left").select(
         "commit_hash", "_chunk", "_entering", F.col("_exists").isNotNull().alias("_existed"))
     within = Window.partitionBy("commit_hash", "_chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     resolved = tagged.withColumn("_prev_in_chunk", F.last(effect, ignorenulls=True).over(within)).join(
@@ -288,7 +298,7 @@ def _existence_before(ops: DataFrame, base: DataFrame, chunk: int) -> DataFrame:
 
 
 def sequence_changes(
-    base: DataFrame, changes: DataFrame, create_mode: str = "if_absent", chunk: int = 1 << 16
+    base: DataFrame, changes: DataFrame, create_mode: str = "if_absent", chunk: int = 1 << 16, n: int | None = None
 ) -> DataFrame:
     """Every change of a mixed batch with its status, as if the changes were
     applied one after another in ``seq`` order. A change without ``seq``, or
@@ -314,16 +324,13 @@ def sequence_changes(
     valid_create = is_create & truthy("repo_name") & truthy("author_name") & truthy("commit_hash")
     repeated = ch.where("seq IS NOT NULL").groupBy("seq").agg(F.count("*").alias("_n")).where("_n > 1").select("seq", F.lit(True).alias("_repeated"))
     ch = ch.join(repeated, "seq", "left").withColumn("_placed", F.col("seq").isNotNull() & F.col("_repeated").isNull()).drop("_repeated")
-    unplaced = ch.where(~F.col("_placed")).drop("_placed").select(
-        "*", F.lit(False).alias("_sets"), F.lit(False).alias("_effect"), F.lit(False).alias("_existed"), F.lit("invalid").alias("status"))
-    ch = ch.where("_placed").drop("_placed")
-    ops = ch.withColumn("_sets", F.coalesce(valid_create | is_delete, F.lit(False))).withColumn(
+    ops = ch.withColumn("_sets", F.col("_placed") & F.coalesce(valid_create | is_delete, F.lit(False))).withColumn(
         "_effect", valid_create
     )
-    ops = _existence_before(ops, base, chunk)
+    ops = _existence_before(ops, base, chunk, changes.count() if n is None else n)
     before = F.col("_exists_before")
     status = (
-        F.when(is_create & ~valid_create, F.lit("invalid"))
+        F.when(~F.col("_placed") | (is_create & ~valid_create), F.lit("invalid"))
         .when(is_create & before & F.lit(create_mode == "if_absent"), F.lit("duplicate"))
         .when(is_create, F.lit("created"))
         .when(is_delete & before, F.lit("deleted"))
@@ -331,12 +338,12 @@ def sequence_changes(
         .when(is_update, update_status(F.col("field"), F.when(before, F.lit(True)), F.col("value")))
         .otherwise(F.lit("invalid_op"))
     )
-    return ops.withColumn("status", status).drop("_exists_before").unionByName(unplaced)
+    return ops.withColumn("status", status).drop("_exists_before", "_placed")
 
 
-def finalize_sequence(base: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
+def finalize_sequence(base: DataFrame, ops: DataFrame, n: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The new snapshot and the exact counter deltas of a sequenced batch
-    (the output of :func:`sequence_changes`)."""
+    (the output of :func:`sequence_changes`, ``n`` its counted changes)."""
     # One pass per key: final existence (last create/delete), the anchor
     # (last successful create, or a successful delete, which clears the
     # record) and per field the last successful update. An update survives
@@ -371,7 +378,7 @@ def finalize_sequence(base: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataF
     same = old["_old_commit_hash"] == summary["commit_hash"]
     absent = [F.lit(None).cast(old.schema[c].dataType).alias(c) for c in old.columns]
     created = summary.where(~F.col("_existed")).select(*absent, *summary.columns)
-    joined = old.join(summary, same, "left").unionByName(created)
+    joined = old.join(_small(summary, n, BROADCAST_SUMMARIES), same, "left").unionByName(created)
     key = F.coalesce(F.col("_old_commit_hash"), F.col("commit_hash"))
     anchored_new = F.coalesce(F.col("_anchor.is_create"), F.lit(False))
     exists_final = F.coalesce(F.col("_final_effect"), F.col("_old_commit_hash").isNotNull())
@@ -403,7 +410,7 @@ def finalize_sequence(base: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataF
         cols.append(v.alias(name))
     final = joined.where(exists_final).select(*cols)
 
-    touched = old.join(summary, same).unionByName(created)
+    touched = old.join(_small(summary, n, BROADCAST_SUMMARIES), same).unionByName(created)
     before_row = F.when(
         F.col("_old_commit_hash").isNotNull(),
         F.struct(F.col("_old_repo_name").alias("repo_name"), F.col("_old_author_name").alias("author_name"),
@@ -438,6 +445,7 @@ def apply_sequential(
     follow it; a key whose last create/delete is a delete is gone. ``deltas``
     are exact counter changes (the final snapshot's counts minus the
     original's), so merged counters always equal recomputed ones."""
-    ops = sequence_changes(base, changes, create_mode, chunk)
-    snapshot, deltas = finalize_sequence(base, ops)
+    n = changes.count()
+    ops = sequence_changes(base, changes, create_mode, chunk, n)
+    snapshot, deltas = finalize_sequence(base, ops, n)
     return ChangeResult(snapshot, ops.select("seq", "op", "commit_hash", "status"), deltas)

@@ -129,7 +129,9 @@ def test_small_batches_do_not_move_the_snapshot(spark, tmp_path, what):
     path = f"{tmp_path}/snapshot"
     wide.write.parquet(path)
     base = spark.read.parquet(path)
-    batch = spark.createDataFrame([(1, what[:-1] if what != "changes" else "delete", "7", "subject", "x", "r", "A", "s", "m")], S.CHANGES)
+    made = spark.createDataFrame([(1, what[:-1] if what != "changes" else "delete", "7", "subject", "x", "r", "A", "s", "m")], S.CHANGES)
+    made.write.parquet(f"{tmp_path}/batch")
+    batch = spark.read.parquet(f"{tmp_path}/batch")  # a size that Spark knows
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(100_000))
     try:
         df = {"lookup": lambda: L.lookup(base, batch.select("commit_hash")), "creates": lambda: CH.apply_creates(base, batch).snapshot,
@@ -139,7 +141,11 @@ def test_small_batches_do_not_move_the_snapshot(spark, tmp_path, what):
         df.collect()
         plan = df._jdf.queryExecution().executedPlan().toString()
         final = plan.split("Initial Plan")[0]
-        for line in final.splitlines():
-            assert "SortMergeJoin" not in line, plan
+        # no exchange carries the records of the snapshot
+        assert not [x for x in final.splitlines() if "Exchange hashpartitioning" in x and "_old_" in x], plan
+        for i, x in enumerate(final.splitlines()):
+            if "FileScan" in x and "subject" in x and "snapshot" in x:
+                above = [y for y in final.splitlines()[:i] if len(y) - len(y.lstrip(" :+-")) < len(x) - len(x.lstrip(" :+-"))]
+                assert "Exchange" not in "".join(above[-3:]), plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
