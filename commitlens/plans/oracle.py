@@ -501,6 +501,7 @@ SELECT table_name, CAST(row_count AS BIGINT) AS row_count FROM (
   UNION ALL SELECT 'licenses', count(*) FROM lic WHERE repo_name IS NOT NULL AND repo_name <> ''
                                                    AND license IS NOT NULL AND license <> ''
   UNION ALL SELECT 'license_counts', count(DISTINCT license) FROM lic WHERE license IS NOT NULL AND license <> ''
+  UNION ALL SELECT 'languages', count(*) FROM l
   UNION ALL SELECT 'language_bytes', count(DISTINCT name) FROM l)"""
 
 MIXED = """
