@@ -37,6 +37,7 @@ one node. An empty table gives no rows. Only the id and the text are read.
 from __future__ import annotations
 
 import bisect
+import math
 
 import numpy as np
 import pandas as pd
@@ -92,11 +93,26 @@ class Bands:
         largest = self.starts[band + 1] - 1
         return (100 - self.threshold) * 2 * largest // (100 + self.threshold)
 
+    def smallest(self, band: int) -> int:
+        """Size of the smallest set with a partner in the band."""
+        return -(-self.threshold * self.starts[band] // 100)
 
-def signatures(members: np.ndarray, band: int, differences: int) -> np.ndarray:
-    """Index entries of a set for the pairs of a band."""
+
+def segments_for(need: int, smallest: int) -> int:
+    """Segments such that even the smallest sets of a band have ``need`` that
+    are not empty, by expectation and a margin: one-deletion neighbourhoods,
+    the dearest entries, are then rarely called for."""
+    m = need
+    while need > 4 and m * (1 - math.exp(-smallest / m)) < need + 1.5 * math.sqrt(m * math.exp(-smallest / m)):
+        m += 1 + m // 100
+    return m
+
+
+def signatures(members: np.ndarray, band: int, differences: int, smallest: int) -> np.ndarray:
+    """Index entries of a set for the pairs of a band, whose sets have
+    ``smallest`` members or more."""
     need = differences + 1
-    m = need + (need // 25 + 1 if need > 4 else 0)
+    m = segments_for(need, smallest)
     salt = np.uint64((band + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
     spread = mix(members ^ salt)
     segment = ((spread >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
@@ -127,7 +143,7 @@ def all_signatures(members: np.ndarray, bands: Bands) -> np.ndarray:
     if not n:
         return np.empty(0, np.int64)
     band = bands.of(n)
-    return np.concatenate([signatures(members, b, bands.most_differences(b)) for b in (band, band + 1)])
+    return np.concatenate([signatures(members, b, bands.most_differences(b), bands.smallest(b)) for b in (band, band + 1)])
 
 
 def linked(inter, size_a, size_b, threshold: int = THRESHOLD):
@@ -214,6 +230,8 @@ def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 yield pd.DataFrame({"sig": flat[i:i + 500_000], "id": ids[i:i + 500_000]})
 
     entries = own.mapInPandas(index, f"sig bigint, id {id_type}")
+    partitions = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entries = entries.repartition(partitions, "sig")
     shared = materialise(entries.withColumn("n", F.count("*").over(Window.partitionBy("sig"))).where("n > 1"), "entries")
 
     few = shared.where(F.col("n") <= small).groupBy("sig").agg(F.sort_array(F.collect_set("id")).alias("ids"))
