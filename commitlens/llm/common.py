@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +33,3 @@ def broadcast_if_small(df: DataFrame, rows: int, max_rows: int) -> DataFrame:
 def utf8(col: str):
     """The text as UTF-8 bytes, null as empty."""
     return F.coalesce(F.col(f"`{col}`"), F.lit("")).cast("binary")
-
-
-def sha256_hex(text: str) -> str:
-    return hashlib.sha256(text.encode("utf-8")).hexdigest()

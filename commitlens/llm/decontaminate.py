@@ -23,13 +23,12 @@ results. Other columns of ``documents`` pass through.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commitlens.llm.common import ASCII_LOWER, sha256_hex, table, utf8
+from commitlens.llm.common import ASCII_LOWER, table, utf8
 
 WINDOW = 13
 SHARD_WORDS = 4_000_000

@@ -18,6 +18,7 @@ divergence. Repeated rows give repeated results. Other columns pass through.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commitlens.llm.common import ASCII_LOWER, utf8
+from commitlens.llm.common import ASCII_LOWER, table, utf8
 
 # The commonest function words of each language.
 COMMON_WORDS = {
@@ -118,8 +119,6 @@ def base_failed(n_words, n_repeat, params: Params):
 
 def histograms(raw: bytes, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Counts by character class, and by common word with all others last."""
-    from collections import Counter
-
     own = _byte_class()
     classes = np.bincount(own[own >= 0], weights=counts[own >= 0], minlength=len(CLASSES)).astype(np.int64)
     seen = Counter(raw.translate(bytes.maketrans(PUNCTUATION, b" " * len(PUNCTUATION))).translate(ASCII_LOWER).split())
@@ -210,7 +209,5 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", p
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
-    from commitlens.llm.common import table
-
     judged = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return judged.select("doc_id", "quality.*")
