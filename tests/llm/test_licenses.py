@@ -68,3 +68,31 @@ def test_root_and_odd_rows(spark):
     got = {r.path: r.license for r in L.scan_licenses(df).collect()}
     assert got["x/y/z.c"] == got["w.c"] == got["t.c"] == "MIT"
     assert L.scan_licenses(df.limit(0)).collect() == []
+
+
+def test_whole_texts_and_wrapped_headers(spark):
+    """License files as they are shipped, with other holders, wraps and case."""
+    rows, want = [], {}
+    for name, text in L.WHOLE_TEXTS:
+        text = "My Project\nCopyright (c) 2024 Some Holder and others\n\n" + re.sub(r"(?m)^Copyright .*$", "", text)
+        for i, shown in enumerate((text, " ".join(text.split()), "\n".join("  " + x.rstrip() for x in text.splitlines()))):
+            want[f"{name}/{i}/LICENSE"] = want[f"{name}/{i}/x.py"] = name
+            rows += [(f"{name}/{i}/LICENSE", shown), (f"{name}/{i}/x.py", "code")]
+    words = ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the "
+             "License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License")
+    gpl = ("This file is part of it. This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+           "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.")
+    wrap = lambda text, n: [" ".join(p.split()[i:i + n]) for p in text.split("\n\n") for i in range(0, len(p.split()), n)]
+    code = "\nx = 1\n" * 200
+    for n in (5, 8, 12):
+        want |= {f"src/{n}/a.py": "Apache-2.0", f"src/{n}/b.c": "GPL-3.0", f"src/{n}/c.js": "MIT"}
+        rows += [(f"src/{n}/a.py", "\n".join("# " + x for x in wrap(words, n)) + code), (f"src/{n}/b.c", "/*\n" + "\n".join(" * " + x for x in wrap(gpl, n)) + "\n */" + code),
+                 (f"src/{n}/c.js", "/*\n" + "\n".join(wrap(dict(L.WHOLE_TEXTS)["MIT"], n)) + "\n*/" + code)]
+    for tag, name in (("MIT", "MIT"), ("GPL-2.0-or-later", "GPL-2.0"), ("(Apache-2.0)", "Apache-2.0"), ("LicenseRef-Own", None)):
+        want[f"{tag}/spdx.c"] = name
+        rows.append((f"{tag}/spdx.c", f"// SPDX-License-Identifier: {tag}\nint main;"))
+    prose = "It is the permission of the one and the other to go to the house of the people, and any of them may use it in the way that they have been told to. " * 60
+    want["prose.txt"] = None
+    rows.append(("prose.txt", prose))
+    got = {r.path: r.license for r in L.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == want
