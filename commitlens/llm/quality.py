@@ -1,19 +1,20 @@
 """Quality rules: fixed base rules plus a distribution-divergence verdict.
 
 Each text is summarised as two histograms: character classes (of its bytes by
-lead byte, so of its code points) and common words (how often each word of
-the four lists below occurs, and all other words). Pass 1 adds up, per
-language, the normalised histograms of the texts that pass the base rules;
-that is one small row per language and task, so a language holding a third of
-the rows costs nothing extra. Pass 2 compares each text with the language
-references by Jensen-Shannon distance (base 2, 0 to 1) and rejects a text that
-is far from every one of them. Texts under the minimum lengths are not judged
-by that histogram.
-
-Edge cases. Null or empty text: no words, ``base_failed`` true. Null or
-unknown language: does not add to a reference, is still compared with all of
-them. No usable reference (an empty table, say): nothing is rejected by
-divergence. Repeated rows give repeated results. Other columns pass through.
+lead byte, so of its code points) and common words (how often each occurs, and
+all other words). The common words of the four languages below are fixed; those
+of any other language in the table are its ``TOP_WORDS`` most frequent ones,
+counted over all its texts that pass the base rules (by language and word,
+summed per batch before the shuffle). The next pass adds up, per language, the
+normalised histograms of the texts that pass the base rules; that is one small
+row per language and task, so a language holding a third of the rows costs
+nothing extra. The last pass compares each text with the reference of its own
+language by Jensen-Shannon distance (base 2, 0 to 1) and rejects a text that is
+far from it. Texts under the minimum lengths are not judged by that histogram.
+
+Edge cases. Null or empty text: no words, ``base_failed`` true. Null language, or
+one without a reference (not one of the four, and fewer than ``MIN_DOCS`` texts
+that pass the base rules): nothing is rejected by divergence. Repeated rows give repeated results. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from commitlens.llm.common import ASCII_LOWER, table, utf8
@@ -46,13 +47,15 @@ PUNCTUATION = b".,;:!?'\"()-"
 SPACES = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 CLASSES = ["lower", "upper", "digit", "space", "break", "punctuation", "symbol", "other", "two", "three", "four"]
 PPM = 1_000_000
+#: Words that are fitted for a language without a list, and the least texts it needs for a reference.
+TOP_WORDS, MIN_DOCS = 40, 20
 
 
 @dataclass(frozen=True)
 class Params:
     """Thresholds. ``min_*`` guards: below them a histogram is not judged.
 
-    A text is far from the languages if one distance exceeds its ``max_*``
+    A text is far from its language if one distance exceeds its ``max_*``
     value, or both exceed the lower ``joint_*`` values. Chosen on the labelled
     rows of the test tables: no good text lost, 93 % of the bad ones found."""
 
@@ -117,12 +120,17 @@ def base_failed(n_words, n_repeat, params: Params):
     return (n_words < params.min_words) | (100 * n_repeat > params.max_repeat_pct * n_words)
 
 
-def histograms(raw: bytes, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_counts(raw: bytes) -> Counter:
+    """Words without punctuation, A-Z folded."""
+    return Counter(raw.translate(bytes.maketrans(PUNCTUATION, b" " * len(PUNCTUATION))).translate(ASCII_LOWER).split())
+
+
+def histograms(raw: bytes, counts: np.ndarray, common: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Counts by character class, and by common word with all others last."""
     own = _byte_class()
     classes = np.bincount(own[own >= 0], weights=counts[own >= 0], minlength=len(CLASSES)).astype(np.int64)
-    seen = Counter(raw.translate(bytes.maketrans(PUNCTUATION, b" " * len(PUNCTUATION))).translate(ASCII_LOWER).split())
-    words = np.fromiter((seen.get(w.encode(), 0) for w in WORDS), np.int64, len(WORDS))
+    seen = word_counts(raw)
+    words = np.fromiter((seen.get(w, 0) for w in common), np.int64, len(common))
     return classes, np.append(words, sum(seen.values()) - words.sum())
 
 
@@ -136,53 +144,85 @@ def distances(p: np.ndarray, references: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip(divergence, 0, 1))
 
 
+def fit_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", params: Params = Params()) -> dict[str, list[bytes]]:
+    """The most frequent words of each language without a fixed list, over all
+    its documents that pass the base rules; every text weighs the same. The
+    driver gets ``TOP_WORDS`` rows per language at most."""
+    def partial(batches):
+        for batch in batches:
+            sums: dict[tuple, int] = {}
+            for raw, lang in zip(batch["raw"], batch["lang"]):
+                base = base_measures(raw, byte_counts(raw))
+                if base_failed(base[0], base[4], params):
+                    continue
+                seen = word_counts(raw)
+                total = max(1, sum(seen.values()))
+                sums[lang, None] = sums.get((lang, None), 0) + 1
+                for w, k in seen.items():
+                    sums[lang, w] = sums.get((lang, w), 0) + PPM * k // total
+            yield pd.DataFrame({"lang": pd.Series([k[0] for k in sums], dtype=object), "word": pd.Series([k[1] for k in sums], dtype=object), "n": pd.Series(list(sums.values()), dtype="int64")})
+
+    lang = F.col(f"`{lang_col}`").cast("string")
+    found = docs.where(lang.isNotNull() & ~lang.isin(LANGUAGES)).select(utf8(text_col).alias("raw"), lang.alias("lang")) \
+        .mapInPandas(partial, "lang string, word binary, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("lang").orderBy(F.col("word").isNotNull(), F.desc("n"), "word")  # the null word, the number of texts, is first
+    top = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TOP_WORDS + 1)
+    rows: dict[str, list] = {}
+    for r in top.orderBy("lang", "rank").collect():
+        rows.setdefault(r["lang"], []).append(r)
+    return {k: [bytes(r["word"]) for r in own[1:]] for k, own in rows.items() if own[0]["n"] >= MIN_DOCS}
+
+
 def fit_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
-                   params: Params = Params()) -> dict[str, tuple[list[int], list[int]]]:
-    """Language references over all documents that pass the base rules.
+                   params: Params = Params()) -> dict[str, tuple[list[int], list[int], list[bytes]]]:
+    """References of all languages (classes, words, the common words) over all
+    documents that pass the base rules.
 
     Every text weighs the same (parts per million, whole numbers, so the sum
-    does not depend on the order). The driver gets one row per listed
-    language at most."""
-    width = len(CLASSES) + len(WORDS) + 1
+    does not depend on the order). The driver gets one row per language at
+    most."""
+    listed = [w.encode() for w in WORDS]
+    common = {**dict.fromkeys(LANGUAGES, listed), **fit_words(docs, text_col, lang_col, params)}
+    width = len(CLASSES) + max(len(listed), TOP_WORDS) + 1
 
     def partial(batches):
-        sums, n = np.zeros((len(LANGUAGES), width), np.int64), np.zeros(len(LANGUAGES), np.int64)
+        sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for raw, lang in zip(batch["raw"], batch["lang"]):
-                if lang not in LANGUAGES:
+                if lang not in common:
                     continue
                 counts = byte_counts(raw)
                 base = base_measures(raw, counts)
                 if base_failed(base[0], base[4], params):
                     continue
-                k = LANGUAGES.index(lang)
-                n[k] += 1
-                sums[k] += np.concatenate([PPM * h // max(1, h.sum()) for h in histograms(raw, counts)])
-        yield pd.DataFrame({"lang": LANGUAGES, "sums": list(sums)})[n > 0]
+                own = np.concatenate([PPM * h // max(1, h.sum()) for h in histograms(raw, counts, common[lang])])
+                sums.setdefault(lang, np.zeros(width, np.int64))[:len(own)] += own
+        yield pd.DataFrame({"lang": pd.Series(list(sums), dtype=object), "sums": pd.Series(list(sums.values()), dtype=object)})
 
     parts = docs.select(utf8(text_col).alias("raw"), F.col(f"`{lang_col}`").cast("string").alias("lang")) \
         .mapInPandas(partial, "lang string, sums array<bigint>")
     total = parts.groupBy("lang").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(width)])
-    return {r["lang"]: (list(r[1:1 + len(CLASSES)]), list(r[1 + len(CLASSES):]))
-            for r in total.orderBy("lang").collect()}
+    at = 1 + len(CLASSES)
+    return {r["lang"]: (list(r[1:at]), list(r[at:at + len(common[r["lang"]]) + 1]), common[r["lang"]]) for r in total.orderBy("lang").collect()}
 
 
-def quality_column(references: dict, text_col: str = "text", params: Params = Params()):
-    """A struct column: the base measures, the nearest distances (null when
-    guarded), ``base_failed`` and ``kept``."""
-    refs = [np.array([np.array(r[k]) / max(1, sum(r[k])) for r in references.values() if sum(r[k])]) for k in (0, 1)]
+def quality_column(references: dict, text_col: str = "text", lang_col: str = "lang", params: Params = Params()):
+    """A struct column: the base measures, the distances to the text's language
+    (null when guarded), ``base_failed`` and ``kept``."""
+    refs = {lang: ([np.array([r[k]]) / sum(r[k]) if sum(r[k]) else None for k in (0, 1)], r[2]) for lang, r in references.items()}
 
-    def judge(raws: pd.Series) -> pd.DataFrame:
+    def judge(raws: pd.Series, langs: pd.Series) -> pd.DataFrame:
         rows = []
-        for raw in raws:
+        for raw, lang in zip(raws, langs):
             counts = byte_counts(raw)
             base = base_measures(raw, counts)
             failed = bool(base_failed(base[0], base[4], params))
-            classes, words = histograms(raw, counts)
             near = [None, None]
-            for k, (h, least) in enumerate(((classes, params.min_class_chars), (words, params.min_word_count))):
-                if len(refs[k]) and h.sum() >= max(1, least):
-                    near[k] = float(distances(h, refs[k]).min())
+            if lang in refs:
+                own, common = refs[lang]
+                for k, (h, least) in enumerate(zip(histograms(raw, counts, common), (params.min_class_chars, params.min_word_count))):
+                    if own[k] is not None and h.sum() >= max(1, least):
+                        near[k] = float(distances(h, own[k])[0])
             of_classes, of_words = near[0] or 0, near[1] or 0
             far = (of_classes > params.max_class_distance or of_words > params.max_word_distance
                    or of_classes > params.joint_class_distance and of_words > params.joint_word_distance)
@@ -190,7 +230,7 @@ def quality_column(references: dict, text_col: str = "text", params: Params = Pa
         return pd.DataFrame(rows, columns=[*BASE, "class_distance", "word_distance", "base_failed", "kept"])
 
     kind = ", ".join(f"{c} bigint" for c in BASE) + ", class_distance double, word_distance double, base_failed boolean, kept boolean"
-    return F.pandas_udf(judge, kind)(utf8(text_col))
+    return F.pandas_udf(judge, kind)(utf8(text_col), F.col(f"`{lang_col}`").cast("string"))
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
@@ -198,14 +238,14 @@ def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     """``docs`` with a struct column ``quality`` (an older one is replaced)."""
     if references is None:
         references = fit_references(docs, text_col, lang_col, params)
-    return docs.withColumn("quality", quality_column(references, text_col, params))
+    return docs.withColumn("quality", quality_column(references, text_col, lang_col, params))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", params: Params = Params()) -> DataFrame:
     """The rows of ``docs`` that the rules keep, columns unchanged; one
     narrow pass after the references, no join."""
     references = fit_references(docs, text_col, lang_col, params)
-    return docs.where(quality_column(references, text_col, params)["kept"])
+    return docs.where(quality_column(references, text_col, lang_col, params)["kept"])
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -75,3 +75,23 @@ def test_labelled_rows(spark):
     counts = {(r.quality, r.kept): r["count"] for r in judged}
     assert counts.get((1, False), 0) == 0
     assert counts[(0, False)] > counts.get((0, True), 0)
+
+
+def test_other_languages_have_references_of_their_own(spark, documents):
+    """Clean texts of any script stay; junk among them goes."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for lang, first in (("ru", 0x430), ("el", 0x3B1), ("ar", 0x627), ("ko", 0xAC00)):
+        vocabulary = ["".join(chr(first + int(k)) for k in rng.integers(0, 24, rng.integers(2, 9))) for _ in range(2000)]
+        share = 1 / np.arange(1, 2001)
+        for i in range(30):
+            words = rng.choice(vocabulary, 300, p=share / share.sum())
+            rows.append((len(rows), " ".join(words) + ".", lang))
+        rows.append((len(rows), " ".join(f"{w}$$$ %%%#{k}" for k, w in enumerate(words)), f"{lang}"))
+    rows.append((len(rows), rows[0][1], "uk"))
+    df = documents.select("doc_id", "text", "lang").where("doc_id < 0").union(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    table = df.union(documents.selectExpr("doc_id + 1000000", "text", "lang"))
+    got = {r.doc_id: r.quality for r in Q.quality_rules(table).where("doc_id < 1000000").collect()}
+    for i, (_, text, _) in enumerate(rows):
+        assert got[i].kept == ("$" not in text), (i, got[i])
+    assert got[len(rows) - 1].class_distance is None and got[0].word_distance is not None
