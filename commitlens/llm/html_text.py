@@ -8,7 +8,10 @@ Subtrees on many pages of their host are its template. Pass 2 parses again,
 deletes them, and reads the text that is left.
 
 What counts as template: at least ``min_pages`` pages and ``min_share`` of the
-host's pages. Paragraphs and headings inside an article are never taken for
+host's pages, or, on hosts of ``LARGE`` pages or more, a container that is on
+``GROWTH * (log10(pages) - 1)`` pages in different surroundings (the nearest
+subtree around it that could be a template itself), so that copies of a page
+don't make its text a template. Paragraphs and headings inside an article are never taken for
 one, since articles quote and repeat each other; menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments go by
 their tag, role, class or id on any page, also where a host has few pages.
@@ -36,6 +39,8 @@ from pyspark.sql import functions as F
 from commitlens.llm.common import broadcast_if_small, materialise, table
 
 MIN_PAGES, MIN_SHARE = 5, 0.3
+#: Pages of a host from which surroundings count, and how many are needed: 30 of 100 pages, 60 of 1,000, 150 of 1,000,000.
+LARGE, GROWTH = 100, 30
 #: Most (host, subtree) rows whose hosts are broadcast; beyond it pages are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -45,6 +50,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe xmp noframes".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
                    "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
+BOXES = frozenset("address aside center details dialog div dl fieldset figure footer form header hgroup menu nav ol section table ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCKS - frozenset("li dd dt caption tbody thead tfoot tr body html".split()) | frozenset(["li", "dd", "dt"])
 DROPPED = frozenset("script style noscript template iframe object embed svg canvas audio video nav footer aside form button select option "
@@ -54,6 +60,9 @@ DROPPED_NAMES = frozenset("ad ads advert adverts advertisement advertising adsen
                           "notice notices popup modal overlay newsletter subscribe subscription sidebar menu nav navbar navigation breadcrumb breadcrumbs footer "
                           "masthead comment comments disqus respond reply replies share sharing social related recommended widget widgets toolbar pagination "
                           "pager login signup register search".split())
+COMMENT_NAMES = frozenset("comment comments disqus respond reply replies related recommended".split())
+#: Parts of a name before or after such a name that make it one of a wrapper.
+BEFORE, AFTER = frozenset("has no with without not layout".split()), frozenset("open closed off enabled disabled none".split())
 HEADER_NAMES = frozenset("header site-header page-header top-header siteheader pageheader topbar top-bar".split())
 #: What an open element of the same kind is closed by, and what its search stops at.
 SIBLINGS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)),
@@ -65,11 +74,12 @@ BREAK = "\0"
 
 
 class Node:
-    __slots__ = ("tag", "names", "role", "hidden", "children", "digest", "in_article")
+    __slots__ = ("tag", "names", "role", "hidden", "children", "digest", "in_article", "chars", "paragraphs", "holds_main")
 
     def __init__(self, tag: str, attributes: str = "", in_article: bool = False):
         self.tag, self.children, self.digest = tag, [], 0
         self.names, self.role, self.hidden = "", "", False
+        self.chars, self.paragraphs, self.holds_main = 0, 0, tag == "main"
         self.in_article = in_article
         for name, a, b, c, flag in ATTRIBUTE.findall(attributes) if attributes else ():
             name, value = name.lower(), (a or b or c).lower()
@@ -80,24 +90,60 @@ class Node:
             elif flag or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
                 self.hidden = True
 
-    def dropped(self) -> bool:
-        if self.tag in DROPPED or self.hidden or self.role in DROPPED_ROLES or self.tag == "header" and not self.in_article:
+    def named(self, names: frozenset) -> bool:
+        """Whether a part of a class or id is one of the names, apart from
+        those that only say whether there is such a thing (has-sidebar)."""
+        for w in self.names.split():
+            parts = re.split(r"[^a-z0-9]+", w)
+            if any(x in names and not (k and parts[k - 1] in BEFORE or parts[-1] in AFTER and k < len(parts) - 1) for k, x in enumerate(parts)):
+                return True
+        return False
+
+    def encloses(self, page: Node) -> bool:
+        """Whether it is around the page's text: holds ``main``, or most of
+        the text in paragraphs and articles (without any: most of the text)."""
+        if page.paragraphs:
+            return self.holds_main or 2 * self.paragraphs > page.paragraphs and 4 * self.chars >= page.chars
+        return self.holds_main or 2 * self.chars > page.chars
+
+    def dropped(self, page: Node) -> bool:
+        if self.tag in DROPPED and self.tag != "form" or self.hidden or self.role in DROPPED_ROLES - {"form"} or self.tag == "header" and not self.in_article:
             return True
+        if self.tag == "form" or self.role == "form":
+            return not self.encloses(page)
         if not self.names or self.tag in ("html", "body", "article", "main") and not self.in_article:
             return False
-        whole = self.names.split()
-        return any(w in HEADER_NAMES for w in whole) or any(x in DROPPED_NAMES for w in whole for x in re.split(r"[^a-z0-9]+", w))
+        return (any(w in HEADER_NAMES for w in self.names.split()) or self.named(DROPPED_NAMES)) and not self.encloses(page)
 
     def countable(self) -> bool:
         """Whether it may be a template: not a text block of an article."""
         return not self.in_article or self.tag not in HEADINGS and self.tag not in ("p", "blockquote", "pre", "li", "td", "th", "figcaption", "b", "i", "em", "strong", "a", "span", "article")
 
+    def box(self) -> bool:
+        """Whether it is a container, not a piece of running text."""
+        return self.tag in BOXES and (bool(self.names) or any(isinstance(c, Node) for c in self.children))
+
     def close(self) -> None:
         """Hash the subtree from its parts, once its children are hashed."""
         h = xxhash.xxh3_64(f"{self.tag}|{self.names}|")
         for c in self.children:
             h.update(f"#{c.digest}" if isinstance(c, Node) else " ".join(c.split()))
         self.digest = h.intdigest() - (1 << 63)
+        if self.tag in DROPPED and self.tag != "form" or self.hidden:
+            self.holds_main = False
+            return
+        for c in self.children:
+            if isinstance(c, Node):
+                self.chars += c.chars
+                self.paragraphs += c.paragraphs
+                self.holds_main |= c.holds_main
+            else:
+                self.chars += len("".join(c.split()))
+        self.holds_main |= self.role == "main"
+        if self.names and self.named(COMMENT_NAMES):
+            self.paragraphs = 0
+        elif self.tag in ("p", "pre", "blockquote", "article", "main"):
+            self.paragraphs = self.chars
 
 
 def parse(source: str) -> Node:
@@ -162,9 +208,23 @@ def nodes(root: Node, skip=lambda n: False):
         todo += [c for c in reversed(n.children) if isinstance(c, Node)]
 
 
-def subtrees(source: str) -> list[int]:
-    """Distinct hashes of the subtrees that may be a template."""
-    return sorted({n.digest for n in nodes(parse(source)) if n.children and n.tag not in ("", "html", "head", "body") and n.countable()}) if source else []
+def subtrees(source: str) -> dict[int, int | None]:
+    """Distinct hashes of the subtrees that may be a template; of containers
+    with the hash of their surroundings (the smallest on the page)."""
+    out: dict = {}
+    root = parse(source) if source else Node("")
+    todo = [(root, root.digest)]
+    while todo:
+        n, around = todo.pop()
+        if n.children and n.tag not in ("", "html", "head", "body") and n.countable():
+            own = around if n.box() else None
+            seen = out.get(n.digest)
+            out[n.digest] = own if seen is None else seen if own is None else min(seen, own)
+            around = n.digest
+        elif n.tag == "body":
+            around = n.digest
+        todo += [(c, around) for c in n.children if isinstance(c, Node)]
+    return out
 
 
 def main_text(source: str, template: frozenset) -> str:
@@ -172,7 +232,7 @@ def main_text(source: str, template: frozenset) -> str:
         return ""
 
     def skip(n):
-        return n.dropped() or n.digest in template and n.countable()
+        return n.dropped(root) or n.digest in template and n.countable()
 
     root = parse(source)
     kept = list(nodes(root, skip))
@@ -206,19 +266,21 @@ def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html
         for batch in batches:
             seen: dict = {}
             for host, source in zip(batch["host"], batch["html"]):
-                for key in [(host, None), *((host, d) for d in subtrees(source))]:
+                for key in [(host, None, None), *((host, *x) for x in subtrees(source).items())]:
                     seen[key] = seen.get(key, 0) + 1
-            yield pd.DataFrame({"host": [k[0] for k in seen], "hash": pd.array([k[1] for k in seen], dtype="Int64"), "n": list(seen.values())})
+            yield pd.DataFrame({"host": [k[0] for k in seen], "hash": pd.array([k[1] for k in seen], dtype="Int64"), "around": pd.array([k[2] for k in seen], dtype="Int64"), "n": list(seen.values())})
 
-    counts = materialise(hosted.mapInPandas(count, "host string, hash bigint, n bigint").groupBy("host", "hash").agg(F.sum("n").alias("n")).where(f"hash IS NULL OR n >= {int(min_pages)}"), "subtrees")
+    counts = materialise(hosted.mapInPandas(count, "host string, hash bigint, around bigint, n bigint").groupBy("host", "hash", "around").agg(F.sum("n").alias("n"))
+                         .groupBy("host", "hash").agg(F.sum("n").alias("n"), F.count("around").alias("places")).where(f"hash IS NULL OR n >= {int(min_pages)}"), "subtrees")
     totals = counts.where("hash IS NULL").select("host", F.col("n").alias("pages"))
-    return counts.where("hash IS NOT NULL").join(totals, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "hash")
+    return counts.where("hash IS NOT NULL").join(totals, "host").where(
+        (F.col("n") >= min_share * F.col("pages")) | (F.col("pages") >= LARGE) & (F.col("places") >= F.greatest(F.lit(min_pages), GROWTH * (F.log10("pages") - 1)))).select("host", "hash")
 
 
 def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """``pages`` with ``text``, the main text of each (an older one is replaced)."""
     found = materialise(site_templates(pages, url_col, html_col, min_pages, min_share), "templates")
-    by_host = found.groupBy("host").agg(F.collect_list("hash").alias("_template")).withColumnRenamed("host", "_host")  # min_share bounds them per host
+    by_host = found.groupBy("host").agg(F.collect_list("hash").alias("_template")).withColumnRenamed("host", "_host")  # bounded per host: each is on min_share of its pages, or in many places
     keyed = pages.withColumn("_of_host", host_column(url_col))
     joined = keyed.join(broadcast_if_small(by_host, found.count(), BROADCAST_ROWS), F.col("_of_host") == F.col("_host"), "left")
     read = F.pandas_udf(lambda sources, templates: pd.Series(

@@ -60,3 +60,25 @@ def test_templates_are_counted_per_host(spark):
 def test_repeated_rows(spark):
     pages = spark.createDataFrame([(1, "http://h/1", "<article>x</article>")] * 3, "page_id bigint, url string, html string")
     assert [r.text for r in H.extract_text(pages).collect()] == ["x"] * 3
+
+
+def test_section_templates_of_a_large_host(spark):
+    """Boxes on a quarter of a host go, whatever they are called; copies of a page stay."""
+    box = [f"<div><ul><li><a>Section {k} archive</a></ul><span>Write to section {k}</span></div>" for k in range(4)]
+    rows = [(i, f"https://big.example/{i}", f"<body><div>{box[i % 4]}<div><p>page {i} says {'<b>not</b>' if i % 4 == 0 else 'now'} this</p></div></div></body>") for i in range(400)]
+    rows += [(1000 + i, f"https://big.example/copy/{i}", f"<head><title>{i}</title></head><body><div><div><p>copied text</p><ul><li>a<li>b</ul></div></div></body>") for i in range(90)]
+    got = rows_of(H.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")), "page_id")
+    assert [got[i]["text"] for i in range(400)] == [f"page {i} says {'now' if i % 4 else 'not'} this" for i in range(400)]
+    assert {got[1000 + i]["text"] for i in range(90)} == {"copied text\n\na\n\nb"}
+
+
+def test_wrappers_stay():
+    long = "<p>" + "the text of the article " * 5 + "</p>"
+    want = " ".join(["the text of the article"] * 5)
+    side = "<div class='sidebar'><p>about me</p></div>"
+    for wrap in ("<div class='content has-sidebar'>", "<div class='layout-sidebar-right'>", "<div id='page' class='no-comments'>", "<form id='aspnetForm'>", "<div class='search-page'>",
+                 "<div class='widget'>", "<div role=form>", "<div class='comments-open'>"):
+        end = "</form>" if "<form" in wrap else "</div>"
+        for inner in (f"<article>{long}</article>", f"<main>{long}</main>", f"<div>{long}</div>"):
+            assert text(f"<body>{wrap}{inner}{side}<form><input>subscribe</form>{end}</body>") == want, (wrap, inner)
+    assert text(f"<body><article>{long}</article><div id=comments>{'<p>a long comment </p>' * 90}</div></body>") == want
