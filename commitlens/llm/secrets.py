@@ -6,13 +6,13 @@ from the token's shape, its neighbours and features of the whole text; Viterbi
 gives the best tag sequence. It is trained here, by gradient ascent on the
 conditional likelihood, on a bounded sample of texts labelled by the fixed
 patterns (and keyword-free variants of them, so that shape and context carry
-weight of their own). A token can only be secret if its run has a digit and
-``MIN_RUN`` characters or more, so the chain is scored in windows of
-``CONTEXT`` tokens around such runs; all other tokens are outside. Windows
-that touch are one.
+weight of their own). The weights decide over every token of the text: a token
+that no best path can tag as secret, whatever its neighbours' tags (a bound from
+its scores, the next token's and the transitions), is outside, and Viterbi runs
+exactly over the rest. Scores of a distinct word are computed once per task.
 
-Spans of the patterns always stay. The model adds a span (kind ``crf``) where
-no pattern matched. Spans are code points, end exclusive.
+Spans of the patterns always stay. The model adds those parts of its spans (kind
+``crf``) that no pattern covers. Spans are code points, end exclusive.
 
 Edge cases. Null or empty text: no spans. Repeated rows give repeated results.
 A table without any pattern match trains on the generated examples alone. Other
@@ -21,9 +21,11 @@ columns pass through.
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -41,13 +43,12 @@ KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 KINDS = ["assign", "access", "hex", "crf"]
 
 TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]+|[^\sA-Za-z0-9+/_.=-]")
-RUN = re.compile(r"[A-Za-z0-9+/_.=-]*[0-9][A-Za-z0-9+/_.=-]*")
-DIGITS = re.compile(r"[0-9]+")
 RUN_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
-MIN_RUN, CONTEXT = 16, 3
+#: Length from which a token can have the features of long keys.
+LONG = 16
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 #: Most sampled documents the model is fitted on, and the seed of the generated examples.
-SAMPLE_DOCS, GENERATED, SEED = 2_000, 300, 7
+SAMPLE_DOCS, GENERATED, SEED = 2_000, 1_500, 7
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -61,68 +62,41 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def candidate_runs(text: str) -> list[tuple[int, int]]:
-    """Token runs of ``MIN_RUN`` or more characters with a digit."""
-    out, last = [], -1
-    for m in DIGITS.finditer(text):
-        if m.start() < last:
-            continue
-        a, b = m.start(), m.end()
-        while a > 0 and text[a - 1] in RUN_CHARS:
-            a -= 1
-        while b < len(text) and text[b] in RUN_CHARS:
-            b += 1
-        last = b
-        if b - a >= MIN_RUN:
-            out.append((a, b))
-    return out
-
-
-#: Characters on each side of a run from which its neighbouring tokens are read.
-REACH = 80
-
-
-def windows(text: str, runs: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """Token spans of the windows around the runs."""
-    out: list[list[tuple[int, int]]] = []
-    for a, b in runs:
-        before = [(m.start(), m.end()) for m in TOKEN.finditer(text, max(0, a - REACH), a)][-CONTEXT:]
-        after = [(m.start(), m.end()) for m in TOKEN.finditer(text, b, min(len(text), b + REACH))][:CONTEXT]
-        own = [*before, (a, b), *after]
-        if out and own[0][0] < out[-1][-1][1]:
-            known = set(out[-1])
-            merged = sorted(known.union(own))
-            out[-1] = [s for i, s in enumerate(merged) if not i or s[0] >= merged[i - 1][1]]
-        else:
-            out.append(own)
-    return out
+#: Neighbours whose separators and hints count, and characters around a place of which the samples consist.
+NEIGHBOURS, REACH = (-3, -2, -1, 1), 80
 
 
 def entropy(token: str) -> float:
-    n = len(token)
-    return -sum(c / n * math.log2(c / n) for c in map(token.count, set(token)))
+    n, kinds = len(token), set(token)
+    return math.log2(n) - (sum(c * math.log2(c) for c in map(token.count, kinds) if c > 1) / n if len(kinds) < n else 0)
 
 
-HINT = re.compile(r"pass|secret|token|key|auth|cred|bearer", re.I | re.A)
+#: Lower case, upper case, digits and other ASCII characters, for ``str.translate``.
+KIND_OF = {c: "l" if 97 <= c <= 122 else "u" if 65 <= c <= 90 else "d" if 48 <= c <= 57 else "o" for c in range(128)}
+HINT = re.compile(r"pass|pwd|secret|token|key|auth|cred|bearer|login", re.I | re.A)
 
 
 def shape(token: str) -> list[str]:
     """Features of one token alone."""
     if len(token) == 1 and token not in RUN_CHARS:
-        return ["sep:" + token] if token in "\"':;,|=()<>@" else ["sep"]
-    digits = sum(c.isdigit() for c in token)
-    upper, lower = any(c.isupper() for c in token), any("a" <= c <= "z" for c in token)
-    out = [f"len:{min(len(token) // 8, 6)}", f"ent:{int(entropy(token[:256]))}", f"dig:{min(4, 5 * digits // len(token))}",
-           f"case:{int(upper)}{int(lower)}"]
-    if digits and (upper or lower) and token.isalnum() and len(token) >= MIN_RUN:
+        return ["letter"] if token.isalpha() else ["sep:" + token] if token in "\"':;,|=()<>@" else ["sep"]
+    kinds, n = token.translate(KIND_OF), len(token)
+    digits, letters = kinds.count("d"), kinds.count("l") + kinds.count("u")
+    upper, lower, changes = "u" in kinds, "l" in kinds, turns(kinds)
+    out = [f"len:{min(n // 8, 6)}", f"ent:{int(entropy(token))}", f"dig:{min(4, 5 * digits // n)}", f"case:{upper:d}{lower:d}", f"size:{min(n, 24) // 3}", f"turns:{changes}"]
+    if letters:
+        out.append(f"vowels:{5 * sum(map(token.count, 'aeiouAEIOU')) // letters}")
+    if lower and upper and not token[1:].islower():
+        out.append(f"inner:{changes}:{min(n, 32) // 8}")
+    if digits and (upper or lower) and token.isalnum() and len(token) >= LONG:
         out.append("mixed")
-    if len(token) >= MIN_RUN and all(c in "0123456789abcdef" for c in token):
+    if len(token) >= LONG and all(c in "0123456789abcdef" for c in token):
         out.append("hex")
     if token.startswith("AKIA"):
         out.append("access")
     if any(c in token for c in "./") and not any(c in token for c in "+="):
         out.append("pathlike")
-    if digits == sum(c.isalnum() for c in token):
+    if not letters:
         out.append("number")
     if HINT.search(token):
         out.append("hint")
@@ -135,40 +109,130 @@ def file_features(text: str) -> list[str]:
     return ["file:code" if code > 0.02 else "file:prose"]
 
 
-def features(text: str, spans: list[tuple[int, int]], of_file: list[str]) -> list[list[str]]:
-    tokens = [text[a:b] for a, b in spans]
-    own = [shape(t) for t in tokens]
+def turns(kinds: str) -> int:
+    """How often the kind of character changes, by length."""
+    if kinds.count(kinds[0]) == len(kinds):
+        return 0
+    return 5 * sum(map(str.__ne__, kinds, kinds[1:])) // len(kinds)
+
+
+def tokens_of(chunk: str) -> list[tuple[int, int, list[str], list[str]]]:
+    """(start, end, own features, features that its neighbours see) of the
+    tokens of a run without white space."""
+    spans = [m.span() for m in TOKEN.finditer(chunk)]
+    bare = chunk.strip("\"'`()[]{}<>,;:.!?")
+    kinds = bare.translate(KIND_OF)
+    flags = "".join("1" if x in kinds else "0" for x in "lud") + ("0" if bare.isalnum() else "1")
+    whole = [f"word:{flags.count('1')}:{min(len(bare), 24) // 4}", "word:" + flags, f"word:turns:{turns(kinds) if bare else 0}", f"word:parts:{min(len(spans), 6)}"]
     out = []
-    for i in range(len(tokens)):
-        f = ["bias", *own[i], *of_file]
-        for k in (-2, -1, 1):
-            j = i + k
-            if 0 <= j < len(tokens):
-                f += [f"{k}:{x}" for x in own[j] if x.startswith(("sep", "hint"))]
-        out.append(f)
+    for i, (a, b) in enumerate(spans):
+        own = shape(chunk[a:b])
+        out.append((a, b, ["bias", *own, *(whole if own != ["letter"] else ()), *(["glued"] if i else []), *(["ends"] if i == len(spans) - 1 else [])],
+                    [x for x in own if x.startswith(("sep", "hint"))]))
     return out
 
 
+def features(text: str) -> tuple[list[tuple[int, int]], list[list[str]]]:
+    """All tokens of a text, and their features."""
+    spans, own, seen, of_file = [], [], [], file_features(text)
+    for m in re.finditer(r"\S+", text):
+        for a, b, f, x in tokens_of(m[0]):
+            spans.append((m.start() + a, m.start() + b))
+            own.append(f)
+            seen.append(x)
+    out = []
+    for i, f in enumerate(own):
+        around = [f"{k}:{x}" for k in NEIGHBOURS if 0 <= i + k < len(own) for x in seen[i + k]]
+        out.append([*f, *of_file, *around])
+    return spans, out
+
+
+#: Distinct words a task keeps; beyond it the table starts anew.
+KEEP_WORDS = 400_000
+
+
+class Table(dict):
+    """Rows of scores of the tokens of each distinct word; tokens of the same
+    features share a row."""
+
+    def __init__(self, model):
+        self.model, self.row_of, self.rows = model, {}, []
+
+    def __missing__(self, chunk: str) -> tuple[int, ...]:
+        out = []
+        for _, _, own, seen in tokens_of(chunk):
+            key = tuple(own)
+            if key not in self.row_of:
+                model, self.row_of[key] = self.model, len(self.rows)
+                of = lambda names: model.emit[[model.index[x] for x in names if x in model.index]].sum(axis=0)
+                self.rows.append(np.concatenate([of(own), *(of([f"{k}:{x}" for x in seen]) for k in NEIGHBOURS)]))
+            out.append(self.row_of[key])
+        self[chunk] = tuple(out)
+        return self[chunk]
+
+
 class Model:
     """Weights by feature and tag, and transition weights by tag pair."""
 
     def __init__(self, names: list[str], emit: np.ndarray, move: np.ndarray):
-        self.index, self.emit, self.move = {n: i for i, n in enumerate(names)}, emit, move
-
-    def scores(self, feats: list[list[str]]) -> np.ndarray:
-        return np.array([self.emit[[self.index[x] for x in f if x in self.index]].sum(axis=0) for f in feats])
+        self.index, self.emit, self.move, self.table = {n: i for i, n in enumerate(names)}, emit, move, None
+
+    def __getstate__(self):
+        return {**self.__dict__, "table": None}
+
+    def scores(self, text: str) -> tuple[list[str], list[tuple], np.ndarray]:
+        """The words of a text, the rows of their tokens, and the scores of all tokens."""
+        if self.table is None or len(self.table) > KEEP_WORDS:
+            self.table, self.packed = Table(self), np.zeros((0, 3 + 3 * len(NEIGHBOURS)))
+        chunks = text.split()
+        ids = list(map(self.table.__getitem__, chunks))
+        if len(self.packed) < len(self.table.rows):
+            self.packed = np.concatenate([self.packed, self.table.rows[len(self.packed):]])
+        got = self.packed[np.fromiter(itertools.chain.from_iterable(ids), np.int64)]
+        out = got[:, :3] + self.emit[[self.index[x] for x in file_features(text) if x in self.index]].sum(axis=0)
+        for j, k in enumerate(NEIGHBOURS):
+            seen = got[:, 3 + 3 * j:6 + 3 * j]
+            if abs(k) < len(out):
+                if k < 0:
+                    out[-k:] += seen[:k]
+                else:
+                    out[:-k] += seen[k:]
+        return chunks, ids, out
+
+    def outside(self, s: np.ndarray) -> np.ndarray:
+        """Whether each token is outside on every best path: with another tag,
+        the path gains by making it outside (and a following inside a begin)."""
+        m = self.move
+        gain_next = np.zeros(len(s))  # of making the next token's inside a begin
+        gain_next[:-1] = s[1:, BEGIN] - s[1:, INSIDE] + min(0, (m[BEGIN] - m[INSIDE]).min())
+        out = np.ones(len(s), bool)
+        for x in (BEGIN, INSIDE):
+            before = (m[:, OUTSIDE] - m[:, x]).min()
+            after = np.minimum(min(0, m[OUTSIDE, OUTSIDE] - m[x, OUTSIDE], m[OUTSIDE, BEGIN] - m[x, BEGIN]), m[OUTSIDE, BEGIN] - m[x, INSIDE] + gain_next)
+            out &= s[:, OUTSIDE] - s[:, x] + before + after > 1e-9
+        return out
 
-    def viterbi(self, scores: np.ndarray) -> list[int]:
+    def viterbi(self, scores: np.ndarray, then_outside: bool = False) -> list[int]:
         best, back = scores[0] + self.move[OUTSIDE], []
         for row in scores[1:]:
             paths = best[:, None] + self.move
             back.append(paths.argmax(axis=0))
             best = paths.max(axis=0) + row
-        tags = [int(best.argmax())]
+        tags = [int((best + self.move[:, OUTSIDE] if then_outside else best).argmax())]
         for b in reversed(back):
             tags.append(int(b[tags[-1]]))
         return tags[::-1]
 
+    def tags(self, scores: np.ndarray) -> list[tuple[int, list[int]]]:
+        """The best tags as (first token, tags) of the stretches between
+        tokens that are outside on every best path."""
+        open_ = np.flatnonzero(~self.outside(scores)) if len(scores) else np.zeros(0, np.int64)
+        out = []
+        for own in np.split(open_, np.flatnonzero(np.diff(open_) > 1) + 1) if len(open_) else ():
+            a, b = int(own[0]), int(own[-1]) + 1
+            out.append((a, self.viterbi(scores[a:b], b < len(scores))))
+        return out
+
 
 def _logsumexp(x, axis):
     m = x.max(axis=axis, keepdims=True)
@@ -180,52 +244,63 @@ def train(sequences: list[tuple[list[list[str]], list[int]]], rounds: int = 60,
     expectations by the forward and backward recursions."""
     names = sorted({x for feats, _ in sequences for f in feats for x in f})
     index = {n: i for i, n in enumerate(names)}
-    emit, move = np.zeros((len(names), 3)), np.zeros((3, 3))
+    emit, move = np.zeros((len(names) + 1, 3)), np.zeros((3, 3))  # the last row is no feature
     move[OUTSIDE, INSIDE] = -20  # an inside follows a begin or an inside
-    coded = [([np.array([index[x] for x in f]) for f in feats], np.array(tags)) for feats, tags in sequences]
+    sequences = sorted((x for x in sequences if x[1]), key=lambda x: -len(x[1]))
+    groups = []  # sequences of like length, padded: features, tags, lengths
+    for i in range(0, len(sequences), 256):
+        own = sequences[i:i + 256]
+        steps, most = len(own[0][1]), max(len(f) for feats, _ in own for f in feats)
+        coded, tags = np.full((len(own), steps, most), len(names)), np.zeros((len(own), steps), np.int64)
+        for k, (feats, t) in enumerate(own):
+            tags[k, :len(t)] = t
+            for j, f in enumerate(feats):
+                coded[k, j, :len(f)] = [index[x] for x in f]
+        groups.append((coded, tags, np.array([len(t) for _, t in own])))
     seen_e, seen_m = np.full_like(emit, 1e-8), np.full_like(move, 1e-8)
     for _ in range(rounds):
         grad_e, grad_m = np.zeros_like(emit), np.zeros_like(move)
-        for feats, tags in coded:
-            s = np.array([emit[f].sum(axis=0) for f in feats])
-            n = len(s)
-            alpha, beta = np.empty((n, 3)), np.zeros((n, 3))
-            alpha[0] = s[0] + move[OUTSIDE]
-            for t in range(1, n):
-                alpha[t] = s[t] + _logsumexp(alpha[t - 1][:, None] + move, 0)
-            for t in range(n - 2, -1, -1):
-                beta[t] = _logsumexp(move + (s[t + 1] + beta[t + 1])[None, :], 1)
-            total = _logsumexp(alpha[-1], 0)
-            p = np.exp(alpha + beta - total)
-            for t, f in enumerate(feats):
-                d = -p[t]
-                d[tags[t]] += 1
-                grad_e[f] += d
-            grad_m[OUTSIDE] -= p[0]
-            grad_m[OUTSIDE, tags[0]] += 1
-            for t in range(1, n):
-                grad_m -= np.exp(alpha[t - 1][:, None] + move + (s[t] + beta[t])[None, :] - total)
-                grad_m[tags[t - 1], tags[t]] += 1
-        grad_e, grad_m = grad_e / len(coded) - decay * emit, grad_m / len(coded) - decay * move
+        for coded, tags, lengths in groups:
+            s = emit[coded].sum(axis=2)
+            k, steps = tags.shape
+            live = np.arange(steps) < lengths[:, None]
+            alpha, beta = np.empty((k, steps, 3)), np.zeros((k, steps, 3))
+            alpha[:, 0] = s[:, 0] + move[OUTSIDE]
+            for t in range(1, steps):
+                alpha[:, t] = np.where(live[:, t, None], s[:, t] + _logsumexp(alpha[:, t - 1, :, None] + move, 1), alpha[:, t - 1])
+            for t in range(steps - 2, -1, -1):
+                beta[:, t] = np.where(live[:, t + 1, None], _logsumexp(move + (s[:, t + 1] + beta[:, t + 1])[:, None, :], 2), 0)
+            total = _logsumexp(alpha[:, -1], 1)[:, None, None]
+            d = -np.exp(alpha + beta - total)
+            grad_m[OUTSIDE] += d[:, 0].sum(axis=0)
+            np.put_along_axis(d, tags[:, :, None], np.take_along_axis(d, tags[:, :, None], 2) + 1, 2)
+            d *= live[:, :, None]
+            for x in range(3):
+                grad_e[:, x] += np.bincount(coded.ravel(), np.repeat(d[:, :, x].ravel(), coded.shape[2]), len(emit))
+            np.add.at(grad_m[OUTSIDE], tags[:, 0], 1)
+            if steps > 1:
+                pairs = np.exp(alpha[:, :-1, :, None] + move + (s[:, 1:] + beta[:, 1:])[:, :, None, :] - total[..., None])
+                grad_m -= (pairs * live[:, 1:, None, None]).sum(axis=(0, 1))
+                np.add.at(grad_m, (tags[:, :-1][live[:, 1:]], tags[:, 1:][live[:, 1:]]), 1)
+        grad_e[-1] = 0
+        grad_e, grad_m = grad_e / len(sequences) - decay * emit, grad_m / len(sequences) - decay * move
         grad_m[OUTSIDE, INSIDE] = 0
         seen_e += grad_e ** 2
         seen_m += grad_m ** 2
         emit += rate * grad_e / np.sqrt(seen_e)
         move += rate * grad_m / np.sqrt(seen_m)
-    return Model(names, emit, move)
+    return Model(names, emit[:-1], move)
 
 
 def labelled(text: str, secret: list[tuple[int, int]]) -> list[tuple[list[list[str]], list[int]]]:
-    """Training sequences of a text: its windows, tagged by the secret spans."""
-    of_file, out = file_features(text), []
-    for spans in windows(text, candidate_runs(text)):
-        tags, inside = [], None
-        for a, b in spans:
-            hit = next((s for s in secret if s[0] < b and a < s[1]), None)
-            tags.append(OUTSIDE if hit is None else INSIDE if hit == inside else BEGIN)
-            inside = hit
-        out.append((features(text, spans, of_file), tags))
-    return out
+    """Training sequence of a text: all its tokens, tagged by the secret spans."""
+    spans, feats = features(text)
+    tags, inside = [], None
+    for a, b in spans:
+        hit = next((s for s in secret if s[0] < b and a < s[1]), None)
+        tags.append(OUTSIDE if hit is None else INSIDE if hit == inside else BEGIN)
+        inside = hit
+    return [(feats, tags)] if tags else []
 
 
 def secret_values(text: str) -> list[tuple[int, int]]:
@@ -237,27 +312,56 @@ def secret_values(text: str) -> list[tuple[int, int]]:
 
 def generated(n: int = GENERATED, seed: int = SEED) -> list[tuple[str, list[tuple[int, int]]]]:
     """Texts with and without a secret, none of them from the corpus: random
-    keys of several alphabets after several hints, and numbers, addresses,
-    dates, paths and links that are no secrets."""
+    keys and passwords of several alphabets and lengths (letters only, short,
+    punctuated too) after several hints, and numbers, addresses, dates, paths,
+    links, names, code and hints without a secret."""
     rng, out = random.Random(seed), []
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9)))
+    syllables = "ta re in so lo mi ve er an ou sh en tion al ing com per st ra de http serv quest get str ment view ght sync lect".split()
+    word = lambda: rng.choice(["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))), "".join(rng.choices(syllables, k=rng.randint(1, 5)))])
+    pick = lambda alphabet, low, high: "".join(rng.choice(alphabet) for _ in range(rng.randint(low, high)))
+    camel = lambda: rng.choice([word(), word().capitalize()]) + "".join(word().capitalize() for _ in range(rng.randint(1, 3)))
+    plain = lambda: rng.choice([word(), camel(), word(), word() + rng.choice(",.;:!?"), word().capitalize(), f"\"{word()}\"", f"({word()})", word() + "'s",
+                                 rng.choice("éüñßäж") + word(), word() + rng.choice("éüñöçя") + word() + rng.choice(["", ".", "%%%", "!!"]), "".join(rng.choices("ещёнельзя", k=6))])
     for i in range(n):
-        lead, tail = " ".join(word() for _ in range(6)), " ".join(word() for _ in range(6))
+        lead, tail = " ".join(plain() for _ in range(6)), " ".join(plain() for _ in range(6))
         if i % 2:
-            alphabet = rng.choice([letters, letters + "+/", letters[26:], "0123456789abcdef"])
-            value = "".join(rng.choice(alphabet) for _ in range(rng.randint(20, 48)))
-            mid = rng.choice(["auth_key = ", "bearer ", "access key: ", "credentials=\"", "private_key: '", "signing token "])
-            text = f"{lead} {mid}{value} {tail}"
+            kind = rng.randrange(6)
+            if kind < 2:
+                value = pick(rng.choice([letters, letters + "+/", letters[26:], "0123456789abcdef"]), 20, 48)
+            elif kind == 2:
+                value = pick(rng.choice([letters[:52], letters[:52], letters[26:52]]), 16, 40)
+            elif kind == 3:
+                x = pick(letters[:26], 2, 4) + pick(letters[26:52], 4, 7) + pick(letters[52:], 2, 4)
+                value = "".join(rng.sample(x, k=len(x)))
+            else:
+                x = pick(letters[:26], 1, 5) + pick(letters[26:52], 2, 6) + pick(letters[52:], 1, 4) + pick("!#$%&*@^?~", 1, 4)
+                value = "".join(rng.sample(x, k=len(x)))
+            mid = rng.choice(["auth_key = ", "bearer ", "access key: ", "credentials=\"", "private_key: '", "signing token ", "pwd is ", "pwd: ", "password is ", "login with ",
+                              "the pass is ", "key ", "Authorization: Bearer "])
+            text = f"{lead} {mid}{value}{rng.choice(['', '', '.']) if value[-1].isalnum() else ''}{rng.choice([' ', chr(10)])}{tail}"
+            if mid.endswith(('"', "'")):
+                text = f"{lead} {mid}{value}{mid[-1]} {tail}"
             out.append((text, [(len(lead) + 1 + len(mid), len(lead) + 1 + len(mid) + len(value))]))
         else:
             d = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
             value = rng.choice([f"2024-{d(2)}-{d(2)}-{d(2)}-{d(4)}", f"192.168.{d(3)}.{d(3)}-{d(4)}", f"{word()}.{word()}{d(2)}.example.com",
-                                f"{word()}/{word()}/{word()}-{d(4)}.html", d(16), f"{d(4)}-{d(4)}-{d(4)}-{d(4)}", f"{word()}_{word()}_{word()}_{d(3)}", f"+{d(11)}-{d(5)}"])
-            out.append((f"{lead} {rng.choice(['', 'see ', 'on ', 'key ', 'call: '])}{value} {tail}", []))
+                                f"{word()}/{word()}/{word()}-{d(4)}.html", d(16), f"{d(4)}-{d(4)}-{d(4)}-{d(4)}", f"{word()}_{word()}_{word()}_{d(3)}", f"+{d(11)}-{d(5)}",
+                                word(), plain(), f"{word()} {word()}", camel(), camel(), word().upper(), word().upper(), f"{word()}@{word()}.com", f"#{pick('0123456789abcdef', 6, 6)}",
+                                f"v{d(1)}.{d(1)}.{d(2)}", f"{word()}({word()}[{d(1)}]);", f"https://{word()}.org/{word()}?{word()}={d(3)}&{word()}={word()}", f"if ({word()} != {d(2)}) {{ {word()}++; }}",
+                                f"${d(2)}.{d(2)}", f"{word()}{d(2)}", f"**{word()}**", f"{word()}###", "-" * rng.randint(3, 30), "".join(rng.choices(syllables, k=8))])
+            out.append((f"{lead} {rng.choice(['', 'see ', 'on ', 'key ', 'call: ', 'password is ', 'the token ', 'pwd: ', 'login with ', 'bearer '])}{value} {tail}", []))
     return out
 
 
+def samples(text: str) -> list[str]:
+    """Pieces of a text for training: around pattern matches, and one more
+    (its place from the text)."""
+    places = [(a, b) for _, a, b in base_spans(text)]
+    at = zlib.crc32(text.encode("utf-8", "replace")) % max(1, len(text))
+    return [text[max(0, a - REACH):b + REACH] for a, b in [*places, (at, at)] if text]
+
+
 def fit_model(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> Model:
     """Fit on at most ``sample_docs`` documents: those whose text hash falls
     below the share of the table that the bound is, so the sample does not
@@ -266,7 +370,7 @@ def fit_model(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE
     col = F.col(f"`{text_col}`")
     share = min(1.0, sample_docs / max(1, total))
     picked = docs.where(col.isNotNull()).where(F.pmod(F.xxhash64(col), F.lit(1_000_003)) < int(share * 1_000_003) + 1)
-    cut = F.pandas_udf(lambda ts: ts.map(lambda t: [t[max(0, a - 2 * REACH):b + 2 * REACH] for a, b in candidate_runs(t)]), "array<string>")
+    cut = F.pandas_udf(lambda ts: ts.map(samples), "array<string>")
     rows = picked.select(F.explode(cut(col)).alias("t")).distinct().orderBy(F.xxhash64("t"), "t").limit(sample_docs).collect()
     sequences = [s for t, spans in generated() for s in labelled(t, spans)]
     sequences += [s for r in rows for s in labelled(r["t"], secret_values(r["t"]))]
@@ -276,24 +380,38 @@ def fit_model(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE
 def find_spans(text: str, model: Model) -> list[tuple[str, int, int]]:
     """All spans of a text, by start, then kind."""
     out = base_spans(text)
-    runs = candidate_runs(text)
-    if not runs:
+    chunks, ids, scores = model.scores(text)
+    tagged = []
+    for first, tags in model.tags(scores):
+        for i, tag in enumerate(tags):
+            if tag == BEGIN:
+                tagged.append([first + i, first + i + 1])
+            elif tag == INSIDE and tagged:
+                tagged[-1][1] = first + i + 1
+    if not tagged:
         return out
-    of_file, added = file_features(text), []
-    for spans in windows(text, runs):
-        tags = model.viterbi(model.scores(features(text, spans, of_file)))
-        i = 0
-        while i < len(tags):
-            if tags[i] == BEGIN:
-                j = i + 1
-                while j < len(tags) and tags[j] == INSIDE:
-                    j += 1
-                a, b = spans[i][0], spans[j - 1][1]
-                if not any(s[1] < b and a < s[2] for s in out):
-                    added.append(("crf", a, b))
-                i = j
-            else:
-                i += 1
+    place, at = [], 0  # of the words
+    for c in chunks:
+        at = text.index(c, at)
+        place.append(at)
+        at += len(c)
+    n = np.array([len(x) for x in ids])
+    ends = np.cumsum(n)
+
+    def span(token: int) -> tuple[int, int]:
+        k = int(np.searchsorted(ends, token, side="right"))
+        own = next(itertools.islice(TOKEN.finditer(chunks[k]), token - int(ends[k] - n[k]), None))
+        return place[k] + own.start(), place[k] + own.end()
+
+    added, known = [], [(a, b) for _, a, b in out]
+    for i, j in tagged:
+        a, b = span(i)[0], span(j - 1)[1]
+        for c, d in sorted(x for x in known if x[0] < b and a < x[1]):
+            if a < c:
+                added.append(("crf", a, c))
+            a = max(a, d)
+        if a < b:
+            added.append(("crf", a, b))
     return sorted(out + added, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
@@ -317,7 +435,7 @@ MARK = "[secret]"
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", model: Model | None = None) -> DataFrame:
-    """``docs`` with each span (overlapping ones together) replaced by
+    """``docs`` with each span (overlapping ones together, and those of the model with what they touch) replaced by
     ``MARK``; a null text stays null, a ``n_chars`` column is counted anew."""
     model = model or fit_model(docs, text_col)
 
@@ -325,11 +443,11 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", model: Model | None
         def one(text):
             if text is None:
                 return None
-            out, last = [], 0
-            for _, a, b in find_spans(text, model):
-                if a >= last:
+            out, last, by = [], 0, ""
+            for kind, a, b in find_spans(text, model):
+                if a > last or not out or a == last and "crf" not in (kind, by):
                     out += [text[last:a], MARK]
-                last = max(last, b)
+                last, by = max(last, b), kind
             return "".join([*out, text[last:]]) if out else text
         return texts.map(one, na_action="ignore")
 

@@ -77,3 +77,39 @@ def test_odd_rows(spark):
     texts = {r.doc_id: r for r in clean.collect()}
     assert texts[1].text is None and texts[3].text == f"a {S.MARK}' b" and texts[4].n_chars == 18
     assert S.find_secrets(df.limit(0)).collect() == []
+
+
+def test_all_tokens_are_scored():
+    """Letters only, short and punctuated secrets; words after a hint are none."""
+    model = S.train([s for t, spans in S.generated() for s in S.labelled(t, spans)])
+    for value, hint in (("kJhGfDsAqWeRtYuIoPzXcVbN", "bearer "), ("Xy7kP2qLm", "pwd is "), ("Xy7!kP2#mQ9$w", "pwd is "), ("QwErTyUiOpAsDfGhJkLz", "access key: ")):
+        text = f"please use the staging host, {hint}{value} and tell nobody about it"
+        a = text.index(value)
+        assert S.find_spans(text, model) == [("crf", a, a + len(value))], value
+    for text in ("the password is required for all the users, and the token expired", "pwd is a command that prints the working directory", "see getElementById and HttpServletRequest"):
+        assert S.find_spans(text, model) == [], text
+
+
+def test_stretches_are_the_best_path():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        move = rng.normal(size=(3, 3))
+        move[S.OUTSIDE, S.INSIDE] = -20
+        model = S.Model([], np.zeros((0, 3)), move)
+        scores = rng.normal(size=(60, 3)) * 4 + [3, 0, 0]
+        tags = [S.OUTSIDE] * 60
+        for first, own in model.tags(scores):
+            tags[first:first + len(own)] = own
+        assert tags == model.viterbi(scores)
+
+
+def test_scores_match_features():
+    import numpy as np
+
+    model = S.train([s for t, spans in S.generated(80) for s in S.labelled(t, spans)], rounds=5)
+    for text, _ in S.generated(40, seed=3):
+        spans, feats = S.features(text)
+        want = [model.emit[[model.index[x] for x in f if x in model.index]].sum(axis=0) for f in feats]
+        assert np.allclose(model.scores(text)[2], want)
