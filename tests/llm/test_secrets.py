@@ -113,3 +113,14 @@ def test_scores_match_features():
         spans, feats = S.features(text)
         want = [model.emit[[model.index[x] for x in f if x in model.index]].sum(axis=0) for f in feats]
         assert np.allclose(model.scores(text)[2], want)
+
+
+def test_parts_beside_a_pattern_are_kept():
+    """A pattern inside a longer key: the model's span covers what is beside it."""
+    import numpy as np
+
+    model = S.Model(["bias", "len:4"], np.array([[2.0, 0, 0], [0, 10, 0]]), np.array([[0, 0, -20.0], [0, 0, 0], [0, 0, 0]]))
+    value = "Z9kQ" + "0a1b2c3d4e5f" * 2 + "XyT7Pq"
+    text = f"on the host, bearer {value} and so on"
+    a = text.index(value)
+    assert S.find_spans(text, model) == [("crf", a, a + 4), ("hex", a + 4, a + 28), ("crf", a + 28, a + len(value))]
