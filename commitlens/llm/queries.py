@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from commitlens.llm import chat, decontaminate, html_text, jaccard_join, licenses, quality, secrets, sentencepiece, token_counts, warc
+from commitlens.llm import (
+    chat, decontaminate, embedding_dedup, html_text, jaccard_join, licenses, quality, secrets, sentencepiece, token_counts, warc,
+)
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece.op1_sentencepiece,
@@ -15,6 +17,7 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op13_embedding_dedup": embedding_dedup.op13_embedding_dedup,
 }
 
 SQL = {
