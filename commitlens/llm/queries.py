@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from commitlens.llm import (
-    chat, decontaminate, embedding_dedup, html_text, jaccard_join, licenses, quality, secrets, sentencepiece, token_counts, warc,
+    chat, conversation_repair, decontaminate, embedding_dedup, html_text, jaccard_join, licenses, prefix_trie, quality, secrets,
+    sentencepiece, token_counts, warc,
 )
 
 QUERIES = {
@@ -17,6 +18,8 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_conversation_repair": conversation_repair.op12_conversation_repair,
     "op13_embedding_dedup": embedding_dedup.op13_embedding_dedup,
 }
 
