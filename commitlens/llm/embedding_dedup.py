@@ -64,14 +64,16 @@ SMALL_KEYS, SMALL_CENTRES = 200_000, 4_096
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """The orthonormal Hadamard transform of each row (a power of two long)."""
-    rows, n = x.shape
+    """The orthonormal Hadamard transform of each column (a power of two long)."""
+    size, n = x.shape
     step = 1
-    while step < n:
-        x = x.reshape(rows, -1, 2, step)
-        x = np.stack([x[:, :, 0] + x[:, :, 1], x[:, :, 0] - x[:, :, 1]], axis=2)
-        step *= 2
-    return x.reshape(rows, n) / math.sqrt(n)
+    while step < size:
+        x = x.reshape(-1, 2, step, n)
+        y = np.empty_like(x)
+        np.add(x[:, 0], x[:, 1], out=y[:, 0])
+        np.subtract(x[:, 0], x[:, 1], out=y[:, 1])
+        x, step = y, 2 * step
+    return x.reshape(size, n) / math.sqrt(size)
 
 
 class Hasher:
@@ -87,29 +89,32 @@ class Hasher:
         self.corners = corners
 
     def codes(self, x: np.ndarray, tables: int | None = None) -> np.ndarray:
-        """(rows, tables, 1 + probes) bucket numbers, the home first. Where
-        there are fewer buckets to probe, the home is repeated."""
+        """(rows, tables, 1 + probes) bucket numbers, the home first; no two
+        tables share a number. Where there are fewer buckets to probe, the home
+        is repeated."""
         n, used = len(x), tables or self.tables
-        padded = np.zeros((n, self.size))
-        padded[:, :self.dim] = x
+        padded = np.zeros((self.size, n))
+        padded[:self.dim] = x.T
         out = np.empty((n, used, 1 + self.probes), np.int64)
-        top = min(1 + self.probes, len(self.ways))
+        top, all_rows = min(1 + self.probes, len(self.ways)), np.arange(n)
         for t in range(used):
             loss, code = np.zeros((n, len(self.ways))), np.zeros((n, len(self.ways)), np.int64)
             for k in range(self.width):
                 c = padded
                 for s in self.signs[t, k]:
-                    c = hadamard(c * s)
+                    c = hadamard(c * s[:, None])
                 size = np.abs(c)
-                order = np.argsort(-size, axis=1, kind="stable")[:, :self.corners]
-                best = np.take_along_axis(size, order, 1)
-                symbol = 2 * order + (np.take_along_axis(c, order, 1) < 0)
+                symbol, best = np.empty((n, self.corners), np.int64), np.empty((n, self.corners))
+                for j in range(self.corners):  # the largest coordinates, one after the other
+                    at = size.argmax(axis=0)
+                    symbol[:, j], best[:, j] = 2 * at + (c[at, all_rows] < 0), size[at, all_rows]
+                    size[at, all_rows] = -1
                 way = self.ways[:, k]
                 loss += ((best[:, :1] - best) ** 2)[:, way]
                 code = code * (2 * self.size) + symbol[:, way]
             # the home has loss 0 and is first among equals
             pick = np.argsort(loss, axis=1, kind="stable")[:, :top]
-            got = np.take_along_axis(code, pick, 1)
+            got = np.take_along_axis(code, pick, 1) * self.tables + t
             out[:, t, :top], out[:, t, top:] = got, got[:, :1]
         return out
 
@@ -135,7 +140,7 @@ def hasher_for(dim: int, vectors: int, threshold: float = THRESHOLD, recall: flo
     """The narrowest table in which unrelated vectors rarely meet, unless pairs
     at the threshold then meet in fewer than one in five tables."""
     symbols = 2 * (1 << max(0, dim - 1).bit_length())
-    most = max(1, 62 // max(1, symbols.bit_length() - 1))
+    most = max(1, 52 // max(1, symbols.bit_length() - 1))  # the bucket number has 63 bits
     width = min(most, 8, max(1, math.ceil(math.log(SPARSE * max(2, vectors)) / math.log(symbols))))
     while True:
         tables, chance = tables_needed(dim, width, threshold, recall, probes)
@@ -187,11 +192,11 @@ def column_of(batch, name: str) -> pa.Array:
     return column
 
 
-ENTRY = "dim int, place int, bucket bigint, id bigint, home boolean, core bigint"
+ENTRY = "dim int, bucket bigint, id bigint, home boolean, core bigint"
 
 
 def entries(classes: DataFrame, hashers: Hashers, tables: int | None = None) -> DataFrame:
-    """(dim, place, bucket, id, home, core): the home and the probes of each
+    """(dim, bucket, id, home, core): the home and the probes of each
     class in each table (or the first ``tables``)."""
     def hashed(batches):
         for batch in batches:
@@ -206,15 +211,15 @@ def entries(classes: DataFrame, hashers: Hashers, tables: int | None = None) ->
                     at, place, j = np.nonzero(probe)
                     take = pa.array(own[at])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), dim, np.int32)), pa.array(place.astype(np.int32)), pa.array(codes[at, place, j]), ids.take(take),
-                         pa.array(j == 0), cores.take(take)], ["dim", "place", "bucket", "id", "home", "core"])
+                        [pa.array(np.full(len(at), dim, np.int32)), pa.array(codes[at, place, j]), ids.take(take), pa.array(j == 0), cores.take(take)],
+                        ["dim", "bucket", "id", "home", "core"])
 
     return classes.select("id", "vec", "core").mapInArrow(hashed, ENTRY)
 
 
 def cores_of(classes: DataFrame, hashers: Hashers, threshold: float, hot: int) -> DataFrame | None:
     """(id, core) of the classes in the core of a hot bucket, None without one."""
-    first = entries(classes, hashers, 1).drop("core", "place")
+    first = entries(classes, hashers, 1).drop("core")
     busy = materialise(first.where("home").groupBy("dim", "bucket").count().where(F.col("count") > hot), "vectors-hot")
     n = busy.count()
     if not n:
@@ -298,7 +303,7 @@ def links_within(ids, x, weights, cores, homes, parts, one_part: bool, place: in
     return rows, own @ weights[rows], rows[forest(own)]
 
 
-BLOCK_KEY = ["dim", "place", "bucket", "block"]
+BLOCK_KEY = ["dim", "bucket", "block"]
 
 
 def compare(blocks: DataFrame, hashers: Hashers, threshold: float) -> DataFrame:
@@ -306,8 +311,8 @@ def compare(blocks: DataFrame, hashers: Hashers, threshold: float) -> DataFrame:
     columns = [*BLOCK_KEY, "one_part", "part", "id", "weight", "core", "home", "vec"]
 
     def done(rows: pa.Table):
-        dims, places = rows["dim"].to_numpy(), rows["place"].to_numpy()
-        keys = np.stack([dims, places, rows["bucket"].to_numpy(), rows["block"].to_numpy()])
+        dims, buckets = rows["dim"].to_numpy(), rows["bucket"].to_numpy()
+        keys = np.stack([dims, buckets, rows["block"].to_numpy()])
         cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
         ids, weights, homes = (rows[c].to_numpy() for c in ("id", "weight", "home"))
         cored, parts, one = rows["core"].is_valid().to_numpy(), rows["part"].to_numpy(), rows["one_part"].to_numpy()
@@ -320,7 +325,8 @@ def compare(blocks: DataFrame, hashers: Hashers, threshold: float) -> DataFrame:
             x = values[starts[a]:starts[b]].reshape(b - a, dim).astype(np.float64)
             x = x / np.abs(x).max(axis=1, keepdims=True)
             _, cores = np.unique(core_values[a:b], return_inverse=True)
-            found = links_within(ids[a:b], x, weights[a:b], np.where(cored[a:b], cores, -1), homes[a:b], parts[a:b], bool(one[a]), int(places[a]), hashers[dim], threshold)
+            found = links_within(ids[a:b], x, weights[a:b], np.where(cored[a:b], cores, -1), homes[a:b], parts[a:b], bool(one[a]),
+                                 int(buckets[a]) % hashers[dim].tables, hashers[dim], threshold)
             if found:
                 out[0].append(ids[a:b][found[0]])
                 out[1].append(found[1])
@@ -384,7 +390,7 @@ def link_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
         classes = materialise(classes.drop("core").join(own, "id", "left"), "vector-cores")
 
     found = entries(classes, hashers)
-    key = ["dim", "place", "bucket"]
+    key = ["dim", "bucket"]
     counts = found.groupBy(*key).agg(F.count("*").alias("n"), F.count("core").alias("cored"), F.min("core").alias("low"), F.max("core").alias("high"), F.max("home").alias("at_home"))
     live_keys = materialise(counts.where("at_home AND n > 1 AND (cored < n OR low < high)")
                             .select(*key, (F.col("n") - F.col("cored")).alias("free"), "cored", F.coalesce(F.col("low") < F.col("high"), F.lit(False)).alias("several")), "vector-buckets")

@@ -108,6 +108,6 @@ def test_empty_table(spark, tmp_path):
 
 
 def test_hadamard_keeps_lengths_and_angles():
-    x = np.random.default_rng(0).normal(size=(5, 16))
+    x = np.random.default_rng(0).normal(size=(16, 5))
     y = E.hadamard(x)
-    assert np.allclose(y @ y.T, x @ x.T) and np.allclose(E.hadamard(y), x)
+    assert np.allclose(y.T @ y, x.T @ x) and np.allclose(E.hadamard(y), x)
