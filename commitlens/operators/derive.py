@@ -18,13 +18,14 @@ from commitlens.functions import tier_label
 
 def latest_by_key(df: DataFrame, keys: Sequence[str], order: str | Sequence[str]) -> DataFrame:
     """One row per key: the row with the greatest ``order`` value(s) (last
-    write wins). ``max_by`` is a partial aggregate, so a hot key is reduced
-    map-side instead of being sorted in one task as a window would."""
+    write wins). NULL is the smallest; of rows that tie the greatest by its
+    other columns stays, so a key never loses its record. ``max`` is a partial
+    aggregate, so a hot key is reduced map-side instead of being sorted in one
+    task as a window would."""
     keys = list(keys)
     order_cols = [order] if isinstance(order, str) else list(order)
-    ordering = F.struct(*order_cols) if len(order_cols) > 1 else F.col(order_cols[0])
     rest = [c for c in df.columns if c not in keys]
-    latest = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), ordering).alias("_latest"))
+    latest = df.groupBy(*keys).agg(F.max(F.struct(*order_cols, *[c for c in rest if c not in order_cols])).alias("_latest"))
     return latest.select(*keys, *[F.col("_latest")[c].alias(c) for c in rest])
 
 

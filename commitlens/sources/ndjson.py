@@ -7,8 +7,9 @@ A line is one of:
 * ``missing_key``- parsed, but a required key is NULL or empty,
 * accepted.
 
-Parsing is ``from_json`` in PERMISSIVE mode with a corrupt-record column, so
-the whole line never leaves the JVM and a bad line never fails the job.
+A line is parsed once, into a typed value, by Spark's own JSON reader, so it
+never leaves the JVM and a bad line never fails the job; the few lines that
+value can't hold are read again in PERMISSIVE mode.
 """
 
 from __future__ import annotations
@@ -90,14 +91,18 @@ def _falsy(raw: Column, name: str, text: Column) -> Column:
 
 
 _PLAIN_INT = r"^\s*[+-]?[0-9]+\s*$"
+_LONG_LIMIT = 9.2e18
 
 
 def _int_text(value: Column) -> Column:
-    """Text of int(value) for a JSON number or boolean; strings stay."""
+    """Text of int(value) for a JSON number or boolean; strings stay. A number
+    with a fraction or an exponent is a double, cut towards zero."""
     kind, text = F.schema_of_variant(value), value.cast("string")
+    number = text.try_cast("double")
     return (
         F.when(kind == F.lit("BOOLEAN"), F.when(text == F.lit("true"), F.lit("1")).otherwise(F.lit("0")))
-        .when(kind.isin("DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.coalesce(text.try_cast("decimal(38,6)").cast("bigint").cast("string"), text))
+        .when(kind.isin("DOUBLE", "FLOAT") | kind.startswith("DECIMAL"),
+              F.when(F.abs(number) < F.lit(_LONG_LIMIT), number.try_cast("bigint").cast("string")).otherwise(text))
         .otherwise(text)
     )
 
@@ -121,35 +126,74 @@ def _as_ints(raw: Column, f: T.StructField, value: Column) -> Column:
     return value
 
 
-def classify_ndjson(
-    lines: DataFrame,
-    schema: T.StructType,
-    required: Sequence[str] = (),
-    value_col: str = "value",
-) -> DataFrame:
-    """Parse every line; keep other input columns; add the record fields, the
-    raw line (``_line``) and a reject reason (``_reason``, NULL if accepted).
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once a row, however often and
+    wherever they are used later: Catalyst copies expressions into filters
+    and fields, but not those of a generator."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
-    A line must be one JSON object and nothing else. An object or array field
-    that holds a false value of another type (``""``, ``0``, ``false``, ``[]``,
-    ``{}``) counts as absent, any other type is malformed; a required key that
-    holds one is missing. Fields in ``schemas.INT_TEXT_FIELDS`` take the forms
-    int() takes."""
-    passthrough = [c for c in lines.columns if c != value_col]
-    raw = F.col(value_col)
-    rec = F.from_json(raw, with_corrupt(schema), JSON_OPTIONS)
-    parsed = lines.select(*passthrough, raw.alias(LINE_COL), rec.alias("_rec"))
+
+def is_blank(line: Column) -> Column:
+    return line.isNull() | (F.btrim(line, F.lit(_WHITESPACE)) == F.lit(""))
+
+
+#: Text put behind a line's value: only a line that is one value and nothing
+#: else leaves an array of that value and this text. Lines that hold the text
+#: itself take the second path.
+_END = "end of line 5d1f"
+
+
+def _one_value(line: Column) -> Column:
+    """The line as the first element of an array that :data:`_END` ends; NULL if
+    that can't be parsed, or repeats a key, or holds NaN or Infinity."""
+    return F.try_parse_json(F.concat(F.lit("["), line, F.lit(f',"{_END}"]')))
+
+
+def _field(value: Column, name: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(value, f'$[0]["{name}"]', kind)
+
+
+def _false(value: Column) -> Column:
+    """A typed value that a truth test takes for false."""
+    text = value.cast("string")
+    is_text = F.schema_of_variant(value) == F.lit("STRING")
+    return value.isNull() | text.isNull() | (text == F.lit("")) | (~is_text & text.rlike(_FALSY_TEXT))
+
+
+def _typed(value: Column, f: T.StructField) -> tuple[Column, Column]:
+    """(field as its type, whether its type is wrong) of the line's value."""
+    own = _field(value, f.name)
+    if isinstance(f.dataType, T.StringType):
+        return (_int_text(own) if f.name in S.INT_TEXT_FIELDS else own.cast("string")), F.lit(False)
+    if not isinstance(f.dataType, (T.StructType, T.ArrayType)):
+        kind = F.schema_of_variant(own)
+        whole = kind == F.lit("BIGINT")
+        return F.when(whole, own.try_cast(f.dataType)), own.isNotNull() & ~whole & (kind != F.lit("VOID"))
+    typed = _field(value, f.name, f.dataType.simpleString())
+    wrong = typed.isNull() & own.isNotNull() & ~_false(own)
+    if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
+        fields = f.dataType.elementType.fields
+        if ints := [x.name for x in fields if x.name in S.INT_TEXT_FIELDS]:
+            loose = ", ".join(f"`{x.name}`: {'variant' if x.name in ints else x.dataType.simpleString()}" for x in fields)
+            typed = F.transform(_field(value, f.name, f"array<struct<{loose}>>"),
+                                lambda x: F.struct(*[(_int_text(x[y.name]) if y.name in ints else x[y.name]).alias(y.name) for y in fields]))
+    return typed, wrong
+
+
+def _second_path(lines: DataFrame, schema: T.StructType, required: Sequence[str], odd: Column) -> DataFrame:
+    """``lines`` with ``_second``, the fields, ``malformed`` and ``key_ok`` of
+    the odd ones (NULL for others): lines that repeat a key, hold NaN or
+    Infinity, or can't be parsed. These are read with the field types, then
+    with loose containers, as :func:`from_json` takes them."""
     line = F.col(LINE_COL)
+    parsed = _once(lines, _odd=odd)
+    parsed = _once(parsed, _rec=F.when(F.col("_odd"), F.from_json(line, with_corrupt(schema), JSON_OPTIONS)))
     broken = F.col("_rec").isNull() | F.col("_rec")[CORRUPT_COL].isNotNull()
-
-    # Second chance for lines whose containers hold something else: only
-    # those lines are read again, with the containers' JSON types.
     boxes = [f for f in schema.fields if isinstance(f.dataType, (T.StructType, T.ArrayType))]
-    loose = T.StructType([T.StructField(f.name, T.VariantType() if f in boxes else f.dataType) for f in schema.fields])
-    again = F.from_json(line, with_corrupt(loose), JSON_OPTIONS) if boxes else None
     values, usable = {}, F.lit(False)
     if boxes:
-        parsed = parsed.withColumn("_again", F.when(broken, again))
+        loose = T.StructType([T.StructField(f.name, T.VariantType() if f in boxes else f.dataType) for f in schema.fields])
+        parsed = _once(parsed, _again=F.when(F.col("_odd") & broken, F.from_json(line, with_corrupt(loose), JSON_OPTIONS)))
         usable = F.col("_again").isNotNull() & F.col("_again")[CORRUPT_COL].isNull()
     for f in schema.fields:
         first = F.col("_rec")[f.name]
@@ -166,17 +210,55 @@ def classify_ndjson(
             usable = usable & (absent | F.coalesce(good, F.lit(False)))
             values[f.name] = F.when(broken, F.when(~absent, whole["v"])).otherwise(first)
     malformed = (broken & ~F.coalesce(usable, F.lit(False))) | ~_strict(line)
-
     key_ok: Column = F.lit(True)
     for k in required:
         key_ok = key_ok & ~_falsy(line, k, values[k])
+    fields = [_as_ints(line, f, values[f.name]).alias(f.name) for f in schema.fields]
+    second = F.struct(*fields, malformed.alias("malformed"), key_ok.alias("key_ok"))
+    return _once(parsed, _second=F.when(F.col("_odd"), second))
+
+
+def classify_ndjson(
+    lines: DataFrame,
+    schema: T.StructType,
+    required: Sequence[str] = (),
+    value_col: str = "value",
+) -> DataFrame:
+    """Parse every line; keep other input columns; add the record fields, the
+    raw line (``_line``) and a reject reason (``_reason``, NULL if accepted).
+
+    A line must be one JSON object and nothing else. An object or array field
+    that holds a false value of another type (``""``, ``0``, ``false``, ``[]``,
+    ``{}``) counts as absent, any other type is malformed; a required key that
+    holds one is missing. Fields in ``schemas.INT_TEXT_FIELDS`` take the forms
+    int() takes.
+
+    A line is parsed once, into a value that keeps its JSON types; fields,
+    types and truth are read from that. Only lines it can't be made of (see
+    :func:`_second_path`) are parsed again."""
+    passthrough = [c for c in lines.columns if c != value_col]
+    parsed = _once(lines.select(*passthrough, F.col(value_col).alias(LINE_COL)), _value=_one_value(F.col(LINE_COL)))
+    line, value = F.col(LINE_COL), F.col("_value")
+    odd = ~is_blank(line) & (value.isNull() | F.contains(line, F.lit(_END)))
+    parsed = _second_path(parsed, schema, required, odd)
+
+    ended = F.coalesce(F.try_variant_get(value, "$[1]", "string") == F.lit(_END), F.lit(False)) & F.try_variant_get(value, "$[2]", "variant").isNull()
+    is_object = F.startswith(F.btrim(line, F.lit(" \t\r\n")), F.lit("{"))
+    typed = {f.name: _typed(value, f) for f in schema.fields}
+    malformed, key_ok = ~(ended & is_object), F.lit(True)
+    for _, wrong in typed.values():
+        malformed = malformed | F.coalesce(wrong, F.lit(False))
+    for k in required:
+        key_ok = key_ok & ~_false(_field(value, k))
+    is_odd, second = F.col("_odd"), F.col("_second")
+    fields = {f.name: F.when(is_odd, second[f.name]).otherwise(typed[f.name][0].cast(f.dataType)) for f in schema.fields}
     reason = (
-        F.when(line.isNull() | (F.btrim(line, F.lit(_WHITESPACE)) == F.lit("")), F.lit("blank"))
-        .when(malformed, F.lit("malformed"))
-        .when(~key_ok, F.lit("missing_key"))
+        F.when(is_blank(line), F.lit("blank"))
+        .when(F.when(is_odd, second["malformed"]).otherwise(malformed), F.lit("malformed"))
+        .when(~F.when(is_odd, second["key_ok"]).otherwise(key_ok), F.lit("missing_key"))
     )
-    fields = [_as_ints(line, f, values[f.name]).alias(f.name) for f in schema.fields]
-    return parsed.select(*passthrough, *fields, line, reason.alias(REASON_COL))
+    done = _once(parsed, **{"_record": F.struct(*[c.alias(n) for n, c in fields.items()]), REASON_COL: reason})
+    return done.select(*passthrough, *[F.col("_record")[n].alias(n) for n in fields], line, REASON_COL)
 
 
 def accepted(classified: DataFrame, keep_line: bool = False) -> DataFrame:

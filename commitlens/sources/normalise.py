@@ -21,19 +21,33 @@ def _keep(df: DataFrame, extra: list[str] | None) -> list[str]:
     return [c for c in (extra or []) if c in df.columns]
 
 
-def _has_key(json_text: Column, key: str) -> Column:
-    """The JSON object text has ``key`` (even with a null value)."""
-    keys = F.json_object_keys(json_text)
+#: Keys whose explicit null is told from an absent key: (object, key).
+_NULLABLE = [("author", "name"), ("author", "email"), ("committer", "name"), (None, "subject"), (None, "message"), (None, "tree")]
+
+
+def _presence(line: Column) -> Column:
+    """Which of the keys the line's JSON object has, even with a null value; NULL
+    for a line that has to be read key by key (see :func:`_has_key`)."""
+    value = F.try_parse_json(line)
+    path = lambda box, key: f"$.{box}.{key}" if box else f"$.{key}"
+    return F.transform(F.array(value), lambda v: F.when(v.isNotNull(), F.struct(*[F.try_variant_get(v, path(b, k), "variant").isNotNull().alias(f"{b or ''}_{k}")
+                                                                                   for b, k in _NULLABLE])))[0]
+
+
+def _has_key(line: Column, box: str | None, key: str) -> Column:
+    """The object (or the object in ``box``) has ``key``, by its keys alone: for
+    lines that repeat keys or hold NaN."""
+    keys = F.json_object_keys(F.get_json_object(line, f"$.{box}") if box else line)
     return F.coalesce(F.array_contains(keys, F.lit(key)), F.lit(False))
 
 
-def _defaulted(value: Column, default: str, nulls: str, object_text: Column | None, key: str) -> Column:
+def _defaulted(value: Column, default: str, nulls: str, box: str | None, key: str) -> Column:
     """``obj.get(key, default)``: with ``nulls="default"`` a NULL value and an
     absent key both give the default; with ``nulls="keep"`` an explicit JSON
     null stays NULL and only an absent key (or absent object) defaults."""
     if nulls == "default":
         return default_if_null(value, default)
-    present = F.lit(False) if object_text is None else _has_key(object_text, key)
+    present = F.when(F.col("_present").isNotNull(), F.col("_present")[f"{box or ''}_{key}"]).otherwise(_has_key(F.col("_line"), box, key))
     return F.when(value.isNotNull(), value).when(present, F.lit(None).cast("string")).otherwise(F.lit(default))
 
 
@@ -50,23 +64,21 @@ def normalise_commits(raw: DataFrame, keep: list[str] | None = None, nulls: str
     if nulls not in ("default", "keep"):
         raise ValueError("nulls must be 'default' or 'keep'")
     author, committer = F.col("author"), F.col("committer")
-    line = author_text = committer_text = None
+    rows = raw.where(truthy("commit") & truthy("repo_name"))
     if nulls == "keep":
         if "_line" not in raw.columns:
             raise ValueError("nulls='keep' needs the raw line column _line")
-        line = F.col("_line")
-        author_text = F.get_json_object(line, "$.author")
-        committer_text = F.get_json_object(line, "$.committer")
-    return raw.where(truthy("commit") & truthy("repo_name")).select(
+        rows = rows.select("*", F.inline(F.array(F.struct(_presence(F.col("_line")).alias("_present")))))
+    return rows.select(
         *_keep(raw, keep),
         F.col("commit").alias("commit_hash"),
         F.col("repo_name"),
-        _defaulted(author["name"], S.DEFAULT_NAME, nulls, author_text, "name").alias("author_name"),
-        _defaulted(author["email"], S.DEFAULT_TEXT, nulls, author_text, "email").alias("author_email"),
-        _defaulted(committer["name"], S.DEFAULT_NAME, nulls, committer_text, "name").alias("committer_name"),
-        _defaulted(F.col("subject"), S.DEFAULT_TEXT, nulls, line, "subject").alias("subject"),
-        _defaulted(F.col("message"), S.DEFAULT_TEXT, nulls, line, "message").alias("message"),
-        _defaulted(F.col("tree"), S.DEFAULT_TEXT, nulls, line, "tree").alias("tree"),
+        _defaulted(author["name"], S.DEFAULT_NAME, nulls, "author", "name").alias("author_name"),
+        _defaulted(author["email"], S.DEFAULT_TEXT, nulls, "author", "email").alias("author_email"),
+        _defaulted(committer["name"], S.DEFAULT_NAME, nulls, "committer", "name").alias("committer_name"),
+        _defaulted(F.col("subject"), S.DEFAULT_TEXT, nulls, None, "subject").alias("subject"),
+        _defaulted(F.col("message"), S.DEFAULT_TEXT, nulls, None, "message").alias("message"),
+        _defaulted(F.col("tree"), S.DEFAULT_TEXT, nulls, None, "tree").alias("tree"),
         new_paths("difference").alias("files_changed"),
         array_length("difference").alias("num_files_changed"),
     )

@@ -83,7 +83,7 @@ def test_last_write_wins_reduces_before_shuffle(spark):
         p = plan(queries()["commits_latest_by_hash"](spark, SF_SMALL))
         # the plan prints top-down: the partial aggregate sits below the
         # exchange, so a hot hash leaves each task as one row
-        assert "partial_max_by" in p and p.rfind("Exchange hashpartitioning") < p.rfind("partial_max_by")
+        assert "partial_max(" in p and p.rfind("Exchange hashpartitioning") < p.rfind("partial_max(")
     finally:
         _aqe(spark)
 
