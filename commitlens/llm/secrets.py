@@ -9,7 +9,11 @@ patterns (and keyword-free variants of them, so that shape and context carry
 weight of their own). The weights decide over every token of the text: a token
 that no best path can tag as secret, whatever its neighbours' tags (a bound from
 its scores, the next token's and the transitions), is outside, and Viterbi runs
-exactly over the rest. Scores of a distinct word are computed once per task.
+exactly over the rest. The features of a distinct word are computed once per
+task, those of all new words of a batch at once. A long text is scored in
+segments: a segment ends before a token that is outside on every best path, so
+each holds the state that the next one starts from, and memory does not grow with
+the text.
 
 Spans of the patterns always stay. The model adds those parts of its spans (kind
 ``crf``) that no pattern covers. Spans are code points, end exclusive.
@@ -67,8 +71,9 @@ NEIGHBOURS, REACH = (-3, -2, -1, 1), 80
 
 
 def entropy(token: str) -> float:
+    """Bits per character, a little up, so that whole numbers stay whole in any order of summing."""
     n, kinds = len(token), set(token)
-    return math.log2(n) - (sum(c * math.log2(c) for c in map(token.count, kinds) if c > 1) / n if len(kinds) < n else 0)
+    return math.log2(n) - (sum(c * math.log2(c) for c in map(token.count, kinds) if c > 1) / n if len(kinds) < n else 0) + 1e-9
 
 
 #: Lower case, upper case, digits and other ASCII characters, for ``str.translate``.
@@ -147,28 +152,131 @@ def features(text: str) -> tuple[list[tuple[int, int]], list[list[str]]]:
     return spans, out
 
 
-#: Distinct words a task keeps; beyond it the table starts anew.
-KEEP_WORDS = 400_000
+#: Distinct words a task keeps (beyond it the table starts anew), words featured at once, words of a segment.
+KEEP_WORDS, AT_ONCE, SEGMENT = 400_000, 50_000, 100_000
+#: Tokens left and right of a token that its scores look at.
+LEFT, RIGHT = -min(NEIGHBOURS), max(NEIGHBOURS)
+_KIND = np.array([{"l": 0, "u": 1, "d": 2, "o": 3}[KIND_OF[c]] for c in range(128)], np.int64)
+_IS = {name: np.array([chr(c) in chars for c in range(128)]) for name, chars in (
+    ("run", RUN_CHARS), ("vowel", "aeiouAEIOU"), ("hex", "0123456789abcdef"), ("dot", "./"), ("plus", "+="), ("strip", "\"'`()[]{}<>,;:.!?"))}
+SEPARATORS = "\"':;,|=()<>@"
 
 
-class Table(dict):
-    """Rows of scores of the tokens of each distinct word; tokens of the same
-    features share a row."""
+def _ascii(points: np.ndarray, name: str) -> np.ndarray:
+    return (points < 128) & _IS[name][np.minimum(points, 127)]
 
-    def __init__(self, model):
-        self.model, self.row_of, self.rows = model, {}, []
 
-    def __missing__(self, chunk: str) -> tuple[int, ...]:
-        out = []
-        for _, _, own, seen in tokens_of(chunk):
-            key = tuple(own)
-            if key not in self.row_of:
-                model, self.row_of[key] = self.model, len(self.rows)
-                of = lambda names: model.emit[[model.index[x] for x in names if x in model.index]].sum(axis=0)
-                self.rows.append(np.concatenate([of(own), *(of([f"{k}:{x}" for x in seen]) for k in NEIGHBOURS)]))
-            out.append(self.row_of[key])
-        self[chunk] = tuple(out)
-        return self[chunk]
+def _unicode(points: np.ndarray, test) -> np.ndarray:
+    """A property of each character, looked up once per distinct one."""
+    own, at = np.unique(points, return_inverse=True)
+    return np.array([test(chr(c)) for c in own.tolist()], bool)[at]
+
+
+class WordTable:
+    """The tokens of each distinct word: for each token its own scores, and what
+    its neighbours see of it (0 nothing, 1 a separator, 2 a hint, then each of
+    ``SEPARATORS``). Equal to the sums over :func:`tokens_of`."""
+
+    def __init__(self, model):
+        self.at: dict[str, int] = {}
+        weights = np.concatenate([model.emit, np.zeros((1, 3))])  # the last one for features the model doesn't know
+        self.weight = lambda names: weights[[model.index.get(x, -1) for x in names]]
+        self.seen_weight = {k: np.concatenate([np.zeros((1, 3)), self.weight([f"{k}:sep", f"{k}:hint", *(f"{k}:sep:{c}" for c in SEPARATORS)])]) for k in NEIGHBOURS}
+        self.first, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.own, self.seen = np.zeros((0, 3)), np.zeros(0, np.int8)
+        bits = [f"{i:04b}" for i in range(16)]
+        self.family = {name: self.weight(values) for name, values in {
+            "single": ["sep", "letter", *(f"sep:{c}" for c in SEPARATORS)],
+            "len": [f"len:{i}" for i in range(7)], "ent": [f"ent:{i}" for i in range(8)], "dig": [f"dig:{i}" for i in range(5)], "case": ["case:00", "case:01", "case:10", "case:11"],
+            "size": [f"size:{i}" for i in range(9)], "turns": [f"turns:{i}" for i in range(6)], "vowels": [f"vowels:{i}" for i in range(6)],
+            "inner": [f"inner:{c}:{n}" for c in range(6) for n in range(5)], "word": [f"word:{k}:{n}" for k in range(5) for n in range(7)], "flags": ["word:" + b for b in bits],
+            "word turns": [f"word:turns:{i}" for i in range(6)], "parts": [f"word:parts:{i}" for i in range(7)],
+            "other": ["bias", "mixed", "hex", "access", "pathlike", "number", "hint", "glued", "ends"]}.items()}
+
+    def add(self, words: list[str]) -> None:
+        """Put new distinct words (without white space) into the table."""
+        w = self.family
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        begins = np.cumsum(lengths) - lengths  # of words
+        word_of = np.repeat(np.arange(len(words)), lengths)
+        starts_word = np.zeros(len(points), bool)
+        starts_word[begins] = True
+        run = _ascii(points, "run")
+        starts = starts_word | ~run | ~np.concatenate(([False], run[:-1]))
+        first = np.flatnonzero(starts)
+        size = np.diff(np.append(first, len(points)))
+        word = word_of[first]
+        count = lambda mask: np.add.reduceat(mask.astype(np.int64), first)
+        kind = np.where(points < 128, _KIND[np.minimum(points, 127)], 4 + points)
+        change = np.zeros(len(points), np.int64)
+        change[1:] = kind[1:] != kind[:-1]
+        runs = run[first]
+
+        # tokens that are runs
+        inside = change.copy()
+        inside[first] = 0
+        turns_ = 5 * np.add.reduceat(inside, first) // size
+        lower, upper, digits = count(kind == 0), count(kind == 1), count(kind == 2)
+        letters = lower + upper
+        token = np.repeat(np.arange(len(first)), size)
+        codes, of_code = np.unique(token * 128 + np.minimum(points, 127), return_counts=True)  # runs are ASCII
+        bits = np.bincount(codes // 128, of_code * np.log2(of_code), len(first))
+        bits = (np.log2(size) - bits / size + 1e-9).astype(np.int64)
+        own = w["len"][np.minimum(size // 8, 6)] + w["ent"][np.minimum(bits, 7)] + w["dig"][np.minimum(4, 5 * digits // size)] + w["case"][2 * (upper > 0) + (lower > 0)] \
+            + w["size"][np.minimum(size, 24) // 3] + w["turns"][turns_]
+        part = lambda mask, values: np.where(mask[:, None], values, 0)
+        own += part(letters > 0, w["vowels"][5 * count(_ascii(points, "vowel")) // np.maximum(letters, 1)])
+        upper_later, letters_later = upper - (kind[first] == 1), letters - (kind[first] < 2)
+        own += part((lower > 0) & (upper > 0) & ((upper_later > 0) | (letters_later == 0)), w["inner"][5 * turns_ + np.minimum(size, 32) // 8])
+        bias, mixed, hexed, access, pathlike, number, hint, glued, ends = w["other"]
+        own += part((digits > 0) & (letters > 0) & (count(kind == 3) == 0) & (size >= LONG), mixed)
+        own += part((size >= LONG) & (count(_ascii(points, "hex")) == size), hexed)
+        akia = size >= 4
+        for k, c in enumerate(b"AKIA"):
+            akia &= points[np.minimum(first + k, len(points) - 1)] == c
+        own += part(akia, access) + part((count(_ascii(points, "dot")) > 0) & (count(_ascii(points, "plus")) == 0), pathlike) + part(letters == 0, number)
+        # hints: matches lie within one token, as nothing else holds letters of theirs
+        hinted = np.zeros(len(first), bool)
+        line_begins = begins + np.arange(len(words))
+        places = np.fromiter((m.start() for m in HINT.finditer("\n".join(words))), np.int64)
+        if len(places):
+            hinted[token[places - (np.searchsorted(line_begins, places, side="right") - 1)]] = True
+        own += part(hinted, hint)
+
+        # tokens of one other character
+        letter = np.zeros(len(first), bool)
+        letter[~runs] = _unicode(points[first[~runs]], str.isalpha) if (~runs).any() else False
+        separator = np.zeros(len(first), np.int64)
+        for k, c in enumerate(SEPARATORS):
+            separator[points[first] == ord(c)] = k + 1
+        single = np.where(letter, 1, np.where(separator > 0, separator + 1, 0))
+        own = np.where(runs[:, None], own, w["single"][single])
+
+        # the whole word, without quotes, brackets and marks around it
+        bare = ~_ascii(points, "strip")
+        low = np.minimum.reduceat(np.where(bare, np.arange(len(points)), len(points)), begins)
+        high = np.maximum.reduceat(np.where(bare, np.arange(len(points)), -1), begins) + 1
+        n = np.maximum(high - low, 0)
+        at = np.arange(len(points))
+        in_bare = (at >= low[word_of]) & (at < high[word_of])
+        per_word = lambda mask: np.add.reduceat((mask & in_bare).astype(np.int64), begins)
+        alnum = per_word(_unicode(points, str.isalnum)) == n
+        flags = [per_word(kind == 0) > 0, per_word(kind == 1) > 0, per_word(kind == 2) > 0, ~(alnum & (n > 0))]
+        later = in_bare & (at > low[word_of])
+        word_turns = 5 * np.add.reduceat(np.where(later, change, 0), begins) // np.maximum(n, 1)
+        parts = np.bincount(word, minlength=len(words))
+        whole = w["word"][7 * sum(f.astype(np.int64) for f in flags) + np.minimum(n, 24) // 4] + w["flags"][sum(f.astype(np.int64) << (3 - k) for k, f in enumerate(flags))] \
+            + w["word turns"][word_turns] + w["parts"][np.minimum(parts, 6)]
+        first_token = np.cumsum(parts) - parts
+        place = np.arange(len(first)) - first_token[word]
+        own += bias + part(~letter, whole[word]) + part(place > 0, glued) + part(place == parts[word] - 1, ends)
+
+        seen = np.where(runs, np.where(hinted, 2, 0), np.where(letter, 0, np.where(separator > 0, separator + 2, 1))).astype(np.int8)
+        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words))))
+        self.first = np.concatenate([self.first, len(self.seen) + first_token])
+        self.n = np.concatenate([self.n, parts])
+        self.own, self.seen = np.concatenate([self.own, own]), np.concatenate([self.seen, seen])
 
 
 class Model:
@@ -180,24 +288,33 @@ class Model:
     def __getstate__(self):
         return {**self.__dict__, "table": None}
 
-    def scores(self, text: str) -> tuple[list[str], list[tuple], np.ndarray]:
-        """The words of a text, the rows of their tokens, and the scores of all tokens."""
-        if self.table is None or len(self.table) > KEEP_WORDS:
-            self.table, self.packed = Table(self), np.zeros((0, 3 + 3 * len(NEIGHBOURS)))
-        chunks = text.split()
-        ids = list(map(self.table.__getitem__, chunks))
-        if len(self.packed) < len(self.table.rows):
-            self.packed = np.concatenate([self.packed, self.table.rows[len(self.packed):]])
-        got = self.packed[np.fromiter(itertools.chain.from_iterable(ids), np.int64)]
-        out = got[:, :3] + self.emit[[self.index[x] for x in file_features(text) if x in self.index]].sum(axis=0)
-        for j, k in enumerate(NEIGHBOURS):
-            seen = got[:, 3 + 3 * j:6 + 3 * j]
-            if abs(k) < len(out):
-                if k < 0:
-                    out[-k:] += seen[:k]
-                else:
-                    out[:-k] += seen[k:]
-        return chunks, ids, out
+    def learn(self, words) -> None:
+        """Have the features of these words in the table, many at once."""
+        if self.table is None or len(self.table.at) > KEEP_WORDS:
+            self.table = WordTable(self)
+        new = [w for w in dict.fromkeys(words) if w not in self.table.at]
+        for i in range(0, len(new), AT_ONCE):
+            self.table.add(new[i:i + AT_ONCE])
+
+    def scores(self, words: list[str], of_file: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens of each word, scores of all tokens) of a run of words."""
+        table = self.table
+        try:
+            ids = np.fromiter(map(table.at.__getitem__, words), np.int64, len(words))
+        except (AttributeError, KeyError):
+            self.learn(words)
+            table = self.table
+            ids = np.fromiter(map(table.at.__getitem__, words), np.int64, len(words))
+        n = table.n[ids]
+        own = np.arange(n.sum()) + np.repeat(table.first[ids] - (np.cumsum(n) - n), n)
+        out = table.own[own] + self.emit[[self.index[x] for x in of_file if x in self.index]].sum(axis=0)
+        seen = table.seen[own]
+        at = np.flatnonzero(seen)
+        for k in NEIGHBOURS:
+            to = at - k  # the token whose neighbour k is the one seen
+            good = (to >= 0) & (to < len(out))
+            out[to[good]] += table.seen_weight[k][seen[at[good]]]
+        return n, out
 
     def outside(self, s: np.ndarray) -> np.ndarray:
         """Whether each token is outside on every best path: with another tag,
@@ -223,14 +340,17 @@ class Model:
             tags.append(int(b[tags[-1]]))
         return tags[::-1]
 
-    def tags(self, scores: np.ndarray) -> list[tuple[int, list[int]]]:
+    def tags(self, scores: np.ndarray, outside: np.ndarray | None = None, goes_on: bool = False) -> list[tuple[int, list[int]]]:
         """The best tags as (first token, tags) of the stretches between
-        tokens that are outside on every best path."""
-        open_ = np.flatnonzero(~self.outside(scores)) if len(scores) else np.zeros(0, np.int64)
+        tokens that are outside on every best path. ``goes_on``: a token that is
+        outside follows the last one."""
+        if outside is None:
+            outside = self.outside(scores) if len(scores) else np.ones(0, bool)
+        open_ = np.flatnonzero(~outside)
         out = []
         for own in np.split(open_, np.flatnonzero(np.diff(open_) > 1) + 1) if len(open_) else ():
             a, b = int(own[0]), int(own[-1]) + 1
-            out.append((a, self.viterbi(scores[a:b], b < len(scores))))
+            out.append((a, self.viterbi(scores[a:b], goes_on or b < len(scores))))
         return out
 
 
@@ -377,35 +497,87 @@ def fit_model(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE
     return train(sequences)
 
 
-def find_spans(text: str, model: Model) -> list[tuple[str, int, int]]:
-    """All spans of a text, by start, then kind."""
-    out = base_spans(text)
-    chunks, ids, scores = model.scores(text)
-    tagged = []
-    for first, tags in model.tags(scores):
+SPACE = re.compile(r"\s")
+
+
+def segments(text: str, size: int):
+    """(place, stretch) of a text, cut at white space into stretches of about ``size`` characters."""
+    a = 0
+    while a < len(text):
+        cut = SPACE.search(text, a + size) if a + size < len(text) else None
+        b = cut.start() if cut else len(text)
+        yield a, text[a:b]
+        a = b
+
+
+def tagged(text: str, model: Model, segment: int = SEGMENT) -> list[tuple[int, int]]:
+    """(start, end) of the secrets the model tags, in order."""
+    of_file, out = file_features(text), []
+    held, places = [], []  # words not yet decided, after those that their scores look at
+    known = 0  # tokens at their start that are decided: context
+    for a, stretch in segments(text, 8 * segment):
+        words = stretch.split()
+        at = 0
+        if len(stretch) < len(text):  # only texts of several segments need the places of all their words here
+            for w in words:
+                at = stretch.index(w, at)
+                places.append(a + at)
+                at += len(w)
+        held += words
+        last = a + len(stretch) == len(text)
+        if not held or not last and len(held) <= LEFT + RIGHT:
+            continue
+        n, scores = model.scores(held, of_file)
+        upto = len(scores)
+        outside = model.outside(scores) if upto else np.ones(0, bool)
+        if not last:  # up to the last token that is surely outside and has its neighbours
+            sure = np.flatnonzero(outside[:upto - RIGHT - 1])
+            upto = int(sure[-1]) if len(sure) else 0
+        if upto > known:
+            found = model.tags(scores[known:upto], outside[known:upto], upto < len(scores))
+            out += _spans(text, held, places, n, [(known + i, tags) for i, tags in found])
+        if last:
+            break
+        upto = max(upto, known)
+        ends = np.cumsum(n)
+        keep = max(0, int(np.searchsorted(ends, upto - LEFT, side="right")))  # the first word that is still looked at
+        known = upto - int(ends[keep - 1] if keep else 0)
+        held, places = held[keep:], places[keep:]
+    return out
+
+
+def _spans(text: str, words: list[str], places: list[int], n: np.ndarray, found) -> list[tuple[int, int]]:
+    """Characters of tagged tokens; the places of the words are looked up if not given."""
+    runs = []
+    for first, tags in found:
         for i, tag in enumerate(tags):
             if tag == BEGIN:
-                tagged.append([first + i, first + i + 1])
-            elif tag == INSIDE and tagged:
-                tagged[-1][1] = first + i + 1
-    if not tagged:
-        return out
-    place, at = [], 0  # of the words
-    for c in chunks:
-        at = text.index(c, at)
-        place.append(at)
-        at += len(c)
-    n = np.array([len(x) for x in ids])
+                runs.append([first + i, first + i + 1])
+            elif tag == INSIDE and runs:
+                runs[-1][1] = first + i + 1
+    if not runs:
+        return []
+    if not places:
+        at, places = 0, []
+        for w in words:
+            at = text.index(w, at)
+            places.append(at)
+            at += len(w)
     ends = np.cumsum(n)
 
     def span(token: int) -> tuple[int, int]:
         k = int(np.searchsorted(ends, token, side="right"))
-        own = next(itertools.islice(TOKEN.finditer(chunks[k]), token - int(ends[k] - n[k]), None))
-        return place[k] + own.start(), place[k] + own.end()
+        own = next(itertools.islice(TOKEN.finditer(words[k]), token - int(ends[k] - n[k]), None))
+        return places[k] + own.start(), places[k] + own.end()
+
+    return [(span(i)[0], span(j - 1)[1]) for i, j in runs]
 
+
+def find_spans(text: str, model: Model, segment: int = SEGMENT) -> list[tuple[str, int, int]]:
+    """All spans of a text, by start, then kind."""
+    out = base_spans(text)
     added, known = [], [(a, b) for _, a, b in out]
-    for i, j in tagged:
-        a, b = span(i)[0], span(j - 1)[1]
+    for a, b in tagged(text, model, segment):
         for c, d in sorted(x for x in known if x[0] < b and a < x[1]):
             if a < c:
                 added.append(("crf", a, c))
@@ -415,13 +587,33 @@ def find_spans(text: str, model: Model) -> list[tuple[str, int, int]]:
     return sorted(out + added, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
+def find_all(texts, model: Model):
+    """The spans of each text (null: none); the words of many texts are featured together."""
+    texts = ["" if t is None else t for t in texts]
+    i = 0
+    while i < len(texts):
+        j, size = i, 0
+        while j < len(texts) and (j == i or size + len(texts[j]) <= TOGETHER):
+            size += len(texts[j])
+            j += 1
+        if size <= TOGETHER:
+            model.learn(itertools.chain.from_iterable(t.split() for t in texts[i:j]))
+        for t in texts[i:j]:
+            yield find_spans(t, model)
+        i = j
+
+
+#: Characters of the texts whose words are featured together.
+TOGETHER = 4 << 20
+
+
 SPANS = "array<struct<kind string, start bigint, end bigint>>"
 
 
 def secrets_column(model: Model, text_col: str = "text"):
     """The spans of a text as an array of (kind, start, end)."""
     def scan(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [dict(zip(("kind", "start", "end"), s)) for s in find_spans(t, model)])
+        return pd.Series([[dict(zip(("kind", "start", "end"), s)) for s in spans] for spans in find_all(texts, model)], dtype=object)
 
     return F.pandas_udf(scan, SPANS)(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
 
@@ -440,16 +632,16 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", model: Model | None
     model = model or fit_model(docs, text_col)
 
     def clean(texts: pd.Series) -> pd.Series:
-        def one(text):
+        def one(text, spans):
             if text is None:
                 return None
             out, last, by = [], 0, ""
-            for kind, a, b in find_spans(text, model):
+            for kind, a, b in spans:
                 if a > last or not out or a == last and "crf" not in (kind, by):
                     out += [text[last:a], MARK]
                 last, by = max(last, b), kind
             return "".join([*out, text[last:]]) if out else text
-        return texts.map(one, na_action="ignore")
+        return pd.Series([one(t, spans) for t, spans in zip(texts, find_all(texts, model))], dtype=object)
 
     done = docs.withColumn(text_col, F.pandas_udf(clean, "string")(F.col(f"`{text_col}`")))
     return done.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done

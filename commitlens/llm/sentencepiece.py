@@ -1,36 +1,39 @@
 """SentencePiece encoding and decoding through a relational lattice.
 
-Encoding. A text is cut into units no piece crosses (a word with the white
-space marks before it, line breaks). The distinct units of each
-batch of documents go through Spark:
+Encoding. A text is cut into units no piece crosses: words with the white space
+mark before them, line breaks, and within words at neighbouring characters that
+stand together in no piece. The distinct units of each batch of texts go through
+Spark:
 
-1. shuffle by unit, so that a unit is looked at once in the whole corpus;
+1. shuffle by a hash of the unit, so that a unit is looked at once in the corpus;
 2. explode its substrings of two characters up to the longest piece;
 3. equi-join them to the piece table (broadcast: its size is that of the
    vocabulary file, whatever the corpus);
 4. group the edges by unit (the same partitioning, no further shuffle);
-5. fold Viterbi over the end positions with ``aggregate``.
-
-The pieces found go back to their batch, packed per task and batch; the batch
-itself travels as one compressed row, and the texts are put together there (the
-two meet by a hash of the batch's texts). A batch holds at most ``BATCH_BYTES`` of text (or
-one longer document), so no task holds more than that, and the rows of a unit
-are at most one per batch.
-
-Viterbi for a merge model. The scores of a BPE model are ranks of merges, and
-the path of the highest sum is not what the library gives. But a sequence of
-pieces is the library's encoding exactly if each adjacent pair is: no piece
-across their border would have been merged before the pieces that use it up.
-So the fold keeps, for each end position, the last piece of the one encoding
-of the prefix, and admits an edge if it is consistent with the last piece
-before it. What a border needs to know of a piece, the ranks at which its
-prefixes and suffixes on the merge tree are used up, is in the piece table.
-A single character is an edge everywhere and is taken if no piece is
-admitted; characters without a piece become their bytes.
-
-Units longer than ``MAX_UNIT`` characters (not words) take the same
-recurrence in Python, where a step costs the same at any length; so do units
-with several white space marks, whose pieces share one score and merge last.
+5. fold the best path with ``aggregate``;
+6. join the paths back to the batches that asked for the unit, still without a
+   shuffle. A unit is asked for at most once by a batch, so the largest key has a
+   row per batch.
+
+The paths go back to their batch, packed per task and batch; the batch itself
+travels as one compressed row and the two meet by a hash of its texts. A batch
+holds at most ``BATCH_BYTES`` of text (or one longer document). The two scans
+must see the same rows in the same order: an input that isn't deterministic has to
+be written first (a difference fails the job).
+
+The fold. The scores of a merge (BPE) model are ranks, and the path of the
+highest sum of scores, Viterbi's, is not what the library gives. The library's
+path is that of the merges done best rank first, leftmost first. So the fold goes
+over a unit's edges in that order; its state is the set of borders between
+characters, as one long. An edge whose ends are borders and that has one border
+inside is a merge: the border goes. The parts of a piece have better ranks than
+the piece itself (checked when the vocabulary is read), so an edge that can't be
+taken in its turn can't be later. The edges between borders that are left are the
+path; what no edge covers are characters, and those without a piece their bytes.
+
+Units longer than ``MAX_UNIT`` characters take an equal recurrence in Python,
+where a step costs the same at any length; so do units with several white space
+marks, whose pieces share one score and merge last.
 
 Edge cases. Null or empty text: no tokens. The mark U+2581 in a text counts as
 a space, as in the library. Repeated rows give repeated results, all other
@@ -45,6 +48,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,7 +59,7 @@ from commitlens.llm.common import table
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 MAX_UNIT = 48
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 NEVER = 2_147_483_647
 
 
@@ -65,6 +69,15 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+
+
+def _pairs(points: np.ndarray) -> np.ndarray:
+    """Neighbouring characters as one number."""
+    return points[:-1] * (1 << 21) + points[1:]
+
+
 class Pieces:
     """The vocabulary of a model file: ids, ranks (1 is merged first), and
     for each piece when the nodes on the sides of its merge tree are used up:
@@ -87,6 +100,11 @@ class Pieces:
                      for i, n in enumerate(self.names)]
         self.sides = {n: s for n in self.ids if len(n) > 1 and n.strip(MARK) and (s := self._sides(n))}
         self.longest = max(map(len, self.sides))
+        if any(not 0 < self.rank[n] < 1 << 20 for n in self.sides) or len({self.rank[n] for n in self.sides}) < len(self.sides):
+            raise ValueError("the ranks of the pieces are not those of merges")
+        if any(self.rank[n[:k]] > self.rank[n] for n, (left, _) in self.sides.items() for k in range(2, len(n)) if left[k - 1]):
+            raise ValueError("a piece is merged before its parts")
+        self.pairs = np.unique(np.concatenate([_pairs(_points(n)) for n in self.ids if len(n) > 1]))
 
     def merge(self, parts: list) -> list:
         """Merge adjacent nodes (name, left, right), best rank first, then
@@ -113,21 +131,36 @@ class Pieces:
         return tuple(out)
 
     def rows(self) -> list[tuple]:
-        return [("", -1, 0, [], []), *((n, self.ids[n], self.rank[n], left, right) for n, (left, right) in self.sides.items())]
+        return [(n, self.rank[n], self.ids[n]) for n in self.sides]
+
+    def cut(self, names: list[str]) -> list[list[str]]:
+        """Each unit cut where two characters stand together in no piece."""
+        if not names:
+            return []
+        points = _points("".join(names))
+        pairs = _pairs(points)
+        at = np.searchsorted(self.pairs, pairs)
+        apart = self.pairs[np.minimum(at, len(self.pairs) - 1)] != pairs
+        ends = np.cumsum(np.fromiter(map(len, names), np.int64, len(names)))
+        apart[ends[:-1] - 1] = True  # between units
+        borders = [0, *(np.flatnonzero(apart) + 1).tolist(), len(points)]
+        text = "".join(names)
+        parts = [text[i:j] for i, j in zip(borders, borders[1:])]
+        firsts = np.searchsorted(borders, np.concatenate(([0], ends))).tolist()
+        return [parts[i:j] for i, j in zip(firsts, firsts[1:])]
 
     def character(self, c: str) -> list[int]:
         return [self.ids[c]] if c in self.ids else [self.bytes[b] for b in c.encode()]
 
-    def spell(self, unit: str, path) -> list[int]:
-        """Ids of a unit from its path: a piece, or -1 for a character."""
-        out, at = [], 0
-        for i in path:
-            if i >= 0:
-                out.append(i)
-                at += len(self.names[i])
-            else:
-                out += self.character(unit[at])
-                at += 1
+    def spell(self, unit: str, borders: int, path) -> list[int]:
+        """Ids of a unit from the borders that are left and the pieces between them."""
+        out, at, rest = [], 0, iter(path)
+        while at < len(unit):
+            step = 1
+            while not borders >> (at + step) & 1:
+                step += 1
+            out += self.character(unit[at]) if step == 1 else [next(rest)]
+            at += step
         return out
 
     def consistent(self, unit: str, a: int, j: int, e: int) -> bool:
@@ -226,86 +259,93 @@ def in_lattice(unit: str) -> bool:
     return 1 < len(unit) <= MAX_UNIT and not unit.startswith(2 * MARK)
 
 
-def lattice_paths(found: DataFrame, pieces: Pieces) -> DataFrame:
-    """(uses, path) of each distinct unit, from (batch, number, unit):
-    where it is used, and the pieces of its encoding (-1: a character)."""
-    spark = found.sparkSession
-    kind = "piece string, id int, rank int, before array<int>, after array<int>"
-    pieces_table = F.broadcast(spark.createDataFrame(pieces.rows(), kind))
-    # the edges of a task take about thirty times the room of its units
-    partitions = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = found.repartition(partitions, "unit").groupBy("unit").agg(F.collect_list(F.struct("batch", "number")).alias("uses"))
-    # substring k: by its end, then longest first; row -1 carries the uses and meets the empty piece
-    m, size = f"least({pieces.longest - 1}, length(unit) - 1)", "length(unit)"
-    parts = own.select("unit", "uses", F.expr(f"explode(sequence(-1, ({size} - 1) * {m} - 1))").alias("k")) \
-        .withColumn("e", F.expr(f"cast(2 + k div {m} AS int)")).withColumn("n", F.expr(f"{m} + 1 - k % {m}")) \
-        .where("k = -1 OR n <= e") \
-        .select("unit", "k", "e", "n", F.expr("if(k = -1, '', substring(unit, e - n + 1, n))").alias("sub"), F.expr("if(k = -1, uses, null)").alias("uses"))
-    edge = F.when(F.col("k") >= 0, F.struct("e", (F.col("e") - F.col("n")).alias("s"), "id", "rank", "before", "after"))
-    edges = parts.join(pieces_table, F.col("sub") == F.col("piece")).groupBy("unit").agg(
-        F.sort_array(F.collect_list(edge)).alias("edges"), F.first("uses", ignorenulls=True).alias("uses"))
-    # best[i]: last piece (its suffixes) and path of the encoding of the first i characters;
-    # where no edge that ends at i was admitted, it is a character
-    fill = lambda best, upto: (
-        f"if(size({best}) > {upto}, {best}, aggregate(sequence(size({best}), {upto}), {best}, (b, i) -> "
-        f"concat(b, array(named_struct('after', array({NEVER}), 'path', concat(get(b, i - 1).path, array(-1)))))))")
-    return edges.select("uses", F.expr(f"""aggregate(edges,
-        array(named_struct('after', cast(array() AS array<int>), 'path', cast(array() AS array<int>))),
-        (best, t) -> if(size(best) > t.e, best, get(transform(array({fill('best', 't.e - 1')}), known ->
-            if(t.s = 0 OR NOT exists(edges, x -> x.s < t.s AND x.e > t.s
-                    AND coalesce(get(get(known, t.s).after, t.s - x.s - 1), 0) > x.rank
-                    AND coalesce(get(t.before, x.e - t.s - 1), 0) >= x.rank),
-                concat(known, array(named_struct('after', t.after, 'path', concat(get(known, t.s).path, array(t.id))))),
-                known)), 0)),
-        best -> element_at({fill('best', 'length(unit)')}, -1).path)""").alias("path"))
+def lattice(names: DataFrame, pieces: Pieces) -> DataFrame:
+    """(hash, unit, borders, path) of distinct units (hash, unit), partitioned by
+    the hash: the borders that are left, as bits, and the pieces of two
+    characters or more in order. Units without any such edge have no row."""
+    table_ = F.broadcast(names.sparkSession.createDataFrame(pieces.rows(), "piece string, rank bigint, piece_id bigint"))
+    # substring k: by its end, then longest first
+    most = f"least({pieces.longest - 1}, length(unit) - 1)"
+    parts = names.select("hash", "unit", F.expr(f"explode(sequence(0, (length(unit) - 1) * {most} - 1))").alias("k")) \
+        .withColumn("e", F.expr(f"cast(2 + k div {most} AS int)")).withColumn("n", F.expr(f"cast({most} + 1 - k % {most} AS int)")).where("n <= e") \
+        .withColumn("sub", F.expr("substring(unit, e - n + 1, n)"))
+    # an edge as one number, in order of rank and start: rank, start, end, piece
+    edge = F.expr("shiftleft(rank, 32) + shiftleft(cast(e - n AS bigint), 26) + shiftleft(cast(e AS bigint), 20) + piece_id")
+    edges = parts.join(table_, F.col("sub") == F.col("piece")).select("hash", "unit", edge.alias("edge")) \
+        .groupBy("hash", "unit").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    start, end, one = "cast(shiftright(x, 26) & 63 AS int)", "cast(shiftright(x, 20) & 63 AS int)", "cast(1 AS bigint)"
+    ends = f"(shiftleft({one}, {start}) | shiftleft({one}, {end}))"
+    inside = f"(shiftleft({one}, {end}) - shiftleft(cast(2 AS bigint), {start}))"
+    folded = edges.withColumn("borders", F.expr(
+        f"aggregate(edges, shiftleft({one}, length(unit) + 1) - 1, (b, x) -> if(bit_count(b & {inside}) = 1 AND (b & {ends}) = {ends}, b & ~{inside}, b))"))
+    kept = f"filter(edges, x -> (borders & {inside}) = 0 AND (borders & {ends}) = {ends})"
+    path = f"transform(array_sort(transform({kept}, x -> shiftleft(shiftright(x, 26) & 63, 20) + (x & 1048575))), x -> cast(x & 1048575 AS int))"
+    return folded.select("hash", "unit", "borders", F.expr(path).alias("path"))
+
+
+def lattice_paths(asked: DataFrame, pieces: Pieces) -> DataFrame:
+    """``asked`` (batch, number, unit) with borders and path, null without an edge."""
+    partitions = 2 * int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = asked.withColumn("hash", F.xxhash64("unit")).repartition(partitions, "hash")
+    found = lattice(own.select("hash", "unit").distinct(), pieces)
+    return own.join(found, ["hash", "unit"], "left").select("batch", "number", "borders", "path")
 
 
 def pack_paths(rows):
-    """One compressed row per batch from the units of a task: their numbers
-    (differences), the lengths of their paths, and the paths."""
+    """One compressed row per batch from the units of a task: their numbers,
+    borders, the lengths of their paths, and the paths."""
     import zstandard
 
-    batches, numbers, owners, lengths, pieces, at = [], [], [], [], [], 0
+    batches, numbers, borders, lengths, pieces = [], [], [], [], []
     for batch in rows:
-        uses, paths = batch["uses"], batch["path"]
-        flat = uses.flatten()
-        batches.append(flat.field("batch").to_numpy())
-        numbers.append(flat.field("number").to_numpy())
-        owners.append(at + np.repeat(np.arange(len(batch)), np.diff(uses.offsets.to_numpy())))
-        lengths.append(np.diff(paths.offsets.to_numpy()))
+        paths = batch["path"]
+        batches.append(batch["batch"].to_numpy())
+        numbers.append(batch["number"].to_numpy())
+        borders.append(batch["borders"].fill_null(-1).to_numpy())
+        lengths.append(pc.fill_null(pc.list_value_length(paths), 0).to_numpy())
         pieces.append(paths.flatten().to_numpy())
-        at += len(batch)
-    if not at:
+    if not batches:
         return
-    batches, numbers, owners, lengths, pieces = map(np.concatenate, (batches, numbers, owners, lengths, pieces))
-    starts = np.cumsum(lengths) - lengths
+    batches, numbers, borders, lengths, pieces = map(np.concatenate, (batches, numbers, borders, lengths, pieces))
+    starts = np.cumsum(lengths, dtype=np.int64) - lengths
     order = np.lexsort((numbers, batches))
     cuts = np.flatnonzero(np.diff(batches[order])) + 1
-    for own in np.split(order, cuts):
-        n = lengths[owners[own]]
-        ids = pieces[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[owners[own]], n)]
-        arrays = (np.diff(numbers[own], prepend=0).astype("<i4"), n.astype("<u1"), ids.astype("<i4"))
+    for own in np.split(order, cuts) if len(order) else ():
+        n = lengths[own]
+        ids = pieces[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[own], n)]
+        arrays = (np.diff(numbers[own], prepend=0).astype("<i4"), borders[own].astype("<i8"), n.astype("<u1"), ids.astype("<i4"))
         data = len(own).to_bytes(8, "little") + b"".join(a.tobytes() for a in arrays)
-        yield pa.RecordBatch.from_arrays([pa.array(batches[own[:1]], pa.int64()), pa.array([False]), pa.array([zstandard.ZstdCompressor(level=3).compress(data)], pa.binary())],
+        yield pa.RecordBatch.from_arrays([pa.array(batches[own[:1]], pa.int64()), pa.array([False]), pa.array([zstandard.ZstdCompressor(level=1).compress(data)], pa.binary())],
                                          ["batch", "texts", "data"])
 
 
 def unpack_paths(data: bytes):
-    """(number, path) of the units of a packed row."""
+    """(number, borders, path) of the units of a packed row."""
     import zstandard
 
     data = zstandard.ZstdDecompressor().decompress(data)
     n = int.from_bytes(data[:8], "little")
     numbers = np.cumsum(np.frombuffer(data, "<i4", n, 8)).tolist()
-    lengths = np.frombuffer(data, "<u1", n, 8 + 4 * n)
-    ids = np.frombuffer(data, "<i4", -1, 8 + 5 * n).tolist()
-    ends = np.cumsum(lengths, dtype=np.int64).tolist()
+    borders = np.frombuffer(data, "<i8", n, 8 + 4 * n).tolist()
+    ends = np.cumsum(np.frombuffer(data, "<u1", n, 8 + 12 * n), dtype=np.int64).tolist()
+    ids = np.frombuffer(data, "<i4", -1, 8 + 13 * n).tolist()
     start = 0
-    for number, end in zip(numbers, ends):
-        yield number, ids[start:end]
+    for number, left, end in zip(numbers, borders, ends):
+        yield number, left, ids[start:end]
         start = end
 
 
+def parts_of(pieces: Pieces, names: list[str]) -> tuple[list[list[int]], list[str]]:
+    """The parts of each word as numbers, and the distinct parts. Words that don't
+    go through the lattice whole are one part."""
+    plain = [i for i, u in enumerate(names) if len(u) > 1 and not u.startswith(2 * MARK)]
+    cut = [[u] for u in names]
+    for i, own in zip(plain, pieces.cut([names[i] for i in plain])):
+        cut[i] = own
+    numbers: dict[str, int] = {}
+    return [[numbers.setdefault(p, len(numbers)) for p in own] for own in cut], list(numbers)
+
+
 def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
     """``docs`` with ``tokens``, the ids the library gives (no begin or end)."""
     pieces = Pieces(path or model_path())
@@ -314,7 +354,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
 
     def list_units(rows):
         for key, batch in _keyed(rows, text_col):
-            found = [(n, u) for u, n in distinct_units(batch[text_col].to_pylist()).items() if in_lattice(u)]
+            found = [(n, u) for n, u in enumerate(parts_of(pieces, list(distinct_units(batch[text_col].to_pylist())))[1]) if in_lattice(u)]
             for i in range(0, len(found), 100_000):
                 numbers, names = zip(*found[i:i + 100_000])
                 yield pa.RecordBatch.from_arrays([pa.array([key] * len(names), pa.int64()), pa.array(numbers, pa.int32()), pa.array(names, pa.string())],
@@ -327,7 +367,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, batch.schema) as out:
                 out.write_table(batch)
-            blob = zstandard.ZstdCompressor(level=9).compress(sink.getvalue().to_pybytes())
+            blob = zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
             yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([True]), pa.array([blob], pa.binary())], ["batch", "texts", "data"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("tokens", T.ArrayType(T.IntegerType()))])
@@ -342,21 +382,22 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
         if not batches:
             raise RuntimeError("the two scans of the input differ")
         texts = batches[0][text_col].to_pylist()
-        numbers = distinct_units(texts)
-        ids: list = [None] * len(numbers)
-        names = list(numbers)
+        words = distinct_units(texts)
+        of_word, names = parts_of(pieces, list(words))
+        ids: list = [None] * len(names)
         for is_texts, data in rows:
-            for n, found in () if is_texts else unpack_paths(data):
-                ids[n] = pieces.spell(names[n], found) if -1 in found else found
+            for n, borders, found in () if is_texts else unpack_paths(data):
+                ids[n] = pieces.spell(names[n], borders, found)
         for n, u in enumerate(names):
             if not in_lattice(u):
                 ids[n] = pieces.character(u) if len(u) == 1 else pieces.long_unit(u)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(chain.from_iterable(map(ids.__getitem__, own)) for own in of_word), np.int32)
+        lengths = np.fromiter((sum(len(ids[k]) for k in own) for own in of_word), np.int64, len(of_word))
+        del ids, names, rows, of_word
         starts = np.concatenate(([0], np.cumsum(lengths)))[:-1]
-        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum()))
         out, ends = [], [0]
         for t in texts:
-            own = np.fromiter(map(numbers.__getitem__, units(t)) if t else (), np.int64)
+            own = np.fromiter(map(words.__getitem__, units(t)) if t else (), np.int64)
             n = lengths[own]
             total = int(n.sum())
             out.append(flat[np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[own], n)])
@@ -369,17 +410,35 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
     return paths.mapInArrow(pack_paths, kind).union(docs.select(*columns).mapInArrow(pack, kind)).groupBy("batch").applyInArrow(assemble, schema)
 
 
+def decode_arrays(ids: pa.Array, text: pa.Array) -> pa.Array:
+    """Texts of lists of ids; ``text`` ends with an empty one for unknown ids."""
+    unknown = len(text) - 1
+    flat = ids.flatten()
+    if pa.types.is_floating(flat.type):
+        flat = pc.if_else(pc.is_finite(flat), flat, -1).cast(pa.int64(), safe=False)
+    known = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, unknown))
+    flat = pc.if_else(pc.fill_null(known, False), flat, unknown).cast(pa.int64())
+    lengths = pc.fill_null(pc.list_value_length(ids), 0).to_numpy()
+    taken = text.take(flat)  # the pieces one after the other, so that each text is a stretch of them
+    _, offsets, data = taken.buffers()
+    borders = np.frombuffer(offsets, np.int64)[taken.offset:][np.concatenate(([0], np.cumsum(lengths)))]
+    joined = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(borders.tobytes()), data])
+    try:
+        out = joined.cast(pa.large_string())
+    except pa.ArrowInvalid:  # ids that are not those of a text
+        out = pa.array([b.decode("utf-8", "replace") for b in joined.to_pylist()], pa.large_string())
+    out = pc.replace_substring_regex(out, pattern=r"\A ", replacement="")
+    return pc.if_else(ids.is_valid(), out, None).cast(pa.string())
+
+
 def decode_column(tokens_col: str = "tokens", path: str | None = None):
     """The text of an array of ids; null stays null."""
     text = Pieces(path or model_path()).text
 
-    def one(ids):
-        if ids is None:
-            return None
-        out = b"".join(text[int(i)] for i in ids if i is not None and i == i and 0 <= i < len(text)).decode("utf-8", "replace")
-        return out[1:] if out.startswith(" ") else out
+    def many(ids: pa.Array) -> pa.Array:
+        return decode_arrays(ids, pa.array([*text, b""], pa.large_binary()))
 
-    return F.pandas_udf(lambda s: s.map(one), "string")(F.col(f"`{tokens_col}`"))
+    return F.arrow_udf(many, "string")(F.col(f"`{tokens_col}`"))
 
 
 def decode(tokens: DataFrame, tokens_col: str = "tokens", text_col: str = "decoded", path: str | None = None) -> DataFrame:
