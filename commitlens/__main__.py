@@ -2,6 +2,8 @@
 
     python -m commitlens load --in data/ --out tables/ [--mode refresh|accumulate --prior old/]
     python -m commitlens apply --tables tables/ --changes changes.json --out tables2/ [--mode if_absent|upsert]
+    python -m commitlens store --tables tables/ --out store/ [--ranges N]
+    python -m commitlens apply --tables store/ --changes changes.json [--mode if_absent|upsert]
     python -m commitlens read --tables tables/ --hash H
     python -m commitlens list --tables tables/ --repo R [--top N]
     python -m commitlens search --tables tables/ --author PATTERN [--top N]
@@ -18,7 +20,8 @@ import argparse
 
 from commitlens.plans import load as LD
 from commitlens.plans import reports as RP
-from commitlens.session import build_session
+from commitlens.plans import store as SO
+from commitlens.session import build_session, read_if_exists
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -32,8 +35,12 @@ def main(argv: list[str] | None = None) -> int:
     chg = sub.add_parser("apply")
     chg.add_argument("--tables", required=True)
     chg.add_argument("--changes", required=True)
-    chg.add_argument("--out", dest="out_dir", required=True)
+    chg.add_argument("--out", dest="out_dir", default=None, help="new table folder; a store gets a new version in place")
     chg.add_argument("--mode", default="if_absent", choices=["if_absent", "upsert"])
+    sto = sub.add_parser("store")
+    sto.add_argument("--tables", required=True)
+    sto.add_argument("--out", dest="out_dir", required=True)
+    sto.add_argument("--ranges", type=int, default=SO.RANGES)
     for name in ("read", "list", "search"):
         rec = sub.add_parser(name)
         rec.add_argument("--tables", required=True)
@@ -67,7 +74,24 @@ def main(argv: list[str] | None = None) -> int:
             spark.read.parquet(paths["rejects"]).orderBy("source", "outcome").show(truncate=False)
         return 0
 
+    if args.cmd == "store":
+        store = SO.CommitStore.create(spark, args.out_dir, spark.read.parquet(f"{args.tables.rstrip('/')}/commits"), args.ranges)
+        print(f"{args.out_dir}: version {store.version}, {store.ranges} ranges")
+        return 0
+
+    if args.cmd == "apply" and read_if_exists(spark, f"{args.tables.rstrip('/')}/versions") is not None:
+        if args.out_dir:
+            ap.error("a store gets a new version in place: leave out --out")
+        store = SO.CommitStore(spark, args.tables)
+        changes, rejects = LD.read_changes(spark, args.changes)
+        store.apply(changes, args.mode).groupBy("op", "status").count().orderBy("op", "status").show(truncate=False)
+        rejects.show(truncate=False)
+        print(f"{args.tables}: version {store.version}")
+        return 0
+
     if args.cmd == "apply":
+        if not args.out_dir:
+            ap.error("apply needs --out")
         written: dict = {}
         paths = LD.apply_change_file(spark, args.tables, args.changes, args.out_dir, args.mode, metrics=written)
         for name in sorted(paths):
@@ -77,8 +101,12 @@ def main(argv: list[str] | None = None) -> int:
         return 0
 
     def t(name):
+        if store is not None and name in SO.TABLES:
+            return store.read(name)
         return spark.read.parquet(f"{args.tables.rstrip('/')}/{name}")
 
+    store = SO.CommitStore(spark, args.tables) if read_if_exists(spark, f"{args.tables.rstrip('/')}/versions") is not None else None
+
     if args.cmd in ("read", "list", "search"):
         from pyspark.sql import functions as F
 
@@ -86,7 +114,8 @@ def main(argv: list[str] | None = None) -> int:
 
         commits = t("commits")
         if args.cmd == "read":
-            out = L.read_record(commits, args.hash).withColumn("files_changed", F.to_json("files_changed"))
+            keyed = commits if store is None else store.lookup(spark.createDataFrame([(args.hash,)], "commit_hash string"))
+            out = L.read_record(keyed, args.hash).withColumn("files_changed", F.to_json("files_changed"))
         elif args.cmd == "list":
             out = L.list_by_repo(commits, args.repo, args.top)
         else:

@@ -89,6 +89,25 @@ def most_watched_overall(repos: DataFrame, n: int = S.TOP_WATCHED) -> DataFrame:
     return top_k(repos_by_tier(repos), "watch_count", "repo_name", n)
 
 
+def walk_tiers(by_tier: DataFrame, counts: DataFrame, n: int = S.TOP_WATCHED) -> tuple[DataFrame, list[str]]:
+    """Most watched overall from the written tier table (partitioned by tier) and
+    the tier counts, and the tiers that were read: tiers are disjoint ordered
+    ranges, so they are read from the top, one partition each, until ``n`` are
+    found. Tiers that the counts show to be empty are not read. The driver holds
+    at most ``n`` rows."""
+    if n < 1:
+        raise ValueError("n must be positive")
+    held = {r["watch_tier"] for r in counts.where("repo_count > 0").collect()}  # one row per tier at most
+    rows, read = [], []
+    for tier in reversed(S.TIER_ORDER):
+        if tier in held and len(rows) < n:
+            read.append(tier)
+            own = by_tier.where(F.col("watch_tier") == F.lit(tier)).select("watch_tier", "watch_count", "repo_name")
+            rows += own.orderBy(F.desc("watch_count"), "repo_name").limit(n - len(rows)).collect()
+    ranked = [(r["watch_tier"], r["watch_count"], r["repo_name"], k) for k, r in enumerate(rows, start=1)]
+    return by_tier.sparkSession.createDataFrame(ranked, "watch_tier string, watch_count bigint, repo_name string, rank bigint"), read
+
+
 def most_watched_per_tier(repos: DataFrame, n: int = S.TOP_WATCHED) -> DataFrame:
     """The top n of every tier at once, with the tier's display position."""
     ranked = top_k(repos_by_tier(repos), "watch_count", "repo_name", n, partition_by="watch_tier")

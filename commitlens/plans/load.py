@@ -2,8 +2,10 @@
 
 ``refresh`` rebuilds every table from the given input (repeatable: loading
 the same input twice gives the same tables). ``accumulate`` adds the input
-to a prior load: counters are summed, sets are unioned and records are
-upserted by key, so loading the same input twice doubles every counter.
+to a prior load: counters are summed, sets are unioned and commits are upserted
+by hash. The record tables (``repos``, ``licenses``, ``languages``) have the whole
+record as their key: a record that is there already is not added again. So loading
+the same input twice doubles every counter and leaves every other table as it is.
 
 Tables are written as parquet under ``out_dir/<table>``; each load writes to
 a new folder and never overwrites a folder it reads in the same plan.
@@ -154,8 +156,8 @@ def accumulate(spark: SparkSession, prior_dir: str, tables: dict[str, DataFrame]
                                    "left_anti").unionByName(new)
         elif name == "repos_by_tier":
             out[name] = prior.unionByName(new.select(*prior.columns)).distinct()
-        else:  # plain record collections append
-            out[name] = prior.unionByName(new)
+        else:  # the record is the key: what is there stays, new records are added once
+            out[name] = prior.unionByName(new.select(*prior.columns).subtract(prior))
     if not out:
         raise ValueError(f"nothing to load, and no table under {prior_dir}")
     return out
@@ -288,6 +290,20 @@ def load_from_files(
     )
 
 
+def read_changes(spark: SparkSession, changes_path: str) -> tuple[DataFrame, DataFrame]:
+    """(changes, line counts by outcome) of an NDJSON change file, which is
+    parsed once: the accepted changes are written with their outcomes observed."""
+    from commitlens import schemas as S
+    from commitlens.sources import ndjson as J
+
+    seen = Observation("change_lines")
+    classified = J.read_ndjson(spark, changes_path, S.CHANGES, ["op"]).drop("line_order")
+    path = f"{work_dir(spark, 'changes')}/accepted"
+    J.accepted(classified.observe(seen, *J.outcome_counts())).write.parquet(path)
+    counts = [(outcome, int(n)) for outcome, n in seen.get.items()]
+    return spark.read.schema(S.CHANGES).parquet(path), spark.createDataFrame(counts, "outcome string, line_count bigint")
+
+
 def apply_change_file(
     spark: SparkSession,
     tables_dir: str,
@@ -306,22 +322,20 @@ def apply_change_file(
     ``seq``, or sharing it with another, is ``invalid`` and not applied.
     ``sticky_repos`` keeps repositories in ``repos_loaded`` that lost all
     their commits. The old folder is only read, never overwritten."""
-    from commitlens import schemas as S
     from commitlens.operators import changes as CH
-    from commitlens.sources import ndjson as J
 
     tables_dir = tables_dir.rstrip("/")
     base = spark.read.parquet(f"{tables_dir}/commits")
-    classified = J.read_ndjson(spark, changes_path, S.CHANGES, ["op"])
-    batch = J.accepted(classified).drop("line_order")
+    batch, rejects = read_changes(spark, changes_path)
+    n = batch.count()
     # The sequenced changes are written once (they are the size of the
     # batch); the snapshot is finished from that table, and the derived
     # tables from the written snapshot, so no step recomputes an earlier one
     # and each written table cuts the lineage.
-    ops = CH.sequence_changes(base, batch, create_mode)
-    paths = write_tables({"change_log": ops, "change_rejects": J.reject_counts(classified)}, out_dir, metrics=metrics)
+    ops = CH.sequence_changes(base, batch, create_mode, n=n)
+    paths = write_tables({"change_log": ops, "change_rejects": rejects}, out_dir, metrics=metrics)
     log = spark.read.parquet(paths["change_log"])
-    snapshot_df, _ = CH.finalize_sequence(base, log)
+    snapshot_df, _ = CH.finalize_sequence(base, log, n)
     paths.update(write_tables(
         {"commits": snapshot_df, "change_status": log.select("seq", "op", "commit_hash", "status")},
         out_dir, metrics=metrics,

@@ -702,6 +702,43 @@ WITH o AS (SELECT CASE WHEN c_custkey % 5 IN (2, 4) THEN 'accepted' ELSE 'malfor
 d AS (SELECT * FROM (VALUES ('accepted'), ('blank'), ('malformed'), ('missing_key')) AS t(outcome))
 SELECT d.outcome, CAST(count(o.outcome) AS BIGINT) AS line_count FROM d LEFT JOIN o ON o.outcome = d.outcome GROUP BY d.outcome"""
 SQL["repos_int_forms"] = """
-SELECT c_name AS repo_name, CAST(CASE c_custkey % 6 WHEN 0 THEN c_custkey WHEN 1 THEN c_custkey * 100 WHEN 2 THEN 1
-    WHEN 3 THEN c_custkey * 1000 WHEN 4 THEN 0 ELSE c_custkey END AS BIGINT) AS watch_count, CAST(length(c_name) AS BIGINT) AS name_length
+SELECT c_name AS repo_name, CAST(CASE c_custkey % 8 WHEN 0 THEN c_custkey WHEN 1 THEN c_custkey * 100 WHEN 2 THEN 1
+    WHEN 3 THEN c_custkey * 1000 WHEN 4 THEN 0 WHEN 7 THEN -c_custkey ELSE c_custkey END AS BIGINT) AS watch_count, CAST(length(c_name) AS BIGINT) AS name_length
 FROM customer"""
+# no order value: the greatest record
+SQL["load_null_seq"] = SQL["commits_latest_by_hash"].replace(
+    "ORDER BY seq DESC", "ORDER BY CASE WHEN seq % 7 = 0 THEN seq END DESC NULLS LAST, repo_name DESC, author_name DESC, subject DESC, message DESC, files_changed DESC")
+SQL["accumulate_same_records"] = f"""
+WITH r AS ({REPOS_DOCS})
+SELECT 'repos' AS table_name, repo_name, CAST(watch_count AS VARCHAR) AS value FROM r
+UNION ALL SELECT 'licenses', 'doc/' || CAST(doc_id AS VARCHAR), source FROM documents WHERE source IS NOT NULL AND source <> ''"""
+SQL["change_touched_ranges"] = SQL["mixed_changes_snapshot"]
+SQL["change_bucketed_snapshot"] = SQL["mixed_changes_snapshot"]
+SQL["change_incremental_tables"] = f"""{_MIXED_FINAL}
+SELECT 'author_counts' AS table_name, repo_name, author_name AS key, CAST(count(*) AS VARCHAR) AS value FROM final GROUP BY repo_name, author_name
+UNION ALL SELECT 'commits_by_repo', repo_name, commit_hash, subject FROM final
+UNION ALL SELECT DISTINCT 'repos_loaded', repo_name, NULL, NULL FROM final"""
+SQL["top_contributors_maintained"] = f"""{_MIXED_FINAL},
+c AS (SELECT repo_name, author_name, CAST(count(*) AS BIGINT) AS commit_count FROM final GROUP BY ALL)
+SELECT repo_name, author_name, commit_count,
+       CAST(row_number() OVER (PARTITION BY repo_name ORDER BY commit_count DESC, author_name ASC) AS BIGINT) AS rank
+FROM c QUALIFY rank <= {S.TOP_CONTRIBUTORS}"""
+SQL["lookup_in_ranges"] = f"""WITH {COMMITS}
+SELECT {COMMIT_COLS} FROM commits WHERE commit_hash IN (SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'P')"""
+SQL["search_author_indexed"] = SQL["search_author"]
+SQL["most_watched_walk"] = SQL["most_watched_overall"]
+SQL["longest_names_by_counts"] = SQL["longest_names"]
+SQL["name_stats_after_changes"] = """
+WITH r AS (SELECT length(url) AS n, 1 AS c FROM pages
+  UNION ALL SELECT length(url), -1 FROM pages WHERE page_id % 4 = 1
+  UNION ALL SELECT length(url) + 5, 1 FROM pages WHERE page_id % 5 = 2),
+f AS (SELECT n, sum(c) AS c FROM r GROUP BY n HAVING sum(c) > 0)
+SELECT CAST(sum(n * c) AS DOUBLE) / CAST(sum(c) AS DOUBLE) AS avg_length, CAST(min(n) AS BIGINT) AS min_length,
+       CAST(max(n) AS BIGINT) AS max_length, CAST(sum(c) AS BIGINT) AS total FROM f HAVING sum(c) > 0"""
+SQL["stream_all_tables"] = f"""WITH {_VERSIONS.strip()},
+latest AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY commit_hash ORDER BY seq DESC) = 1),
+by_repo AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY repo_name, commit_hash ORDER BY seq DESC) = 1)
+SELECT 'author_counts' AS table_name, repo_name, author_name AS key, CAST(count(*) AS VARCHAR) AS value FROM v GROUP BY repo_name, author_name
+UNION ALL SELECT 'commits', repo_name, commit_hash, author_name FROM latest
+UNION ALL SELECT 'commits_by_repo', repo_name, commit_hash, author_name FROM by_repo
+UNION ALL SELECT DISTINCT 'repos_loaded', repo_name, NULL, NULL FROM v"""

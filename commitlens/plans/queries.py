@@ -14,17 +14,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commitlens import schemas as S
+from commitlens.operators import author_index as AI
 from commitlens.operators import changes as CH
 from commitlens.operators import derive as D
 from commitlens.operators import histograms as H
 from commitlens.operators import lookup as L
 from commitlens.operators import names as N
+from commitlens.plans import bucketed as BK
 from commitlens.plans import load as LD
 from commitlens.plans import reports as RP
+from commitlens.plans import store as SO
 from commitlens.sources import bindings as B
 from commitlens.sources import ndjson as J
 from commitlens.sources import normalise as NM
 from commitlens.streaming import counters as ST
+from commitlens.streaming import tables as STT
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -502,6 +506,102 @@ def q_repos_int_forms(spark, sf):
     return NM.normalise_repos(J.accepted(J.classify_ndjson(B.int_form_lines(spark, sf), S.RAW_REPO, ["repo_name"])))
 
 
+def q_load_null_seq(spark, sf):
+    """Versions whose seq is NULL for all but every seventh record: one whole record per hash."""
+    raw = B.commit_versions(spark, sf).withColumn("seq", F.when(F.col("seq") % 7 == 0, F.col("seq")))
+    return render_commits(_loaded(spark, "commits", raw_commits=raw))
+
+
+def q_accumulate_same_records(spark, sf):
+    """The same repositories and licenses loaded twice: each record once."""
+    base = LD.work_dir(spark, "same-records")
+    raw = {"raw_repos": B.raw_repos_documents(spark, sf), "raw_licenses": B.raw_licenses_documents(spark, sf)}
+    LD.load_all(spark, f"{base}/1", **raw)
+    paths = LD.load_all(spark, f"{base}/2", **raw, mode="accumulate", prior_dir=f"{base}/1")
+    repos = spark.read.parquet(paths["repos"]).select(F.lit("repos").alias("table_name"), "repo_name", F.col("watch_count").cast("string").alias("value"))
+    return repos.unionByName(spark.read.parquet(paths["licenses"]).select(F.lit("licenses").alias("table_name"), "repo_name", F.col("license").alias("value")))
+
+
+# --- the ranged store ----------------------------------------------------
+def _changed_store(spark, sf):
+    store = SO.CommitStore.create(spark, LD.work_dir(spark, "store"), B.commits_table(spark, sf), ranges=16)
+    store.apply(B.mixed_changes(spark, sf))
+    return store
+
+
+def q_change_touched_ranges(spark, sf):
+    return render_commits(_changed_store(spark, sf).read("commits"))
+
+
+def q_change_incremental_tables(spark, sf):
+    """The tables kept by deltas after a batch, one under the other."""
+    store = _changed_store(spark, sf)
+    none = F.lit(None).cast("string")
+    return store.read("author_counts").select(F.lit("author_counts").alias("table_name"), "repo_name", F.col("author_name").alias("key"), F.col("commit_count").cast("string").alias("value")) \
+        .unionByName(store.read("commits_by_repo").select(F.lit("commits_by_repo").alias("table_name"), "repo_name", F.col("commit_hash").alias("key"), F.col("subject").alias("value"))) \
+        .unionByName(store.repos_loaded().select(F.lit("repos_loaded").alias("table_name"), "repo_name", none.alias("key"), none.alias("value")))
+
+
+def q_top_contributors_maintained(spark, sf):
+    return _changed_store(spark, sf).top_contributors()
+
+
+def q_lookup_in_ranges(spark, sf):
+    """Asked-for keys, most of them absent, from the ranges they fall into."""
+    store = SO.CommitStore.create(spark, LD.work_dir(spark, "store"), B.commits_table(spark, sf), ranges=16)
+    return render_commits(store.lookup(B.lookup_keys(spark, sf)))
+
+
+def q_change_bucketed_snapshot(spark, sf):
+    """A large batch against a bucketed snapshot."""
+    base = BK.write_bucketed(B.commits_table(spark, sf), LD.work_dir(spark, "bucketed"), 16)
+    ops = CH.sequence_changes(base, B.mixed_changes(spark, sf))
+    return render_commits(CH.finalize_sequence(base, ops)[0])
+
+
+# --- kept indexes and counts ---------------------------------------------
+def q_search_author_indexed(spark, sf):
+    base = LD.work_dir(spark, "author-index")
+    B.commits_table(spark, sf).write.parquet(f"{base}/commits")
+    commits = spark.read.parquet(f"{base}/commits")
+    AI.write_index(commits, f"{base}/index")
+    return render_commits(AI.search_author(commits, f"{base}/index", AUTHOR_PATTERN))
+
+
+def q_most_watched_walk(spark, sf):
+    paths = LD.load_all(spark, LD.work_dir(spark, "tiers"), raw_repos=B.raw_repos_documents(spark, sf))
+    return H.walk_tiers(spark.read.parquet(paths["repos_by_tier"]), spark.read.parquet(paths["tier_counts"]))[0]
+
+
+def _length_counts_after(spark, sf):
+    """Name lengths after deletes and creates of repositories, by deltas."""
+    moves = NM.normalise_repos(B.repo_url_changes(spark, sf), keep=["sign"])
+    deltas = moves.groupBy("name_length").agg(F.sum("sign").cast("bigint").alias("repo_count"))
+    return CH.merge_counter_deltas(N.length_counts(_urls(spark, sf)), deltas, ["name_length"], "repo_count")
+
+
+def q_name_stats_after_changes(spark, sf):
+    return N.stats_of_lengths(_length_counts_after(spark, sf))
+
+
+def q_longest_names_by_counts(spark, sf):
+    return N.longest_by_counts(_urls(spark, sf), N.length_counts(_urls(spark, sf)))
+
+
+def q_stream_all_tables(spark, sf):
+    """All commit tables of one stream, one under the other."""
+    raw = B.commit_versions(spark, sf)
+    lines = raw.select(F.to_json(F.struct(*raw.columns)).alias("value"))
+    src, out, cp = ST.stage_lines(spark, lines, "stream-tables")
+    stream = STT.CommitStream(spark, out)
+    stream.run(src, cp, 4)
+    none = F.lit(None).cast("string")
+    return stream.read("author_counts").select(F.lit("author_counts").alias("table_name"), "repo_name", F.col("author_name").alias("key"), F.col("commit_count").cast("string").alias("value")) \
+        .unionByName(stream.read("commits").select(F.lit("commits").alias("table_name"), "repo_name", F.col("commit_hash").alias("key"), F.col("author_name").alias("value"))) \
+        .unionByName(stream.read("commits_by_repo").select(F.lit("commits_by_repo").alias("table_name"), "repo_name", F.col("commit_hash").alias("key"), F.col("author_name").alias("value"))) \
+        .unionByName(stream.read("repos_loaded").select(F.lit("repos_loaded").alias("table_name"), "repo_name", none.alias("key"), none.alias("value")))
+
+
 QUERIES: dict[str, Query] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }

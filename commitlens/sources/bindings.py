@@ -217,6 +217,16 @@ def repo_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def repo_url_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repositories that go (``sign`` -1: every fourth page's URL) and come (+1: a
+    longer URL of every fifth page)."""
+    p = table(spark, sf_dir, "pages")
+    none = F.lit(None).cast("string").alias("watch_count")
+    gone = p.where(F.col("page_id") % 4 == 1).select(F.col("url").alias("repo_name"), none, F.lit(-1).alias("sign"))
+    new = p.where(F.col("page_id") % 5 == 2).select(F.concat("url", F.lit("/tree")).alias("repo_name"), none, F.lit(1).alias("sign"))
+    return gone.unionByName(new)
+
+
 # ---------------------------------------------------------------------------
 # Licenses and languages.
 # ---------------------------------------------------------------------------
@@ -521,11 +531,13 @@ def trailing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def int_form_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repo lines whose watch count is a JSON fraction, exponent, boolean,
-    grouped or padded string, by the customer key."""
+    """Repo lines whose watch count is a JSON fraction (also one that rounding
+    would carry over), exponent, boolean, grouped or padded string, by the
+    customer key."""
     k = F.col("c_custkey").cast("string")
-    turn = F.col("c_custkey") % 6
+    turn = F.col("c_custkey") % 8
     count = (F.when(turn == 0, F.concat(k, F.lit(".9"))).when(turn == 1, F.concat(k, F.lit("e2"))).when(turn == 2, F.lit("true"))
-             .when(turn == 3, F.concat(F.lit('"'), k, F.lit('_000"'))).when(turn == 4, F.lit("false")).otherwise(F.concat(F.lit('" '), k, F.lit(' "'))))
+             .when(turn == 3, F.concat(F.lit('"'), k, F.lit('_000"'))).when(turn == 4, F.lit("false")).when(turn == 5, F.concat(F.lit('" '), k, F.lit(' "')))
+             .when(turn == 6, F.concat(k, F.lit(".99999999"))).otherwise(F.concat(F.lit("-"), k, F.lit(".9999999"))))
     line = F.concat(F.lit('{"repo_name":"'), F.col("c_name"), F.lit('","watch_count":'), count, F.lit("}"))
     return table(spark, sf_dir, "customer").select(line.alias("value"))

@@ -54,7 +54,9 @@ def text_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int
 class BatchLog:
     """The output of a stream: ``log/batch_id=N`` folders, ``snapshot/upto=N``
     folders that hold the reduced table of all batches up to N, and
-    ``marks/upto=N`` folders written after their snapshot is whole."""
+    ``marks/upto=N`` folders written after their snapshot is whole. Folders that
+    the snapshot before the last one covers are removed, so that a listing has
+    at most two snapshots and the batches since the older one."""
 
     def __init__(self, spark: SparkSession, out_dir: str, reduce: Callable[[DataFrame], DataFrame], compact_every: int = COMPACT_EVERY):
         self.spark, self.out_dir, self.reduce, self.compact_every = spark, out_dir.rstrip("/"), reduce, compact_every
@@ -85,10 +87,26 @@ class BatchLog:
             whole = self.reduce(self._rows(self._mark(before=batch_id), batch_id))
             whole.write.mode("overwrite").parquet(f"{self.out_dir}/snapshot/upto={batch_id}")
             self.spark.range(1).write.mode("overwrite").parquet(f"{self.out_dir}/marks/upto={batch_id}")
+            self._remove_before(self._mark(before=batch_id))
 
-    def read(self) -> DataFrame | None:
-        """The current table with ``batch_id``; None before any batch."""
-        rows = self._rows(self._mark())
+    def _remove_before(self, mark: int) -> None:
+        """Remove the batches that the snapshot at ``mark`` holds, and older snapshots."""
+        if mark < 0:
+            return
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for kind, name, last in (("log", "batch_id", mark), ("snapshot", "upto", mark - 1), ("marks", "upto", mark - 1)):
+            folder = jvm.org.apache.hadoop.fs.Path(f"{self.out_dir}/{kind}")
+            fs = folder.getFileSystem(conf)
+            for status in fs.listStatus(folder):
+                own = status.getPath()
+                key, _, value = own.getName().partition("=")
+                if key == name and value.isdigit() and int(value) <= last:
+                    fs.delete(own, True)
+
+    def read(self, upto: int | None = None) -> DataFrame | None:
+        """The current table with ``batch_id`` (or that after batch ``upto``, which
+        is no older than the last batch but one); None before any batch."""
+        rows = self._rows(self._mark(before=None if upto is None else upto + 1), upto)
         return None if rows is None else self.reduce(rows)
 
     def run(self, stream: DataFrame, mode: str, checkpoint_dir: str, prepare: Callable[[DataFrame, int], DataFrame]) -> None:

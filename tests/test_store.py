@@ -127,3 +127,18 @@ def test_bloom_filter_skips_absent_keys(spark, tmp_path):
         return leaf.metrics().apply("numOutputRows").value()
 
     assert rows_scanned("h17") > 0 and rows_scanned("h17x") == 0
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from commitlens.__main__ import main
+
+    commits_df(spark, 40).write.parquet(f"{tmp_path}/tables/commits")
+    (tmp_path / "changes.json").write_text('{"seq":1,"op":"update","commit_hash":"h3","field":"subject","value":"edited"}\n{"op":\n')
+    assert main(["store", "--tables", f"{tmp_path}/tables", "--out", f"{tmp_path}/store", "--ranges", "4"]) == 0
+    assert main(["apply", "--tables", f"{tmp_path}/store", "--changes", f"{tmp_path}/changes.json"]) == 0
+    out = capsys.readouterr().out
+    assert "version 1" in out and "updated" in out and "malformed" in out
+    assert main(["read", "--tables", f"{tmp_path}/store", "--hash", "h3"]) == 0
+    assert "edited" in capsys.readouterr().out
+    assert main(["report", "activity", "--tables", f"{tmp_path}/store", "--repo", "r1"]) == 0
+    assert "commit_count" in capsys.readouterr().out
