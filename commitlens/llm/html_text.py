@@ -4,19 +4,24 @@ Pass 1 parses each page and hashes its element subtrees (tag, class, id, text
 and children). Spark counts, per host, the pages each subtree is on: one row
 per page and distinct subtree, summed per task before the shuffle, so a host
 holding a third of all pages costs no more than its distinct subtrees.
-Subtrees on many pages of their host are its template. Pass 2 parses again,
-deletes them, and reads the text that is left.
-
-What counts as template: at least ``min_pages`` pages and ``min_share`` of the
-host's pages, or, on hosts of ``LARGE`` pages or more, a container that is on
-``GROWTH * (log10(pages) - 1)`` pages in different surroundings (the nearest
-subtree around it that could be a template itself), so that copies of a page
-don't make its text a template. Paragraphs and headings inside an article are never taken for
+Subtrees on many pages of their host may be its template. Pass 2 looks what else
+those pages say: copies of an article are on many pages too, but those pages say
+nothing of their own. A subtree that stands beside different texts is template.
+Pass 3 deletes the templates and reads the text that is left.
+
+What may be template: a subtree on at least ``min_pages`` pages and ``min_share``
+of the host's pages, or, on hosts of ``LARGE`` pages or more, a container that is
+on ``GROWTH * (log10(pages) - 1)`` pages in different surroundings (the nearest
+subtree around it that could be a template itself). It is template if, on hosts of
+any size, at least ``min_pages`` different texts stand beside it: the text of a
+page outside all subtrees that may be template, if it is ``OWN_SHARE`` of the
+page's text or more. What encloses the page's text is never a template. Paragraphs and headings inside an article are never taken for
 one, since articles quote and repeat each other; menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and reader comments go by
 their tag, role, class or id on any page, also where a host has few pages.
 
-The text: of the ``article`` elements, else of ``main``, else of the body; one
+The text: of the ``article`` elements (of several side by side the longest and
+those of ``LIKE`` its length: teasers of other articles are short), else of ``main``, else of the body; one
 block per block element, white space in a block as one space, blocks joined by
 an empty line.
 
@@ -41,6 +46,8 @@ from commitlens.llm.common import broadcast_if_small, materialise, table
 MIN_PAGES, MIN_SHARE = 5, 0.3
 #: Pages of a host from which surroundings count, and how many are needed: 30 of 100 pages, 60 of 1,000, 150 of 1,000,000.
 LARGE, GROWTH = 100, 30
+#: Share of a page's text that must be its own for the page to count, and of the longest article that others must have.
+OWN_SHARE, LIKE = 0.1, 0.25
 #: Most (host, subtree) rows whose hosts are broadcast; beyond it pages are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -227,16 +234,43 @@ def subtrees(source: str) -> dict[int, int | None]:
     return out
 
 
+def own_text(source: str, candidates: frozenset) -> tuple[list[int], int | None]:
+    """(the candidates on a page, the hash of what it says outside them); no hash
+    if that is too little to tell the page from a copy."""
+    root = parse(source) if source else Node("")
+    found, said = set(), []
+    todo: list = [root]
+    while todo:
+        n = todo.pop()
+        if isinstance(n, str):
+            said += n.split()
+        elif n.digest in candidates and n.countable():  # what recurs is not the page's own, also around its whole text
+            todo_in = [n]
+            while todo_in:  # candidates inside candidates stand beside the same text
+                x = todo_in.pop()
+                if x.digest in candidates and x.countable() and not x.encloses(root):
+                    found.add(x.digest)
+                todo_in += [c for c in x.children if isinstance(c, Node)]
+        elif not n.dropped(root):
+            todo += reversed(n.children)
+    own = sum(map(len, said))
+    return list(found), xxhash.xxh3_64_intdigest(" ".join(said)) - (1 << 63) if own and own >= OWN_SHARE * root.chars else None
+
+
 def main_text(source: str, template: frozenset) -> str:
     if not source:
         return ""
 
     def skip(n):
-        return n.dropped(root) or n.digest in template and n.countable()
+        return n.dropped(root) or n.digest in template and n.countable() and not n.encloses(root)
 
     root = parse(source)
     kept = list(nodes(root, skip))
-    mains = [n for n in kept if n.tag == "article" and not n.in_article] or [n for n in kept if n.tag == "main" or n.role == "main"][:1] or [root]
+    articles = [n for n in kept if n.tag == "article" and not n.in_article]
+    if len(articles) > 1:
+        longest = max(n.chars for n in articles)
+        articles = [n for n in articles if n.chars >= LIKE * longest]
+    mains = articles or [n for n in kept if n.tag == "main" or n.role == "main"][:1] or [root]
     out: list[str] = []
     todo: list = [x for n in reversed(mains) for x in (BREAK, n)]
     while todo:
@@ -273,21 +307,41 @@ def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html
     counts = materialise(hosted.mapInPandas(count, "host string, hash bigint, around bigint, n bigint").groupBy("host", "hash", "around").agg(F.sum("n").alias("n"))
                          .groupBy("host", "hash").agg(F.sum("n").alias("n"), F.count("around").alias("places")).where(f"hash IS NULL OR n >= {int(min_pages)}"), "subtrees")
     totals = counts.where("hash IS NULL").select("host", F.col("n").alias("pages"))
-    return counts.where("hash IS NOT NULL").join(totals, "host").where(
-        (F.col("n") >= min_share * F.col("pages")) | (F.col("pages") >= LARGE) & (F.col("places") >= F.greatest(F.lit(min_pages), GROWTH * (F.log10("pages") - 1)))).select("host", "hash")
+    candidates = materialise(counts.where("hash IS NOT NULL").join(totals, "host").where(
+        (F.col("n") >= min_share * F.col("pages")) | (F.col("pages") >= LARGE) & (F.col("places") >= F.greatest(F.lit(min_pages), GROWTH * (F.log10("pages") - 1)))).select("host", "hash"), "candidates")
+
+    def beside(batches):
+        for batch in batches:
+            rows = set()
+            for host, source, own in zip(batch["host"], batch["html"], batch["hashes"]):
+                found, text = own_text(source, frozenset(own.tolist()))
+                if text is not None:
+                    rows.update((host, h, text) for h in found)
+            yield pd.DataFrame(sorted(rows), columns=["host", "hash", "text"]).astype({"host": object, "hash": "int64", "text": "int64"})
+
+    texts = with_hashes(hosted, "host", candidates).where("hashes IS NOT NULL").mapInPandas(beside, "host string, hash bigint, text bigint").distinct()
+    return texts.groupBy("host", "hash").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_pages).select("host", "hash")
+
+
+def with_hashes(pages: DataFrame, host_col: str, found: DataFrame) -> DataFrame:
+    """``pages`` with ``hashes``, those found on their host (null: none). Bounded
+    per host: each is on a share of its pages, or in many places."""
+    by_host = found.groupBy("host").agg(F.collect_list("hash").alias("hashes")).withColumnRenamed("host", "of_host")
+    joined = pages.join(broadcast_if_small(by_host, found.count(), BROADCAST_ROWS), F.col(host_col) == F.col("of_host"), "left")
+    return joined.drop("of_host")
 
 
 def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """``pages`` with ``text``, the main text of each (an older one is replaced)."""
     found = materialise(site_templates(pages, url_col, html_col, min_pages, min_share), "templates")
-    by_host = found.groupBy("host").agg(F.collect_list("hash").alias("_template")).withColumnRenamed("host", "_host")  # bounded per host: each is on min_share of its pages, or in many places
-    keyed = pages.withColumn("_of_host", host_column(url_col))
-    joined = keyed.join(broadcast_if_small(by_host, found.count(), BROADCAST_ROWS), F.col("_of_host") == F.col("_host"), "left")
+    # the caller's columns in one struct, so that no name clashes
+    carried = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), host_column(url_col).alias("host"), F.col(f"`{html_col}`").alias("html"))
     read = F.pandas_udf(lambda sources, templates: pd.Series(
         [main_text(s or "", frozenset(t.tolist()) if t is not None else frozenset()) for s, t in zip(sources, templates)], dtype=object), "string")
-    return joined.withColumn("text", read(F.col(f"`{html_col}`"), F.col("_template"))).drop("_of_host", "_host", "_template")
+    done = with_hashes(carried, "host", found).select("row", read("html", "hashes").alias("read"))
+    return done.select(*[F.col("row").getField(c).alias(c) for c in pages.columns if c != "text"], F.col("read").alias("text"))
 
 
 def op6_html_text(spark, sf_dir: str) -> DataFrame:
-    read = extract_text(table(spark, sf_dir, "pages"))
+    read = extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return read.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))

@@ -82,3 +82,61 @@ def test_wrappers_stay():
         for inner in (f"<article>{long}</article>", f"<main>{long}</main>", f"<div>{long}</div>"):
             assert text(f"<body>{wrap}{inner}{side}<form><input>subscribe</form>{end}</body>") == want, (wrap, inner)
     assert text(f"<body><article>{long}</article><div id=comments>{'<p>a long comment </p>' * 90}</div></body>") == want
+
+
+def read_all(spark, rows):
+    return rows_of(H.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")), "page_id")
+
+
+def test_copies_of_a_text_on_a_small_host(spark):
+    """Print versions and session ids: the text is on many pages, beside nothing of their own."""
+    long = "<p>The first paragraph of the story that was told.</p><p>And the second one, which ends it.</p>"
+    want = "The first paragraph of the story that was told.\n\nAnd the second one, which ends it."
+    menu = "<div><ul><li>Home<li>Contact us</ul></div>"
+    for k, wrap in enumerate(("<div class=post>%s</div>", "<article><div class=entry>%s</div></article>", "<div><div>%s</div></div>", "<section>%s</section>", "%s")):
+        rows = [(i, f"http://h{k}.example/{i}", f"<body>{menu}{wrap % f'<p>Page {i} tells of something else, number {i}.</p>'}</body>") for i in range(7)]
+        rows += [(10 + i, f"http://h{k}.example/print?session={i}", f"<body>{menu}{wrap % long}<small>id {i}</small></body>") for i in range(5)]
+        got = read_all(spark, rows)
+        for i in range(5):
+            assert got[10 + i]["text"] in (want, f"{want}\n\nid {i}"), (wrap, got[10 + i]["text"])
+        assert all(got[i]["text"] == f"Page {i} tells of something else, number {i}." for i in range(7)), wrap
+
+
+def test_teasers_of_other_articles(spark):
+    main = "<article><h1>Title</h1>" + "<p>a paragraph of the article itself</p>" * 6 + "</article>"
+    page = f"<body>{main}<div><h2>Read next</h2><article><a>Another story</a></article><article><a>One more</a></article></div></body>"
+    assert text(page) == "Title" + "\n\na paragraph of the article itself" * 6
+
+
+def test_templates_against_brute_force(spark):
+    """Every subtree of every page, counted by plain Python."""
+    import collections
+    import random
+
+    rng = random.Random(5)
+    boxes = [f"<div><span>box {k} of the site</span><b>{k}</b></div>" for k in range(6)]
+    pages = [(i, f"http://s{i % 3}.example/{i}", "<body>" + "".join(rng.sample(boxes, rng.randint(0, 4))) + f"<p>page {rng.randrange(25)} says this and that</p></body>") for i in range(60)]
+    on, total = collections.defaultdict(set), collections.Counter()
+    for i, url, source in pages:
+        host = url.split("/")[2]
+        total[host] += 1
+        for h in H.subtrees(source):
+            on[host, h].add(i)
+    candidates = {k for k, v in on.items() if len(v) >= 5 and len(v) >= 0.3 * total[k[0]]}
+    want = set()
+    for host, h in candidates:
+        mine = frozenset(x for k, x in candidates if k == host)
+        texts = {H.own_text(source, mine)[1] for i, url, source in pages if i in on[host, h]}
+        if len(texts - {None}) >= 5:
+            want.add((host, h))
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    assert {tuple(r) for r in H.site_templates(df).collect()} == want and want
+
+
+def test_the_callers_own_column_names(spark):
+    names = ["_host", "_template", "_of_host", "of_host", "hashes", "row", "read", "host", "text"]
+    df = spark.createDataFrame([(1, "http://h/1", "<article>x</article>")], "page_id bigint, url string, html string").selectExpr("*", *[f"'mine' AS `{n}`" for n in names])
+    got = H.extract_text(df)
+    assert sorted(got.columns) == sorted(df.columns)
+    r = got.first()
+    assert r["text"] == "x" and all(r[n] == "mine" for n in names if n != "text")
