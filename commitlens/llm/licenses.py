@@ -234,12 +234,13 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
     near = up.join(broadcast_if_small(of_dir, of_dir.count(), BROADCAST_ROWS), "dir").groupBy("own_dir").agg(
         F.min(F.struct("up", "inherited_from", "dir_license")).alias("n")).select("own_dir", "n.inherited_from", "n.dir_license")
     near = materialise(near, "near")
-    out = files.withColumn("_path", path).withColumn("_dir", parent(path)) \
-        .join(broadcast_if_small(found.withColumnRenamed("path", "_path"), found.count(), BROADCAST_ROWS), "_path", "left") \
-        .join(broadcast_if_small(near.withColumnRenamed("own_dir", "_dir"), near.count(), BROADCAST_ROWS), "_dir", "left")
-    none = F.col("own_license").isNull()
-    return out.withColumn("license_file", F.coalesce("license_file", F.lit(False))).withColumn("license", F.coalesce("own_license", "dir_license")) \
-        .withColumn("inherited_from", F.when(none, F.col("inherited_from"))).select(*files.columns, *own_columns)
+    # the caller's columns in one struct, so that no name clashes
+    out = files.select(F.struct(*[F.col(f"`{c}`") for c in files.columns]).alias("row"), path.alias("path"), parent(path).alias("own_dir")) \
+        .join(broadcast_if_small(found, found.count(), BROADCAST_ROWS), "path", "left") \
+        .join(broadcast_if_small(near, near.count(), BROADCAST_ROWS), "own_dir", "left")
+    own = {"own_license": F.col("own_license"), "own_score": F.col("own_score"), "license_file": F.coalesce("license_file", F.lit(False)),
+           "license": F.coalesce("own_license", "dir_license"), "inherited_from": F.when(F.col("own_license").isNull(), F.col("inherited_from"))}
+    return out.select(*[F.col("row").getField(c).alias(c) for c in files.columns], *[own[c].alias(c) for c in own_columns])
 
 
 def op4_license_scan(spark, sf_dir: str) -> DataFrame:

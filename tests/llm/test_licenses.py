@@ -96,3 +96,13 @@ def test_whole_texts_and_wrapped_headers(spark):
     rows.append(("prose.txt", prose))
     got = {r.path: r.license for r in L.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
     assert got == want
+
+
+def test_the_callers_own_column_names(spark):
+    names = ["_dir", "_path", "dir_license", "own_dir", "dir", "key", "notice", "row", "named", "score"]
+    df = spark.createDataFrame([("a/LICENSE", MIT), ("a/x.py", "code"), (None, "code")], "path string, text string").selectExpr("*", *[f"'mine' AS `{n}`" for n in names])
+    out = L.scan_licenses(df)
+    assert out.columns[:len(df.columns)] == df.columns
+    got = {r["path"]: r for r in out.collect()}
+    assert got["a/x.py"]["license"] == "MIT" and got["a/x.py"]["inherited_from"] == "a/LICENSE" and got[None]["license"] is None
+    assert all(r[n] == "mine" for r in got.values() for n in names)
