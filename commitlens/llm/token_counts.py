@@ -8,6 +8,12 @@ so one pass answers totals, budgets and truncation points without encoding
 anything again. Words (the pieces of the tokenizer's split pattern) repeat,
 so their prefix counts are kept per task, in a table of bounded size.
 
+Stored counts. The count at every prefix of a text is stored as the differences
+from one prefix to the next, a byte each, compressed: most are 0 or 1, so they take
+a fraction of the text. Totals, truncation points and the count at any place are
+read from the stored column (:func:`answers`, :func:`truncation_point`,
+:func:`prefix_array`); ``op8_token_counts`` writes it once and asks it three questions.
+
 A prefix of a text is encoded as the library would encode it alone: its last
 word may be cut, a run of white space at its end is one word, a cut
 contraction or special string is ordinary text.
@@ -20,8 +26,10 @@ results; other columns pass through; an empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +38,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commitlens.llm.common import table
+from commitlens.llm.common import materialise, table
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -44,6 +52,7 @@ LATIN = re.compile(r"[\x00-\x1b\x20-\x84\x86-\x9f\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8
 _L, _S = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ", "\t-\r "
 LATIN_SPLIT = re.compile(rf" ?[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^{_S}{_L}0-9]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 BLANK = regex.compile(r"\p{White_Space}*")
+RUN = regex.compile(r"\p{White_Space}{2,}")
 CONTRACTIONS = ("'re", "'ve", "'ll")
 
 
@@ -62,17 +71,23 @@ def byte_letters() -> dict[str, int]:
 
 
 class Words(dict):
-    """Number of tokens of each word, by its text."""
+    """Of each word, the tokens more at each further character, as bytes (signed)."""
 
     def __init__(self, counter):
+        super().__init__()
         self.counter = counter
 
-    def __missing__(self, word: str) -> int:
-        n = self.counter.prefixes(word.encode())[-1]
+    def __missing__(self, word: str) -> bytes:
+        counts = self.counter.prefixes(word.encode("utf-8", "surrogatepass"))
+        if not word.isascii():
+            counts = [counts[0], *(counts[e] for e in itertools.accumulate(len(c.encode("utf-8", "surrogatepass")) for c in word))]
+        if word in CONTRACTIONS:
+            counts[2] = 2  # cut there, it is ordinary text
+        steps = struct.pack(f"{len(word)}b", *map(int.__sub__, counts[1:], counts))
         if len(self) >= KEEP_WORDS:
             self.clear()
-        self[word] = n
-        return n
+        self[word] = steps
+        return steps
 
 
 class TokenCounter:
@@ -136,53 +151,63 @@ class TokenCounter:
 
     def count(self, text: str) -> int:
         """Tokens of the whole text."""
-        special = 0
-        pieces = [text]
-        if self.special and self.special.search(text):
-            pieces = self.special.split(text)
-            special = len(pieces) - 1
-        return special + sum(sum(map(self.words.__getitem__, self.split(p))) for p in pieces)
+        return int(self.prefix_counts(text)[-1])
 
     def prefix_counts(self, text: str) -> np.ndarray:
         """Tokens of text[:0], text[:1], ... text."""
-        out = np.zeros(len(text) + 1, np.int32)
-        at = 0
-        cuts = [(m.start(), m.end()) for m in self.special.finditer(text)] if self.special else []
-        for start, end in [*cuts, (len(text), len(text))]:
-            self._plain(text, at, start, out)
-            for e in range(start + 1, end):  # a cut special string is ordinary text
-                from_word = max(at, start - self.longest)
-                while from_word > at and not (BLANK.match(text[from_word]).end() and not BLANK.match(text[from_word - 1]).end()):
-                    from_word -= 1
-                out[e] = out[from_word] + sum(map(self.words.__getitem__, self.split(text[from_word:e])))
-            if end > start:
-                out[end] = out[start] + 1
+        if not self.special or not self.special.search(text):
+            return self._plain(text)
+        out, at = [np.zeros(1, np.int64)], 0
+        for m in self.special.finditer(text):
+            start, end = m.span()
+            out.append(out[-1][-1] + self._plain(text[at:start])[1:])
+            out.append(self._cut_special(text, at, start, end, int(self._last(out))))
             at = end
+        out.append(self._last(out) + self._plain(text[at:])[1:])
+        return np.concatenate(out)
+
+    @staticmethod
+    def _last(parts: list) -> int:
+        return next(int(p[-1]) for p in reversed(parts) if len(p))
+
+    def _cut_special(self, text: str, at: int, start: int, end: int, total: int) -> np.ndarray:
+        """Counts up to each character of a special string, which is ordinary text
+        until it is whole: from the last word that can reach into it."""
+        from_word = max(at, start - self.longest)
+        while from_word > at and not (BLANK.match(text[from_word]).end() and not BLANK.match(text[from_word - 1]).end()):
+            from_word -= 1
+        before = total - int(self._plain(text[from_word:start])[-1])
+        return np.array([*(before + int(self._plain(text[from_word:e])[-1]) for e in range(start + 1, end)), total + 1], np.int64)
+
+    def _plain(self, text: str) -> np.ndarray:
+        """Counts of a text without special strings: those of its words, but a
+        prefix that ends in a run of white space has the run as one word."""
+        steps = b"".join(map(self.words.__getitem__, self.split(text)))
+        out = np.zeros(len(text) + 1, np.int64)
+        np.cumsum(np.frombuffer(steps, np.int8), dtype=np.int64, out=out[1:])
+        for m in RUN.finditer(text):
+            a, b = m.span()
+            out[a + 1:b + 1] = out[a] + np.cumsum(np.frombuffer(self.words[m[0]], np.int8), dtype=np.int64)
         return out
 
-    def _plain(self, text: str, start: int, end: int, out: np.ndarray) -> None:
-        """Fill ``out`` for the prefixes ending inside text[start:end]."""
-        at, run = start, None
-        total = int(out[start])
-        for word in self.split(text[start:end]):
-            blank = BLANK.match(word).end()
-            if blank and run is None:
-                run, run_total = at, total
-            counts = self.prefixes(word.encode())
-            ends = np.cumsum([len(c.encode()) for c in word])
-            own = total + np.array(counts, np.int32)[ends]
-            if word in CONTRACTIONS:
-                own[1] = total + 2
-            out[at + 1:at + len(word) + 1] = own
-            if blank:  # a prefix that ends in white space has the run as one word
-                whole = np.array(self.prefixes(text[run:at + blank].encode()), np.int32)
-                of_run = np.cumsum([len(c.encode()) for c in text[run:at + blank]])
-                out[run + 1:at + blank + 1] = run_total + whole[of_run]
-            if blank < len(word):
-                run = None
-            total += counts[-1]
-            at += len(word)
-        out[at] = total if run is None else out[at]
+
+def packed(counts: np.ndarray) -> bytes:
+    """Counts of all prefixes as compressed differences, of one byte if they fit."""
+    import zstandard
+
+    steps = np.diff(counts)
+    kind = "i1" if not len(steps) or -128 <= steps.min() and steps.max() < 128 else "<i8"
+    return kind[-1].encode() + zstandard.ZstdCompressor(level=1).compress(steps.astype(kind).tobytes())
+
+
+def counts_of(data: bytes) -> np.ndarray:
+    """The stored counts of text[:0], text[:1], ... text."""
+    import zstandard
+
+    steps = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), "i1" if data[:1] == b"1" else "<i8")
+    out = np.zeros(len(steps) + 1, np.int64)
+    np.cumsum(steps, dtype=np.int64, out=out[1:])
+    return out
 
 
 def token_count_column(text_col: str = "text", path: str | None = None):
@@ -198,15 +223,15 @@ def token_count_column(text_col: str = "text", path: str | None = None):
 
 
 def prefix_count_column(text_col: str = "text", path: str | None = None):
-    """Tokens of each prefix of the text, from the empty one to the whole."""
+    """The counts of all prefixes of the text, from the empty one to the whole, as stored (:func:`packed`)."""
     path = path or tokenizer_path()
 
     def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         counter = TokenCounter(path)
         for texts in parts:
-            yield texts.map(counter.prefix_counts)
+            yield pd.Series([packed(counter.prefix_counts(t)) for t in texts], dtype=object)
 
-    return F.pandas_udf(count, "array<int>")(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    return F.pandas_udf(count, "binary")(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
 
 
 def with_prefix_counts(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -214,11 +239,31 @@ def with_prefix_counts(docs: DataFrame, text_col: str = "text", path: str | None
     return docs.withColumn("prefix_tokens", prefix_count_column(text_col, path))
 
 
-def truncation_point(budget, prefix_col: str = "prefix_tokens"):
-    """Characters of the longest prefix of at most ``budget`` tokens, from the
-    stored counts."""
-    fits = F.transform(prefix_col, lambda n, i: F.when(n <= budget, i))
-    return F.array_max(fits)
+def _asked(question, prefix_col: str, kind: str):
+    return F.pandas_udf(lambda stored: pd.Series([None if d is None else question(counts_of(d)) for d in stored], dtype=object), kind)(F.col(f"`{prefix_col}`"))
+
+
+def prefix_array(prefix_col: str = "prefix_tokens"):
+    """The stored counts as an array."""
+    return _asked(lambda c: c.tolist(), prefix_col, "array<bigint>")
+
+
+def answers(budget: int, prefix_col: str = "prefix_tokens"):
+    """(n_tokens, truncate_at): tokens of the whole text, and characters of the
+    longest prefix of at most ``budget`` tokens, read from the stored counts."""
+    def ask(stored: pd.Series) -> pd.DataFrame:
+        rows = []
+        for d in stored:
+            c = counts_of(d)
+            rows.append((int(c[-1]), int(np.flatnonzero(c <= budget)[-1])))
+        return pd.DataFrame(rows, columns=["n_tokens", "truncate_at"])
+
+    return F.pandas_udf(ask, "n_tokens bigint, truncate_at bigint")(F.col(f"`{prefix_col}`"))
+
+
+def truncation_point(budget: int, prefix_col: str = "prefix_tokens"):
+    """Characters of the longest prefix of at most ``budget`` tokens."""
+    return answers(budget, prefix_col)["truncate_at"]
 
 
 def truncate(docs: DataFrame, budget: int, text_col: str = "text", prefix_col: str = "prefix_tokens") -> DataFrame:
@@ -227,6 +272,9 @@ def truncate(docs: DataFrame, budget: int, text_col: str = "text", prefix_col: s
 
 
 def op8_token_counts(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    counted = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), token_count_column("text").alias("n_tokens"))
-    return counted.withColumn("over_limit", F.col("n_tokens") > LIMIT)
+    """From the stored counts: the total, whether it is over the limit, and where
+    the text would be cut."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"))
+    stored = materialise(with_prefix_counts(docs).drop("text"), "prefix-counts")
+    asked = stored.select("doc_id", "n_bytes", answers(LIMIT).alias("of"))
+    return asked.select("doc_id", "n_bytes", "of.n_tokens", (F.col("of.n_tokens") > LIMIT).alias("over_limit"), "of.truncate_at")

@@ -28,6 +28,9 @@ def test_query_matches_the_library(spark, documents):
     got = rows_of(C.op8_token_counts(spark, SF), "doc_id")
     for d in documents.collect():
         n = count(d.text or "")
+        whole = d.text or ""
+        cut = got[d.doc_id]["truncate_at"]
+        assert cut == len(whole) if n <= 1024 else count(whole[:cut]) <= 1024 < count(whole[:cut + 1])
         assert (got[d.doc_id]["n_bytes"], got[d.doc_id]["n_tokens"], got[d.doc_id]["over_limit"]) == (len((d.text or "").encode()), n, n > 1024)
 
 
@@ -41,6 +44,17 @@ def test_every_prefix_matches_the_library(counter):
         assert counter.prefix_counts(t).tolist() == [count(t[:i]) for i in range(len(t) + 1)], t
 
 
+def test_stored_counts(spark, counter):
+    rows = [*texts(40, 30, 5), "", "a" * 3000, " " * 400 + "x" + "\n" * 300 + " y", "x " * 5000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "id int, text string")
+    got = rows_of(C.with_prefix_counts(df).withColumn("all", C.prefix_array()), "id")
+    for i, t in enumerate(rows):
+        assert got[i]["all"] == counter.prefix_counts(t).tolist() and got[i]["all"][-1] == count(t)
+    assert len(got[len(rows) - 1]["prefix_tokens"]) < len(rows[-1]) / 4
+    far = [0, 500, -3, 5]
+    assert C.counts_of(C.packed(__import__("numpy").array(far))).tolist() == far
+
+
 def test_truncation(spark, counter):
     rows = texts(30, 40, 3) + ["", "plain words and more of them"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "id int, text string")
@@ -54,5 +68,5 @@ def test_odd_rows(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, prefix_tokens string")
     got = [(r.doc_id, r.text, r.n) for r in df.withColumn("n", C.token_count_column()).collect()]
     assert len(got) == len(rows) and all(n == count(t or "") for _, t, n in got)
-    assert C.with_prefix_counts(df.where("doc_id = 1")).first().prefix_tokens == [0]
+    assert C.with_prefix_counts(df.where("doc_id = 1")).select(C.prefix_array()).first()[0] == [0]
     assert C.with_prefix_counts(df.limit(0)).collect() == []
