@@ -335,3 +335,58 @@ def op12_conversation_repair(spark, sf_dir: str) -> DataFrame:
     return audited.join(done, F.col("id").eqNullSafe(F.col("of")), "left").select(
         F.col("id").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
         F.coalesce("digest", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+#: DuckDB: the same states row by row, audits as whole strings.
+OP12_SQL = r"""
+WITH RECURSIVE steps AS (SELECT n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v
+  FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS n)),
+crcs AS (SELECT list(v ORDER BY n) AS t FROM steps),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+kinds AS (
+  SELECT keyed.*, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(k) + 1), lambda i: CAST(ascii(substr(k, i, 1)) AS BIGINT))),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 20 AS kind FROM keyed, crcs),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM kinds WHERE kind <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, substr(sha256(CAST(length(role) AS VARCHAR) || ':' || role || text), 1, 32)) AS pos,
+         rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body, substr(role, 1, 1) AS ini FROM damaged),
+flagged AS (
+  SELECT *, body = '' AS blank, body <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS duplicate,
+         lag(ini) OVER (PARTITION BY conv_id ORDER BY pos) || ini AS pair FROM placed),
+rows_ AS (SELECT *, NOT blank AND NOT duplicate AND right(body, 1) NOT IN ('.', '!', '?') AS cut, blank OR duplicate AS must FROM flagged),
+walk AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS pos, {'c': CAST(0 AS BIGINT), 't': ''} AS e, CAST(NULL AS STRUCT(c BIGINT, t VARCHAR)) AS s,
+         {'c': CAST(2 AS BIGINT), 't': 'I'} AS u, {'c': CAST(4 AS BIGINT), 't': 'II'} AS a FROM (SELECT DISTINCT conv_id FROM rows_)
+  UNION ALL
+  SELECT conv_id, pos, e1, s1, u3, a2 FROM (SELECT *, list_sort([u2, {'c': a2.c + 2, 't': a2.t || 'I'}])[1] AS u3 FROM (
+    SELECT *, list_sort(list_filter([a1, {'c': u2.c + 2, 't': u2.t || 'I'}], lambda x: x.c IS NOT NULL))[1] AS a2 FROM (
+      SELECT *, list_sort(list_filter([u1, {'c': e1.c + 2, 't': e1.t || 'I'}, {'c': s1.c + 2, 't': s1.t || 'I'}, {'c': a1.c + 2, 't': a1.t || 'I'}], lambda x: x.c IS NOT NULL))[1] AS u2 FROM (
+        SELECT w.conv_id, r.pos, {'c': e.c + 3, 't': e.t || 'D'} AS e1,
+          list_sort(list_filter([{'c': s.c + 3, 't': s.t || 'D'}, {'c': CASE WHEN NOT must AND ini = 's' THEN e.c + cut::INT END, 't': e.t || 'K'}], lambda x: x.c IS NOT NULL))[1] AS s1,
+          list_sort(list_filter([{'c': u.c + 3, 't': u.t || 'D'},
+            {'c': CASE WHEN NOT must AND ini = 'u' THEN e.c + cut::INT END, 't': e.t || 'K'}, {'c': CASE WHEN NOT must AND ini = 'u' THEN s.c + cut::INT END, 't': s.t || 'K'},
+            {'c': CASE WHEN NOT must AND ini = 'u' THEN a.c + cut::INT END, 't': a.t || 'K'}, {'c': CASE WHEN NOT must THEN e.c + 2 + cut::INT END, 't': e.t || 'R'},
+            {'c': CASE WHEN NOT must THEN s.c + 2 + cut::INT END, 't': s.t || 'R'}, {'c': CASE WHEN NOT must THEN a.c + 2 + cut::INT END, 't': a.t || 'R'}], lambda x: x.c IS NOT NULL))[1] AS u1,
+          list_sort(list_filter([{'c': a.c + 3, 't': a.t || 'D'}, {'c': CASE WHEN NOT must AND ini = 'a' THEN u.c + cut::INT END, 't': u.t || 'K'},
+            {'c': CASE WHEN NOT must THEN u.c + 2 + cut::INT END, 't': u.t || 'R'}], lambda x: x.c IS NOT NULL))[1] AS a1
+        FROM walk w JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.pos = w.pos + 1))))),
+audits AS (SELECT conv_id, list_sort([e, a])[1] AS x FROM walk QUALIFY pos = max(pos) OVER (PARTITION BY conv_id)),
+edits AS (SELECT conv_id, i, substr(x.t, i, 1) AS edit, length(replace(substr(x.t, 1, i), 'I', '')) AS pos FROM (SELECT conv_id, x, unnest(range(1, length(x.t) + 1)) AS i FROM audits)),
+kept AS (
+  SELECT d.conv_id, edit, CASE WHEN edit = 'I' THEN '' ELSE text END AS text, r.role, ini, row_number() OVER (PARTITION BY d.conv_id ORDER BY i) AS k
+  FROM edits d LEFT JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM d.conv_id AND r.pos = d.pos AND edit <> 'I' WHERE edit <> 'D'),
+fixed AS (
+  SELECT *, CASE WHEN edit = 'K' THEN role WHEN (k - first_value(CASE WHEN edit = 'K' AND ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY k)) % 2 = 1 THEN 'user' ELSE 'assistant' END AS r FROM kept),
+digests AS (SELECT conv_id, sha256(string_agg(r || ':' || text, chr(10) ORDER BY k)) AS d FROM fixed GROUP BY conv_id),
+sums AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(blank::INT) AS blank, sum(duplicate::INT) AS duplicate, sum(cut::INT) AS truncated,
+         count(*) FILTER (WHERE pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM rows_ GROUP BY conv_id)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(x.c, 0) AS BIGINT) AS cost, coalesce(x.t, '') AS audit,
+       coalesce(d, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN sums ON sums.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN audits ON audits.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN digests ON digests.conv_id IS NOT DISTINCT FROM o.conv_id"""

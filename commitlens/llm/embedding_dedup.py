@@ -425,3 +425,12 @@ def keep_one(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
 def op13_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     done = link_vectors(table(spark, sf_dir, "embeddings"))
     return done.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+#: DuckDB: all pairs.
+OP13_SQL = r"""
+WITH RECURSIVE v AS (SELECT vec_id, max(CAST(embedding AS DOUBLE[])) AS e FROM embeddings WHERE vec_id IS NOT NULL GROUP BY vec_id),
+ok AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS id, vec_id AS c FROM v UNION SELECT id, b FROM reach JOIN links ON c = a)
+SELECT id AS vec_id, CAST((SELECT count(*) FROM links WHERE a = id) AS BIGINT) AS n_links, min(c) AS component_id, min(c) = id AS kept FROM reach GROUP BY id"""

@@ -26,4 +26,7 @@ QUERIES = {
 SQL = {
     "op3_decontaminate": decontaminate.OP3_SQL,
     "op5_warc": warc.OP5_SQL,
+    "op11_prefix_trie": prefix_trie.OP11_SQL,
+    "op12_conversation_repair": conversation_repair.OP12_SQL,
+    "op13_embedding_dedup": embedding_dedup.OP13_SQL,
 }
