@@ -4,7 +4,13 @@ secrets, tokens.
 Each stage is written as Parquet under the shared folder and reread as the next
 one's input, so a lost executor costs its own tasks only. The first four
 return the columns of documents: rows go, and secrets are replaced in the
-text. The last one adds the token ids and the text they decode to.
+text. The last one returns each document's id, language and source with its token
+ids, their number and whether they decode to the text.
+
+Edge cases. A null or empty text has no words, so the quality rules reject it;
+texts of any length are processed whole; of repeated rows, as of near duplicates,
+one id stays, with all rows of that id; an empty table gives no rows. Extra columns
+pass through the first four stages, whatever their names; the last returns its own.
 """
 
 from __future__ import annotations
