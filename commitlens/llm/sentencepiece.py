@@ -5,17 +5,17 @@ mark before them, line breaks, and within words at neighbouring characters that
 stand together in no piece. The distinct units of each batch of texts go through
 Spark:
 
-1. shuffle by a hash of the unit, so that a unit is looked at once in the corpus;
+1. shuffle by a hash of the unit, so that a unit is looked at once in the corpus
+   (a batch sends its units to each part as one row);
 2. explode its substrings of two characters up to the longest piece;
 3. equi-join them to the piece table (broadcast: its size is that of the
    vocabulary file, whatever the corpus);
 4. group the edges by unit (the same partitioning, no further shuffle);
 5. fold the best path with ``aggregate``;
-6. join the paths back to the batches that asked for the unit, still without a
-   shuffle. A unit is asked for at most once by a batch, so the largest key has a
-   row per batch.
+6. give the paths to the rows that asked for them, a part at a time, still
+   without a shuffle.
 
-The paths go back to their batch, packed per task and batch; the batch itself
+The paths go back to their batch, packed per part and batch; the batch itself
 travels as one compressed row and the two meet by a hash of its texts. A batch
 holds at most ``BATCH_BYTES`` of text (or one longer document). The two scans
 must see the same rows in the same order: an input that isn't deterministic has to
@@ -44,6 +44,7 @@ no rows. Unknown or null ids decode to nothing.
 from __future__ import annotations
 
 import re
+import zlib
 from itertools import chain
 
 import numpy as np
@@ -59,8 +60,10 @@ from commitlens.llm.common import table
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 MAX_UNIT = 48
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 NEVER = 2_147_483_647
+#: Lists of ids decoded at once.
+AT_ONCE = 256
 
 
 def model_path(name: str = MODEL) -> str:
@@ -133,35 +136,44 @@ class Pieces:
     def rows(self) -> list[tuple]:
         return [(n, self.rank[n], self.ids[n]) for n in self.sides]
 
-    def cut(self, names: list[str]) -> list[list[str]]:
-        """Each unit cut where two characters stand together in no piece."""
-        if not names:
-            return []
+    def borders(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(characters, borders) of words one after the other: the ends of words,
+        and where within a word two characters stand together in no piece. Words
+        of several white space marks are not cut."""
         points = _points("".join(names))
         pairs = _pairs(points)
-        at = np.searchsorted(self.pairs, pairs)
-        apart = self.pairs[np.minimum(at, len(self.pairs) - 1)] != pairs
-        ends = np.cumsum(np.fromiter(map(len, names), np.int64, len(names)))
-        apart[ends[:-1] - 1] = True  # between units
-        borders = [0, *(np.flatnonzero(apart) + 1).tolist(), len(points)]
-        text = "".join(names)
-        parts = [text[i:j] for i, j in zip(borders, borders[1:])]
-        firsts = np.searchsorted(borders, np.concatenate(([0], ends))).tolist()
-        return [parts[i:j] for i, j in zip(firsts, firsts[1:])]
+        apart = self.pairs[np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)] != pairs
+        del pairs
+        lengths = np.fromiter(map(len, names), np.int64, len(names))
+        ends = np.cumsum(lengths)
+        marks = np.array([i for i, u in enumerate(names) if u.startswith(2 * MARK)], np.int64)
+        for i in marks.tolist():
+            apart[ends[i] - lengths[i]:ends[i] - 1] = False
+        apart[ends[:-1] - 1] = True
+        return points, np.concatenate(([0], np.flatnonzero(apart) + 1, [len(points)]))
 
     def character(self, c: str) -> list[int]:
         return [self.ids[c]] if c in self.ids else [self.bytes[b] for b in c.encode()]
 
-    def spell(self, unit: str, borders: int, path) -> list[int]:
-        """Ids of a unit from the borders that are left and the pieces between them."""
-        out, at, rest = [], 0, iter(path)
-        while at < len(unit):
-            step = 1
-            while not borders >> (at + step) & 1:
-                step += 1
-            out += self.character(unit[at]) if step == 1 else [next(rest)]
-            at += step
-        return out
+    def spell(self, points: np.ndarray, lengths: np.ndarray, borders: np.ndarray, paths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids per unit) of units one after the other, from the borders that
+        are left in each and the pieces of two characters or more between them, in order."""
+        unit = np.repeat(np.arange(len(lengths)), lengths)
+        place = np.arange(len(points)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        starts = np.flatnonzero(borders[unit] >> place & 1)
+        long = np.diff(np.append(starts, len(points))) > 1
+        own, at = np.unique(points[starts[~long]], return_inverse=True)
+        single = [self.character(chr(c)) for c in own.tolist()]
+        n = np.ones(len(starts), np.int64)
+        n[~long] = np.fromiter(map(len, single), np.int64, len(single))[at]
+        first = np.cumsum(n) - n
+        out = np.empty(int(n.sum()), np.int32)
+        out[first[long]] = paths
+        flat, size = np.fromiter(chain.from_iterable(single), np.int32), n[~long]
+        begins = np.cumsum([0, *map(len, single)])[:-1]
+        step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        out[np.repeat(first[~long], size) + step] = flat[np.repeat(begins[at], size) + step] if len(flat) else 0
+        return out, np.bincount(unit[starts], n, len(lengths)).astype(np.int64)
 
     def consistent(self, unit: str, a: int, j: int, e: int) -> bool:
         """Whether the pieces unit[a:j] and unit[j:e] can be adjacent."""
@@ -223,9 +235,9 @@ def batches_of(rows, text_col: str, most: int = BATCH_BYTES):
     """Arrow tables of at most ``most`` bytes of text (or one row), in order."""
     held, size = [], 0
     for batch in rows:
-        lengths = np.fromiter((len(t) if t is not None else 0 for t in batch.column(text_col).cast(pa.binary()).to_pylist()), np.int64, len(batch))
+        lengths = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_pylist()
         start = 0
-        for i, n in enumerate(lengths.tolist()):
+        for i, n in enumerate(lengths):
             if size and size + n > most:
                 held.append(batch.slice(start, i - start))
                 yield pa.Table.from_batches(held)
@@ -240,19 +252,19 @@ def _keyed(rows, text_col):
     """(key, table) for the batches of a partition. The key is a hash of the
     texts, so the two scans agree on it wherever their tasks run."""
     for batch in batches_of(rows, text_col):
-        texts = "\0".join(t or "" for t in batch[text_col].to_pylist())
-        yield xxhash.xxh3_64_intdigest(texts.encode()) - (1 << 63), batch
-
-
-def distinct_units(texts) -> dict[str, int]:
-    """Each unit and its number, in order of appearance."""
-    out: dict[str, int] = {}
-    for t in texts:
-        if t:
-            for u in units(t):
-                if u not in out:
-                    out[u] = len(out)
-    return out
+        state = xxhash.xxh3_64()
+        for t in batch[text_col].to_pylist():
+            state.update((t or "").encode("utf-8", "surrogatepass"))
+            state.update(b"\0")
+        yield state.intdigest() - (1 << 63), batch
+
+
+class Numbers(dict):
+    """Numbers of things in order of appearance."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
 
 
 def in_lattice(unit: str) -> bool:
@@ -260,105 +272,128 @@ def in_lattice(unit: str) -> bool:
 
 
 def lattice(names: DataFrame, pieces: Pieces) -> DataFrame:
-    """(hash, unit, borders, path) of distinct units (hash, unit), partitioned by
-    the hash: the borders that are left, as bits, and the pieces of two
-    characters or more in order. Units without any such edge have no row."""
+    """(part, unit, borders, path) of distinct units (part, unit) that are
+    partitioned by ``part``: the borders that are left, as bits, and the pieces of
+    two characters or more in order. Units without any such edge have no row."""
     table_ = F.broadcast(names.sparkSession.createDataFrame(pieces.rows(), "piece string, rank bigint, piece_id bigint"))
     # substring k: by its end, then longest first
     most = f"least({pieces.longest - 1}, length(unit) - 1)"
-    parts = names.select("hash", "unit", F.expr(f"explode(sequence(0, (length(unit) - 1) * {most} - 1))").alias("k")) \
+    # the rows of a unit come in the order of its number, so the grouping finds them sorted
+    parts = names.withColumn("id", F.monotonically_increasing_id()).select("id", "part", "unit", F.expr(f"explode(sequence(0, (length(unit) - 1) * {most} - 1))").alias("k")) \
         .withColumn("e", F.expr(f"cast(2 + k div {most} AS int)")).withColumn("n", F.expr(f"cast({most} + 1 - k % {most} AS int)")).where("n <= e") \
         .withColumn("sub", F.expr("substring(unit, e - n + 1, n)"))
     # an edge as one number, in order of rank and start: rank, start, end, piece
     edge = F.expr("shiftleft(rank, 32) + shiftleft(cast(e - n AS bigint), 26) + shiftleft(cast(e AS bigint), 20) + piece_id")
-    edges = parts.join(table_, F.col("sub") == F.col("piece")).select("hash", "unit", edge.alias("edge")) \
-        .groupBy("hash", "unit").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    edges = parts.join(table_, F.col("sub") == F.col("piece")).select("id", "part", "unit", edge.alias("edge")) \
+        .groupBy("id", "part", "unit").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
     start, end, one = "cast(shiftright(x, 26) & 63 AS int)", "cast(shiftright(x, 20) & 63 AS int)", "cast(1 AS bigint)"
     ends = f"(shiftleft({one}, {start}) | shiftleft({one}, {end}))"
     inside = f"(shiftleft({one}, {end}) - shiftleft(cast(2 AS bigint), {start}))"
     folded = edges.withColumn("borders", F.expr(
-        f"aggregate(edges, shiftleft({one}, length(unit) + 1) - 1, (b, x) -> if(bit_count(b & {inside}) = 1 AND (b & {ends}) = {ends}, b & ~{inside}, b))"))
-    kept = f"filter(edges, x -> (borders & {inside}) = 0 AND (borders & {ends}) = {ends})"
+        f"aggregate(edges, shiftleft({one}, length(unit) + 1) - 1, (b, x) -> if((b & {ends}) = {ends} AND bit_count(b & {inside}) = 1, b & ~{inside}, b))"))
+    kept = f"filter(edges, x -> (borders & {ends}) = {ends} AND (borders & {inside}) = 0)"
     path = f"transform(array_sort(transform({kept}, x -> shiftleft(shiftright(x, 26) & 63, 20) + (x & 1048575))), x -> cast(x & 1048575 AS int))"
-    return folded.select("hash", "unit", "borders", F.expr(path).alias("path"))
+    return folded.select("part", "unit", "borders", F.expr(path).alias("path"))
 
 
-def lattice_paths(asked: DataFrame, pieces: Pieces) -> DataFrame:
-    """``asked`` (batch, number, unit) with borders and path, null without an edge."""
-    partitions = 2 * int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = asked.withColumn("hash", F.xxhash64("unit")).repartition(partitions, "hash")
-    found = lattice(own.select("hash", "unit").distinct(), pieces)
-    return own.join(found, ["hash", "unit"], "left").select("batch", "number", "borders", "path")
+def shuffle_parts(df: DataFrame) -> int:
+    return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def pack_paths(rows):
-    """One compressed row per batch from the units of a task: their numbers,
-    borders, the lengths of their paths, and the paths."""
+PACKED = "batch bigint, part int, data binary"
+
+
+def lattice_paths(asked: DataFrame, pieces: Pieces) -> DataFrame:
+    """(batch, part, data) for each row of ``asked`` (part, batch, units: text
+    joined by line breaks): the packed paths of its units, in order. Both uses of
+    the shuffled table read all its columns, filtered alike, so Spark shuffles it
+    once; a part, whose size the number of partitions sets, meets its paths in one task."""
+    own = asked.where("part IS NOT NULL AND batch IS NOT NULL AND units IS NOT NULL").repartition(shuffle_parts(asked), "part")
+    names = own.select("part", "batch", F.explode(F.split("units", "\n")).alias("unit")).groupBy("part", "unit").agg(F.max("batch").alias("of")).where("of IS NOT NULL")
+    found = lattice(names.select("part", "unit"), pieces).withColumnRenamed("part", "of_part")
+    return own.groupBy("part").cogroup(found.groupBy("of_part")).applyInArrow(pack_paths, PACKED)
+
+
+def pack_paths(asked: pa.Table, found: pa.Table) -> pa.Table:
+    """Per batch of a part: borders of its units in order (-1: all), the lengths
+    of their paths, and the paths."""
     import zstandard
 
-    batches, numbers, borders, lengths, pieces = [], [], [], [], []
-    for batch in rows:
-        paths = batch["path"]
-        batches.append(batch["batch"].to_numpy())
-        numbers.append(batch["number"].to_numpy())
-        borders.append(batch["borders"].fill_null(-1).to_numpy())
-        lengths.append(pc.fill_null(pc.list_value_length(paths), 0).to_numpy())
-        pieces.append(paths.flatten().to_numpy())
-    if not batches:
-        return
-    batches, numbers, borders, lengths, pieces = map(np.concatenate, (batches, numbers, borders, lengths, pieces))
-    starts = np.cumsum(lengths, dtype=np.int64) - lengths
-    order = np.lexsort((numbers, batches))
-    cuts = np.flatnonzero(np.diff(batches[order])) + 1
-    for own in np.split(order, cuts) if len(order) else ():
+    if not len(asked):
+        return pa.Table.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.binary())], ["batch", "part", "data"])
+    at = dict(zip(found["unit"].to_pylist(), range(len(found))))
+    paths = found["path"].combine_chunks()
+    borders = np.append(found["borders"].to_numpy(), -1)  # the last for units without an edge
+    lengths = np.append(pc.list_value_length(paths).to_numpy(zero_copy_only=False), 0).astype(np.int64)
+    starts, pieces = np.cumsum(lengths) - lengths, paths.flatten().to_numpy()
+    packer, out = zstandard.ZstdCompressor(level=3), []
+    for units_ in asked["units"].to_pylist():
+        own = np.fromiter((at.get(u, -1) for u in units_.split("\n")), np.int64)
         n = lengths[own]
         ids = pieces[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[own], n)]
-        arrays = (np.diff(numbers[own], prepend=0).astype("<i4"), borders[own].astype("<i8"), n.astype("<u1"), ids.astype("<i4"))
-        data = len(own).to_bytes(8, "little") + b"".join(a.tobytes() for a in arrays)
-        yield pa.RecordBatch.from_arrays([pa.array(batches[own[:1]], pa.int64()), pa.array([False]), pa.array([zstandard.ZstdCompressor(level=1).compress(data)], pa.binary())],
-                                         ["batch", "texts", "data"])
+        arrays = (borders[own].astype("<i8"), n.astype("<u1"), ids.astype("<i4"))
+        # byte planes: like bytes side by side
+        out.append(packer.compress(len(own).to_bytes(8, "little") + b"".join(a.view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays)))
+    return pa.Table.from_arrays([asked["batch"], asked["part"], pa.array(out, pa.binary())], ["batch", "part", "data"])
 
 
-def unpack_paths(data: bytes):
-    """(number, borders, path) of the units of a packed row."""
+def unpack_paths(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(borders, lengths of the paths, paths) of the units of a packed row, in order."""
     import zstandard
 
     data = zstandard.ZstdDecompressor().decompress(data)
     n = int.from_bytes(data[:8], "little")
-    numbers = np.cumsum(np.frombuffer(data, "<i4", n, 8)).tolist()
-    borders = np.frombuffer(data, "<i8", n, 8 + 4 * n).tolist()
-    ends = np.cumsum(np.frombuffer(data, "<u1", n, 8 + 12 * n), dtype=np.int64).tolist()
-    ids = np.frombuffer(data, "<i4", -1, 8 + 13 * n).tolist()
-    start = 0
-    for number, left, end in zip(numbers, borders, ends):
-        yield number, left, ids[start:end]
-        start = end
-
-
-def parts_of(pieces: Pieces, names: list[str]) -> tuple[list[list[int]], list[str]]:
-    """The parts of each word as numbers, and the distinct parts. Words that don't
-    go through the lattice whole are one part."""
-    plain = [i for i, u in enumerate(names) if len(u) > 1 and not u.startswith(2 * MARK)]
-    cut = [[u] for u in names]
-    for i, own in zip(plain, pieces.cut([names[i] for i in plain])):
-        cut[i] = own
-    numbers: dict[str, int] = {}
-    return [[numbers.setdefault(p, len(numbers)) for p in own] for own in cut], list(numbers)
+    planes = lambda a, width, kind: np.ascontiguousarray(np.frombuffer(a, np.uint8).reshape(width, -1).T).view(kind).ravel() if len(a) else np.zeros(0, kind)
+    return planes(data[8:8 + 8 * n], 8, "<i8"), np.frombuffer(data, np.uint8, n, 8 + 8 * n).astype(np.int64), planes(data[8 + 9 * n:], 4, "<i4")
+
+
+def parts_of(pieces: Pieces, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(part numbers of the words one after the other, parts per word, the
+    distinct parts). Stretches of equal hash are the same part only if their
+    characters are."""
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    points, borders = pieces.borders(words)
+    begins, lengths = borders[:-1], np.diff(borders)
+    place = np.arange(len(points)) - np.repeat(begins, lengths)
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.full(int(lengths.max()), 0x9E3779B97F4A7C15, np.uint64))
+        hashes = np.add.reduceat((points.astype(np.uint64) + np.uint64(1)) * power[place], begins)
+        del power
+    _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+    same = (lengths == lengths[first[number]]) & (np.add.reduceat(points != points[np.minimum(np.repeat(begins[first[number]], lengths) + place, len(points) - 1)], begins) == 0)
+    text = "".join(words)
+    names = [text[a:b] for a, b in zip(begins[first].tolist(), (begins + lengths)[first].tolist())]
+    for i in np.flatnonzero(~same).tolist():  # a collision: a part of its own
+        number[i] = len(names)
+        names.append(text[begins[i]:begins[i] + lengths[i]])
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    return number, np.diff(np.searchsorted(borders, np.concatenate(([0], ends)))), names
+
+
+def dealt(names: list[str], parts: int) -> list[list[int]]:
+    """Which of the units in the lattice go to each part, by a hash of the unit."""
+    out: list[list[int]] = [[] for _ in range(parts)]
+    for i, u in enumerate(names):
+        if in_lattice(u):
+            out[zlib.crc32(u.encode("utf-8", "surrogatepass")) % parts].append(i)
+    return out
 
 
 def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
     """``docs`` with ``tokens``, the ids the library gives (no begin or end)."""
     pieces = Pieces(path or model_path())
     docs = docs.drop("tokens")
-    columns = docs.columns
+    columns, parts = docs.columns, shuffle_parts(docs)
 
     def list_units(rows):
         for key, batch in _keyed(rows, text_col):
-            found = [(n, u) for n, u in enumerate(parts_of(pieces, list(distinct_units(batch[text_col].to_pylist())))[1]) if in_lattice(u)]
-            for i in range(0, len(found), 100_000):
-                numbers, names = zip(*found[i:i + 100_000])
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(names), pa.int64()), pa.array(numbers, pa.int32()), pa.array(names, pa.string())],
-                                                 ["batch", "number", "unit"])
+            words = list(dict.fromkeys(chain.from_iterable(units(t) for t in batch[text_col].to_pylist() if t)))
+            names = parts_of(pieces, words)[2]
+            found = [(p, "\n".join(map(names.__getitem__, own))) for p, own in enumerate(dealt(names, parts)) if own]
+            if found:
+                places, texts = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(places, pa.int32()), pa.array([key] * len(found), pa.int64()), pa.array(texts, pa.string())], ["part", "batch", "units"])
 
     def pack(rows):
         import zstandard
@@ -367,47 +402,61 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, batch.schema) as out:
                 out.write_table(batch)
-            blob = zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([True]), pa.array([blob], pa.binary())], ["batch", "texts", "data"])
+            blob = zstandard.ZstdCompressor(level=6).compress(sink.getvalue())
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([-1], pa.int32()), pa.array([blob], pa.binary())], ["batch", "part", "data"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("tokens", T.ArrayType(T.IntegerType()))])
 
     def assemble(group: pa.Table) -> pa.Table:
-        """The batch of a key; more than one if their texts are the same."""
+        """The batch of a key (part -1); more than one if their texts are the same."""
         import zstandard
 
-        rows = list(zip(group["texts"].to_pylist(), group["data"].to_pylist()))
-        blobs = [data for is_texts, data in rows if is_texts]
-        batches = [pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(b)).read_all() for b in blobs]
+        rows = list(zip(group["part"].to_pylist(), group["data"].to_pylist()))
+        batches = [pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(data)).read_all() for part, data in rows if part < 0]
         if not batches:
             raise RuntimeError("the two scans of the input differ")
-        texts = batches[0][text_col].to_pylist()
-        words = distinct_units(texts)
-        of_word, names = parts_of(pieces, list(words))
-        ids: list = [None] * len(names)
-        for is_texts, data in rows:
-            for n, borders, found in () if is_texts else unpack_paths(data):
-                ids[n] = pieces.spell(names[n], borders, found)
-        for n, u in enumerate(names):
-            if not in_lattice(u):
-                ids[n] = pieces.character(u) if len(u) == 1 else pieces.long_unit(u)
-        flat = np.fromiter(chain.from_iterable(chain.from_iterable(map(ids.__getitem__, own)) for own in of_word), np.int32)
-        lengths = np.fromiter((sum(len(ids[k]) for k in own) for own in of_word), np.int64, len(of_word))
-        del ids, names, rows, of_word
-        starts = np.concatenate(([0], np.cumsum(lengths)))[:-1]
+        words = Numbers()
+        used = [np.fromiter(map(words.__getitem__, units(t)), np.int32) if t else np.zeros(0, np.int32) for t in batches[0][text_col].to_pylist()]
+        number, per_word, names = parts_of(pieces, list(words))
+        del words
+        # ids of the parts: those of the lattice by part, the others one by one
+        order, flat, lengths = [], [], []
+        own = dealt(names, parts)
+        for part, data in rows:
+            if part >= 0 and own[part]:
+                borders, n, found = unpack_paths(data)
+                if len(borders) != len(own[part]):
+                    raise RuntimeError("the two scans of the input differ")
+                size = np.fromiter((len(names[i]) for i in own[part]), np.int64, len(borders))
+                got, n = pieces.spell(_points("".join(map(names.__getitem__, own[part]))), size, borders, found)
+                order.append(own[part])
+                flat.append(got)
+                lengths.append(n)
+                own[part] = []  # a batch of the same texts has it again
+        rest = [i for i, u in enumerate(names) if not in_lattice(u)]
+        found = [pieces.character(names[i]) if len(names[i]) == 1 else pieces.long_unit(names[i]) for i in rest]
+        order = np.concatenate([*map(np.array, order), np.array(rest, np.int64)]).astype(np.int64)
+        flat = np.concatenate([*flat, np.fromiter(chain.from_iterable(found), np.int32)])
+        n = np.concatenate([*lengths, np.fromiter(map(len, found), np.int64, len(found))])
+        del names, rows, own, found
+        # in the order of the words
+        of_part, first = np.zeros((2, len(order)), np.int64)
+        of_part[order], first[order] = n, np.cumsum(n) - n
+        n = of_part[number]
+        flat = flat[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[number], n)]
+        lengths = np.add.reduceat(n, np.cumsum(per_word) - per_word) if len(per_word) else np.zeros(0, np.int64)
+        starts = np.cumsum(lengths) - lengths
         out, ends = [], [0]
-        for t in texts:
-            own = np.fromiter(map(words.__getitem__, units(t)) if t else (), np.int64)
-            n = lengths[own]
+        for k in used:
+            n = lengths[k]
             total = int(n.sum())
-            out.append(flat[np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[own], n)])
+            out.append(flat[np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[k], n)])
             ends.append(ends[-1] + total)
         tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*out, np.empty(0, np.int32)])))
         return pa.concat_tables([b.append_column("tokens", tokens) for b in batches])
 
-    kind = "batch bigint, texts boolean, data binary"
-    paths = lattice_paths(docs.select(text_col).mapInArrow(list_units, "batch bigint, number int, unit string"), pieces)
-    return paths.mapInArrow(pack_paths, kind).union(docs.select(*columns).mapInArrow(pack, kind)).groupBy("batch").applyInArrow(assemble, schema)
+    paths = lattice_paths(docs.select(text_col).mapInArrow(list_units, "part int, batch bigint, units string"), pieces)
+    return paths.union(docs.select(*columns).mapInArrow(pack, PACKED)).groupBy("batch").applyInArrow(assemble, schema)
 
 
 def decode_arrays(ids: pa.Array, text: pa.Array) -> pa.Array:
@@ -436,7 +485,8 @@ def decode_column(tokens_col: str = "tokens", path: str | None = None):
     text = Pieces(path or model_path()).text
 
     def many(ids: pa.Array) -> pa.Array:
-        return decode_arrays(ids, pa.array([*text, b""], pa.large_binary()))
+        known = pa.array([*text, b""], pa.large_binary())
+        return pa.concat_arrays([decode_arrays(ids.slice(i, AT_ONCE), known) for i in range(0, max(1, len(ids)), AT_ONCE)])
 
     return F.arrow_udf(many, "string")(F.col(f"`{tokens_col}`"))
 
