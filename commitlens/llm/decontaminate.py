@@ -9,10 +9,13 @@ less the block, so most words of a clean text are never looked at. A shift of
 0 selects the bucket of patterns that end in the block, and the words are
 compared directly.
 
-The tables hold the benchmark only. Its words are counted first; each shard
-of at most ``shard_words`` words becomes one broadcast, and with more than
-one shard the hits of a document are merged by its row key, so the size of a
-broadcast never depends on the corpus and is bounded for any benchmark.
+The tables hold the benchmark only. Its words are counted first. Up to
+``shard_words`` of them are one broadcast, and the documents are searched in their
+scan. A larger benchmark is dealt to shards by item; a task builds the tables of
+each shard and writes them, and the documents are searched once per shard, with
+that shard alone in memory, each pass writing the hits it finds. Hits are merged by
+the document's row. So what the driver and a task hold is one shard (or one longer
+item), whatever the benchmark and the corpus.
 
 Edge cases. Null or empty text: no words, nothing hit, not contaminated.
 Items without words have no window; rows with equal item ids are one item; a
@@ -22,13 +25,14 @@ results. Other columns of ``documents`` pass through.
 
 from __future__ import annotations
 
+import pickle
 import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commitlens.llm.common import ASCII_LOWER, table, utf8
+from commitlens.llm.common import ASCII_LOWER, materialise, table, utf8
 
 WINDOW = 13
 SHARD_WORDS = 4_000_000
@@ -114,53 +118,82 @@ def _search_column(shared, text_col: str):
     return F.pandas_udf(scan, KIND)(utf8(text_col))
 
 
-def _merge_column(parts):
-    """One summary from those of the shards."""
-    def merge(parts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for own in parts:
-            ranges = merge_ranges((int(r[0]), int(r[1])) for p in own for r in p["ranges"])
-            items = {x for p in own for x in p["items"]}
-            rows.append(_summary(int(own[0]["n_words"]), ranges, items))
-        return pd.DataFrame(rows, columns=FIELDS)
+def _hits_column(shared):
+    """The hits of a text by the tables of one shard."""
+    def scan(raws: pd.Series) -> pd.DataFrame:
+        found = [search(words_of(raw), shared.value) for raw in raws]
+        return pd.DataFrame([([[a, b] for a, b in ranges], sorted(x for x in items if x is not None)) for ranges, items in found], columns=["ranges", "items"])
+
+    return F.pandas_udf(scan, "ranges array<array<bigint>>, items array<string>")("raw")
+
+
+def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(i, t) of the distinct items, their texts as bytes."""
+    return benchmark.select(F.col(f"`{id_col}`").cast("string").alias("i"), utf8(text_col).alias("t")).distinct()
+
 
-    return F.pandas_udf(merge, KIND)(parts)
+def shard_count(items: DataFrame, shard_words: int) -> int:
+    """Shards that the items' words need."""
+    size = F.pandas_udf(lambda raws: raws.map(lambda r: len(words_of(r))).astype("int64"), "bigint")
+    return max(1, -(-int(items.agg(F.sum(size("t"))).first()[0] or 0) // shard_words))
 
 
-def _shards(benchmark: DataFrame, id_col: str, text_col: str, shard_words: int):
-    """Lists of (item id, text) of at most ``shard_words`` words each (one
-    item may be longer), streamed to the driver one at a time."""
-    items, held = [], 0
-    rows = benchmark.select(F.col(f"`{id_col}`").cast("string").alias("i"), utf8(text_col).alias("t")).distinct()
-    for row in rows.toLocalIterator():
-        n = len(words_of(bytes(row["t"])))
-        if items and held + n > shard_words:
-            yield items
-            items, held = [], 0
-        items.append((row["i"], bytes(row["t"])))
-        held += n
-    yield items
+def written_tables(items: DataFrame, shards: int, window: int) -> DataFrame:
+    """(shard, tables): the search tables of each shard, built in its task and written."""
+    def build(own: pd.DataFrame) -> pd.DataFrame:
+        pairs = [(i if isinstance(i, str) else None, bytes(t)) for i, t in zip(own["i"], own["t"])]
+        return pd.DataFrame({"shard": [int(own["shard"].iloc[0])], "tables": [pickle.dumps(build_tables(pairs, window))]})
+
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64("i", "t"), F.lit(shards)).cast("int"))
+    return materialise(dealt.groupBy("shard").applyInPandas(build, "shard int, tables binary"), "benchmark-tables")
+
+
+def _by_shards(docs: DataFrame, tables: DataFrame, text_col: str) -> DataFrame:
+    """(row, contamination) of every row of ``docs``, the caller's columns in the
+    struct ``row``: a pass over the documents per shard, each with its hits written."""
+    sc = docs.sparkSession.sparkContext
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), utf8(text_col).alias("raw"))
+    named = materialise(named.withColumn("at", F.monotonically_increasing_id()), "numbered")
+    hits = None
+    for shard in sorted(r["shard"] for r in tables.select("shard").collect()):
+        shared = sc.broadcast(pickle.loads(bytes(tables.where(F.col("shard") == shard).first()["tables"])))
+        own = materialise(named.select("at", _hits_column(shared).alias("h")).where("size(h.ranges) > 0"), "hits")
+        hits = own if hits is None else hits.union(own)
+        shared.destroy()
+    none = named.select("at", F.lit(None).cast("struct<ranges:array<array<bigint>>,items:array<string>>").alias("h"))
+    merged = (none.limit(0) if hits is None else hits).groupBy("at").agg(F.flatten(F.collect_list("h.ranges")).alias("ranges"), F.flatten(F.collect_list("h.items")).alias("items"))
+
+    def merge(raws: pd.Series, ranges: pd.Series, items: pd.Series) -> pd.DataFrame:
+        rows = []
+        for raw, r, i in zip(raws, ranges, items):
+            own = [] if r is None else merge_ranges((int(a), int(b)) for a, b in r)
+            rows.append(_summary(len(words_of(raw)), own, set() if i is None else set(i)))
+        return pd.DataFrame(rows, columns=FIELDS)
+
+    return named.join(merged, "at", "left").select("row", F.pandas_udf(merge, KIND)("raw", "ranges", "items").alias("contamination"))
 
 
-def contamination_column(benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
-                         item_text_col: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS):
-    """A struct column for a table with ``text_col``: words, hit words and
-    their ranges, items, and the verdict. Evaluated inside the scan of that
-    table; a text is never shuffled."""
-    sc = benchmark.sparkSession.sparkContext
-    shards = [sc.broadcast(build_tables(s, window)) for s in _shards(benchmark, item_col, item_text_col, shard_words)]
-    found = [_search_column(b, text_col) for b in shards]
-    return found[0] if len(found) == 1 else _merge_column(F.array(*found))
+def _searched(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+              window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """(row, contamination) of every row of ``docs``; texts are never shuffled."""
+    items = _items(benchmark, item_col, item_text_col)
+    shards = shard_count(items, shard_words)
+    if shards > 1:
+        return _by_shards(docs, written_tables(items, shards, window), text_col)
+    rows = [(r["i"], bytes(r["t"])) for r in items.collect()]  # at most shard_words words, or one longer item
+    shared = docs.sparkSession.sparkContext.broadcast(build_tables(rows, window))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _search_column(shared, text_col).alias("contamination"))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` with the struct column ``contamination`` (an older one is replaced)."""
-    return docs.withColumn("contamination", contamination_column(benchmark, **options))
+    return _searched(docs, benchmark, **options).select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c != "contamination"], "contamination")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, columns unchanged."""
-    return docs.where(~contamination_column(benchmark, **options)["contaminated"])
+    clean = _searched(docs, benchmark, **options).where(~F.col("contamination")["contaminated"])
+    return clean.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
