@@ -21,9 +21,14 @@ The levels are nested, so of two sets the one with the lower level finds the
 other's index entries, and no pair is lost. Nothing is capped: entries shared
 by at most ``small`` sets give pairs; a parity sketch drops those that differ too much (it bounds
 their differences from below); of the others, one pair of each document is
-verified on the whole sets, then all those between documents not yet connected; larger ones are cut into blocks, and each pair of blocks is verified as
-a whole (a product of membership matrices) and returns a spanning forest of
-its links, never all pairs. Components then follow from the links.
+verified on the whole sets, then all those between documents not yet connected. Of
+larger ones each member is verified with the smallest first; an entry whose members
+are connected by then is done. In the others the members outside the entry's largest
+component are cut into blocks, which meet each other and the blocks of that component;
+each pair of blocks is verified as a whole (a product of membership matrices) and
+returns a spanning forest of its links, never all pairs. So a group of near copies
+costs one verification a member, however many entries it shares. Components then
+follow from the links.
 
 Exact copies are collapsed first: only the document with the smallest id of
 each text goes through the join.
@@ -53,6 +58,8 @@ SHINGLE, THRESHOLD = 4, 85
 SMALL, BLOCK = 16, 512
 #: Most rows of ids that are broadcast (8 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: The same of digests of texts (40 bytes each).
+BROADCAST_KEYS = 400_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -150,8 +157,9 @@ def linked(inter, size_a, size_b, threshold: int = THRESHOLD):
     return 100 * inter >= threshold * (size_a + size_b - inter)
 
 
-def forest(sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the sets, by position."""
+def forest(sets: list[np.ndarray], threshold: int, groups: list | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the sets, by position; sets of one of
+    the ``groups`` are connected already."""
     n, sizes = len(sets), np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(n), sizes)
     _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -167,8 +175,13 @@ def forest(sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
         block[owner[first:last], code[first:last] - code[first]] = 1
         inter += block @ block.T
         first = last
-    a, b = np.nonzero(np.triu(linked(inter.astype(np.int64), sizes[:, None], sizes[None, :], threshold), 1))
+    met = np.triu(linked(inter.astype(np.int64), sizes[:, None], sizes[None, :], threshold), 1)
     parent, out = list(range(n)), []
+    if groups is not None:
+        _, first, of = np.unique(groups, return_index=True, return_inverse=True)
+        met &= of[:, None] != of[None, :]
+        parent = first[of].tolist()
+    a, b = np.nonzero(met)
 
     def root(x):
         while parent[x] != x:
@@ -207,8 +220,8 @@ def copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, rep) of the documents with words whose text an earlier id has too."""
     keys = docs.where(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{text_col}`").rlike(r"[^ \t\n\x0B\f\r]")) \
         .select(F.col(f"`{id_col}`").alias("id"), F.unhex(F.sha2(utf8(text_col), 256)).alias("key"))
-    reps = keys.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return keys.join(reps, "key").where("id <> rep").select("id", "rep").distinct()
+    reps = materialise(keys.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n"), "texts")
+    return keys.join(broadcast_if_small(reps, reps.count(), BROADCAST_KEYS), "key").where("id <> rep").select("id", "rep").distinct()
 
 
 def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE,
@@ -284,19 +297,48 @@ def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .where(F.coalesce("a_group", "a") != F.coalesce("b_group", "b")).select("a", "b")
     found = first.select(F.col("id").alias("a"), F.col("component").alias("b")).union(verified(rest))
 
+    if many.isEmpty():
+        return found
+    # of a large entry each member with the smallest first, then what this leaves apart
+    star = many.join(many.groupBy("sig").agg(F.min("id").alias("a")), "sig").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    near = star.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b") \
+        .where(100 * F.least("a_n", "b_n") >= threshold * F.greatest("a_n", "b_n")).mapInPandas(prune, link)
+    found = materialise(found.union(verified(materialise(near, "stars"))), "found")
+    grouped = connected_components(found)
+    apart = materialise(open_entries(many, grouped), "apart")
+    if apart.isEmpty():
+        return found
+
     def verify_block(group: pd.DataFrame) -> pd.DataFrame:
-        ids = group["id"].tolist()
-        tree = forest([members(m) for m in group["packed"]], threshold)
+        ids, groups = group["id"].tolist(), group["group"].tolist()
+        tree = forest([members(m) for m in group["packed"]], threshold, groups) if len(set(groups)) > 1 else []
         return pd.DataFrame([(ids[i], ids[j]) for i, j in tree], columns=["a", "b"])
 
-    parts = F.ceil(F.col("n") / block)
-    dealt = many.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("id"), "parts")) \
-        .select("sig", "id", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("other")) \
-        .select("sig", "id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    blocks = dealt.join(sets.select("id", "packed"), "id").groupBy("sig", "i", "j").applyInPandas(verify_block, link)
+    blocks = block_rows(apart, block).join(sets.select("id", "packed"), "id").groupBy("sig", "i", "j").applyInPandas(verify_block, link)
     return found.union(blocks)
 
 
+def open_entries(many: DataFrame, grouped: DataFrame) -> DataFrame:
+    """(sig, id, group, top, rest, core) of the large entries (sig, id) whose
+    members are of several components: the entry's largest one, and how many members
+    are outside of it and in it."""
+    labelled = many.join(grouped.withColumnRenamed("component", "known"), "id", "left").select("sig", "id", F.coalesce("known", "id").alias("group"))
+    sizes = labelled.groupBy("sig", "group").agg(F.count("*").alias("n")).groupBy("sig").agg(
+        F.max(F.struct("n", "group")).alias("t"), F.sum("n").alias("all")).where(F.col("all") > F.col("t.n"))
+    return labelled.join(sizes.select("sig", F.col("t.group").alias("top"), (F.col("all") - F.col("t.n")).alias("rest"), F.col("t.n").alias("core")), "sig")
+
+
+def block_rows(apart: DataFrame, block: int) -> DataFrame:
+    """(sig, i, j, id, group): each member in the blocks it takes part in. Members
+    outside the largest component meet all, those in it only the ones outside."""
+    parts = lambda n: F.ceil(F.col(n) / block)
+    inside = F.col("group") == F.col("top")
+    own = F.when(inside, parts("rest") + F.pmod(F.xxhash64("id"), parts("core"))).otherwise(F.pmod(F.xxhash64("id"), parts("rest")))
+    last = F.when(inside, parts("rest")).otherwise(parts("rest") + parts("core")) - 1
+    return apart.withColumn("own", own).select("sig", "id", "group", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("other")) \
+        .select("sig", "id", "group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE,
                    threshold: int = THRESHOLD) -> DataFrame:
     """(id, component) of every document that is linked to another one."""
