@@ -14,6 +14,11 @@ Statements: ``{{ expr }}``, ``{% for x in expr %} ... {% endfor %}``,
 numbers, ``true``/``false``/``none``, names, ``a.b``, ``a['b']``, ``==``, ``!=``, ``and``, ``or``,
 ``not``, ``+`` (strings), ``loop.first``, ``loop.last``, ``loop.index0``, and the filters
 ``escape`` (control strings become ordinary text, reversibly), ``trim``, ``upper``, ``lower``.
+A dash inside a brace (``{{- x -}}``, ``{%- ... -%}``) trims the white space of the
+text on its side. Braces within a string are part of it. A name that nothing defines,
+or a field that its mapping lacks, is none and renders as nothing; a field of anything
+but a mapping is an error. Expressions and statements nest at most
+``DEPTH`` deep; a deeper template is a :class:`TemplateError` like any other fault.
 
 Escaping. A control string inside a text gets ``ESCAPE`` after its first character,
 and so does every run that would read as an escaped one, so unescaping gives
@@ -71,7 +76,10 @@ class TemplateError(ValueError):
 
 # ---- parser: source -> syntax tree (nested tuples) ------------------------
 
-PART = re.compile(r"\{\{(.*?)\}\}|\{%-?(.*?)-?%\}|\{#.*?#\}", re.S)
+_TEXT = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
+PART = re.compile(rf"\{{\{{(-?)((?:{_TEXT}|(?!-?\}}\}}).)*+)(-?)\}}\}}|\{{%(-?)((?:{_TEXT}|(?!-?%\}}).)*+)(-?)%\}}|\{{#(-?)(?:(?!-?#\}}).)*+(-?)#\}}", re.S)
+#: Nesting of brackets and negations in an expression, and of statements.
+DEPTH = 100
 LEX = re.compile(r"""\s*(?:('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(\d+)|([A-Za-z_]\w*)|(==|!=|[.|+\[\]()]))""")
 FILTERS = {"escape": escape, "trim": str.strip, "upper": str.upper, "lower": str.lower}
 CONSTANTS = {"true": True, "false": False, "none": None}
@@ -90,7 +98,7 @@ class Expression:
             kind = next(i for i in range(1, 5) if m[i] is not None)
             self.items.append((kind, m[kind]))
             at = m.end()
-        self.at = 0
+        self.at = self.depth = 0
 
     def peek(self, *values) -> bool:
         return self.at < len(self.items) and self.items[self.at][0] in (3, 4) and self.items[self.at][1] in values
@@ -107,6 +115,14 @@ class Expression:
             raise TemplateError(f"unexpected {self.items[self.at][1]!r}")
         return tree
 
+    def deeper(self, part):
+        self.depth += 1
+        if self.depth > DEPTH:
+            raise TemplateError("an expression is nested too deeply")
+        tree = part()
+        self.depth -= 1
+        return tree
+
     def either(self):
         tree = self.both()
         while self.peek("or"):
@@ -124,7 +140,7 @@ class Expression:
     def negated(self):
         if self.peek("not"):
             self.take()
-            return ("not", self.negated())
+            return ("not", self.deeper(self.negated))
         tree = self.sum()
         if self.peek("==", "!="):
             return (self.take()[1], tree, self.sum())
@@ -158,7 +174,7 @@ class Expression:
                 raise TemplateError(f"unexpected {value!r}")
             tree = ("const", CONSTANTS[value]) if value in CONSTANTS else ("name", value)
         elif value == "(":
-            tree = self.either()
+            tree = self.deeper(self.either)
             self.take(")")
         else:
             raise TemplateError(f"unexpected {value!r}")
@@ -169,29 +185,36 @@ class Expression:
                     raise TemplateError("a field has a name")
                 tree = ("field", tree, ("const", value))
             else:
-                tree = ("field", tree, self.either())
+                tree = ("field", tree, self.deeper(self.either))
                 self.take("]")
         return tree
 
 
 def parse(source: str):
     """The syntax tree of a template."""
-    parts, at = [], 0
-    for m in PART.finditer(source):
-        if m.start() > at:
-            parts.append(("text", source[at:m.start()]))
-        if m[1] is not None:
-            parts.append(("write", m[1]))
-        elif m[2] is not None:
-            parts.append(("tag", m[2].strip()))
-        at = m.end()
-    if at < len(source):
-        parts.append(("text", source[at:]))
-    position = 0
+    parts, at, trim = [], 0, False
+    for m in [*PART.finditer(source), None]:
+        text = source[at:m.start() if m else len(source)]
+        text = text.lstrip() if trim else text
+        if m and "-" in (m[1], m[4], m[7]):
+            text = text.rstrip()
+        if text:
+            parts.append(("text", text))
+        if m is None:
+            break
+        if m[2] is not None:
+            parts.append(("write", m[2]))
+        elif m[5] is not None:
+            parts.append(("tag", m[5].strip()))
+        trim, at = "-" in (m[3], m[6], m[8]), m.end()
+    position = depth = 0
 
     def body(*ends):
-        nonlocal position
+        nonlocal position, depth
         out = []
+        depth += 1
+        if depth > DEPTH:
+            raise TemplateError("statements are nested too deeply")
         while position < len(parts):
             kind, value = parts[position]
             position += 1
@@ -202,6 +225,7 @@ def parse(source: str):
             else:
                 word, _, rest = value.partition(" ")
                 if word in ends:
+                    depth -= 1
                     return ("body", *out), word, rest
                 out.append(statement(word, rest))
         if ends:
@@ -342,7 +366,10 @@ def statement(tree):
 def compile_template(source: str = TEMPLATE):
     """A function from the names in scope to (text, [(start, end), ...]):
     the rendered text and its marked ranges, in code points."""
-    run = statement(fold(parse(source)))
+    try:
+        run = statement(fold(parse(source)))
+    except RecursionError:  # a chain of operators without end
+        raise TemplateError("the template is nested too deeply") from None
 
     def render(**scope):
         parts, ranges, at = [], [], 0

@@ -79,3 +79,21 @@ def test_odd_rows(spark):
     assert C.read_back(got[None].formatted) == [("user", "lone")] and len(C.read_back(got[4].formatted)) == 2
     assert [tuple(m) for m in got[3].marked] == [(9, 500_009)]
     assert C.format_conversations(df.limit(0)).collect() == []
+
+
+def test_dashes_trim_and_strings_hold_braces():
+    assert render("a  {{- x -}}  b {%- if x %} c {% endif -%} \n d {#- no -#} e", x="X") == "aXb c de"
+    assert render("a {{ x }} b", x="X") == "a X b"
+    assert render("{{ '}}' + \"%}\" }}|{% if x == '%}' %}yes{% endif %}", x="%}") == "}}%}|yes"
+    assert render("{{ missing }}{{ x.lacks }}", x={}) == ""
+
+
+@pytest.mark.parametrize("source", ["{{ " + "(" * 2000 + "1" + ")" * 2000 + " }}", "{{ " + "not " * 2000 + "1 }}", "{% if x %}" * 2000, "{{ " + "a[" * 2000 + "1" + "]" * 2000 + " }}",
+                                    "{{ 1" + " + 1" * 100_000 + " }}", "{{ 'open }}"])
+def test_deep_templates_are_template_errors(source):
+    with pytest.raises(C.TemplateError):
+        C.compile_template(source)
+
+
+def test_many_open_quotes_take_no_time():
+    assert render("' \" " * 3000) == "' \" " * 3000
