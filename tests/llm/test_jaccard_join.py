@@ -2,7 +2,6 @@ import random
 import re
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from commitlens.llm import jaccard_join as J
 from commitlens.llm.components import connected_components
@@ -83,24 +82,6 @@ def test_groups_with_blocks(spark):
     assert {i: groups.get(i, i) for i in want} == want
 
 
-def test_a_group_of_thousands_costs_one_verification_a_member(spark):
-    """Entries of one component leave no blocks; strangers meet each other and its blocks."""
-    n, sigs = 3_000, 6
-    many = spark.range(n * sigs).selectExpr("id div 3000 AS sig", "id % 3000 AS id")
-    one = spark.range(n).selectExpr("id", "cast(5 AS bigint) AS component")
-    assert J.open_entries(many, one).isEmpty()
-    apart = J.open_entries(many, one.where("id >= 5"))  # five are not connected: of each entry
-    blocks = J.block_rows(apart, 512)
-    assert apart.count() == n * sigs
-    # the group's members meet the one block of strangers, never each other
-    assert blocks.where("id >= 5").count() == (n - 5) * sigs and blocks.select("sig", "i", "j").distinct().count() == sigs * (1 + 6)
-    pairs = {(r.sig, r.i, r.j): r.ids for r in blocks.groupBy("sig", "i", "j").agg(F.collect_list("id").alias("ids")).collect()}
-    met = {(s, x, y) for (s, _, _), ids in pairs.items() for x in ids if x < 5 for y in ids if x != y}
-    assert len(met) == sigs * 5 * (n - 1)
-    sets = [np.arange(10, dtype=np.uint64), np.arange(10, dtype=np.uint64), np.arange(1, 11, dtype=np.uint64), np.arange(100, 110, dtype=np.uint64)]
-    assert J.forest(sets, 80, [1, 1, 2, 3]) == [(0, 2)] and len(J.forest(sets, 80)) == 2
-
-
 def test_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(30_000))
     rows = [(1, None, "x"), (2, "", "x"), (3, " \n ", "x"), (4, "A b", "x"), (5, "a B", "y"), (5, "a B", "y"), (6, "a b c d", "y"), (7, "a  b\tc d", None),
