@@ -11,6 +11,18 @@ from commitlens.session import work_dir
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
+#: Rows that Spark hands to Python at a time: whole texts, so a tenth of Spark's own number.
+BATCH_SETTING, BATCH_ROWS, SPARK_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000, "10000"
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for the session, unless it has a number of its own:
+    ten thousand texts at once, on both sides and in each concurrent task, take a
+    good part of an executor's memory."""
+    if spark.conf.get(BATCH_SETTING, SPARK_ROWS) == SPARK_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

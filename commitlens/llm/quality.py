@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from commitlens.llm.common import ASCII_LOWER, table, utf8
+from commitlens.llm.common import ASCII_LOWER, short_batches, table, utf8
 
 # The commonest function words of each language.
 COMMON_WORDS = {
@@ -181,6 +181,7 @@ def fit_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     Every text weighs the same (parts per million, whole numbers, so the sum
     does not depend on the order). The driver gets one row per language at
     most."""
+    short_batches(docs.sparkSession)
     listed = [w.encode() for w in WORDS]
     common = {**dict.fromkeys(LANGUAGES, listed), **fit_words(docs, text_col, lang_col, params)}
     width = len(CLASSES) + max(len(listed), TOP_WORDS) + 1

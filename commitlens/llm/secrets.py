@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commitlens.llm.common import table
+from commitlens.llm.common import short_batches, table
 
 # The base patterns, with the least length of the match (group 2 of assign).
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -153,7 +153,7 @@ def features(text: str) -> tuple[list[tuple[int, int]], list[list[str]]]:
 
 
 #: Distinct words a task keeps (beyond it the table starts anew), words featured at once, words of a segment.
-KEEP_WORDS, AT_ONCE, SEGMENT = 400_000, 50_000, 100_000
+KEEP_WORDS, AT_ONCE, SEGMENT = 200_000, 10_000, 100_000
 #: Tokens left and right of a token that its scores look at.
 LEFT, RIGHT = -min(NEIGHBOURS), max(NEIGHBOURS)
 _KIND = np.array([{"l": 0, "u": 1, "d": 2, "o": 3}[KIND_OF[c]] for c in range(128)], np.int64)
@@ -486,6 +486,7 @@ def fit_model(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE
     """Fit on at most ``sample_docs`` documents: those whose text hash falls
     below the share of the table that the bound is, so the sample does not
     depend on the order of rows. Texts repeat their label, by the patterns."""
+    short_batches(docs.sparkSession)
     total = docs.count()
     col = F.col(f"`{text_col}`")
     share = min(1.0, sample_docs / max(1, total))
@@ -604,7 +605,7 @@ def find_all(texts, model: Model):
 
 
 #: Characters of the texts whose words are featured together.
-TOGETHER = 4 << 20
+TOGETHER = 1 << 20
 
 
 SPANS = "array<struct<kind string, start bigint, end bigint>>"

@@ -55,12 +55,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from commitlens.llm.common import table
+from commitlens.llm.common import short_batches, table
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 MAX_UNIT = 48
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 NEVER = 2_147_483_647
 #: Lists of ids decoded at once.
 AT_ONCE = 256
@@ -382,6 +382,7 @@ def dealt(names: list[str], parts: int) -> list[list[int]]:
 
 def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
     """``docs`` with ``tokens``, the ids the library gives (no begin or end)."""
+    short_batches(docs.sparkSession)
     pieces = Pieces(path or model_path())
     docs = docs.drop("tokens")
     columns, parts = docs.columns, shuffle_parts(docs)
