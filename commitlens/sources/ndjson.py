@@ -149,8 +149,14 @@ def _one_value(line: Column) -> Column:
     return F.try_parse_json(F.concat(F.lit("["), line, F.lit(f',"{_END}"]')))
 
 
-def _field(value: Column, name: str, kind: str = "variant") -> Column:
-    return F.try_variant_get(value, f'$[0]["{name}"]', kind)
+def _field(value: Column, name: str) -> Column:
+    """A top-level field of the line's value, with its JSON type."""
+    return F.try_variant_get(value, f'$[0]["{name}"]', "variant")
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of ``value``, which is computed once however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _false(value: Column) -> Column:
@@ -160,62 +166,102 @@ def _false(value: Column) -> Column:
     return value.isNull() | text.isNull() | (text == F.lit("")) | (~is_text & text.rlike(_FALSY_TEXT))
 
 
-def _typed(value: Column, f: T.StructField) -> tuple[Column, Column]:
-    """(field as its type, whether its type is wrong) of the line's value."""
-    own = _field(value, f.name)
-    if isinstance(f.dataType, T.StringType):
-        return (_int_text(own) if f.name in S.INT_TEXT_FIELDS else own.cast("string")), F.lit(False)
-    if not isinstance(f.dataType, (T.StructType, T.ArrayType)):
-        kind = F.schema_of_variant(own)
-        whole = kind == F.lit("BIGINT")
-        return F.when(whole, own.try_cast(f.dataType)), own.isNotNull() & ~whole & (kind != F.lit("VOID"))
-    typed = _field(value, f.name, f.dataType.simpleString())
-    wrong = typed.isNull() & own.isNotNull() & ~_false(own)
+def _boxes(schema: T.StructType) -> list[T.StructField]:
+    return [f for f in schema.fields if isinstance(f.dataType, (T.StructType, T.ArrayType))]
+
+
+def _int_entries(f: T.StructField) -> list[str]:
+    """The entries of an array of objects whose numbers are read as int() does."""
     if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
-        fields = f.dataType.elementType.fields
-        if ints := [x.name for x in fields if x.name in S.INT_TEXT_FIELDS]:
-            loose = ", ".join(f"`{x.name}`: {'variant' if x.name in ints else x.dataType.simpleString()}" for x in fields)
-            typed = F.transform(_field(value, f.name, f"array<struct<{loose}>>"),
-                                lambda x: F.struct(*[(_int_text(x[y.name]) if y.name in ints else x[y.name]).alias(y.name) for y in fields]))
-    return typed, wrong
-
-
-def _second_path(lines: DataFrame, schema: T.StructType, required: Sequence[str], odd: Column) -> DataFrame:
-    """``lines`` with ``_second``, the fields, ``malformed`` and ``key_ok`` of
-    the odd ones (NULL for others): lines that repeat a key, hold NaN or
-    Infinity, or can't be parsed. These are read with the field types, then
-    with loose containers, as :func:`from_json` takes them."""
-    line = F.col(LINE_COL)
-    parsed = _once(lines, _odd=odd)
-    parsed = _once(parsed, _rec=F.when(F.col("_odd"), F.from_json(line, with_corrupt(schema), JSON_OPTIONS)))
-    broken = F.col("_rec").isNull() | F.col("_rec")[CORRUPT_COL].isNotNull()
-    boxes = [f for f in schema.fields if isinstance(f.dataType, (T.StructType, T.ArrayType))]
-    values, usable = {}, F.lit(False)
+        return [n for n in f.dataType.elementType.fieldNames() if n in S.INT_TEXT_FIELDS]
+    return []
+
+
+def _read_as(f: T.StructField, boxes: list[T.StructField]) -> str:
+    """The type a field is taken from the line's value as: its own, or a typed
+    value where the JSON type still decides."""
+    if ints := _int_entries(f):
+        entries = ", ".join(f"`{x.name}`: {'variant' if x.name in ints else x.dataType.simpleString()}" for x in f.dataType.elementType.fields)
+        return f"array<struct<{entries}>>"
+    if f in boxes or isinstance(f.dataType, T.StringType) and f.name not in S.INT_TEXT_FIELDS:
+        return f.dataType.simpleString()
+    return "variant"
+
+
+def _typed(own: Column, f: T.StructField, boxes: list[T.StructField]) -> Column:
+    """A field, read as :func:`_read_as` says, as its type."""
+    if ints := _int_entries(f):
+        return F.transform(own, lambda x: F.struct(*[(_int_text(x[n]) if n in ints else x[n]).alias(n) for n in f.dataType.elementType.fieldNames()]))
+    if f in boxes or isinstance(f.dataType, T.StringType):
+        return _int_text(own) if f.name in S.INT_TEXT_FIELDS else own
+    return F.when(F.schema_of_variant(own) == F.lit("BIGINT"), own.try_cast(f.dataType))
+
+
+def _wrong(value: Column, fields: Column, schema: T.StructType, boxes: list[T.StructField]) -> Column:
+    """The type of some field is wrong. A box that was read is right; what else
+    one may hold is looked at, in a lambda as in :func:`_second_path`, where one is missing."""
+    def check(v: Column) -> Column:
+        bad = F.lit(False)
+        for f in boxes:
+            own = _field(v, f.name)
+            bad = bad | (fields[f.name].isNull() & own.isNotNull() & ~_false(own))
+        return F.coalesce(bad, F.lit(False))
+
+    missing, out = F.lit(False), F.lit(False)
+    for f in boxes:
+        missing = missing | fields[f.name].isNull()
     if boxes:
-        loose = T.StructType([T.StructField(f.name, T.VariantType() if f in boxes else f.dataType) for f in schema.fields])
-        parsed = _once(parsed, _again=F.when(F.col("_odd") & broken, F.from_json(line, with_corrupt(loose), JSON_OPTIONS)))
-        usable = F.col("_again").isNotNull() & F.col("_again")[CORRUPT_COL].isNull()
+        out = F.coalesce(F.get(F.transform(F.when(missing, F.array(value)).otherwise(F.array().cast("array<variant>")), check), F.lit(0)), F.lit(False))
     for f in schema.fields:
-        first = F.col("_rec")[f.name]
+        if f not in boxes and not isinstance(f.dataType, T.StringType):
+            out = out | F.coalesce(~F.schema_of_variant(fields[f.name]).isin("BIGINT", "VOID"), F.lit(False))
+    return out
+
+
+def _second_path(line: Column, schema: T.StructType, required: Sequence[str], odd: Column) -> Column:
+    """The fields, ``malformed`` and ``key_ok`` of an odd line (NULL for others):
+    lines that repeat a key, hold NaN or Infinity, or can't be parsed. These are
+    read with the field types, then with loose containers, as :func:`from_json`
+    takes them. Spark evaluates a lambda only for the entries of its array, so
+    the many expressions of this path cost nothing on a line that is not odd, nor
+    do they swell the generated code that all lines pass through."""
+    boxes = _boxes(schema)
+    loose = T.StructType([T.StructField(f.name, T.VariantType() if f in boxes else f.dataType) for f in schema.fields])
+
+    def fields(raw: Column, rec: Column, again: Column | None) -> Column:
+        broken = rec.isNull() | rec[CORRUPT_COL].isNotNull()
+        values, usable = {}, F.lit(False) if again is None else again.isNotNull() & again[CORRUPT_COL].isNull()
+        for f in schema.fields:
+            first = rec[f.name]
+            if again is None:
+                values[f.name] = first
+            elif f not in boxes:
+                values[f.name] = F.when(broken, again[f.name]).otherwise(first)
+            else:
+                box = again[f.name]
+                text = box.cast("string")
+                absent = box.isNull() | (F.schema_of_variant(box) == F.lit("VOID")) | text.rlike(_FALSY_TEXT) | (text == F.lit(""))
+                whole = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), with_corrupt(T.StructType([T.StructField("v", f.dataType)])), JSON_OPTIONS)
+                good = (F.schema_of_variant(box) != F.lit("STRING")) & whole[CORRUPT_COL].isNull()
+                usable = usable & (absent | F.coalesce(good, F.lit(False)))
+                values[f.name] = F.when(broken, F.when(~absent, whole["v"])).otherwise(first)
+        malformed = (broken & ~F.coalesce(usable, F.lit(False))) | ~_strict(raw)
+        key_ok: Column = F.lit(True)
+        for k in required:
+            key_ok = key_ok & ~_falsy(raw, k, values[k])
+        return F.struct(*[_as_ints(raw, f, values[f.name]).alias(f.name) for f in schema.fields], malformed.alias("malformed"), key_ok.alias("key_ok"))
+
+    def again(raw: Column, rec: Column) -> Column:
+        broken = rec.isNull() | rec[CORRUPT_COL].isNotNull()
+        return F.when(broken, F.from_json(raw, with_corrupt(loose), JSON_OPTIONS))
+
+    def read(raw: Column) -> Column:
+        first = F.from_json(raw, with_corrupt(schema), JSON_OPTIONS)
         if not boxes:
-            values[f.name] = first
-        elif f not in boxes:
-            values[f.name] = F.when(broken, F.col("_again")[f.name]).otherwise(first)
-        else:
-            box = F.col("_again")[f.name]
-            text = box.cast("string")
-            absent = box.isNull() | (F.schema_of_variant(box) == F.lit("VOID")) | text.rlike(_FALSY_TEXT) | (text == F.lit(""))
-            whole = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), with_corrupt(T.StructType([T.StructField("v", f.dataType)])), JSON_OPTIONS)
-            good = (F.schema_of_variant(box) != F.lit("STRING")) & whole[CORRUPT_COL].isNull()
-            usable = usable & (absent | F.coalesce(good, F.lit(False)))
-            values[f.name] = F.when(broken, F.when(~absent, whole["v"])).otherwise(first)
-    malformed = (broken & ~F.coalesce(usable, F.lit(False))) | ~_strict(line)
-    key_ok: Column = F.lit(True)
-    for k in required:
-        key_ok = key_ok & ~_falsy(line, k, values[k])
-    fields = [_as_ints(line, f, values[f.name]).alias(f.name) for f in schema.fields]
-    second = F.struct(*fields, malformed.alias("malformed"), key_ok.alias("key_ok"))
-    return _once(parsed, _second=F.when(F.col("_odd"), second))
+            return _let(first, lambda rec: fields(raw, rec, None))
+        return _let(first, lambda rec: _let(again(raw, rec), lambda loosely: fields(raw, rec, loosely)))
+
+    return F.get(F.transform(F.when(odd, F.array(line)).otherwise(F.array().cast("array<string>")), read), F.lit(0))
 
 
 def classify_ndjson(
@@ -240,21 +286,29 @@ def classify_ndjson(
     parsed = _once(lines.select(*passthrough, F.col(value_col).alias(LINE_COL)), _value=_one_value(F.col(LINE_COL)))
     line, value = F.col(LINE_COL), F.col("_value")
     odd = ~is_blank(line) & (value.isNull() | F.contains(line, F.lit(_END)))
-    parsed = _second_path(parsed, schema, required, odd)
+    parsed = _once(parsed, _odd=odd, _second=_second_path(line, schema, required, odd))
 
     ended = F.coalesce(F.try_variant_get(value, "$[1]", "string") == F.lit(_END), F.lit(False)) & F.try_variant_get(value, "$[2]", "variant").isNull()
     is_object = F.startswith(F.btrim(line, F.lit(" \t\r\n")), F.lit("{"))
-    typed = {f.name: _typed(value, f) for f in schema.fields}
-    malformed, key_ok = ~(ended & is_object), F.lit(True)
-    for _, wrong in typed.values():
-        malformed = malformed | F.coalesce(wrong, F.lit(False))
+    # all fields in one pass over the object
+    boxes = _boxes(schema)
+    read_as = ", ".join(f"`{f.name}`: {_read_as(f, boxes)}" for f in schema.fields)
+    parsed = _once(parsed, _whole=ended & is_object, _fields=F.try_variant_get(value, "$[0]", f"struct<{read_as}>"))
+    own = F.col("_fields")
+    parsed = _once(parsed, _wrong=_wrong(value, own, schema, boxes))
+
+    key_ok = F.lit(True)
     for k in required:
-        key_ok = key_ok & ~_false(_field(value, k))
+        text = own[k] if k in schema.fieldNames() and _read_as(schema[k], boxes) == "string" else None
+        if text is None:
+            key_ok = key_ok & ~_false(_field(value, k))
+        else:  # text that reads like a false value is looked at again
+            key_ok = key_ok & text.isNotNull() & (text != F.lit("")) & F.when(text.rlike(_FALSY_TEXT), ~_false(_field(value, k))).otherwise(F.lit(True))
     is_odd, second = F.col("_odd"), F.col("_second")
-    fields = {f.name: F.when(is_odd, second[f.name]).otherwise(typed[f.name][0].cast(f.dataType)) for f in schema.fields}
+    fields = {f.name: F.when(is_odd, second[f.name]).otherwise(_typed(own[f.name], f, boxes).cast(f.dataType)) for f in schema.fields}
     reason = (
         F.when(is_blank(line), F.lit("blank"))
-        .when(F.when(is_odd, second["malformed"]).otherwise(malformed), F.lit("malformed"))
+        .when(F.when(is_odd, second["malformed"]).otherwise(~F.col("_whole") | F.col("_wrong")), F.lit("malformed"))
         .when(~F.when(is_odd, second["key_ok"]).otherwise(key_ok), F.lit("missing_key"))
     )
     done = _once(parsed, **{"_record": F.struct(*[c.alias(n) for n, c in fields.items()]), REASON_COL: reason})
