@@ -100,6 +100,12 @@ class TokenCounter:
         self.rank = {(spell(a), spell(b)): i for i, (a, b) in enumerate(pairs)}
         self.parts = {a + b: (a, b) for a, b in self.rank}
         self.longest = max(map(len, self.parts))
+        # lengths of the tokens that end in the same three bytes, longest first
+        ends: dict[bytes, set[int]] = {}
+        for token in self.parts:
+            if len(token) > 2:
+                ends.setdefault(token[-3:], set()).add(len(token))
+        self.ends = {end: tuple(sorted(own | ({2} if end[1:] in self.parts else set()), reverse=True)) for end, own in ends.items()}
         specials = [t["content"] for t in data["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, sorted(specials, key=len, reverse=True)))) if specials else None
         self.side_table: dict = {}
@@ -132,13 +138,23 @@ class TokenCounter:
 
     def prefixes(self, word: bytes) -> list[int]:
         """Tokens of word[:0], word[:1], ... word."""
-        parts, longest, pairs = self.parts, self.longest, self.pair_table
+        parts, ends, pairs = self.parts, self.ends, self.pair_table
         last, counts = [b""], [0]
         for e in range(1, len(word) + 1):
-            for s in range(e - longest if e > longest else 0, e - 1):
+            lengths = ends.get(word[e - 3:e]) if e > 2 else None
+            if lengths is None:
+                lengths = (2,) if e > 1 and word[e - 2:e] in parts else ()
+            for n in lengths:
+                s = e - n
+                if s < 0:
+                    continue
                 token = word[s:e]
-                if token in parts and (not s or (pairs.get((last[s], token)) if (last[s], token) in pairs else self.consistent(last[s], token))):
-                    break
+                if token in parts:
+                    if not s:
+                        break
+                    fits = pairs.get((last[s], token))
+                    if self.consistent(last[s], token) if fits is None else fits:
+                        break
             else:
                 s = e - 1
                 token = word[s:e]

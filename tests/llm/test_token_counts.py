@@ -70,3 +70,15 @@ def test_odd_rows(spark):
     assert len(got) == len(rows) and all(n == count(t or "") for _, t, n in got)
     assert C.with_prefix_counts(df.where("doc_id = 1")).select(C.prefix_array()).first()[0] == [0]
     assert C.with_prefix_counts(df.limit(0)).collect() == []
+
+
+def test_only_lengths_of_tokens_that_end_so_are_tried(counter):
+    assert all(len(token) in counter.ends[token[-3:]] for token in counter.parts if len(token) > 2)
+    assert all(lengths == tuple(sorted(lengths, reverse=True)) for lengths in counter.ends.values())
+    assert all(any(end[1:] in counter.parts if n == 2 else token_of(counter, end, n) for n in lengths) for end, lengths in list(counter.ends.items())[:200])
+    for t in ["a", "ab", "zzzzqqqq", " thththat", "é" * 7, "\x00\x01\x02" * 5, "ing" * 20, "日本語" * 3]:
+        assert counter.prefix_counts(t).tolist() == [count(t[:i]) for i in range(len(t) + 1)], t
+
+
+def token_of(counter, end, n):
+    return any(len(token) == n and token.endswith(end) for token in counter.parts)
