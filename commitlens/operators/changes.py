@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from commitlens import schemas as S
 from commitlens.functions import strict_long, truthy
+from commitlens.session import stored
 
 _WHITESPACE = " \t\r\n\x0b\x0c"
 
@@ -306,7 +307,8 @@ def sequence_changes(
     ``invalid`` and not applied. The result keeps what
     :func:`finalize_sequence` needs (the change fields and the ``_sets`` /
     ``_effect`` / ``_existed`` flags), so it can be written once and finished
-    from storage."""
+    from storage. The changes are read several times: a batch that is costly
+    to derive is written first (:func:`commitlens.session.stored`)."""
     if create_mode not in ("if_absent", "upsert"):
         raise ValueError("create_mode must be 'if_absent' or 'upsert'")
     ch = changes.select(
@@ -322,8 +324,13 @@ def sequence_changes(
     )
     is_create, is_delete, is_update = (F.col("op") == F.lit(x) for x in ("create", "delete", "update"))
     valid_create = is_create & truthy("repo_name") & truthy("author_name") & truthy("commit_hash")
-    repeated = ch.where("seq IS NOT NULL").groupBy("seq").agg(F.count("*").alias("_n")).where("_n > 1").select("seq", F.lit(True).alias("_repeated"))
-    ch = ch.join(repeated, "seq", "left").withColumn("_placed", F.col("seq").isNotNull() & F.col("_repeated").isNull()).drop("_repeated")
+    repeated = changes.where("seq IS NOT NULL").groupBy("seq").agg(F.count("*").alias("_n")).where("_n > 1").select("seq", F.lit(True).alias("_repeated"))
+    shared = repeated.count()  # counted first: the changes are shuffled by seq only if too many share one
+    placed = F.col("seq").isNotNull()
+    if shared:
+        ch = ch.join(_small(repeated, shared, BROADCAST_KEYS), "seq", "left")
+        placed = placed & F.col("_repeated").isNull()
+    ch = ch.withColumn("_placed", placed).drop("_repeated")
     ops = ch.withColumn("_sets", F.col("_placed") & F.coalesce(valid_create | is_delete, F.lit(False))).withColumn(
         "_effect", valid_create
     )
@@ -365,7 +372,9 @@ def finalize_sequence(base: DataFrame, ops: DataFrame, n: int | None = None) ->
         upd_f = (F.col("status") == F.lit("updated")) & (F.col("field") == F.lit(f))
         aggs.append(F.max_by(F.when(upd_f, F.col("value")), F.when(upd_f, F.col("seq"))).alias(f"_new_{f}"))
         aggs.append(F.max(F.when(upd_f, F.col("seq"))).alias(f"_seq_{f}"))
-    summary = ops.groupBy("commit_hash").agg(*aggs)
+    # a change without a hash changes nothing. Both sides below use the same
+    # columns of the same rows, so that Spark shuffles the summary once
+    summary = ops.where("commit_hash IS NOT NULL").groupBy("commit_hash").agg(*aggs)
     after_anchor = {
         f: F.col(f"_seq_{f}").isNotNull()
         & (F.col("_anchor").isNull() | (F.col(f"_seq_{f}") > F.col("_anchor.seq")))
@@ -381,7 +390,7 @@ def finalize_sequence(base: DataFrame, ops: DataFrame, n: int | None = None) ->
     joined = old.join(_small(summary, n, BROADCAST_SUMMARIES), same, "left").unionByName(created)
     key = F.coalesce(F.col("_old_commit_hash"), F.col("commit_hash"))
     anchored_new = F.coalesce(F.col("_anchor.is_create"), F.lit(False))
-    exists_final = F.coalesce(F.col("_final_effect"), F.col("_old_commit_hash").isNotNull())
+    exists_final = F.coalesce(F.col("_final_effect"), F.col("_existed"), F.col("_old_commit_hash").isNotNull())
 
     def start(name: str) -> Column:
         """Value before the trailing updates: the created record or the old one."""
@@ -444,7 +453,9 @@ def apply_sequential(
     (or the snapshot's record when none), with the successful updates that
     follow it; a key whose last create/delete is a delete is gone. ``deltas``
     are exact counter changes (the final snapshot's counts minus the
-    original's), so merged counters always equal recomputed ones."""
+    original's), so merged counters always equal recomputed ones. The batch
+    is written once to the work folder; every step reads it from there."""
+    changes = stored(changes, "changes")
     n = changes.count()
     ops = sequence_changes(base, changes, create_mode, chunk, n)
     snapshot, deltas = finalize_sequence(base, ops, n)
