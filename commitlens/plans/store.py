@@ -24,7 +24,8 @@ thousand), never a key or a row.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ from pyspark.sql.window import Window
 from commitlens import schemas as S
 from commitlens.operators import changes as CH
 from commitlens.operators import derive as D
-from commitlens.session import read_if_exists
+from commitlens.session import read_if_exists, stored
 
 #: Ranges of a store unless given, contributors of a repository that are reported and kept.
 RANGES, TOP, RESERVE = 64, S.TOP_CONTRIBUTORS, 2 * S.TOP_CONTRIBUTORS
@@ -79,11 +80,12 @@ class RangedTable:
         return self.spark.read.schema(self.schema).parquet(*paths)
 
     def write(self, rows: DataFrame, version: int, ranges: Sequence[int] | None = None) -> None:
-        """Write the new contents of ``ranges`` (all without) as part of a version."""
+        """Write the new contents of ``ranges`` (all without) as part of a version.
+        A range that is too large for one task is written by several."""
         data = f"{self.path}/data/version={version}"
         names = self.schema.fieldNames()
         placed = rows.select(*names).withColumn("range", self.range_of())
-        placed.repartition("range").sortWithinPartitions("range", *self.keys).write.partitionBy("range").mode("overwrite") \
+        placed.hint("rebalance", "range").sortWithinPartitions("range", *self.keys).write.partitionBy("range").mode("overwrite") \
             .option(f"parquet.bloom.filter.enabled#{self.keys[-1]}", "true").parquet(data)
         written = [r[0] for r in self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("range", T.IntegerType())]))
                    .parquet(data).select("range").distinct().collect()]
@@ -116,11 +118,14 @@ class CommitStore:
         tables = {name: RangedTable(spark, path, name, ranges) for name in TABLES}
         tables["commits"].write(commits, 0)
         commits = tables["commits"].read(0)
-        tables["commits_by_repo"].write(D.commits_by_repo(commits), 0)
-        tables["author_counts"].write(D.author_counts(commits), 0)
-        counts = tables["author_counts"].read(0)
-        tables["repo_commits"].write(counts.groupBy("repo_name").agg(F.sum("commit_count").cast("bigint").alias("commit_count")), 0)
-        tables["top_contributors"].write(with_floor(counts), 0)
+
+        def counters() -> None:
+            tables["author_counts"].write(D.author_counts(commits), 0)
+            counts = tables["author_counts"].read(0)
+            _together(lambda: tables["repo_commits"].write(counts.groupBy("repo_name").agg(F.sum("commit_count").cast("bigint").alias("commit_count")), 0),
+                      lambda: tables["top_contributors"].write(with_floor(counts), 0))
+
+        _together(lambda: tables["commits_by_repo"].write(D.commits_by_repo(commits), 0), counters)
         _mark(spark, path, 0, ranges)
         return cls(spark, path)
 
@@ -155,6 +160,7 @@ class CommitStore:
         """Apply a change batch (see :func:`changes.apply_changes`) as the next
         version; returns the status of each change."""
         spark, new = self.spark, self.version + 1
+        batch = stored(batch, "changes")
         commits = self.tables["commits"]
         log_path = f"{self.path}/log/version={new}"
         keys = batch.select(CH._strip("commit_hash").alias("commit_hash")).where("commit_hash IS NOT NULL")
@@ -172,8 +178,7 @@ class CommitStore:
             .select(*columns, F.lit(sign).cast("bigint").alias("sign"))
         side(base, -1).union(side(commits.read(new, ranges), 1)).write.mode("overwrite").parquet(f"{self.path}/moves/version={new}")
         moves = spark.read.parquet(f"{self.path}/moves/version={new}")
-        self._move_rows(moves, new)
-        self._move_counts(moves, new)
+        _together(lambda: self._move_rows(moves, new), lambda: self._move_counts(moves, new))
         _mark(spark, self.path, new, self.ranges)
         self.version = new
         return log.select("seq", "op", "commit_hash", "status")
@@ -191,10 +196,10 @@ class CommitStore:
         deltas = self.spark.read.parquet(f"{self.path}/deltas/version={new}")
         authors, repos, top = (self.tables[t] for t in ("author_counts", "repo_commits", "top_contributors"))
         ranges = authors.touched(deltas)
-        authors.write(CH.merge_counter_deltas(authors.read(new - 1, ranges), deltas).where("commit_count <> 0"), new, ranges)
         by_repo = deltas.groupBy("repo_name").agg(F.sum("commit_count").alias("commit_count"))
         own = repos.touched(by_repo)
-        repos.write(CH.merge_counter_deltas(repos.read(new - 1, own), by_repo, ["repo_name"]), new, own)
+        _together(lambda: authors.write(CH.merge_counter_deltas(authors.read(new - 1, ranges), deltas).where("commit_count <> 0"), new, ranges),
+                  lambda: repos.write(CH.merge_counter_deltas(repos.read(new - 1, own), by_repo, ["repo_name"]), new, own))
         counts = authors.read(new, ranges).join(CH._small(deltas.select(*authors.keys), deltas.count(), CH.BROADCAST_KEYS), authors.keys, "left_semi")
         kept = update_top(top.read(new - 1, own), deltas, counts)
         # too few left above the floor: those repositories are filled anew from their counters
@@ -211,6 +216,13 @@ class CommitStore:
 FEW_KEYS = 100
 
 
+def _together(*jobs: Callable[[], None]) -> None:
+    """Run jobs that write different tables at once; they share the cluster."""
+    with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+        for done in [pool.submit(job) for job in jobs]:
+            done.result()
+
+
 def _mark(spark: SparkSession, path: str, version: int, ranges: int) -> None:
     spark.createDataFrame([(ranges,)], "ranges int").coalesce(1).write.mode("overwrite").parquet(f"{path}/versions/version={version}")
 

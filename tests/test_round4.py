@@ -68,3 +68,23 @@ def test_changes_without_a_hash_or_place(spark):
             res = CH.apply_changes(base, batch)
             assert rows(res.status, "seq", "status") == [(0, "not_found"), (1, "invalid"), (2, "deleted"), (3, "invalid"), (3, "invalid")]
             assert [(r.commit_hash, r.subject) for r in res.snapshot.collect()] == [("c2", "s")] and rows(res.deltas) == [("r", "A", -1)]
+
+
+def test_large_range_is_written_by_several_tasks(spark, tmp_path):
+    n = 4000
+    rows_ = spark.range(n).select(*[F.sha2(F.concat(F.lit(f"{c}-"), F.col("id").cast("string")), 512).alias(c) if isinstance(t, str) else F.lit(None).cast(t).alias(c)
+                                    for c, t in [(f.name, f.dataType.simpleString() if f.dataType.simpleString() == "string" else f.dataType) for f in S.COMMITS.fields]])
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "50k"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        table = SO.RangedTable(spark, str(tmp_path), "commits", 2)
+        table.write(rows_.repartition(16), 0)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    got = table.read(0)
+    assert got.count() == n and got.select("commit_hash").distinct().count() == n
+    files = got.select(F.input_file_name().alias("f")).distinct().count()
+    assert files > 4
