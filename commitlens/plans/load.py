@@ -20,8 +20,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from commitlens.operators import changes as CH
 from commitlens.operators import derive as D
-from commitlens.session import read_if_exists, work_dir
+from commitlens.session import read_if_exists, stored, work_dir
 from commitlens.sources import normalise as NM
 
 COUNTERS = {
@@ -43,29 +44,53 @@ def load_summary(records: DataFrame) -> DataFrame:
     )
 
 
+def greatest_records(commits: DataFrame) -> DataFrame:
+    """The greatest record by all its fields of every repository and hash."""
+    fields = [c for c in commits.columns if c not in ("commit_hash", "repo_name")]
+    return D.latest_by_key(commits, ["repo_name", "commit_hash"], fields)
+
+
+def _greatest_by_hash(records: DataFrame, written: bool) -> DataFrame:
+    """The greatest of the :func:`greatest_records` of every hash. Of written
+    ones (whose hashes are not NULL) those hashes are counted first that
+    several repositories have: the others' records are not shuffled."""
+    pick = lambda rows: D.latest_by_key(rows, ["commit_hash"], [c for c in records.columns if c != "commit_hash"]).select(*records.columns)
+    if not written:
+        return pick(records)
+    several = records.groupBy("commit_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("commit_hash")
+    n = several.count()
+    if n == 0 or n > CH.BROADCAST_KEYS:
+        return pick(records) if n else records
+    several = F.broadcast(several)
+    single = records.join(several, "commit_hash", "left_anti").select(*records.columns)
+    return single.unionByName(pick(records.join(several, "commit_hash", "left_semi")))
+
+
 def derive_tables(
     commits: DataFrame | None = None,
     repos: DataFrame | None = None,
     licenses: DataFrame | None = None,
     languages: DataFrame | None = None,
+    kept: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Every canonical and derived table of one load, from normalised input.
 
     Commit records may repeat a hash; the snapshot keeps the last one by
     ``seq``. Without a ``seq`` column there is no last one, so the greatest
     record by all its fields is kept: one row per key in either case.
-    Counters count every record."""
+    Counters count every record. ``kept``: the :func:`greatest_records` of
+    ``commits`` if they are written already."""
     out: dict[str, DataFrame] = {}
     if commits is not None:
         if "seq" in commits.columns:
             out["commits"] = D.commits_latest_by_hash(commits, "seq")
             out["commits_by_repo"] = D.commits_by_repo(commits, "seq")
         else:
-            fields = [c for c in commits.columns if c not in ("commit_hash", "repo_name")]
-            out["commits"] = D.latest_by_key(commits, ["commit_hash"], ["repo_name", *fields]).select(*commits.columns)
-            out["commits_by_repo"] = D.commits_by_repo(D.latest_by_key(commits, ["repo_name", "commit_hash"], fields))
+            records = greatest_records(commits) if kept is None else kept
+            out["commits"] = _greatest_by_hash(records, kept is not None).select(*commits.columns)
+            out["commits_by_repo"] = D.commits_by_repo(records)
         out["author_counts"] = D.author_counts(commits)
-        out["repos_loaded"] = D.loaded_repos(commits)
+        out["repos_loaded"] = D.loaded_repos(commits if kept is None else kept)
     if repos is not None:
         out["repos"] = repos
         out["repos_by_tier"] = D.repos_by_tier(repos)
@@ -181,8 +206,12 @@ def load_all(
     written per table."""
     if mode not in ("refresh", "accumulate"):
         raise ValueError("mode must be 'refresh' or 'accumulate'")
+    commits = None if raw_commits is None else NM.normalise_commits(raw_commits, keep=["seq"])
+    # without seq, records are put in order by all their fields: once, for all tables
+    kept = None if commits is None or "seq" in commits.columns else stored(greatest_records(commits), "records")
     tables = derive_tables(
-        commits=None if raw_commits is None else NM.normalise_commits(raw_commits, keep=["seq"]),
+        commits=commits,
+        kept=kept,
         repos=None if raw_repos is None else NM.normalise_repos(raw_repos),
         licenses=None if raw_licenses is None else NM.normalise_licenses(raw_licenses),
         languages=None if raw_languages is None else NM.unnest_languages(raw_languages),

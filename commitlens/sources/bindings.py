@@ -49,11 +49,14 @@ def _changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _commit_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their customer and files. The customer comes first: once
+    customers are too many to broadcast, that join shuffles the narrow orders
+    and not the file lists."""
     orders = scan(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
     files = _changed_files(spark, sf_dir)
-    return orders.join(files, orders.o_orderkey == files.l_orderkey, "left").join(
-        customer, orders.o_custkey == customer.c_custkey, "left"
+    return orders.join(customer, orders.o_custkey == customer.c_custkey, "left").join(
+        files, orders.o_orderkey == files.l_orderkey, "left"
     )
 
 
