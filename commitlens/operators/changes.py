@@ -252,14 +252,16 @@ def _chunks(ops: DataFrame, chunk: int, n: int) -> Column:
         return F.lit(0)
     probabilities = F.array(*[F.lit(i / parts) for i in range(1, parts)])
     cuts = sorted(set(ops.agg(F.percentile_approx("seq", probabilities, 10 * parts)).first()[0] or []))
-
-    def place(low: int, high: int) -> Column:  # how many cuts are below, by bisection
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(F.col("seq") <= F.lit(cuts[middle]), place(low, middle)).otherwise(place(middle + 1, high))
-
-    return place(0, len(cuts))
+    if not cuts:
+        return F.lit(0)
+    # how many cuts are below, by bisection in an array: one expression that
+    # stays the same however many cuts there are (a branch per cut made code
+    # that grew with the batch). Padded with a value that nothing exceeds.
+    depth = len(cuts).bit_length()
+    padded = [*cuts, *[2**63 - 1] * (2**depth - 1 - len(cuts))]
+    values = F.split(F.lit(",".join(map(str, padded))), ",").cast("array<bigint>")
+    steps = F.array(*[F.lit(2**i) for i in reversed(range(depth))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(values, at + step - F.lit(1)) < F.col("seq"), at + step).otherwise(at))
 
 
 def _existence_before(ops: DataFrame, base: DataFrame, chunk: int, n: int) -> DataFrame:

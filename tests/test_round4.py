@@ -57,6 +57,20 @@ def test_summary_of_a_batch_is_shuffled_once(shuffled, tmp_path):
     assert sum("SortAggregate" in x and "partial_max(_existed" in x for x in p.split("\n")) == 1 and "ReusedExchange" in p
 
 
+def test_placing_changes_in_runs_does_not_grow_with_the_runs(spark):
+    ops = spark.range(0, 3000, 3).select(F.col("id").alias("seq")).union(spark.range(1).select(F.lit(2**62)))
+    sizes = []
+    for chunk in (500, 10):
+        placed = ops.withColumn("run", CH._chunks(ops, chunk, 1000))
+        runs = [r["count"] for r in placed.groupBy("run").count().orderBy("run").collect()]
+        assert len(runs) == 1000 // chunk and max(runs) <= 2 * chunk
+        assert placed.agg(F.count_distinct("run")).first()[0] == len(runs)
+        bounds = placed.groupBy("run").agg(F.min("seq").alias("a"), F.max("seq").alias("b")).orderBy("run").collect()
+        assert all(x.b < y.a for x, y in zip(bounds, bounds[1:]))
+        sizes.append(placed._jdf.queryExecution().optimizedPlan().toString().count("CASE WHEN"))
+    assert sizes[0] == sizes[1]
+
+
 def test_changes_without_a_hash_or_place(spark):
     base = spark.createDataFrame([commit("c1", "r", "A"), commit("c2", "r", "A")], S.COMMITS)
     items = [dict(op="delete", commit_hash=None), dict(op="create", commit_hash=None, repo_name="r", author_name="A"), dict(op="delete", commit_hash="c1"), dict(op="delete", commit_hash="c2"),
