@@ -32,12 +32,13 @@ from pyspark.sql import types as T
 
 from commitlens import schemas as S
 from commitlens.operators import derive as D
-from commitlens.session import read_if_exists, work_dir
+from commitlens.session import dropping_shuffles, read_if_exists, remove, work_dir
 from commitlens.sources import ndjson as J
 from commitlens.sources import normalise as NM
 
 
 COMPACT_EVERY = 20
+COMMIT_WITH_SEQ = T.StructType(list(S.RAW_COMMIT.fields) + [T.StructField("seq", T.LongType())])
 
 
 def text_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int = 1) -> DataFrame:
@@ -58,8 +59,10 @@ class BatchLog:
     the snapshot before the last one covers are removed, so that a listing has
     at most two snapshots and the batches since the older one."""
 
-    def __init__(self, spark: SparkSession, out_dir: str, reduce: Callable[[DataFrame], DataFrame], compact_every: int = COMPACT_EVERY):
-        self.spark, self.out_dir, self.reduce, self.compact_every = spark, out_dir.rstrip("/"), reduce, compact_every
+    def __init__(self, spark: SparkSession, out_dir: str, reduce: Callable[[DataFrame], DataFrame], compact_every: int = COMPACT_EVERY, reduced: bool = False):
+        """``reduced``: what is written has one row per key already, so a table
+        that is in one folder needs no reducing."""
+        self.spark, self.out_dir, self.reduce, self.compact_every, self.reduced = spark, out_dir.rstrip("/"), reduce, compact_every, reduced
 
     def _mark(self, before: int | None = None) -> int:
         """Last snapshot (before a batch), -1 without one."""
@@ -69,45 +72,55 @@ class BatchLog:
         own = marks if before is None else marks.where(F.col("upto") < before)
         return -1 if (last := own.agg(F.max("upto")).first()[0]) is None else int(last)
 
-    def _rows(self, mark: int, last: int | None = None) -> DataFrame | None:
+    def _rows(self, mark: int, last: int | None = None, spark: SparkSession | None = None) -> DataFrame | None:
         """The snapshot and the batches after it (partition pruning: earlier
         folders are not read)."""
-        log = read_if_exists(self.spark, f"{self.out_dir}/log")
+        spark = spark or self.spark
+        log = read_if_exists(spark, f"{self.out_dir}/log")
         if log is None:
             return None
         tail = log.where(F.col("batch_id") > mark)
         tail = (tail if last is None else tail.where(F.col("batch_id") <= last)).withColumn("batch_id", F.col("batch_id").cast("bigint"))
         if mark < 0:
             return tail
-        return self.spark.read.parquet(f"{self.out_dir}/snapshot/upto={mark}").unionByName(tail)
+        return spark.read.parquet(f"{self.out_dir}/snapshot/upto={mark}").unionByName(tail, allowMissingColumns=True)  # earlier folders may keep more of an order
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{self.out_dir}/log/batch_id={batch_id}")
-        if (batch_id + 1) % self.compact_every == 0:
-            whole = self.reduce(self._rows(self._mark(before=batch_id), batch_id))
-            whole.write.mode("overwrite").parquet(f"{self.out_dir}/snapshot/upto={batch_id}")
-            self.spark.range(1).write.mode("overwrite").parquet(f"{self.out_dir}/marks/upto={batch_id}")
-            self._remove_before(self._mark(before=batch_id))
+        with dropping_shuffles(batch.sparkSession):
+            batch.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.out_dir}/log/batch_id={batch_id}")
+            if (batch_id + 1) % self.compact_every == 0:
+                whole = self.reduce(self._rows(self._mark(before=batch_id), batch_id, batch.sparkSession))
+                whole.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.out_dir}/snapshot/upto={batch_id}")
+                self.spark.range(1).write.mode("overwrite").parquet(f"{self.out_dir}/marks/upto={batch_id}")
+                self._remove_before(self._mark(before=batch_id))
+
+    def _numbers(self, kind: str, name: str) -> list[int]:
+        """The numbers of the folders ``kind/name=N``."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.out_dir}/{kind}")
+        found = folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(folder)
+        parts = [status.getPath().getName().partition("=") for status in found]
+        return [int(value) for key, _, value in parts if key == name and value.isdigit()]
 
     def _remove_before(self, mark: int) -> None:
         """Remove the batches that the snapshot at ``mark`` holds, and older snapshots."""
         if mark < 0:
             return
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for kind, name, last in (("log", "batch_id", mark), ("snapshot", "upto", mark - 1), ("marks", "upto", mark - 1)):
-            folder = jvm.org.apache.hadoop.fs.Path(f"{self.out_dir}/{kind}")
-            fs = folder.getFileSystem(conf)
-            for status in fs.listStatus(folder):
-                own = status.getPath()
-                key, _, value = own.getName().partition("=")
-                if key == name and value.isdigit() and int(value) <= last:
-                    fs.delete(own, True)
-
-    def read(self, upto: int | None = None) -> DataFrame | None:
+            for n in self._numbers(kind, name):
+                if n <= last:
+                    remove(self.spark, f"{self.out_dir}/{kind}/{name}={n}")
+
+    def read(self, upto: int | None = None, columns: list[str] | None = None) -> DataFrame | None:
         """The current table with ``batch_id`` (or that after batch ``upto``, which
-        is no older than the last batch but one); None before any batch."""
-        rows = self._rows(self._mark(before=None if upto is None else upto + 1), upto)
-        return None if rows is None else self.reduce(rows)
+        is no older than the last batch but one); None before any batch. With
+        ``columns`` (those that reducing needs among them) no others are moved."""
+        mark = self._mark(before=None if upto is None else upto + 1)
+        rows = self._rows(mark, upto)
+        if rows is None:
+            return None
+        if self.reduced and (mark >= 0) + sum(mark < n and (upto is None or n <= upto) for n in self._numbers("log", "batch_id")) == 1:
+            return rows
+        return self.reduce(rows if columns is None else rows.select(*columns))
 
     def run(self, stream: DataFrame, mode: str, checkpoint_dir: str, prepare: Callable[[DataFrame, int], DataFrame]) -> None:
         """Process all that is present and stop."""
@@ -156,6 +169,28 @@ def _last_versions(records: DataFrame) -> DataFrame:
     return D.latest_by_key(records, ["commit_hash"], "_order")
 
 
+def commit_records(lines: DataFrame, batch_id: int) -> DataFrame:
+    """The commits of a micro-batch's lines, with their place in the order of
+    versions as ``_order``: ``seq``, then micro-batch, file and place in the file.
+
+    A compressed file is read by one task, so lines that come in fewer parts than
+    there are cores are dealt out before they are parsed; their places are
+    taken before (ids increase along a task, so along a file's split)."""
+    placed = lines.select("value", F.struct(F.col("_from.file"), F.col("_from.block"), F.monotonically_increasing_id().alias("place")).alias("_from"))
+    if lines.rdd.getNumPartitions() < lines.sparkSession.sparkContext.defaultParallelism:
+        placed = placed.repartition("_from.place")
+    records = NM.normalise_commits(J.accepted(J.classify_ndjson(placed, COMMIT_WITH_SEQ, ["commit", "repo_name"])), keep=["seq", "_from"])
+    order = F.struct("seq", F.lit(batch_id).cast("bigint").alias("batch"), F.col("_from.file").alias("file"),
+                     F.col("_from.block").alias("block"), F.col("_from.place").alias("place"))
+    return records.withColumn("_order", order).drop("_from", "seq")
+
+
+def between_batches(versions: DataFrame) -> DataFrame:
+    """Reduced records of a micro-batch as they are kept: versions of a key come
+    from different micro-batches from here on, so file and place decide nothing."""
+    return versions.withColumn("_order", F.struct("_order.seq", "_order.batch"))
+
+
 def stream_upsert(
     spark: SparkSession,
     source_dir: str,
@@ -170,28 +205,26 @@ def stream_upsert(
     Each micro-batch is reduced to its last version per hash. Versions are
     ordered by ``seq`` if they carry it (a record without one is older than
     any that has one), then by micro-batch, file and place in the file."""
-    schema = T.StructType(list(S.RAW_COMMIT.fields) + [T.StructField("seq", T.LongType())])
-    lines = text_stream(spark, source_dir, max_files_per_trigger)
-    records = NM.normalise_commits(J.accepted(J.classify_ndjson(lines, schema, ["commit", "repo_name"])), keep=["seq", "_from"])
+    log = BatchLog(spark, out_dir, _last_versions, compact_every, reduced=True)
+    log.run(text_stream(spark, source_dir, max_files_per_trigger), "append", checkpoint_dir,
+            lambda lines, batch_id: between_batches(_last_versions(commit_records(lines, batch_id))))
+    table = log.read()
+    if table is None:
+        schema = T.StructType([T.StructField("seq", T.LongType()), *S.COMMITS.fields])
+        return spark.createDataFrame([], schema)
+    return table.select(F.col("_order.seq").alias("seq"), *S.COMMIT_COLUMNS)
 
-    def ordered(batch: DataFrame, batch_id: int) -> DataFrame:
-        # ids increase along a task, so along a file's split
-        order = F.struct("seq", F.lit(batch_id).cast("bigint").alias("batch"), F.col("_from.file").alias("file"),
-                         F.col("_from.block").alias("block"), F.monotonically_increasing_id().alias("place"))
-        return _last_versions(batch.withColumn("_order", order).drop("_from"))
 
-    log = BatchLog(spark, out_dir, _last_versions, compact_every)
-    log.run(records, "append", checkpoint_dir, ordered)
-    table = log.read()
-    columns = [c for c in records.columns if c != "_from"]
-    return spark.createDataFrame([], records.select(*columns).schema) if table is None else table.select(*columns)
+#: Lines in a compressed file that one task reads whole.
+FILE_LINES = 500_000
 
 
-def stage_lines(spark: SparkSession, lines: DataFrame, purpose: str) -> tuple[str, str, str]:
-    """Write a lines frame as text files (the stream's source folder) and
-    return (source, sink, checkpoint) folders."""
+def stage_lines(spark: SparkSession, lines: DataFrame, purpose: str, **options) -> tuple[str, str, str]:
+    """Write a lines frame as text files (the stream's source folder; options as
+    of the writer) and return (source, sink, checkpoint) folders."""
     base = work_dir(spark, purpose)
-    lines.write.mode("overwrite").text(f"{base}/source")
+    with dropping_shuffles(spark):
+        lines.write.mode("overwrite").options(**options).text(f"{base}/source")
     return f"{base}/source", f"{base}/sink", f"{base}/checkpoint"
 
 
@@ -216,6 +249,12 @@ def stream_language_bytes_from(spark: SparkSession, lines: DataFrame, max_files_
     )
 
 
-def stream_upsert_from(spark: SparkSession, lines: DataFrame, max_files_per_trigger: int = 4) -> DataFrame:
-    src, out, cp = stage_lines(spark, lines, "stream-upsert")
-    return stream_upsert(spark, src, out, cp, max_files_per_trigger).drop("seq")
+#: Compressed to a ninth or so: the whole source is there before the stream starts.
+COMPRESSED = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
+
+
+def stream_upsert_from(spark: SparkSession, lines: DataFrame, max_files_per_trigger: int = 4, **options) -> DataFrame:
+    src, out, cp = stage_lines(spark, lines, "stream-upsert", **COMPRESSED, **options)
+    table = stream_upsert(spark, src, out, cp, max_files_per_trigger).drop("seq")
+    remove(spark, src)  # of our own, and all in the table
+    return table
