@@ -24,6 +24,7 @@ from commitlens.plans import bucketed as BK
 from commitlens.plans import load as LD
 from commitlens.plans import reports as RP
 from commitlens.plans import store as SO
+from commitlens.session import remove
 from commitlens.sources import bindings as B
 from commitlens.sources import ndjson as J
 from commitlens.sources import normalise as NM
@@ -592,13 +593,14 @@ def q_stream_all_tables(spark, sf):
     """All commit tables of one stream, one under the other."""
     raw = B.commit_versions(spark, sf)
     lines = raw.select(F.to_json(F.struct(*raw.columns)).alias("value"))
-    src, out, cp = ST.stage_lines(spark, lines, "stream-tables")
+    src, out, cp = ST.stage_lines(spark, lines, "stream-tables", **ST.COMPRESSED)
     stream = STT.CommitStream(spark, out)
     stream.run(src, cp, 4)
-    none = F.lit(None).cast("string")
+    remove(spark, src)
+    none, commit = F.lit(None).cast("string"), ["repo_name", "commit_hash", "author_name"]
     return stream.read("author_counts").select(F.lit("author_counts").alias("table_name"), "repo_name", F.col("author_name").alias("key"), F.col("commit_count").cast("string").alias("value")) \
-        .unionByName(stream.read("commits").select(F.lit("commits").alias("table_name"), "repo_name", F.col("commit_hash").alias("key"), F.col("author_name").alias("value"))) \
-        .unionByName(stream.read("commits_by_repo").select(F.lit("commits_by_repo").alias("table_name"), "repo_name", F.col("commit_hash").alias("key"), F.col("author_name").alias("value"))) \
+        .unionByName(stream.read("commits", commit).select(F.lit("commits").alias("table_name"), "repo_name", F.col("commit_hash").alias("key"), F.col("author_name").alias("value"))) \
+        .unionByName(stream.read("commits_by_repo", commit).select(F.lit("commits_by_repo").alias("table_name"), "repo_name", F.col("commit_hash").alias("key"), F.col("author_name").alias("value"))) \
         .unionByName(stream.read("repos_loaded").select(F.lit("repos_loaded").alias("table_name"), "repo_name", none.alias("key"), none.alias("value")))
 
 

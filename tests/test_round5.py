@@ -6,12 +6,14 @@ import os
 
 import pytest
 
+from commitlens import schemas as S
 from commitlens.operators import derive as D
 from commitlens.plans.queries import QUERIES
 from commitlens.session import checkpoint_root
 from commitlens.sources import bindings as B
 from commitlens.sources import normalise as NM
 from commitlens.streaming import counters as ST
+from commitlens.streaming import tables as STT
 from conftest import rows
 
 
@@ -48,7 +50,7 @@ def lineitem(spark, tmp_path_factory):
     return str(out)
 
 
-@pytest.mark.parametrize("name, purpose", [("stream_upsert", "stream-upsert")])
+@pytest.mark.parametrize("name, purpose", [("stream_upsert", "stream-upsert"), ("stream_all_tables", "stream-tables")])
 def test_staged_lines_records_and_shuffles_go(spark, lineitem, name, purpose):
     before, shuffled = files_of(spark, purpose), shuffle_files(spark)
     got = QUERIES[name](spark, lineitem)
@@ -99,6 +101,19 @@ def test_a_table_in_one_folder_is_not_reduced_again(spark, tmp_path):
     assert rows(ST.stream_upsert(*args), "commit_hash", "subject") == [("a", "2"), ("b", "4")]
 
 
+def test_only_asked_for_columns_are_moved(spark, tmp_path):
+    src = tmp_path / "in"
+    for k in range(3):
+        write_lines(src, f"{k}.json.gz", [commit("a", f"{k}"), commit(f"x{k}", "s", repo_name=f"r{k}")])
+    stream = STT.CommitStream(spark, f"{tmp_path}/out")
+    stream.run(str(src), f"{tmp_path}/cp")
+    for name in ("commits", "commits_by_repo"):
+        some = stream.read(name, ["commit_hash", "author_name"])
+        assert "subject" not in some._jdf.queryExecution().executedPlan().toString()
+        assert rows(some) == rows(stream.read(name), "commit_hash", "author_name") and some.count() == 4
+    assert stream.read("commits").columns == S.COMMIT_COLUMNS
+
+
 def test_folders_of_before_are_read(spark, tmp_path):
     """A log and a snapshot that keep file and place in the order, and seq beside it."""
     src, out = tmp_path / "in", f"{tmp_path}/o"
