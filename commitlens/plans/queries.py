@@ -430,10 +430,9 @@ def q_stream_counts_rerun(spark, sf):
 
 def q_stream_upsert_files(spark, sf):
     """Records without seq, in files: the last line wins."""
-    raw = B.commit_versions(spark, sf)
-    lines = raw.select("seq", F.to_json(F.struct(*[c for c in raw.columns if c != "seq"])).alias("value"))
-    ordered = lines.repartitionByRange("seq").sortWithinPartitions("seq").select("value")
-    return render_commits(ST.stream_upsert_from(spark, ordered, max_files_per_trigger=1_000_000))
+    raw = B.commit_versions(spark, sf, in_order=True)
+    ordered = raw.select(F.to_json(F.struct(*[c for c in raw.columns if c != "seq"])).alias("value"))
+    return render_commits(ST.stream_upsert_from(spark, ordered, max_files_per_trigger=1_000_000, maxRecordsPerFile=ST.FILE_LINES))
 
 
 # --- loads, by content ---------------------------------------------------

@@ -130,7 +130,7 @@ def commits_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def commit_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def commit_versions(spark: SparkSession, sf_dir: str, in_order: bool = False) -> DataFrame:
     """Commit records where a hash repeats: one version per line item, keyed
     by (part, supplier), ordered by ``seq`` = (order key, line number, line
     status, return flag) packed into one integer. Line items that tie on all
@@ -145,8 +145,11 @@ def commit_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("l_returnflag") == F.lit("R"), F.lit(2))
         .otherwise(F.lit(3))
     )
+    li = li.withColumn("seq", ((line * F.lit(2) + status) * F.lit(4) + flag).cast("bigint"))
+    if in_order:
+        li = li.repartitionByRange("seq").sortWithinPartitions("seq")
     return li.select(
-        ((line * F.lit(2) + status) * F.lit(4) + flag).cast("bigint").alias("seq"),
+        "seq",
         F.concat(
             F.lit("p"), F.col("l_partkey").cast("string"), F.lit("-s"), F.col("l_suppkey").cast("string")
         ).alias("commit"),

@@ -50,7 +50,7 @@ def lineitem(spark, tmp_path_factory):
     return str(out)
 
 
-@pytest.mark.parametrize("name, purpose", [("stream_upsert", "stream-upsert"), ("stream_all_tables", "stream-tables")])
+@pytest.mark.parametrize("name, purpose", [("stream_upsert", "stream-upsert"), ("stream_upsert_files", "stream-upsert"), ("stream_all_tables", "stream-tables")])
 def test_staged_lines_records_and_shuffles_go(spark, lineitem, name, purpose):
     before, shuffled = files_of(spark, purpose), shuffle_files(spark)
     got = QUERIES[name](spark, lineitem)
